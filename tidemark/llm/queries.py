@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, packing, quality_rules, token_blocks, url_filter
+from tidemark.llm import fingerprints, line_dedup, packing, quality_rules, sentencepiece_fst, token_blocks, toxicity, url_filter
 from tidemark.llm.common import read, scratch
 from tidemark.llm.tokens import vocabulary_path
 
@@ -16,6 +16,12 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_documents(spark, path).drop("ids")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, index).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "evidence")
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read(spark, sf_dir, "pages"))
 
@@ -25,6 +31,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(read(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).drop("n_stop_words", "n_text_lines")
 
@@ -33,7 +43,23 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_token_blocks, op4_url_filters, op5_line_dedup, op8_quality_rules, op9_packing)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.encode_summary(read(spark, sf_dir, "documents"), vocabulary_path(sentencepiece_fst.MODEL))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_blocks,
+        op3_toxicity,
+        op4_url_filters,
+        op5_line_dedup,
+        op6_fingerprints,
+        op8_quality_rules,
+        op9_packing,
+        op10_sentencepiece,
+    )
+}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
