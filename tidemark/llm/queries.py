@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, line_dedup, packing, quality_rules, sentencepiece_fst, token_blocks, toxicity, url_filter
+from tidemark.llm import fingerprints, jaccard_join, line_dedup, packing, quality_rules, sentencepiece_fst, token_blocks, toxicity, url_filter
 from tidemark.llm.common import read, scratch
 from tidemark.llm.tokens import vocabulary_path
 
@@ -16,6 +16,10 @@ def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.read_documents(spark, path).drop("ids")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(read(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     index = toxicity.fit(docs, read(spark, sf_dir, "labels"))
@@ -51,6 +55,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_blocks,
+        op2_jaccard_join,
         op3_toxicity,
         op4_url_filters,
         op5_line_dedup,
