@@ -1,12 +1,57 @@
-"""From raw documents to packed windows (part of the llm subpackage)."""
+"""From raw documents to packed windows (part of the llm subpackage).
+
+Every stage reads the table that the stage before it wrote.  Stages that change texts bring
+n_chars up to date where the table has it; rows whose text becomes empty stay.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import jaccard_join, line_dedup, packing, suffix_dedup, toxicity
 from tidemark.llm.common import read, stored
+from tidemark.llm.tokens import vocabulary_path
+
+
+def _recounted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else docs
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows scored 0.5 or more go; the index learns from the labels of these documents."""
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that a document of smaller doc_id has go from the text."""
+    cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
+    return _recounted(cut.withColumnRenamed("kept", "text")).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the least doc_id of each component stays."""
+    return jaccard_join.first_of_classes(docs)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Byte strings that start twice or more go from all texts."""
+    return _recounted(suffix_dedup.without_repeats(docs))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows of 2048 ids."""
+    return packing.pack_documents(docs, vocabulary_path())
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("jaccard_join", drop_near_copies),
+    ("suffix_dedup", drop_repeats),
+    ("packing", pack),
+]
+#: Scores, links and windows are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

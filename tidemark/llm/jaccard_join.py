@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NULL_ID, id_key, stored, texts
+from tidemark.llm.common import NULL_ID, id_key, stored, text_key, texts
 from tidemark.llm.components import components
 from tidemark.llm.texthash import shingles, text_words
 
@@ -90,7 +90,7 @@ def frequent_bits(docs: DataFrame, words: int = WORDS, bits: int = SKETCH_BITS)
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, k, n (set size), fp (128 bits of the set; null if empty), window (shingles of its
+    """doc_id, k, t (hash of the text), n (set size), fp (128 bits of the set; null if empty), window (shingles of its
     regions, as signed longs)."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
     size = len(frequent)
@@ -110,11 +110,11 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percen
                 offsets.append(offsets[-1] + (len(values[-1]) if len(s) else 0))
             flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int64), pa.int64())
             window = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-            columns = [batch.column("doc_id"), batch.column("k"), pa.array(n, pa.int32()), pa.array(fps, pa.binary()), window]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "n", "fp", "window"])
+            columns = [batch.column("doc_id"), batch.column("k"), batch.column("t"), pa.array(n, pa.int32()), pa.array(fps, pa.binary()), window]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "t", "n", "fp", "window"])
 
-    keyed = texts(docs).select("doc_id", id_key().alias("k"), "text")
-    return keyed.mapInArrow(signed, "doc_id long, k long, n int, fp binary, window array<bigint>")
+    keyed = texts(docs).select("doc_id", id_key().alias("k"), text_key().alias("t"), "text")
+    return keyed.mapInArrow(signed, "doc_id long, k long, t long, n int, fp binary, window array<bigint>")
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -216,6 +216,16 @@ def links(docs: DataFrame, sig: DataFrame, words: int = WORDS, percent: int = PE
     return out
 
 
+def keyed_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, k, t, n and c, the least k of the component, for every row."""
+    sig = stored(signatures(docs, frequent_bits(docs, words), words, percent))
+    comp = components(links(docs, sig, words, percent))
+    reps = sig.where("n > 0").groupBy("fp").agg(F.min("k").alias("node"))
+    of_set = reps.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("c"))
+    out = sig.select("doc_id", "k", "t", "n", "fp").join(of_set, "fp", "left")
+    return out.select("doc_id", "k", "t", "n", F.coalesce("c", "k").alias("c"))
+
+
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
@@ -224,19 +234,16 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     Equal sets are linked.  A null doc_id counts as the greatest and comes out as null; rows
     that repeat a doc_id are judged by their own texts.
     """
-    sig = stored(signatures(docs, frequent_bits(docs, words), words, percent))
-    comp = components(links(docs, sig, words, percent))
-    reps = sig.where("n > 0").groupBy("fp").agg(F.min("k").alias("node"))
-    of_set = reps.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("c"))
-    out = sig.select("doc_id", "k", "n", "fp").join(of_set, "fp", "left")
-    component = F.coalesce("c", "k")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(component != NULL_ID, component).alias("component_id"))
+    found = keyed_classes(docs, words, percent)
+    return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("c") != NULL_ID, F.col("c")).alias("component_id"))
 
 
 def first_of_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component, the one of the least doc_id; all columns kept.
+    """docs without the documents that have a smaller doc_id in their component; all columns kept.
 
-    Rows without an id always stay; rows that repeat the least doc_id stay as one row.
+    Rows that repeat that least doc_id are one document and stay together; so do rows without id.
     """
-    first = classes(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    later = stored(keyed_classes(docs, words, percent).where("k != c").select(F.col("k").alias("__k"), F.col("t").alias("__t")).distinct())
+    few = later.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # 16 bytes a row
+    keyed = docs.withColumn("__k", id_key()).withColumn("__t", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keyed.join(F.broadcast(later) if few else later, ["__k", "__t"], "left_anti").drop("__k", "__t")

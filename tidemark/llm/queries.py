@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, jaccard_join, line_dedup, packing, quality_rules, sentencepiece_fst, token_blocks, toxicity, url_filter
-from tidemark.llm.common import read, scratch
+from tidemark.llm import fingerprints, jaccard_join, line_dedup, packing, quality_rules, sentencepiece_fst, suffix_dedup, token_blocks, toxicity, url_filter
+from tidemark.llm.common import NULL_ID, read, scratch
 from tidemark.llm.tokens import vocabulary_path
 
 
@@ -39,6 +39,11 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup_bytes(read(spark, sf_dir, "documents"))
+    return found.select(F.when(F.col("k") != NULL_ID, F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).drop("n_stop_words", "n_text_lines")
 
@@ -60,6 +65,7 @@ QUERIES = {
         op4_url_filters,
         op5_line_dedup,
         op6_fingerprints,
+        op7_suffix_dedup,
         op8_quality_rules,
         op9_packing,
         op10_sentencepiece,

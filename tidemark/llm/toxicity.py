@@ -231,12 +231,11 @@ def score(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
     """docs without the rows predicted toxic, all columns kept."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(index)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
 
-    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def scored(text: pd.Series) -> pd.Series:
         own = shared.value
-        for pdf in batches:
-            yield pdf[[own.score(t or "")[0] < 0.5 for t in pdf["text"]]]
+        return pd.Series([own.score(t)[0] for t in text], dtype="float64")
 
-    return docs.mapInPandas(kept, docs.schema)
+    return docs.where(scored(F.coalesce("text", F.lit(""))) < 0.5)
