@@ -1,4 +1,67 @@
 """The registered queries over bars and tables, and the SQL that each must agree with."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import indicators as ind
+from tidemark.plans import sql
+from tidemark.sources import bars as src
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, keys: list[str], names, digits: int = 6) -> DataFrame:
+    return df.select(*keys, *[F.round(n, digits).alias(n) for n in names])
+
+
+KEYS = ["symbol", "bar_idx"]
+
+
+def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.bars_from_ticks(spark, sf_dir)
+
+
+OHLCV = ["open", "high", "low", "close", "volume"]
+
+
+@query(sql.with_bars(f"SELECT symbol, bar_idx, ts, {sql.rounded(OHLCV)} FROM bars"))
+def bars_from_ticks(spark, sf_dir):
+    return rounded(bars(spark, sf_dir), [*KEYS, "ts"], OHLCV)
+
+
+def _group_query(name: str, names: str, ewm: bool = False) -> None:
+    columns = names.split()
+    select = f"SELECT symbol, bar_idx, {sql.rounded(columns)} FROM {'i' if ewm else 'w'}"
+
+    def run(spark, sf_dir):
+        table = ind.indicators if ewm else ind.window_indicators
+        return rounded(table(bars(spark, sf_dir)), KEYS, columns)
+
+    run.__name__ = name
+    query((sql.with_indicators if ewm else sql.with_windows)(select))(run)
+
+
+_group_query("moving_averages", "ma5 ma10 ma20 ma60 ma5_slope ma20_slope close_vs_ma5 close_vs_ma20")
+_group_query("rsi_and_momentum", "rsi rsi_fast momentum roc price_change price_change_pct amplitude")
+_group_query("bands_and_range", "boll_mid boll_std boll_upper boll_lower boll_width boll_position atr vol_squeeze")
+_group_query("volume_indicators", "volume_ma5 volume_ma20 volume_ratio obv obv_ma obv_slope vwap close_vs_vwap volume_spike")
+_group_query("directional_movement", "plus_di minus_di adx")
+_group_query("candle_patterns", "body upper_shadow lower_shadow body_ratio engulfing pin_bar inside_bar trend_count")
+_group_query("support_and_resistance", "resistance support dist_to_resistance dist_to_support")
+_group_query("exponential_averages", "ema12 ema26 macd macd_signal macd_hist k d j", ewm=True)
+_group_query("all_indicators", " ".join(ind.NAMES), ewm=True)
