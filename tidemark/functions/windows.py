@@ -66,8 +66,8 @@ def running(bars: DataFrame, columns: dict[str, tuple[str, str]], chunk: int = C
     return out.drop("chunk")
 
 
-def ewm(bars: DataFrame, columns: dict[str, tuple[str, float]]) -> DataFrame:
-    """out = (x, alpha): y0 = x0, then y = alpha * x + (1 - alpha) * y; null before x begins.
+def ewm(bars: DataFrame, columns: dict[str, tuple[str, float, int]]) -> DataFrame:
+    """out = (x, alpha, start): y = x at bar `start`, where x begins, then alpha * x + (1 - alpha) * y.
 
     y is the sum of alpha * x[i] * q ** (t - i): sums inside pieces of EWM_CHUNK bars, plus the
     ends of the EWM_REACH pieces before, beyond which q ** 512 is below the precision of a double.
@@ -76,24 +76,22 @@ def ewm(bars: DataFrame, columns: dict[str, tuple[str, float]]) -> DataFrame:
     pieces = bars.withColumn("chunk", F.expr(f"bar_idx div {n}")).withColumn("__p", F.expr(f"cast(bar_idx % {n} as double)"))
     previous = Window.partitionBy("symbol", "chunk").orderBy("bar_idx")
     running_frame = previous.rowsBetween(Window.unboundedPreceding, 0)
-    firsts = bars.groupBy("symbol").agg(*[F.min(F.when(F.col(x).isNotNull(), F.col("bar_idx"))).alias(f"__f_{o}") for o, (x, _) in columns.items()])
-    pieces = pieces.join(F.broadcast(firsts), "symbol")  # a row for each symbol
-    for o, (x, alpha) in columns.items():
-        z = F.when(F.col(x).isNull(), 0.0).when(F.col("bar_idx") == F.col(f"__f_{o}"), F.col(x)).otherwise(alpha * F.col(x))
+    for o, (x, alpha, start) in columns.items():
+        z = F.when(F.col(x).isNull(), 0.0).when(F.col("bar_idx") == start, F.col(x)).otherwise(alpha * F.col(x))
         pieces = pieces.withColumn(f"__z_{o}", z)
-    summed = pieces.select("*", *[F.sum(F.col(f"__z_{o}") * F.pow(F.lit(1 - a), -F.col("__p"))).over(running_frame).alias(f"__s_{o}") for o, (_, a) in columns.items()])
-    ends = pieces.groupBy("symbol", "chunk").agg(*[F.sum(F.col(f"__z_{o}") * F.pow(F.lit(1 - a), n - 1 - F.col("__p"))).alias(f"__e_{o}") for o, (_, a) in columns.items()])
+    summed = pieces.select("*", *[F.sum(F.col(f"__z_{o}") * F.pow(F.lit(1 - a), -F.col("__p"))).over(running_frame).alias(f"__s_{o}") for o, (_, a, _) in columns.items()])
+    ends = pieces.groupBy("symbol", "chunk").agg(*[F.sum(F.col(f"__z_{o}") * F.pow(F.lit(1 - a), n - 1 - F.col("__p"))).alias(f"__e_{o}") for o, (_, a, _) in columns.items()])
     by_chunk = Window.partitionBy("symbol").orderBy("chunk")
     carried = ends.select(
         "symbol",
         "chunk",
         *[
             sum((F.coalesce(F.lag(f"__e_{o}", d).over(by_chunk), F.lit(0.0)) * (1 - a) ** (n * (d - 1)) for d in range(1, EWM_REACH + 1)), F.lit(0.0)).alias(f"__c_{o}")
-            for o, (_, a) in columns.items()
+            for o, (_, a, _) in columns.items()
         ],
     )
     out = summed.join(carried, ["symbol", "chunk"])
-    for o, (x, a) in columns.items():
+    for o, (x, a, _) in columns.items():
         q = F.lit(1 - a)
         out = out.withColumn(o, F.when(F.col(x).isNotNull(), F.pow(q, F.col("__p")) * F.col(f"__s_{o}") + F.pow(q, F.col("__p") + 1) * F.col(f"__c_{o}")))
-    return out.drop("chunk", "__p", *[f"__{c}_{o}" for o in columns for c in "fzsc"])
+    return out.drop("chunk", "__p", *[f"__{c}_{o}" for o in columns for c in "zsc"])

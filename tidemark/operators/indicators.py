@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from tidemark.functions.windows import ewm, frame, lag, only_own, roll, running, with_halo
 
 BARS = ["symbol", "bar_idx", "ts", "open", "high", "low", "close", "volume"]
-#: name: (input, alpha).  Spans 12, 26 and 9; com 2.
-EWM_FIRST = {"ema12": ("close", 2 / 13), "ema26": ("close", 2 / 27), "k": ("rsv", 1 / 3)}
-EWM_SECOND = {"macd_signal": ("macd", 0.2), "d": ("k", 1 / 3)}
+#: name: (input, alpha, first bar).  Spans 12, 26 and 9; com 2.
+EWM_FIRST = {"ema12": ("close", 2 / 13, 0), "ema26": ("close", 2 / 27, 0), "k": ("rsv", 1 / 3, 8)}
+EWM_SECOND = {"macd_signal": ("macd", 0.2, 0), "d": ("k", 1 / 3, 8)}
 RUNNING = {
     "obv": ("sum", "volume * sign(close - pc)"),
     "__pv": ("sum", "(high + low + close) / 3 * volume"),

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import features as feat
 from tidemark.operators import indicators as ind
+from tidemark.operators import signals as sig
 from tidemark.plans import sql
 from tidemark.sources import bars as src
 
@@ -26,7 +28,7 @@ def query(oracle: str | None = None):
 
 
 def rounded(df: DataFrame, keys: list[str], names, digits: int = 6) -> DataFrame:
-    return df.select(*keys, *[F.round(n, digits).alias(n) for n in names])
+    return df.select(*keys, *[(F.round(n, digits) + F.lit(0.0)).alias(n) for n in names])  # no -0.0
 
 
 KEYS = ["symbol", "bar_idx"]
@@ -65,3 +67,178 @@ _group_query("candle_patterns", "body upper_shadow lower_shadow body_ratio engul
 _group_query("support_and_resistance", "resistance support dist_to_resistance dist_to_support")
 _group_query("exponential_averages", "ema12 ema26 macd macd_signal macd_hist k d j", ewm=True)
 _group_query("all_indicators", " ".join(ind.NAMES), ewm=True)
+
+
+# --- feature vectors and layers
+
+RANKS = """r AS MATERIALIZED (SELECT *, CASE WHEN bar_idx >= 50 THEN len(list_filter(list(atr) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING),
+  lambda x: x < atr)) / 50 ELSE 0 END AS atr_rank50 FROM i)"""
+
+
+def _feature_query(group: str) -> None:
+    exprs = feat.GROUPS[group]
+    select = "SELECT symbol, bar_idx, " + ", ".join(f"round({feat.clipped(x)}, 6) + 0.0 AS {n}" for n, x in exprs.items()) + " FROM r"
+
+    def run(spark, sf_dir):
+        return rounded(feat.features(ind.indicators(bars(spark, sf_dir)), (group,)), KEYS, exprs)
+
+    run.__name__ = f"{group}_features"
+    query(sql.with_indicators(select.replace("FROM r", "FROM i") if group != "volatility" else select, *([RANKS] if group == "volatility" else [])))(run)
+
+
+for _g in feat.GROUPS:
+    _feature_query(_g)
+
+LAYER_NAMES = list(feat.layer_columns())
+# A value is rounded half to even at 3 or 6 digits; ties hang on the last bit, so means are compared.
+
+
+@query(
+    sql.with_indicators(
+        "SELECT symbol, count(*) AS n, " + ", ".join(f"round(avg({c}), 4) + 0.0 AS {c}" for c in LAYER_NAMES) + " FROM v GROUP BY symbol",
+        "v AS MATERIALIZED (SELECT symbol, bar_idx, " + ", ".join(f"{x} AS {n}" for n, x in feat.layer_columns("round_even").items()) + " FROM i)",
+    )
+)
+def layer_means(spark, sf_dir):
+    v = feat.layers(ind.indicators(bars(spark, sf_dir)))
+    return v.groupBy("symbol").agg(F.count("*").alias("n"), *[(F.round(F.avg(c), 4) + F.lit(0.0)).alias(c) for c in LAYER_NAMES])
+
+
+@query(
+    sql.with_bars(
+        """, t AS (SELECT symbol, bar_idx // 4 AS g, min(ts) AS ts, arg_min(open, bar_idx) AS open, max(high) AS high, min(low) AS low, arg_max(close, bar_idx) AS close,
+             sum(volume) AS volume FROM bars GROUP BY ALL HAVING count(*) = 4)
+SELECT symbol, g AS bar_idx, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM t"""
+    )
+)
+def multi_timeframe_bars(spark, sf_dir):
+    return rounded(src.aggregate_bars(bars(spark, sf_dir), 4), [*KEYS, "ts"], OHLCV)
+
+
+def _mtf_sql(shift: int) -> str:
+    return sql.with_bars(
+        f""", t AS (SELECT symbol, bar_idx // 4 AS g, max(high) - min(low) AS g_range, arg_max(close, bar_idx) AS g_close FROM bars GROUP BY ALL HAVING count(*) = 4),
+m AS (SELECT *, CASE WHEN g >= 4 THEN avg(g_close) OVER (PARTITION BY symbol ORDER BY g ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS g_ma5, max(g) OVER (PARTITION BY symbol) AS last FROM t),
+p AS (SELECT b.symbol, b.bar_idx, least(b.bar_idx // 4 - {shift}, l.last) AS g FROM bars b JOIN (SELECT DISTINCT symbol, last FROM m) l USING (symbol))
+SELECT p.symbol, p.bar_idx, p.g, round(tanh((g_close - g_ma5) / (g_ma5 + 1e-9) * 100), 6) AS g_trend, round(g_range, 6) AS g_range
+FROM p LEFT JOIN m ON m.symbol = p.symbol AND m.g = p.g"""
+    )
+
+
+@query(_mtf_sql(0))
+def multi_timeframe_features(spark, sf_dir):
+    return rounded(feat.multi_timeframe(bars(spark, sf_dir), 4), [*KEYS, "g"], ["g_trend", "g_range"])
+
+
+@query(_mtf_sql(1))
+def multi_timeframe_features_closed(spark, sf_dir):
+    return rounded(feat.multi_timeframe(bars(spark, sf_dir), 4, containing=False), [*KEYS, "g"], ["g_trend", "g_range"])
+
+
+# --- reading bars
+
+
+@query(sql.with_bars("SELECT symbol, count(*) AS n_bars, round(min(low), 6) AS low, round(max(high), 6) AS high, sum(volume) AS volume, min(ts) AS first_ts, max(ts) AS last_ts FROM bars GROUP BY symbol"))
+def bar_info(spark, sf_dir):
+    return src.info(bars(spark, sf_dir)).withColumns({"low": F.round("low", 6), "high": F.round("high", 6)})
+
+
+@query(sql.with_bars("SELECT symbol, bar_idx - 100 AS bar_idx, round(close, 6) AS close FROM bars WHERE bar_idx BETWEEN 100 AND 299"))
+def contiguous_sample(spark, sf_dir):
+    return src.contiguous(bars(spark, sf_dir), 100, 200).select(*KEYS, F.round("close", 6).alias("close"))
+
+
+@query(sql.with_bars("SELECT symbol, ts, round(open, 6) AS open, round(close, 6) AS close, volume, bar_idx % 2 = 0 AS is_closed FROM bars"))
+def feed_messages(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    num = lambda c: F.round(c, 6).cast("string").alias(c[0])
+    k = F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), num("open"), num("high"), num("low"), num("close"), num("volume"), (F.col("bar_idx") % 2 == 0).alias("x"))
+    lines = b.select(F.to_json(F.struct(F.col("symbol").alias("s"), k.alias("k"))).alias("value"))
+    return src.parse_stream(lines).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "open", "close", "volume", "is_closed")
+
+
+# --- conditions, outcomes, mining
+
+
+def _outcome_sql(direction: str, source: str) -> str:
+    tp, sl = sig.TAKE_PROFIT[direction], sig.STOP_LOSS[direction]
+    up, down = (tp, sl) if direction == "long" else (sl, tp)
+    win = "a.high >= e.entry * (1 + {0}) AND NOT a.low <= e.entry * (1 - {1})" if direction == "long" else "a.low <= e.entry * (1 - {1}) AND NOT a.high >= e.entry * (1 + {0})"
+    return f"""
+ent AS (SELECT symbol, bar_idx, atr, lead(open) OVER (PARTITION BY symbol ORDER BY bar_idx) AS entry FROM {source}),
+f AS (SELECT e.symbol, e.bar_idx, min(a.bar_idx) AS first_idx, arg_min({win.format(up, down)}, a.bar_idx) AS won
+      FROM ent e JOIN bars a ON a.symbol = e.symbol AND a.bar_idx BETWEEN e.bar_idx + 1 AND e.bar_idx + {sig.MAX_HOLD}
+      WHERE e.entry > 0 AND NOT coalesce(e.atr > 0 AND (e.atr / e.entry < {sig.MIN_ATR_RATIO} OR e.atr / e.entry > {sl * sig.MAX_ATR_STOPS}), false)
+        AND (a.high >= e.entry * (1 + {up}) OR a.low <= e.entry * (1 - {down}))
+      GROUP BY ALL),
+o AS MATERIALIZED (SELECT s.*, coalesce(f.won, false) AS outcome, coalesce(f.first_idx - s.bar_idx - 1, -1) AS hold FROM {source} s LEFT JOIN f USING (symbol, bar_idx))"""
+
+
+def _condition_part(direction: str, source: str = "i") -> str:
+    names = ", ".join(f"{x} AS {n}" for n, x in sig.conditions(direction).items())
+    bears = ", ".join(f"{x} AS {n}" for n, x in sig.previous_bears("symbol").items())
+    return f"cp AS (SELECT *, {bears} FROM {source}), cond AS MATERIALIZED (SELECT *, {names}, {sig.MARKET_STATE} AS state FROM cp)"
+
+
+def marked(spark, sf_dir, direction: str) -> DataFrame:
+    return sig.outcomes(sig.with_conditions(ind.indicators(bars(spark, sf_dir)), direction), direction)
+
+
+def _direction_queries(direction: str) -> None:
+    names = list(sig.conditions(direction))
+
+    def add(name, oracle):
+        def wrap(f):
+            f.__name__ = f"{name}_{direction}"
+            return query(oracle)(f)
+
+        return wrap
+
+    @add("conditions", sql.with_indicators(f"SELECT symbol, bar_idx, state, {', '.join(names)} FROM cond", _condition_part(direction)))
+    def _(spark, sf_dir):
+        return sig.with_conditions(ind.indicators(bars(spark, sf_dir)), direction).select(*KEYS, "state", *names)
+
+    @add("outcomes", sql.with_windows("SELECT symbol, bar_idx, outcome, CAST(hold AS INTEGER) AS hold FROM o", _outcome_sql(direction, "w")))
+    def _(spark, sf_dir):
+        return sig.outcomes(ind.window_indicators(bars(spark, sf_dir)), direction).select(*KEYS, "outcome", F.col("hold").cast("int").alias("hold"))
+
+    @add("random_baseline", sql.with_windows("SELECT symbol, count(*) AS resolved, sum(outcome::INT)::BIGINT AS hits, round(avg(outcome::INT), 6) AS baseline FROM o WHERE hold >= 0 GROUP BY symbol", _outcome_sql(direction, "w")))
+    def _(spark, sf_dir):
+        o = sig.outcomes(ind.window_indicators(bars(spark, sf_dir)), direction).where("hold >= 0")
+        return o.groupBy("symbol").agg(F.count("*").alias("resolved"), F.sum(F.col("outcome").cast("long")).alias("hits"), F.round(F.avg(F.col("outcome").cast("int")), 6).alias("baseline"))
+
+    for size in (1, 2, 3):
+        # Each combination counts the bars on which all its conditions hold.
+        masks = "m AS (SELECT " + " + ".join(f"({n}::BIGINT << {i})" for i, n in enumerate(names)) + " AS mask, count(*) AS n, sum(outcome::INT)::BIGINT AS h FROM o GROUP BY ALL)"
+        bits = {n: 1 << i for i, n in enumerate(names)}
+        listed = ", ".join(f"('{'+'.join(sorted(c))}', {sum(bits[n] for n in c)})" for c in sig.combos(direction, size))
+        oracle = sql.with_indicators(
+            f"SELECT combo, triggers, hits, round(hits / triggers, 6) AS hit_rate, {sig.tier('hits / triggers', direction)} AS tier FROM g WHERE triggers >= {sig.MIN_TRIGGERS}",
+            _condition_part(direction), _outcome_sql(direction, "cond"), masks, f"c(combo, bits) AS (VALUES {listed})",
+            "g AS (SELECT combo, sum(n)::BIGINT AS triggers, sum(h)::BIGINT AS hits FROM c JOIN m ON m.mask & c.bits = c.bits GROUP BY combo)",
+        )
+
+        @add(f"combos_of_{size}", oracle)
+        def _(spark, sf_dir, size=size):
+            return sig.mine(marked(spark, sf_dir, direction), direction, size).withColumn("hit_rate", F.round("hit_rate", 6))
+
+
+for _d in ("long", "short"):
+    _direction_queries(_d)
+
+
+@query(
+    sql.with_windows(
+        """
+SELECT d.symbol, d.state, count(h.state) AS triggers, coalesce(sum(h.outcome::INT), 0)::BIGINT AS hits,
+       CASE WHEN count(h.state) > 0 THEN round(sum(h.outcome::INT) / count(h.state), 6) ELSE 0.0 END AS rate
+FROM (SELECT DISTINCT symbol, s AS state FROM hit, (VALUES ('BULL'), ('BEAR'), ('RANGE')) v(s)) d LEFT JOIN hit h ON h.symbol = d.symbol AND h.state = d.state
+GROUP BY d.symbol, d.state""",
+        _outcome_sql("long", "w"),
+        f"hit AS (SELECT symbol, {sig.MARKET_STATE} AS state, outcome FROM o WHERE rsi < 40 AND boll_position < 0.25)",
+    )
+)
+def signal_hit_rate(spark, sf_dir):
+    o = sig.outcomes(ind.window_indicators(bars(spark, sf_dir)), "long")
+    hit = o.where("rsi < 40 AND boll_position < 0.25").selectExpr("symbol", f"{sig.MARKET_STATE} AS state", "outcome")
+    return sig.state_breakdown(hit, ["symbol"])

@@ -37,7 +37,7 @@ def window_part() -> str:
 def ewm_part() -> str:
     """Recurrences bar by bar, by a recursive query."""
     grow = lambda x, y, a: f"CASE WHEN {x} IS NULL THEN NULL WHEN {y} IS NULL THEN {x} ELSE {a!r}::DOUBLE * {x} + (1 - {a!r}::DOUBLE) * {y} END"
-    first = {o: grow(f"b.{x}", f"e.{o}", a) for o, (x, a) in ind.EWM_FIRST.items()}
+    first = {o: grow(f"b.{x}", f"e.{o}", a) for o, (x, a, _) in ind.EWM_FIRST.items()}
     signal, d = ind.EWM_SECOND["macd_signal"][1], ind.EWM_SECOND["d"][1]
     return f"""
 src AS MATERIALIZED (SELECT symbol, bar_idx, close, rsv FROM w),
@@ -64,4 +64,4 @@ def with_indicators(select: str, *more: str) -> str:
 
 
 def rounded(names, digits: int = 6) -> str:
-    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
+    return ", ".join(f"round({n}, {digits}) + 0.0 AS {n}" for n in names)
