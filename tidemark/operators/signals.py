@@ -92,8 +92,9 @@ def combos(direction: str, size: int) -> list[tuple[str, ...]]:
     return [c for c in combinations(conditions(direction), size) if len({family(n) for n in c}) == size]
 
 
-def mine(marked: DataFrame, direction: str, size: int, min_triggers: int = MIN_TRIGGERS) -> DataFrame:
-    """combo, triggers, hits, hit_rate, tier over all bars of marked (conditions and outcomes).
+def mine(marked: DataFrame, direction: str, size: int, by: tuple[str, ...] = (), min_triggers: int = MIN_TRIGGERS) -> DataFrame:
+    """combo, triggers, hits, hit_rate, tier over all bars of marked (conditions and outcomes), or
+    over those of each value of the columns `by`.
 
     Bars are first counted by their distinct masks, so that the cost of a combination depends on
     the number of masks; the list of combinations is a parameter and broadcast.
@@ -103,9 +104,9 @@ def mine(marked: DataFrame, direction: str, size: int, min_triggers: int = MIN_T
     bit = {n: 1 << i for i, n in enumerate(names)}
     rows = [("+".join(sorted(c)), sum(bit[n] for n in c)) for c in combos(direction, size)]
     listed = F.broadcast(spark.createDataFrame(rows, "combo string, bits long"))
-    masks = marked.groupBy("mask").agg(F.count("*").alias("n"), F.sum(F.col("outcome").cast("long")).alias("h"))
+    masks = marked.groupBy(*by, "mask").agg(F.count("*").alias("n"), F.sum(F.col("outcome").cast("long")).alias("h"))
     fit = masks.join(listed, F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits"))
-    found = fit.groupBy("combo").agg(F.sum("n").alias("triggers"), F.sum("h").alias("hits")).where(F.col("triggers") >= min_triggers)
+    found = fit.groupBy(*by, "combo").agg(F.sum("n").alias("triggers"), F.sum("h").alias("hits")).where(F.col("triggers") >= min_triggers)
     return found.withColumn("hit_rate", F.col("hits") / F.col("triggers")).withColumn("tier", F.expr(tier("hit_rate", direction)))
 
 
@@ -121,4 +122,4 @@ def state_breakdown(triggers: DataFrame, keys: list[str]) -> DataFrame:
     counted = triggers.groupBy(*keys, "state").agg(F.count("*").alias("triggers"), F.sum(F.col("outcome").cast("long")).alias("hits"))
     domain = triggers.select(*keys).distinct().join(states)
     out = domain.join(counted, [*keys, "state"], "left").fillna(0, ["triggers", "hits"])
-    return out.withColumn("rate", F.when(F.col("triggers") > 0, F.round(F.col("hits") / F.col("triggers"), 6)).otherwise(0.0))
+    return out.withColumn("rate", F.when(F.col("triggers") > 0, F.col("hits") / F.col("triggers")).otherwise(0.0))

@@ -9,9 +9,16 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import features as feat
 from tidemark.operators import indicators as ind
+from tidemark.operators import learning as learn
+from tidemark.operators import recurrences as rec
 from tidemark.operators import signals as sig
+from tidemark.operators import similarity as sim
+from tidemark.operators import store
+from tidemark.operators import swings as swing
+from tidemark.operators import tracking as track
 from tidemark.plans import sql
 from tidemark.sources import bars as src
+from tidemark.streaming import feed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -202,10 +209,10 @@ def _direction_queries(direction: str) -> None:
     def _(spark, sf_dir):
         return sig.outcomes(ind.window_indicators(bars(spark, sf_dir)), direction).select(*KEYS, "outcome", F.col("hold").cast("int").alias("hold"))
 
-    @add("random_baseline", sql.with_windows("SELECT symbol, count(*) AS resolved, sum(outcome::INT)::BIGINT AS hits, round(avg(outcome::INT), 6) AS baseline FROM o WHERE hold >= 0 GROUP BY symbol", _outcome_sql(direction, "w")))
+    @add("random_baseline", sql.with_windows("SELECT symbol, count(*) AS resolved, sum(outcome::INT)::BIGINT AS hits, avg(outcome::INT) AS baseline FROM o WHERE hold >= 0 GROUP BY symbol", _outcome_sql(direction, "w")))
     def _(spark, sf_dir):
         o = sig.outcomes(ind.window_indicators(bars(spark, sf_dir)), direction).where("hold >= 0")
-        return o.groupBy("symbol").agg(F.count("*").alias("resolved"), F.sum(F.col("outcome").cast("long")).alias("hits"), F.round(F.avg(F.col("outcome").cast("int")), 6).alias("baseline"))
+        return o.groupBy("symbol").agg(F.count("*").alias("resolved"), F.sum(F.col("outcome").cast("long")).alias("hits"), F.avg(F.col("outcome").cast("int")).alias("baseline"))
 
     for size in (1, 2, 3):
         # Each combination counts the bars on which all its conditions hold.
@@ -213,14 +220,14 @@ def _direction_queries(direction: str) -> None:
         bits = {n: 1 << i for i, n in enumerate(names)}
         listed = ", ".join(f"('{'+'.join(sorted(c))}', {sum(bits[n] for n in c)})" for c in sig.combos(direction, size))
         oracle = sql.with_indicators(
-            f"SELECT combo, triggers, hits, round(hits / triggers, 6) AS hit_rate, {sig.tier('hits / triggers', direction)} AS tier FROM g WHERE triggers >= {sig.MIN_TRIGGERS}",
+            f"SELECT combo, triggers, hits, hits / triggers AS hit_rate, {sig.tier('hits / triggers', direction)} AS tier FROM g WHERE triggers >= {sig.MIN_TRIGGERS}",
             _condition_part(direction), _outcome_sql(direction, "cond"), masks, f"c(combo, bits) AS (VALUES {listed})",
             "g AS (SELECT combo, sum(n)::BIGINT AS triggers, sum(h)::BIGINT AS hits FROM c JOIN m ON m.mask & c.bits = c.bits GROUP BY combo)",
         )
 
         @add(f"combos_of_{size}", oracle)
         def _(spark, sf_dir, size=size):
-            return sig.mine(marked(spark, sf_dir, direction), direction, size).withColumn("hit_rate", F.round("hit_rate", 6))
+            return sig.mine(marked(spark, sf_dir, direction), direction, size)
 
 
 for _d in ("long", "short"):
@@ -231,7 +238,7 @@ for _d in ("long", "short"):
     sql.with_windows(
         """
 SELECT d.symbol, d.state, count(h.state) AS triggers, coalesce(sum(h.outcome::INT), 0)::BIGINT AS hits,
-       CASE WHEN count(h.state) > 0 THEN round(sum(h.outcome::INT) / count(h.state), 6) ELSE 0.0 END AS rate
+       CASE WHEN count(h.state) > 0 THEN sum(h.outcome::INT) / count(h.state) ELSE 0.0 END AS rate
 FROM (SELECT DISTINCT symbol, s AS state FROM hit, (VALUES ('BULL'), ('BEAR'), ('RANGE')) v(s)) d LEFT JOIN hit h ON h.symbol = d.symbol AND h.state = d.state
 GROUP BY d.symbol, d.state""",
         _outcome_sql("long", "w"),
@@ -242,3 +249,370 @@ def signal_hit_rate(spark, sf_dir):
     o = sig.outcomes(ind.window_indicators(bars(spark, sf_dir)), "long")
     hit = o.where("rsi < 40 AND boll_position < 0.25").selectExpr("symbol", f"{sig.MARKET_STATE} AS state", "outcome")
     return sig.state_breakdown(hit, ["symbol"])
+
+
+# --- results over rounds
+
+
+def history(spark, sf_dir, direction="long") -> DataFrame:
+    """Triggers and hits of pairs of conditions in five stretches of each symbol's bars."""
+    m = marked(spark, sf_dir, direction)
+    last = m.groupBy("symbol").agg(F.max("bar_idx").alias("last"))
+    rounds = m.join(F.broadcast(last), "symbol").withColumn("round", F.expr("bar_idx * 5 div (last + 1)"))
+    return sig.mine(rounds, direction, 2, by=("round",)).select("combo", "round", "triggers", "hits")
+
+
+def _history_part(direction: str = "long") -> tuple[str, ...]:
+    names = list(sig.conditions(direction))
+    bits = {n: 1 << i for i, n in enumerate(names)}
+    listed = ", ".join(f"('{'+'.join(sorted(c))}', {sum(bits[n] for n in c)})" for c in sig.combos(direction, 2))
+    masks = "m AS (SELECT bar_idx * 5 // (max(bar_idx) OVER (PARTITION BY symbol) + 1) AS round, " + " + ".join(f"({n}::BIGINT << {i})" for i, n in enumerate(names)) + " AS mask, outcome FROM o)"
+    return (
+        _condition_part(direction), _outcome_sql(direction, "cond"), masks, "mc AS (SELECT round, mask, count(*) AS n, sum(outcome::INT) AS h FROM m GROUP BY ALL)", f"c(combo, bits) AS (VALUES {listed})",
+        f"hist AS MATERIALIZED (SELECT combo, round, sum(n)::BIGINT AS triggers, sum(h)::BIGINT AS hits FROM c JOIN mc ON mc.mask & c.bits = c.bits GROUP BY ALL HAVING sum(n) >= {sig.MIN_TRIGGERS})",
+        "cm AS (SELECT combo, count(*) AS rounds, avg(hits / triggers) AS avg_rate, stddev_pop(hits / triggers) AS rate_std, sum(triggers)::BIGINT AS triggers, sum(hits)::BIGINT AS hits, "
+        "median(triggers) AS median_triggers, len(string_split(combo, '+')) AS n_conditions FROM hist GROUP BY combo)",
+    )
+
+
+METRICS = ["avg_rate", "rate_std", *store.metrics_sql("long")]
+_metrics = ", ".join(f"{x} AS {n}" for n, x in store.metrics_sql("long").items())
+_cum = "cum AS MATERIALIZED (SELECT *, " + _metrics + " FROM cm)"
+
+
+@query(sql.with_indicators(f"SELECT combo, rounds, triggers, hits, median_triggers, n_conditions, {sql.rounded(METRICS)} FROM cum", *_history_part(), _cum))
+def cumulative_metrics(spark, sf_dir):
+    c = store.cumulative(history(spark, sf_dir), "long")
+    return rounded(c, ["combo", "rounds", "triggers", "hits", "median_triggers", F.col("n_conditions").cast("long").alias("n_conditions")], METRICS)
+
+
+@query(sql.with_indicators(f"SELECT combo, rounds, round(composite, 6) AS composite FROM cum WHERE {store.STABLE} ORDER BY cum.composite DESC, combo LIMIT 20", *_history_part(), _cum))
+def stable_combos(spark, sf_dir):
+    c = store.cumulative(history(spark, sf_dir), "long").where(store.STABLE)
+    return c.orderBy(F.desc("composite"), "combo").limit(20).select("combo", "rounds", F.round("composite", 6).alias("composite"))
+
+
+@query(sql.with_indicators("SELECT condition, count(*) AS n FROM (SELECT unnest(string_split(combo, '+')) AS condition FROM cum) GROUP BY condition", *_history_part(), _cum))
+def condition_frequency(spark, sf_dir):
+    c = store.cumulative(history(spark, sf_dir), "long")
+    return c.select(F.explode(F.split("combo", r"\+")).alias("condition")).groupBy("condition").agg(F.count("*").alias("n"))
+
+
+@query()
+def diverse_combos(spark, sf_dir):
+    c = store.cumulative(history(spark, sf_dir), "long").withColumn("tier", F.expr(sig.tier("overall_rate", "long", 2)))
+    return store.diverse(c, "tier")
+
+
+# --- swings, trades, regimes
+
+SWINGS = """
+sw0 AS (SELECT symbol, bar_idx, high, low, max(high) OVER n AS top, min(low) OVER n AS bottom, count(*) OVER n AS seen FROM bars
+        WINDOW n AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),
+swings AS (SELECT symbol, bar_idx, high >= top AS is_high, CASE WHEN high >= top THEN high ELSE low END AS price FROM sw0 WHERE seen = 11 AND (high >= top OR low <= bottom)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY bar_idx) AS run FROM
+  (SELECT *, coalesce(lag(is_high) OVER (PARTITION BY symbol ORDER BY bar_idx) <> is_high, true)::INT AS new FROM swings)),
+points AS MATERIALIZED (SELECT symbol, bar_idx, is_high, price FROM (SELECT *, row_number() OVER (PARTITION BY symbol, run ORDER BY CASE WHEN is_high THEN -price ELSE price END, bar_idx) AS n FROM runs) WHERE n = 1),
+trades AS MATERIALIZED (SELECT symbol, bar_idx AS entry_idx, exit_idx, CASE WHEN is_high THEN 'short' ELSE 'long' END AS side, price AS entry_price, exit_price,
+  CASE WHEN is_high THEN -1.0::DOUBLE ELSE 1.0 END * (exit_price - price) / price * 100 AS profit_pct, exit_idx - bar_idx AS hold
+  FROM (SELECT *, lead(bar_idx) OVER w AS exit_idx, lead(price) OVER w AS exit_price FROM points WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)) WHERE exit_idx IS NOT NULL)"""
+
+
+def _swings_sql(select: str) -> str:
+    return sql.with_bars("," + SWINGS + "\n" + select)
+
+
+def points(spark, sf_dir) -> DataFrame:
+    return swing.alternating(swing.swing_points(bars(spark, sf_dir)))
+
+
+@query(_swings_sql("SELECT symbol, bar_idx, is_high, round(price, 6) AS price FROM swings"))
+def swing_points(spark, sf_dir):
+    return swing.swing_points(bars(spark, sf_dir)).select("symbol", "bar_idx", "is_high", F.round("price", 6).alias("price"))
+
+
+@query(_swings_sql("SELECT symbol, bar_idx, CASE WHEN is_high THEN -1 ELSE 1 END AS label FROM points"))
+def swing_labels(spark, sf_dir):
+    return points(spark, sf_dir).select("symbol", "bar_idx", F.when(F.col("is_high"), -1).otherwise(1).alias("label"))
+
+
+@query(_swings_sql("SELECT symbol, entry_idx, exit_idx, side, hold, round(profit_pct, 6) AS profit_pct FROM trades"))
+def label_trades(spark, sf_dir):
+    return swing.label_trades(points(spark, sf_dir)).select("symbol", "entry_idx", "exit_idx", "side", "hold", F.round("profit_pct", 6).alias("profit_pct"))
+
+
+STATS = ["win_rate", "gross_gain", "gross_loss", "profit_factor", "avg_win", "avg_loss", "sharpe", "avg_hold"]
+
+
+@query(
+    _swings_sql(
+        f"""SELECT symbol, side, n, {sql.rounded(STATS)} FROM (SELECT symbol, side, count(*) AS n, avg((profit_pct > 0)::INT) AS win_rate, sum(greatest(profit_pct, 0)) AS gross_gain, sum(greatest(-profit_pct, 0)) AS gross_loss,
+  CASE WHEN sum(greatest(-profit_pct, 0)) > 0 THEN sum(greatest(profit_pct, 0)) / sum(greatest(-profit_pct, 0)) END AS profit_factor, avg(CASE WHEN profit_pct > 0 THEN profit_pct END) AS avg_win,
+  avg(CASE WHEN profit_pct < 0 THEN profit_pct END) AS avg_loss, CASE WHEN stddev_pop(profit_pct) > 0 THEN avg(profit_pct) / stddev_pop(profit_pct) END AS sharpe, avg(hold) AS avg_hold FROM trades GROUP BY ALL)"""
+    )
+)
+def trade_statistics(spark, sf_dir):
+    return rounded(swing.trade_stats(swing.label_trades(points(spark, sf_dir)), "symbol", "side"), ["symbol", "side", "n"], STATS)
+
+
+@query(
+    _swings_sql(
+        """, eq AS (SELECT symbol, entry_idx, sum(profit_pct) OVER w AS equity FROM trades WINDOW w AS (PARTITION BY symbol ORDER BY entry_idx)),
+pk AS (SELECT *, greatest(max(equity) OVER (PARTITION BY symbol ORDER BY entry_idx), 0) AS peak FROM eq)
+SELECT symbol, round(max(peak - equity), 6) AS max_drawdown, round(arg_max(equity, entry_idx), 6) AS final_equity FROM pk GROUP BY symbol"""
+    )
+)
+def trade_drawdown(spark, sf_dir):
+    return rounded(swing.drawdown(swing.label_trades(points(spark, sf_dir))), ["symbol"], ["max_drawdown", "final_equity"])
+
+
+_REGIMES = f"""
+sp AS (SELECT symbol, bar_idx AS since, lead(bar_idx) OVER w AS until, list({{'h': is_high, 'p': price}}) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS l
+       FROM points WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)),
+hl AS (SELECT *, list_filter(l, lambda x: x.h) AS hs, list_filter(l, lambda x: NOT x.h) AS ls FROM sp),
+told AS (SELECT symbol, since, until,
+  CASE WHEN len(l) >= {swing.MIN_SWINGS} AND len(hs) >= 2 AND len(ls) >= 2 THEN ((hs[-1].p - hs[1].p) / hs[1].p + (ls[-1].p - ls[1].p) / ls[1].p) / 2 END AS direction,
+  list_sum(list_transform(range(2, len(l) + 1), lambda i: abs(l[i].p - l[i - 1].p))) / (len(l) - 1) / list_avg(list_transform(l, lambda x: x.p)) AS strength FROM hl),
+rg AS (SELECT t.*, {swing.regime_sql()} AS regime FROM trades t LEFT JOIN told d ON d.symbol = t.symbol AND t.entry_idx > d.since AND (d.until IS NULL OR t.entry_idx <= d.until))"""
+
+
+def trades_with_regime(spark, sf_dir) -> DataFrame:
+    p = points(spark, sf_dir)
+    trades = swing.label_trades(p)
+    told = swing.regimes(p, trades.select("symbol", F.col("entry_idx").alias("bar_idx")))
+    return trades.join(told.withColumnRenamed("bar_idx", "entry_idx"), ["symbol", "entry_idx"])
+
+
+@query(_swings_sql("," + _REGIMES + " SELECT symbol, entry_idx, side, regime FROM rg"))
+def trade_regimes(spark, sf_dir):
+    return trades_with_regime(spark, sf_dir).select("symbol", "entry_idx", "side", "regime")
+
+
+@query(
+    _swings_sql(
+        ","
+        + _REGIMES
+        + f""" SELECT d.side, d.regime, count(r.symbol) AS n, coalesce(sum((r.profit_pct > 0)::INT), 0)::BIGINT AS wins, round(coalesce(avg(r.profit_pct), 0), 6) AS avg_profit,
+  CASE WHEN count(r.symbol) > 0 THEN sum((r.profit_pct > 0)::INT) / count(r.symbol) ELSE 0.0 END AS win_rate
+FROM (SELECT side, regime FROM (VALUES ('long'), ('short')) a(side), (VALUES {', '.join(f"('{r}')" for r in swing.REGIMES)}) b(regime)) d LEFT JOIN rg r ON r.side = d.side AND r.regime = d.regime GROUP BY d.side, d.regime"""
+    )
+)
+def regime_statistics(spark, sf_dir):
+    return swing.regime_stats(trades_with_regime(spark, sf_dir)).withColumn("avg_profit", F.round("avg_profit", 6))
+
+
+@query(
+    _swings_sql(
+        """SELECT l.symbol, l.bar_idx AS entry_idx, h.bar_idx AS exit_idx, round((h.price - l.price) / l.price, 6) AS profit FROM points l JOIN points h
+ON h.symbol = l.symbol AND NOT l.is_high AND h.is_high AND h.bar_idx BETWEEN l.bar_idx + 30 AND l.bar_idx + 480 WHERE (h.price - l.price) / l.price >= 1.5 * 0.008"""
+    )
+)
+def swing_pairs(spark, sf_dir):
+    return swing.swing_pairs(points(spark, sf_dir)).select("symbol", "entry_idx", "exit_idx", F.round("profit", 6).alias("profit"))
+
+
+# --- decisions and their judgements
+
+_DECISIONS = (
+    f"da AS (SELECT *, lead(close, {track.HORIZON}) OVER (PARTITION BY symbol ORDER BY bar_idx) AS later, max(high) OVER a AS top, min(low) OVER a AS bottom FROM w "
+    f"WINDOW a AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 1 FOLLOWING AND {track.HORIZON} FOLLOWING)), "
+    f"dd AS (SELECT {', '.join(track.DECISION)} FROM da WHERE bar_idx % 7 = 0 AND ma5_slope IS NOT NULL AND later IS NOT NULL), "
+    f"dj AS MATERIALIZED (SELECT *, {', '.join(f'{x} AS {n}' for n, x in track.JUDGEMENTS.items())} FROM dd)"
+)
+
+
+def decided(spark, sf_dir) -> DataFrame:
+    return track.judged(track.decisions(ind.window_indicators(bars(spark, sf_dir))))
+
+
+_MOVES = ["move", "favourable", "adverse"]
+
+
+@query(sql.with_windows(f"SELECT symbol, bar_idx, direction, gate, {', '.join(track.JUDGEMENTS)}, {sql.rounded(_MOVES)} FROM dj", _DECISIONS))
+def judged_decisions(spark, sf_dir):
+    return rounded(decided(spark, sf_dir), ["symbol", "bar_idx", "direction", "gate", *track.JUDGEMENTS], _MOVES)
+
+
+@query(
+    sql.with_windows(
+        f"""SELECT gate, n, correct, accuracy, round(saved, 6) AS saved, round(missed, 6) AS missed, CASE WHEN accuracy < {track.LOOSEN} THEN 'loosen' WHEN accuracy > {track.TIGHTEN} THEN 'tighten' ELSE 'keep' END AS suggestion
+FROM (SELECT gate, count(*) AS n, sum((rejection = 'correct')::INT)::BIGINT AS correct, sum((rejection = 'correct')::INT) / count(*) AS accuracy, sum(greatest(-move, 0)) AS saved, sum(greatest(move, 0)) AS missed FROM dj GROUP BY gate)""",
+        _DECISIONS,
+    )
+)
+def gate_scores(spark, sf_dir):
+    g = track.gate_scores(decided(spark, sf_dir))
+    return g.withColumns({"saved": F.round("saved", 6), "missed": F.round("missed", 6)})
+
+
+def _share_query(name: str, by: str) -> None:
+    @query(sql.with_windows(f"SELECT {by}, {name} AS verdict, count(*) AS n, round(avg(move), 6) AS avg_move FROM dj GROUP BY ALL", _DECISIONS))
+    def _(spark, sf_dir):
+        return decided(spark, sf_dir).groupBy(by, F.col(name).alias("verdict")).agg(F.count("*").alias("n"), F.round(F.avg("move"), 6).alias("avg_move"))
+
+    QUERIES[f"{name}_scores"], ORACLE[f"{name}_scores"] = QUERIES.pop("_"), ORACLE.pop("_")
+
+
+for _n in ("exit_timing", "stop", "near_miss"):
+    _share_query(_n, "direction")
+
+
+@query(sql.with_windows("SELECT symbol, gate, bar_idx, avg((rejection = 'correct')::INT) OVER (PARTITION BY symbol, gate ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS accuracy FROM dj", _DECISIONS))
+def recent_gate_accuracy(spark, sf_dir):
+    return track.recent_accuracy(decided(spark, sf_dir))
+
+
+@query(
+    sql.with_windows(
+        f"""SELECT symbol, state, alpha, beta, round(m, 6) AS mean, round(greatest(0, least(1, m - (1 - m) / 0.75)), 6) AS kelly FROM (SELECT symbol, {sig.MARKET_STATE} AS state, sum(outcome::INT) + 1.0::DOUBLE AS alpha,
+  sum(1 - outcome::INT) + 1.0::DOUBLE AS beta, (sum(outcome::INT) + 1) / (count(*) + 2) AS m FROM o WHERE hold >= 0 GROUP BY ALL)""",
+        _outcome_sql("long", "w"),
+    )
+)
+def hit_rate_posteriors(spark, sf_dir):
+    o = sig.outcomes(ind.window_indicators(bars(spark, sf_dir)), "long").where("hold >= 0").selectExpr("symbol", f"{sig.MARKET_STATE} AS state", "outcome", "0.75D AS ratio")
+    return rounded(track.posteriors(o, "symbol", "state"), ["symbol", "state", "alpha", "beta"], ["mean", "kelly"])
+
+
+# --- vectors
+
+
+def embeddings(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+_PAIRS = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 50 = 0), v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS ve FROM embeddings)"
+
+
+def _nearest_sql(score: str, k: int) -> str:
+    return f"WITH {_PAIRS}, s AS (SELECT query_id, id, {score} AS score FROM q JOIN v ON id <> query_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT * FROM k WHERE rank <= {k}"
+
+
+@query(f"SELECT query_id, id, round(score, 5) AS score, rank FROM ({_nearest_sql('list_cosine_similarity(qe, ve)', 5)})")
+def cosine_top_k(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    return sim.top_k(e, e.where("vec_id % 50 = 0"), 5).select("query_id", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"SELECT query_id, id, round(score, 5) AS score, rank FROM ({_nearest_sql('-list_distance(qe, ve)', 5)})")
+def euclidean_top_k(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    return sim.top_k(e, e.where("vec_id % 50 = 0"), 5, "euclidean").select("query_id", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    f"""WITH n AS ({_nearest_sql('list_cosine_similarity(qe, ve)', 9)}), w AS (SELECT query_id, label, sum(score) AS weight FROM n JOIN embeddings e ON e.vec_id = n.id GROUP BY ALL)
+SELECT query_id, arg_max(label, (weight, -label)) AS label, round(max(weight), 5) AS weight FROM w GROUP BY query_id"""
+)
+def neighbour_votes(spark, sf_dir):
+    e = embeddings(spark, sf_dir)
+    return sim.votes(sim.top_k(e, e.where("vec_id % 50 = 0"), 9), e).select("query_id", "label", F.round("weight", 5).alias("weight"))
+
+
+_CENTROIDS = "p AS (SELECT label, i, avg(embedding[i]::DOUBLE) AS m FROM (SELECT label, embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY ALL), c AS (SELECT label, list(m ORDER BY i) AS centroid FROM p GROUP BY label)"
+
+
+@query(f"WITH {_CENTROIDS} SELECT e.label, count(*) AS n, round(greatest(avg(list_distance(embedding::DOUBLE[], centroid)), 1e-9), 5) AS spread FROM embeddings e JOIN c USING (label) GROUP BY e.label")
+def cloud_spread(spark, sf_dir):
+    return sim.spread(embeddings(spark, sf_dir)).select("label", "n", F.round("spread", 5).alias("spread"))
+
+
+@query(f"WITH {_CENTROIDS} SELECT vec_id, e.label, arg_max(c.label, (list_cosine_similarity(embedding::DOUBLE[], centroid), -c.label)) AS nearest FROM embeddings e, c GROUP BY vec_id, e.label")
+def nearest_prototype(spark, sf_dir):
+    return sim.nearest_centroid(embeddings(spark, sf_dir))
+
+
+# --- trades as tables
+
+
+@query("SELECT l_returnflag AS side, count(*) AS fills, round(sum(l_extendedprice) / sum(l_quantity), 6) AS vwap, round(sum(l_extendedprice * l_tax), 2) AS fees FROM lineitem GROUP BY l_returnflag")
+def fill_aggregation(spark, sf_dir):
+    fills = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return fills.groupBy(F.col("l_returnflag").alias("side")).agg(F.count("*").alias("fills"), F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("vwap"), F.round(F.sum(F.col("l_extendedprice") * F.col("l_tax")), 2).alias("fees"))
+
+
+@query(
+    """WITH last AS (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 500)
+SELECT o_orderpriority AS reason, count(*) AS n, sum((o_totalprice > 150000)::INT)::BIGINT AS wins, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS average FROM last GROUP BY 1"""
+)
+def last_orders_by_reason(spark, sf_dir):
+    last = spark.read.parquet(f"{sf_dir}/orders.parquet").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(500)
+    p = F.col("o_totalprice")
+    return last.groupBy(F.col("o_orderpriority").alias("reason")).agg(F.count("*").alias("n"), F.sum((p > 150000).cast("long")).alias("wins"), F.round(F.sum(p), 2).alias("total"), F.round(F.avg(p), 4).alias("average"))
+
+
+@query(
+    """WITH t AS (SELECT o_custkey AS key, o_orderkey AS t, o_totalprice > 150000 AS won FROM orders), w AS (SELECT key, max(t) AS w FROM t WHERE won GROUP BY key)
+SELECT t.key, count(*) AS total, sum(won::INT)::BIGINT AS wins, sum((w IS NULL OR t > w)::INT)::BIGINT AS loss_streak FROM t LEFT JOIN w ON w.key = t.key GROUP BY t.key"""
+)
+def live_streaks(spark, sf_dir):
+    return store.live_streak(spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("o_custkey AS key", "o_orderkey AS t", "o_totalprice > 150000 AS won"))
+
+
+# --- walks, learning and streams: no SQL counterpart, tested against plain folds
+
+
+@query()
+def zigzag_points(spark, sf_dir):
+    return rec.zigzag(ind.window_indicators(bars(spark, sf_dir)))
+
+
+@query()
+def best_swing_trades(spark, sf_dir):
+    return rec.best_trades(swing.swing_pairs(points(spark, sf_dir)), "symbol")
+
+
+def slope_signals(spark, sf_dir) -> DataFrame:
+    """1 where the moving average turns up, -1 where it turns down, 0 elsewhere."""
+    turn = "sign(coalesce(ma5_slope, 0)) - sign(coalesce(lag(ma5_slope) OVER (PARTITION BY symbol ORDER BY bar_idx), 0))"
+    return ind.window_indicators(bars(spark, sf_dir)).selectExpr("*", f"CAST(CASE WHEN {turn} > 0 THEN 1 WHEN {turn} < 0 THEN -1 ELSE 0 END AS int) AS signal")
+
+
+@query()
+def signal_backtest(spark, sf_dir):
+    return rec.backtest(slope_signals(spark, sf_dir))
+
+
+@query()
+def walk_forward_search(spark, sf_dir):
+    return rec.parameter_search(slope_signals(spark, sf_dir), [(0.006, 0.008, 60), (0.01, 0.005, 60), (0.004, 0.004, 30)])
+
+
+@query()
+def embedding_prototypes(spark, sf_dir):
+    return learn.prototypes(embeddings(spark, sf_dir), 10)
+
+
+@query()
+def feature_importance(spark, sf_dir):
+    names = ["rsi", "boll_position", "volume_ratio", "adx", "roc", "close_vs_ma5"]
+    table = sig.outcomes(ind.window_indicators(bars(spark, sf_dir)), "long").where("hold >= 0 AND adx IS NOT NULL").select(*names, F.col("outcome").cast("int").alias("y"))
+    return learn.importances(table, names, "y", trees=20, depth=5)
+
+
+@query()
+def trajectory_dtw(spark, sf_dir):
+    """The ten trajectories of 20 bars nearest to each symbol's first, by DTW over three features."""
+    cols = "collect_list(array(rsi / 100, boll_position, volume_ratio)) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS y"
+    t = ind.window_indicators(bars(spark, sf_dir)).where("bar_idx >= 20").selectExpr("symbol", "bar_idx", cols).where("size(y) = 20 AND bar_idx % 20 = 19")
+    first = t.groupBy("symbol").agg(F.min_by("y", "bar_idx").alias("x"), F.min("bar_idx").alias("first_idx"))
+    scored = sim.dtw_pairs(t.join(F.broadcast(first), "symbol").where("bar_idx > first_idx"))
+    return scored.withColumn("rank", F.expr("row_number() OVER (PARTITION BY symbol ORDER BY dtw, bar_idx)")).where("rank <= 10").select("symbol", "bar_idx", "dtw", "rank")
+
+
+@query("SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS ts, count(*)::DOUBLE AS volume, max(value) AS high, min(value) AS low FROM events GROUP BY ALL")
+def streamed_bars(spark, sf_dir):
+    """Ticks read as a stream to the end of what is there, bars kept up to date in a table."""
+    import uuid
+
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    ticks = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not _is_folder(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    made = feed.bars_from_ticks(ticks.selectExpr("event_type AS symbol", "cast(ts AS timestamp) AS ts", "event_id", "value AS price"))
+    name = f"streamed_{uuid.uuid4().hex}"
+    made.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "volume", "high", "low")
+
+
+def _is_folder(spark, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
