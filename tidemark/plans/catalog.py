@@ -13,7 +13,7 @@ from tidemark.operators import learning as learn
 from tidemark.operators import recurrences as rec
 from tidemark.operators import signals as sig
 from tidemark.operators import similarity as sim
-from tidemark.operators import store
+from tidemark.operators import store, studies
 from tidemark.operators import swings as swing
 from tidemark.operators import tracking as track
 from tidemark.plans import sql
@@ -616,3 +616,95 @@ def streamed_bars(spark, sf_dir):
 def _is_folder(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+# --- studies
+
+_CONTRAST = "(VALUES " + ", ".join(f"('{n}')" for n in studies.CONTRASTED) + ") f(feature)"
+_X = "CASE f.feature " + " ".join(f"WHEN '{n}' THEN {n}" for n in studies.CONTRASTED) + " END"
+_SIDES = ["long_mean", "short_mean", "long_sd", "short_sd"]
+
+
+@query(
+    sql.with_windows(
+        f"""SELECT feature, {sql.rounded(_SIDES)}, round((long_mean - short_mean) / (sqrt((long_sd * long_sd + short_sd * short_sd) / 2) + 1e-9), 6) + 0.0 AS effect, round((long_mean + short_mean) / 2, 6) + 0.0 AS midpoint FROM
+(SELECT feature, avg(x) FILTER (WHERE side = 'long') AS long_mean, avg(x) FILTER (WHERE side = 'short') AS short_mean, stddev_pop(x) FILTER (WHERE side = 'long') AS long_sd, stddev_pop(x) FILTER (WHERE side = 'short') AS short_sd
+ FROM (SELECT t.side, f.feature, {_X} AS x FROM trades t JOIN w ON w.symbol = t.symbol AND w.bar_idx = t.entry_idx, {_CONTRAST}) GROUP BY feature)""",
+        SWINGS,
+    )
+)
+def side_contrast(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    trades = swing.label_trades(swing.alternating(swing.swing_points(b)))
+    return rounded(studies.contrast(trades, ind.window_indicators(b)), ["feature"], [*_SIDES, "effect", "midpoint"])
+
+
+_QUANTILES = [f"{c}_q{n}" for c in ("hold", "profit_pct") for n in (10, 25, 50, 75, 90)]
+
+
+@query(_swings_sql("SELECT side, " + ", ".join(f"round(quantile_cont({c}, 0.{n:02d}), 6) + 0.0 AS {c}_q{n}" for c in ("hold", "profit_pct") for n in (10, 25, 50, 75, 90)) + " FROM trades GROUP BY side"))
+def trade_quantiles(spark, sf_dir):
+    return rounded(studies.hold_quantiles(swing.label_trades(points(spark, sf_dir))), ["side"], _QUANTILES)
+
+
+@query(
+    _swings_sql(
+        """, d AS (SELECT o.offset_ AS offset_, (b.close / p.price - 1) * 100 AS c FROM points p, (SELECT unnest(range(1, 21)) AS offset_) o JOIN bars b ON b.symbol = p.symbol AND b.bar_idx = p.bar_idx + o.offset_ WHERE NOT p.is_high)
+SELECT CAST(offset_ AS INTEGER) AS "offset", count(*) AS n, round(quantile_cont(c, 0.25), 6) + 0.0 AS p25, round(quantile_cont(c, 0.5), 6) + 0.0 AS median, round(quantile_cont(c, 0.75), 6) + 0.0 AS p75 FROM d GROUP BY offset_"""
+    )
+)
+def probability_fan(spark, sf_dir):
+    b = bars(spark, sf_dir)
+    return rounded(studies.fan(swing.alternating(swing.swing_points(b)), b), ["offset", "n"], ["p25", "median", "p75"])
+
+
+@query(
+    sql.with_bars(
+        """, n AS (SELECT symbol, max(bar_idx) + 1 AS n FROM bars GROUP BY symbol), f AS (SELECT symbol, unnest(range(0, (n - 300) // 100 + 1)) AS fold FROM n WHERE n >= 300)
+SELECT symbol, fold, part, fold * 100 + a AS first, fold * 100 + b - 1 AS last FROM f, (VALUES ('train', 0, 180), ('validate', 180, 240), ('test', 240, 300)) r(part, a, b)"""
+    )
+)
+def walk_forward_folds(spark, sf_dir):
+    return studies.walk_forward_folds(bars(spark, sf_dir), 300, 100)
+
+
+@query(
+    sql.with_indicators(
+        f"SELECT symbol, bar_idx, round(slope, 6) + 0.0 AS slope, {studies.gate_sql()} FROM s",
+        "s AS (SELECT *, CASE WHEN bar_idx >= 4 THEN regr_slope(macd_hist, bar_idx) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) END AS slope FROM i)",
+    )
+)
+def histogram_gate(spark, sf_dir):
+    return studies.histogram_gate(ind.indicators(bars(spark, sf_dir))).select("symbol", "bar_idx", (F.round("slope", 6) + F.lit(0.0)).alias("slope"), "side")
+
+
+@query(
+    sql.with_windows(
+        """SELECT symbol, bar_idx, state, coalesce(last_value(twice IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar_idx), 'RANGE') AS latched
+FROM (SELECT *, CASE WHEN state = lag(state) OVER (PARTITION BY symbol ORDER BY bar_idx) THEN state END AS twice FROM ms)""",
+        f"ms AS (SELECT symbol, bar_idx, {sig.MARKET_STATE} AS state FROM w)",
+    )
+)
+def latched_states(spark, sf_dir):
+    return studies.latched(ind.window_indicators(bars(spark, sf_dir)).selectExpr("symbol", "bar_idx", f"{sig.MARKET_STATE} AS state"))
+
+
+@query(
+    sql.with_indicators(
+        f"SELECT symbol, bar_idx, round(outcome, 6) + 0.0 AS outcome FROM (SELECT symbol, bar_idx, {studies.cross_sql()} FROM g WHERE n = 30 AND j > d AND j_prev <= d_prev)",
+        "g AS (SELECT *, max(high) OVER a AS top, min(low) OVER a AS bottom, count(*) OVER a AS n, lead(close, 30) OVER (PARTITION BY symbol ORDER BY bar_idx) AS last FROM i "
+        "WINDOW a AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING))",
+    )
+)
+def golden_cross_study(spark, sf_dir):
+    return rounded(studies.golden_cross(ind.indicators(bars(spark, sf_dir))), KEYS, ["outcome"])
+
+
+@query(
+    sql.with_windows(
+        f"""SELECT symbol, feature, round(regr_slope(x, bar_idx) / CASE WHEN stddev_pop(x) > 1e-9 THEN stddev_pop(x) ELSE 1 END, 6) + 0.0 AS trend
+FROM (SELECT w.symbol, w.bar_idx, f.feature, {_X} AS x FROM w JOIN (SELECT symbol, max(bar_idx) AS e FROM bars GROUP BY symbol) m ON m.symbol = w.symbol AND w.bar_idx > m.e - 60, {_CONTRAST}) GROUP BY ALL"""
+    )
+)
+def feature_trends(spark, sf_dir):
+    return rounded(studies.feature_trends(ind.window_indicators(bars(spark, sf_dir)), list(studies.CONTRASTED)), ["symbol", "feature"], ["trend"])
