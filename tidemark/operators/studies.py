@@ -83,3 +83,19 @@ def feature_trends(table: DataFrame, names: list[str], last: int = 60) -> DataFr
     long_form = tail.select("symbol", F.col("bar_idx").cast("double").alias("t"), F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("x")) for n in names])).alias("e"))
     got = long_form.groupBy("symbol", F.col("e.feature").alias("feature")).agg(F.regr_slope(F.col("e.x"), F.col("t")).alias("slope"), F.stddev_pop("e.x").alias("sd"))
     return got.select("symbol", "feature", (F.col("slope") / F.when(F.col("sd") > 1e-9, F.col("sd")).otherwise(1.0)).alias("trend"))
+
+
+def position_score_sql(long: bool) -> str:
+    """How well a bar is placed for an entry, from -100 to 100: band, oversold, nearness to support or
+    resistance, volume, reversal candle, and a discount for strong trends; missing values are neutral."""
+    unit = lambda x: f"greatest(0e0, least(1e0, coalesce({x}, 0.5e0)))"
+    band = unit("boll_position")
+    parts = [
+        f"(1 - {band}) * 50 - 25" if long else f"{band} * 50 - 25",
+        f"CASE WHEN coalesce(rsi, 50) {'< 30' if long else '> 70'} THEN 20 ELSE 0 END",
+        f"(1 - {unit('dist_to_support' if long else 'dist_to_resistance')}) * 40 - 20",
+        f"CASE WHEN coalesce(obv_slope, 0) {'>' if long else '<'} 0 AND coalesce(volume_ratio, 1) > 1 THEN 15 ELSE 0 END",
+        f"CASE WHEN (pin_bar = {1 if long else -1} OR engulfing = {1 if long else -1}) AND {band} {'< 0.4e0' if long else '> 0.6e0'} THEN 10 ELSE 0 END",
+        "greatest(-10e0, least(10e0, (25 - coalesce(adx, 25)) * 0.5e0))",
+    ]
+    return "greatest(-100e0, least(100e0, " + " + ".join(f"({p})" for p in parts) + "))"

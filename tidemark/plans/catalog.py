@@ -708,3 +708,12 @@ FROM (SELECT w.symbol, w.bar_idx, f.feature, {_X} AS x FROM w JOIN (SELECT symbo
 )
 def feature_trends(spark, sf_dir):
     return rounded(studies.feature_trends(ind.window_indicators(bars(spark, sf_dir)), list(studies.CONTRASTED)), ["symbol", "feature"], ["trend"])
+
+
+_SCORES = {"long_score": studies.position_score_sql(True), "short_score": studies.position_score_sql(False)}
+
+
+@query(sql.with_windows("SELECT symbol, bar_idx, " + ", ".join(f"round({x}, 6) + 0.0 AS {n}" for n, x in _SCORES.items()) + " FROM w"))
+def position_scores(spark, sf_dir):
+    table = ind.window_indicators(bars(spark, sf_dir)).selectExpr("*", *[f"{x} AS {n}" for n, x in _SCORES.items()])
+    return rounded(table, KEYS, _SCORES)
