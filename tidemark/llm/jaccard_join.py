@@ -10,8 +10,12 @@ The order puts frequent shingles last, as told by a sketch over all shingles of
 order only steers cost, any fixed order is exact.
 
 Inside, regions join recursively.  The pivot of a region is compared with its members: members
-within the threshold are one component and need no comparison among themselves, and members
-farther off can only link to those within the triangle window.  Small rests are compared pair
+within the threshold are one component and need no comparison among themselves, nor do any that
+the links found so far join; members farther off can only link to those within the triangle
+window.  Before whole sets are compared,
+BUCKETS further pivots, the classes of all shingles by their hash, bound the distance of a pair
+from below by the triangle inequality of symmetric differences: sets that differ by at least L
+shingles in their counts by class are at distance 2 L / (both sizes + L) or more.  Small rests are compared pair
 by pair; large ones get several document pivots, whose cells hold the members up to twice the
 threshold beyond their core, and go round again.  Copies of one set are one member throughout,
 and equal regions are joined once.  Distances are computed on whole sets.
@@ -39,8 +43,9 @@ SKETCH_BITS = 22
 CHUNKS = 256
 FREQUENT = 16
 LEAF = 32
-PIVOTS = 16
+PIVOTS = 8
 BROADCAST_IDS = 500_000
+BUCKETS = 256
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -90,17 +95,18 @@ def frequent_bits(docs: DataFrame, words: int = WORDS, bits: int = SKETCH_BITS)
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, k, t (hash of the text), n (set size), fp (128 bits of the set; null if empty), window (shingles of its
-    regions, as signed longs)."""
+    """doc_id, k, t (hash of the text), n (set size), fp (128 bits of the set; null if empty), counts
+    (shingles by class, a byte each), window (shingles of its regions, as signed longs)."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
     size = len(frequent)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
-            n, fps, offsets, values = [], [], [0], []
+            n, fps, counts, offsets, values = [], [], [], [0], []
             for _, s in _sets(batch, words):
                 n.append(len(s))
+                counts.append(np.minimum(np.bincount((s >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=BUCKETS), 255).astype(np.uint8).tobytes())
                 fps.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 if len(s):
                     hot = often[(s & np.uint64(size - 1)).astype(np.int64)]
@@ -110,11 +116,11 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percen
                 offsets.append(offsets[-1] + (len(values[-1]) if len(s) else 0))
             flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int64), pa.int64())
             window = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-            columns = [batch.column("doc_id"), batch.column("k"), batch.column("t"), pa.array(n, pa.int32()), pa.array(fps, pa.binary()), window]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "t", "n", "fp", "window"])
+            columns = [batch.column("doc_id"), batch.column("k"), batch.column("t"), pa.array(n, pa.int32()), pa.array(fps, pa.binary()), pa.array(counts, pa.binary()), window]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "t", "n", "fp", "counts", "window"])
 
     keyed = texts(docs).select("doc_id", id_key().alias("k"), text_key().alias("t"), "text")
-    return keyed.mapInArrow(signed, "doc_id long, k long, t long, n int, fp binary, window array<bigint>")
+    return keyed.mapInArrow(signed, "doc_id long, k long, t long, n int, fp binary, counts binary, window array<bigint>")
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -132,15 +138,39 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return keyed.join(F.broadcast(ids) if few else ids, "k").mapInArrow(made, "k long, s array<bigint>")
 
 
-def _distances(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """a, b, d, linked for pairs(a, b); by exact counts on the whole sets."""
-    found = (
-        pairs.join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-        .join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a")
-        .select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("both"))
-    )
-    union = F.col("both") - F.col("i")
-    return found.select("a", "b", (1 - F.col("i") / union).alias("d"), (100 * F.col("i") >= percent * union).alias("linked"))
+def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
+    x = np.frombuffer(b"".join(a), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+    y = np.frombuffer(b"".join(b), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+    return pd.Series(np.abs(x - y).sum(axis=1, dtype=np.int32))
+
+
+class _Compared:
+    """Distances of pairs, by bounds first and by whole sets where the bounds leave it open."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, words: int, percent: int):
+        self.docs, self.words, self.percent = docs, words, percent
+        self.counts = reps.select("k", "n", "counts")
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """a, b, d, linked, exact for distinct pairs(a, b); where not exact, d is a lower bound
+        above the threshold."""
+        by = lambda x: self.counts.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}"))
+        bounded = pairs.join(by("a"), "a").join(by("b"), "b").withColumn("l", F.pandas_udf(_apart, "int")("ca", "cb")).withColumn("both", F.col("na") + F.col("nb"))
+        bounded = stored(bounded.select("a", "b", (2 * F.col("l") / (F.col("both") + F.col("l"))).alias("d"), (100 * (F.col("both") - F.col("l")) >= self.percent * (F.col("both") + F.col("l"))).alias("open")))
+        far = bounded.where("not open").select("a", "b", "d", F.lit(False).alias("linked"), F.lit(False).alias("exact"))
+        left = bounded.where("open").select("a", "b")
+        if not left.limit(1).count():
+            return far
+        ids = left.select(F.col("a").alias("k")).unionByName(left.select(F.col("b").alias("k"))).distinct()
+        sets = stored(_whole_sets(self.docs, ids, self.words))
+        found = (
+            left.join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
+            .join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a")
+            .select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("both"))
+        )
+        union = F.col("both") - F.col("i")
+        exact = found.select("a", "b", (1 - F.col("i") / union).alias("d"), (100 * F.col("i") >= self.percent * union).alias("linked"), F.lit(True).alias("exact"))
+        return stored(exact.unionByName(far))
 
 
 def _near_size(x: str, y: str, percent: int):
@@ -150,55 +180,68 @@ def _near_size(x: str, y: str, percent: int):
 def links(docs: DataFrame, sig: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """a, b: links between first holders of different sets, enough of them to give the components."""
     eps = 1 - percent / 100
-    reps = sig.where("n > 0").groupBy("fp").agg(F.min("k").alias("k"))
-    postings = sig.join(reps, ["fp", "k"], "left_semi").select("k", "n", F.explode("window").alias("h"))
-    counted = postings.groupBy("h").agg(
+    held = sig.where("n > 0").groupBy("fp").agg(F.min("k").alias("first"), F.count("*").alias("c")).where("c > 1")
+    copies = stored(sig.join(held, "fp").where("k != first").select("fp", "k").distinct())
+    few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # 24 bytes a row
+    reps = sig.where("n > 0").join(F.broadcast(copies) if few else copies, ["fp", "k"], "left_anti")
+    postings = reps.select("k", "n", F.explode("window").alias("r"))
+    # Written before it is joined: Spark splits a hot key only in joins right above two shuffles.
+    shared = stored(postings.groupBy("r").agg(F.count("*").alias("c")).where("c > 1").select("r"))
+    members = stored(postings.join(shared, "r").select("r", "k", "n"))
+    counted = members.groupBy("r").agg(
         F.count("*").alias("c"), F.min(F.struct("k", "n")).alias("p"), F.bit_xor(F.xxhash64("k")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "k")).alias("x2")
     )
-    regions = counted.where("c > 1").groupBy("c", "p", "x1", "x2").agg(F.min("h").alias("r"))  # equal regions once
-    regions = regions.select("r", "c", F.col("p.k").alias("p"), F.col("p.n").alias("pn"))
-    members = stored(postings.withColumnRenamed("h", "r").join(regions, "r"))
-    sets = stored(_whole_sets(docs, members.select("k").distinct(), words))
+    regions = counted.groupBy("c", "p", "x1", "x2").agg(F.min("r").alias("r"))  # equal regions once
+    regions = stored(regions.select("r", "c", F.col("p.k").alias("p"), F.col("p.n").alias("pn")))
+    members = stored(members.join(regions, "r"))
+    compare = _Compared(docs, reps, words, percent)
 
     star = members.where("k != p").where(_near_size("n", "pn", percent)).select(F.col("p").alias("a"), F.col("k").alias("b")).distinct()
-    near = stored(_distances(star, sets, percent))
+    near = compare(star)
     found = [near.where("linked").select("a", "b")]
-    to_pivot = near.select(F.col("a").alias("p"), F.col("b").alias("k"), "d", "linked")
+    to_pivot = near.select(F.col("a").alias("p"), F.col("b").alias("k"), "d", "linked", "exact")
     apart = 1 - F.least("n", "pn") / F.greatest("n", "pn")  # the least distance that the sizes allow
     state = (
         members.where("c > 2 and k != p")
         .join(to_pivot, ["p", "k"], "left")
-        .select("r", "k", "n", F.coalesce("d", F.greatest(apart, F.lit(eps))).alias("d"), F.coalesce("linked", F.lit(False)).alias("inner"))
+        .select("r", "k", "n", F.coalesce("d", F.greatest(apart, F.lit(eps))).alias("d"), F.coalesce("exact", F.lit(False)).alias("sure"), F.coalesce("linked", F.lit(False)).alias("inner"))
     )
     turn = 0
     while True:
         turn += 1
-        # Members linked to the pivot stay only where one outside can be near them.
+        # Members that the links so far join are one component: inside is the region's commonest, and
+        # only pairs with a member outside it are of interest.  A region all inside is done.
+        labels = components(_union(found))
+        labelled = state.join(labels, state["k"] == labels["node"], "left").withColumn("label", F.coalesce("component", "k")).drop("node", "component")
+        common = labelled.groupBy("r", "label").agg(F.count("*").alias("c")).groupBy("r").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"))
+        state = stored(labelled.join(common, "r").withColumn("inner", F.col("label") == F.col("main")).select("r", "k", "n", "d", "sure", "inner"))
+        # They stay only where one outside can be near them.
         least = state.groupBy("r").agg(F.min(F.when(~F.col("inner"), F.col("d"))).alias("least"))
-        state = state.join(least.where("least is not null"), "r").where(~F.col("inner") | (F.col("d") >= F.col("least") - eps - 1e-9)).drop("least")
+        state = state.join(least.where("least is not null"), "r").where(~F.col("inner") | ~F.col("sure") | (F.col("d") >= F.col("least") - eps - 1e-9)).drop("least")
         sizes = state.groupBy("r").agg(F.count("*").alias("m"), F.min(F.when(~F.col("inner"), F.struct(F.xxhash64("k"), "k"))).alias("first"))
         state = stored(state.join(sizes.where("m > 1").select("r", "m", F.col("first.k").alias("first")), "r"))
         if not state.limit(1).count():
             break
         leaf = state.where(F.col("m") <= LEAF)
         x, y = leaf.select("r", F.col("k").alias("a"), F.col("n").alias("na"), F.col("inner").alias("ia")), leaf.select("r", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("inner").alias("ib"))
-        close = x.join(y, "r").where("a < b and not (ia and ib)").where(_near_size("na", "nb", percent)).select("a", "b").distinct()
-        found.append(stored(_distances(close, sets, percent).where("linked").select("a", "b")))
+        pairs = x.join(y, "r").where("a < b and not (ia and ib)").where(_near_size("na", "nb", percent)).select("a", "b")
         big = state.where(F.col("m") > LEAF)
-        if not big.limit(1).count():
-            break
-        chosen = ~F.col("inner") & ((F.col("k") == F.col("first")) | (F.pmod(F.xxhash64("k", F.lit(turn)), F.col("m")) < PIVOTS * 2 ** min(turn - 1, 20)))
-        big = big.withColumn("chosen", chosen)
-        pivots = big.where("chosen").select("r", F.col("k").alias("q"), F.col("n").alias("qn"))
-        tried = big.join(pivots, "r").where("k != q")
-        sized = _near_size("n", "qn", percent)
-        wanted = tried.where(sized).select(F.least("k", "q").alias("a"), F.greatest("k", "q").alias("b")).distinct()
-        known = stored(_distances(wanted, sets, percent))
+        more = bool(big.limit(1).count())
+        if more:
+            chosen = ~F.col("inner") & ((F.col("k") == F.col("first")) | (F.pmod(F.xxhash64("k", F.lit(turn)), F.col("m")) < PIVOTS * 2 ** min(turn - 1, 20)))
+            big = big.withColumn("chosen", chosen)
+            pivots = big.where("chosen").select("r", F.col("k").alias("q"), F.col("n").alias("qn"))
+            tried = big.join(pivots, "r").where("k != q")
+            pairs = pairs.unionByName(tried.where(_near_size("n", "qn", percent)).select(F.least("k", "q").alias("a"), F.greatest("k", "q").alias("b")))
+        known = compare(pairs.distinct())
         found.append(known.where("linked").select("a", "b"))
+        if not more:
+            break
         rest = (
             tried.where("not chosen")
             .withColumns({"a": F.least("k", "q"), "b": F.greatest("k", "q")})
             .join(known.withColumnsRenamed({"d": "dq", "linked": "lq"}), ["a", "b"], "left")
+            .withColumn("exact", F.coalesce("exact", F.lit(False)))
             .withColumn("dq", F.coalesce("dq", F.greatest(1 - F.least("n", "qn") / F.greatest("n", "qn"), F.lit(eps))))
             .withColumn("lq", F.coalesce("lq", F.lit(False)))
         )
@@ -206,12 +249,16 @@ def links(docs: DataFrame, sig: DataFrame, words: int = WORDS, percent: int = PE
         # around it; all outside the cores go on together.  Pivots are done with.
         cells = rest.where(F.col("dq") <= 3 * eps + 1e-9).groupBy("r", "q", "m").agg(F.count("*").alias("held")).where("2 * held <= m").select("r", "q")
         inside = rest.join(cells, ["r", "q"]).where(F.col("dq") <= 3 * eps + 1e-9)
-        cell_state = inside.select(F.xxhash64("r", "q").alias("r"), "k", "n", F.col("dq").alias("d"), F.col("lq").alias("inner"))
-        cores = inside.where(F.col("dq") <= 2 * eps).select("r", "k").distinct()
-        others = big.where("not chosen").join(cores, ["r", "k"], "left_anti").select("r", "k", "n", "d", "inner")
+        cell_state = inside.select(F.xxhash64("r", "q").alias("r"), "k", "n", F.col("dq").alias("d"), F.col("exact").alias("sure"), F.col("lq").alias("inner"))
+        cores = inside.where("exact").where(F.col("dq") <= 2 * eps).select("r", "k").distinct()
+        others = big.where("not chosen").join(cores, ["r", "k"], "left_anti").select("r", "k", "n", "d", "sure", "inner")
         state = stored(cell_state.unionByName(others))
-    out = found[0]
-    for more in found[1:]:
+    return _union(found)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
