@@ -107,7 +107,7 @@ def repeated_strings(symbols: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _distinct_two(*more: str):
+def _distinct_two():
     """Whether a group holds two different places (text, anchor), copies of a text apart."""
     place = F.struct("t1", "a")
     return F.min(place) != F.max(place)
@@ -153,7 +153,8 @@ def repeated_ranges(docs: DataFrame, length: int = MIN_BYTES, step: int = STEP,
     keyed = _keyed(docs)
     firsts = stored(keyed.groupBy("t1", "t2").agg(F.min("k").alias("k"), F.count("*").alias("copies")))
     runs = stored(keyed.where(F.octet_length("text") >= length).select("t1", "t2", "text").mapInArrow(anchors, "t1 long, t2 long, kh long, a long, lo int, hi int"))
-    shared = runs.groupBy("kh").agg(_distinct_two().alias("two")).where("two").select("kh")
+    # Written before it is joined: Spark splits a hot key only in joins right above two shuffles.
+    shared = stored(runs.groupBy("kh").agg(_distinct_two().alias("two")).where("two").select("kh"))
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -166,13 +167,13 @@ def repeated_ranges(docs: DataFrame, length: int = MIN_BYTES, step: int = STEP,
                 ))
             yield from out
 
-    whole = stored(_with_lists(docs, runs.join(shared, "kh"), firsts).mapInArrow(contents, "t1 long, t2 long, kh long, a long, lo int, hi int, outer long"))
+    whole = stored(_with_lists(docs, stored(runs.join(shared, "kh")), firsts).mapInArrow(contents, "t1 long, t2 long, kh long, a long, lo int, hi int, outer long"))
     same = ["kh", "lo", "hi", "outer"]
     kinds = stored(whole.groupBy(*same).agg(_distinct_two().alias("two"), F.min(F.struct("t1", "a", "t2")).alias("one")))
     settled = whole.join(kinds.where("two").select(*same), same).select("t1", "t2", (F.col("a") - F.col("hi")).alias("first"), (F.col("a") - F.col("lo")).alias("last"))
 
-    open_anchors = kinds.groupBy("kh").agg(F.count("*").alias("kinds"), F.max(~F.col("two")).alias("open")).where("open and kinds > 1").select("kh")
-    left = kinds.join(open_anchors, "kh").select("kh", "lo", "hi", "one.t1", "one.t2", "one.a", "two")
+    open_anchors = stored(kinds.groupBy("kh").agg(F.count("*").alias("kinds"), F.max(~F.col("two")).alias("open")).where("open and kinds > 1").select("kh"))
+    left = stored(kinds.join(open_anchors, "kh").select("kh", "lo", "hi", "one.t1", "one.t2", "one.a", "two"))
     flags = left.select("t1", "a", "lo", "hi", "two")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +205,7 @@ def repeated_ranges(docs: DataFrame, length: int = MIN_BYTES, step: int = STEP,
     equal = made.where("not two").join(kinds.where("c > 1").select(*same), same).select("t1", "t2", (F.col("a") - F.col("y")).alias("first"), (F.col("a") - F.col("x")).alias("last"))
 
     undecided = (~F.col("two")) & (F.col("c") == 1)
-    cores = kinds.groupBy("core").agg(F.count("*").alias("m"), F.max(undecided).alias("open")).where("open and m > 1").select("core", "m")
+    cores = stored(kinds.groupBy("core").agg(F.count("*").alias("m"), F.max(undecided).alias("open")).where("open and m > 1").select("core", "m"))
     leaves = stored(kinds.join(cores, "core").select("core", "m", "x", "y", "b", undecided.alias("open"), "one.t1", "one.t2", "one.a", "one.left", "one.right"))
     range_schema = "t1 long, t2 long, first long, last long"
 
@@ -257,7 +258,7 @@ def repeated_ranges(docs: DataFrame, length: int = MIN_BYTES, step: int = STEP,
 
 def _cut(text: str, ranges: list, length: int) -> tuple[int, int, bytes]:
     raw = text.encode("utf-8", "surrogatepass")
-    gone, spans = np.zeros(len(raw) + 1, np.int32), 0
+    gone = np.zeros(len(raw) + 1, np.int32)
     for first, last in ranges:
         gone[first] += 1
         gone[last + length] -= 1
