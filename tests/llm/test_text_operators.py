@@ -266,6 +266,21 @@ def test_url_verdicts(spark):
     ]
 
 
+def test_urls_in_paths_keep_their_hosts(spark):
+    urls = [
+        "http://a.net/x.com/de/", "https://web.archive.org/web/2020/http://www.b.com/de/", "http://a.net/.com/de/", "http://a.net/b.example.org/es/", "http://b.com//de/", "http://.com/de/",
+        "http://b.com/fr/x.com/de/", "http://a.com.net/com/de/", "http://com/de/", "http://a.b.example.org/en/1/x.com/de/",
+    ]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [(r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages).orderBy("page_id").collect()]
+    assert got == [
+        (None, "allow"), ("org/", "allow"), (None, "allow"), (None, "allow"), (None, "allow"), ("com/de/", "block"),
+        ("com/fr/", "allow"), (None, "allow"), ("com/de/", "block"), ("example.org/en/1", "block"),
+    ]
+    wild = [(r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, (("block", "a*.net", "/*/de/"),)).orderBy("page_id").collect()]
+    assert wild == [("a*.net/*/de/", "block") if i in (0, 2, 7) else (None, "allow") for i in range(len(urls))]
+
+
 def test_transducer_equals_the_library(docs, rows, empty):
     import sentencepiece
 

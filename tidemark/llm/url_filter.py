@@ -1,7 +1,8 @@
 """URL rules as a bit-parallel wildcard automaton.
 
-Every rule becomes glob patterns over the canonical url host + path: one for the host itself
-and one with a leading `*.` for its subdomains, each ending in `*`.  All patterns are laid end
+Every rule becomes glob patterns over the canonical url host + `/` + path: one for the host
+itself and one with a leading `*.` for its subdomains, each ending in `*`; a `*` of the host does
+not read `/`, so that it never leaves the host.  All patterns are laid end
 to end over 64-bit words; a Shift-And step moves all of them over one character at once, and
 numpy runs the step for all urls of an Arrow batch together.  `*` is a self loop on the state
 before it; states never shift from one pattern into the next, because every first state is
@@ -32,33 +33,40 @@ DEFAULT = "allow"
 class ShiftAnd:
     """Many globs (`*` is the only wildcard, any bytes, none too) in multiword Shift-And masks.
 
+    A `*` among the first tied[g] characters of glob g reads no `/`.
     State s of a pattern means: its first s literals are matched; the last state is accepting.
     """
 
-    def __init__(self, globs: Sequence[str]):
+    def __init__(self, globs: Sequence[str], tied: Sequence[int] | None = None):
         self.globs = list(globs)
-        starts, literals, loops, accepts = [], [], [], []
-        for glob in globs:
+        starts, literals, loops, free, accepts = [], [], [], [], []
+        for glob, bound in zip(self.globs, tied or [0] * len(self.globs), strict=True):
             starts.append(len(literals))
             literals.append(None)
             loops.append(False)
-            for c in glob.encode():
-                if c == ord("*"):
+            free.append(False)
+            for at, c in enumerate(glob):
+                if c == "*":
                     loops[-1] = True
+                    free[-1] |= at >= bound
                 else:
-                    literals.append(c)
-                    loops.append(False)
+                    for byte in c.encode():
+                        literals.append(byte)
+                        loops.append(False)
+                        free.append(False)
             accepts.append(len(literals) - 1)
         n = self.words = (len(literals) + 63) // 64
         self.masks = np.zeros((256, n), np.uint64)
-        self.loop, self.start = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+        self.loops, self.start = np.zeros((256, n), np.uint64), np.zeros(n, np.uint64)
         bit = lambda i: (i // 64, np.uint64(1) << np.uint64(i % 64))
-        for i, (c, stays) in enumerate(zip(literals, loops, strict=True)):
+        for i, (c, stays, any_byte) in enumerate(zip(literals, loops, free, strict=True)):
             w, b = bit(i)
             if c is not None:
                 self.masks[c, w] |= b
             if stays:
-                self.loop[w] |= b
+                self.loops[:, w] |= b
+                if not any_byte:
+                    self.loops[ord("/"), w] &= ~b
         for i in starts:
             w, b = bit(i)
             self.start[w] |= b
@@ -80,21 +88,23 @@ class ShiftAnd:
             moved = s << one
             if self.words > 1:
                 moved[:, 1:] |= s[:, :-1] >> top
-            moved &= ~self.start & self.masks[flat[begin[:live] + at]]
-            state[:live] = moved | (s & self.loop)
+            read = flat[begin[:live] + at]
+            moved &= ~self.start & self.masks[read]
+            state[:live] = moved | (s & self.loops[read])
         for g, (w, b) in enumerate(self.accepts):
             out[order, g] = (state[:, w] & b) != 0
         return out
 
 
-def rule_globs(rules) -> tuple[list[str], list[int]]:
-    """Globs over host + path, and the rule of each."""
-    globs, of = [], []
+def rule_globs(rules) -> tuple[list[str], list[int], list[int]]:
+    """Globs over host + `/` + path, the rule of each, and the length of its host."""
+    globs, of, heads = [], [], []
     for i, (_, host, path) in enumerate(rules):
         for head in (host, f"*.{host}"):
-            globs.append(f"{head}{path}*")
+            globs.append(f"{head}/{path}*")
             of.append(i)
-    return globs, of
+            heads.append(len(head))
+    return globs, of, heads
 
 
 def judge_urls(pages: DataFrame, rules=RULES, default: str = DEFAULT) -> DataFrame:
@@ -102,18 +112,18 @@ def judge_urls(pages: DataFrame, rules=RULES, default: str = DEFAULT) -> DataFra
 
     The host is A-Z lower-cased and reaches from the first `://` to `/`, `?`, `#` or the end; the
     path from there to `?`, `#` or the end; without `://` or url both are empty.  A host never
-    holds `/` and a path begins with it, so that host + path splits in one way only.  The longest
-    rule text wins; where no rule fits, rule is null and the verdict is `default`.  Repeated and
-    null page_ids are rows as any other.  A rule holding `*` keeps its meaning as a wildcard.
+    holds `/`, so that the first one parts host and path, and no `*` of a rule's host reads it.  The
+    longest rule text wins; where no rule fits, rule is null and the verdict is `default`.  Repeated
+    and null page_ids are rows as any other.  A rule holding `*` keeps its meaning as a wildcard.
     """
-    globs, of = rule_globs(rules)
+    globs, of, heads = rule_globs(rules)
     names = [f"{host}{path}" for _, host, path in rules]
     ranked = sorted(range(len(globs)), key=lambda g: (-len(names[of[g]]), of[g]))
 
     def judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton = ShiftAnd(globs)
+        automaton = ShiftAnd(globs, heads)
         for pdf in batches:
-            found = automaton.match([f"{h}{p}".encode() for h, p in zip(pdf["host"], pdf["path"], strict=True)])
+            found = automaton.match([f"{h}/{p}".encode() for h, p in zip(pdf["host"], pdf["path"], strict=True)])
             best = np.full(len(pdf), -1)
             for g in reversed(ranked):
                 best[found[:, g]] = of[g]
