@@ -160,6 +160,30 @@ def test_jaccard_recursion_equals_brute_force(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_jaccard_tells_rows_of_one_id_apart(spark):
+    r = np.random.default_rng(9)
+    draw = lambda: [f"v{i}" for i in r.integers(0, 5000, 60)]
+    near = lambda w, n=1: [*w[:-n], *[f"x{i}" for i in r.integers(0, 5000, n)]]
+    a, b, c, d, e = (draw() for _ in range(5))
+    rows = [(1, a), (None, near(a)), (None, b), (None, near(b)), (7, c), (7, d), (4, near(d)), (None, [*near(d)]), (7, e), (7, near(e)), (7, c), (7, c), (9, near(c)), (None, b)]
+    chain = [draw()]
+    for _ in range(5):
+        chain.append([f"y{len(chain)}{i}" for i in range(3)] + chain[-1][3:] if len(chain) % 2 else near(chain[-1], 3))
+    rows += [(None, w) for w in chain[1:]] + [(20, chain[0])]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    of_row = brute_components(list(enumerate(t for _, t in rows)))
+    least = collections.defaultdict(list)
+    for at, (i, _) in enumerate(rows):
+        least[of_row[at][1]].append(jaccard_join.NULL_ID if i is None else i)
+    least = [min(least[of_row[at][1]]) for at in range(len(rows))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(i, of_row[at][0], None if least[at] == jaccard_join.NULL_ID else least[at]) for at, (i, _) in enumerate(rows)]
+    assert sorted(map(tuple, jaccard_join.classes(docs).collect()), key=str) == sorted(want, key=str)
+    stay = [row for at, row in enumerate(rows) if least[at] == (jaccard_join.NULL_ID if row[0] is None else row[0])]
+    assert sorted(map(tuple, jaccard_join.first_of_classes(docs).collect()), key=str) == sorted(stay, key=str)
+    assert (None, rows[2][1]) in stay and (None, rows[1][1]) not in stay
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(links).collect()}

@@ -19,6 +19,10 @@ shingles in their counts by class are at distance 2 L / (both sizes + L) or more
 by pair; large ones get several document pivots, whose cells hold the members up to twice the
 threshold beyond their core, and go round again.  Copies of one set are one member throughout,
 and equal regions are joined once.  Distances are computed on whole sets.
+
+A member is a distinct set, named by the least row number u of the rows that hold it, and not a
+doc_id: rows that repeat a doc_id or have none may hold different sets.  Only finished components
+are given the least doc_id of their rows.
 """
 
 from __future__ import annotations
@@ -95,8 +99,9 @@ def frequent_bits(docs: DataFrame, words: int = WORDS, bits: int = SKETCH_BITS)
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, k, t (hash of the text), n (set size), fp (128 bits of the set; null if empty), counts
-    (shingles by class, a byte each), window (shingles of its regions, as signed longs)."""
+    """doc_id, k, t (hash of the text), u (a number of the row), n (set size), fp (128 bits of the set; null if empty), counts
+    (shingles by class, a byte each), window (shingles of its regions, as signed longs); written, so
+    that u stays."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
     size = len(frequent)
 
@@ -120,22 +125,23 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percen
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "t", "n", "fp", "counts", "window"])
 
     keyed = texts(docs).select("doc_id", id_key().alias("k"), text_key().alias("t"), "text")
-    return keyed.mapInArrow(signed, "doc_id long, k long, t long, n int, fp binary, counts binary, window array<bigint>")
+    made = keyed.mapInArrow(signed, "doc_id long, k long, t long, n int, fp binary, counts binary, window array<bigint>")
+    return stored(made.withColumn("u", F.monotonically_increasing_id()))
 
 
 def _whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """k, s (sorted shingles) of the documents in ids(k)."""
+    """u, s (sorted shingles) for ids(u, k, t), from every document of that k and t."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.view(np.int64) for _, s in _sets(batch, words)]
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], ["k", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("u"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], ["u", "s"])
 
-    keyed = texts(docs).select(id_key().alias("k"), "text")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # 8 bytes a row
-    return keyed.join(F.broadcast(ids) if few else ids, "k").mapInArrow(made, "k long, s array<bigint>")
+    keyed = texts(docs).select(id_key().alias("k"), text_key().alias("t"), "text")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # 24 bytes a row
+    return keyed.join(F.broadcast(ids) if few else ids, ["k", "t"]).select("u", "text").mapInArrow(made, "u long, s array<bigint>")
 
 
 def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -147,25 +153,27 @@ def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
 class _Compared:
     """Distances of pairs, by bounds first and by whole sets where the bounds leave it open."""
 
-    def __init__(self, docs: DataFrame, reps: DataFrame, words: int, percent: int):
-        self.docs, self.words, self.percent = docs, words, percent
-        self.counts = reps.select("k", "n", "counts")
+    def __init__(self, docs: DataFrame, reps: DataFrame, repeated: bool, words: int, percent: int):
+        self.docs, self.repeated, self.words, self.percent = docs, repeated, words, percent
+        self.counts = reps.select("u", "n", "counts")
+        self.where = reps.select("u", "k", "t")
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """a, b, d, linked, exact for distinct pairs(a, b); where not exact, d is a lower bound
         above the threshold."""
-        by = lambda x: self.counts.select(F.col("k").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}"))
+        by = lambda x: self.counts.select(F.col("u").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}"))
         bounded = pairs.join(by("a"), "a").join(by("b"), "b").withColumn("l", F.pandas_udf(_apart, "int")("ca", "cb")).withColumn("both", F.col("na") + F.col("nb"))
         bounded = stored(bounded.select("a", "b", (2 * F.col("l") / (F.col("both") + F.col("l"))).alias("d"), (100 * (F.col("both") - F.col("l")) >= self.percent * (F.col("both") + F.col("l"))).alias("open")))
         far = bounded.where("not open").select("a", "b", "d", F.lit(False).alias("linked"), F.lit(False).alias("exact"))
         left = bounded.where("open").select("a", "b")
         if not left.limit(1).count():
             return far
-        ids = left.select(F.col("a").alias("k")).unionByName(left.select(F.col("b").alias("k"))).distinct()
-        sets = stored(_whole_sets(self.docs, ids, self.words))
+        ids = left.select(F.col("a").alias("u")).unionByName(left.select(F.col("b").alias("u"))).distinct()
+        sets = _whole_sets(self.docs, stored(self.where.join(ids, "u")), self.words)
+        sets = stored(sets.dropDuplicates(["u"]) if self.repeated else sets)
         found = (
-            left.join(sets.select(F.col("k").alias("b"), F.col("s").alias("sb")), "b")
-            .join(sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), "a")
+            left.join(sets.select(F.col("u").alias("b"), F.col("s").alias("sb")), "b")
+            .join(sets.select(F.col("u").alias("a"), F.col("s").alias("sa")), "a")
             .select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("both"))
         )
         union = F.col("both") - F.col("i")
@@ -178,33 +186,35 @@ def _near_size(x: str, y: str, percent: int):
 
 
 def links(docs: DataFrame, sig: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """a, b: links between first holders of different sets, enough of them to give the components."""
+    """a, b: links between different sets, by their least u, enough of them to give the components."""
     eps = 1 - percent / 100
-    held = sig.where("n > 0").groupBy("fp").agg(F.min("k").alias("first"), F.count("*").alias("c")).where("c > 1")
-    copies = stored(sig.join(held, "fp").where("k != first").select("fp", "k").distinct())
-    few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # 24 bytes a row
-    reps = sig.where("n > 0").join(F.broadcast(copies) if few else copies, ["fp", "k"], "left_anti")
-    postings = reps.select("k", "n", F.explode("window").alias("r"))
+    held = sig.where("n > 0").groupBy("fp").agg(F.min("u").alias("first"), F.count("*").alias("c")).where("c > 1")
+    alike = stored(sig.select("fp", "u", "k", "t").join(held, "fp").select("u", "k", "t", "first"))
+    repeated = bool(alike.groupBy("k", "t").count().where("count > 1").limit(1).count())
+    copies = alike.where("u != first").select("u")
+    few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # 8 bytes a row
+    reps = sig.where("n > 0").join(F.broadcast(copies) if few else copies, "u", "left_anti")
+    postings = reps.select("u", "n", F.explode("window").alias("r"))
     # Written before it is joined: Spark splits a hot key only in joins right above two shuffles.
     shared = stored(postings.groupBy("r").agg(F.count("*").alias("c")).where("c > 1").select("r"))
-    members = stored(postings.join(shared, "r").select("r", "k", "n"))
+    members = stored(postings.join(shared, "r").select("r", "u", "n"))
     counted = members.groupBy("r").agg(
-        F.count("*").alias("c"), F.min(F.struct("k", "n")).alias("p"), F.bit_xor(F.xxhash64("k")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "k")).alias("x2")
+        F.count("*").alias("c"), F.min(F.struct("u", "n")).alias("p"), F.bit_xor(F.xxhash64("u")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "u")).alias("x2")
     )
     regions = counted.groupBy("c", "p", "x1", "x2").agg(F.min("r").alias("r"))  # equal regions once
-    regions = stored(regions.select("r", "c", F.col("p.k").alias("p"), F.col("p.n").alias("pn")))
+    regions = stored(regions.select("r", "c", F.col("p.u").alias("p"), F.col("p.n").alias("pn")))
     members = stored(members.join(regions, "r"))
-    compare = _Compared(docs, reps, words, percent)
+    compare = _Compared(docs, reps, repeated, words, percent)
 
-    star = members.where("k != p").where(_near_size("n", "pn", percent)).select(F.col("p").alias("a"), F.col("k").alias("b")).distinct()
+    star = members.where("u != p").where(_near_size("n", "pn", percent)).select(F.col("p").alias("a"), F.col("u").alias("b")).distinct()
     near = compare(star)
     found = [near.where("linked").select("a", "b")]
-    to_pivot = near.select(F.col("a").alias("p"), F.col("b").alias("k"), "d", "linked", "exact")
+    to_pivot = near.select(F.col("a").alias("p"), F.col("b").alias("u"), "d", "linked", "exact")
     apart = 1 - F.least("n", "pn") / F.greatest("n", "pn")  # the least distance that the sizes allow
     state = (
-        members.where("c > 2 and k != p")
-        .join(to_pivot, ["p", "k"], "left")
-        .select("r", "k", "n", F.coalesce("d", F.greatest(apart, F.lit(eps))).alias("d"), F.coalesce("exact", F.lit(False)).alias("sure"), F.coalesce("linked", F.lit(False)).alias("inner"))
+        members.where("c > 2 and u != p")
+        .join(to_pivot, ["p", "u"], "left")
+        .select("r", "u", "n", F.coalesce("d", F.greatest(apart, F.lit(eps))).alias("d"), F.coalesce("exact", F.lit(False)).alias("sure"), F.coalesce("linked", F.lit(False)).alias("inner"))
     )
     turn = 0
     while True:
@@ -212,34 +222,34 @@ def links(docs: DataFrame, sig: DataFrame, words: int = WORDS, percent: int = PE
         # Members that the links so far join are one component: inside is the region's commonest, and
         # only pairs with a member outside it are of interest.  A region all inside is done.
         labels = components(_union(found))
-        labelled = state.join(labels, state["k"] == labels["node"], "left").withColumn("label", F.coalesce("component", "k")).drop("node", "component")
+        labelled = state.join(labels, state["u"] == labels["node"], "left").withColumn("label", F.coalesce("component", "u")).drop("node", "component")
         common = labelled.groupBy("r", "label").agg(F.count("*").alias("c")).groupBy("r").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"))
-        state = stored(labelled.join(common, "r").withColumn("inner", F.col("label") == F.col("main")).select("r", "k", "n", "d", "sure", "inner"))
+        state = stored(labelled.join(common, "r").withColumn("inner", F.col("label") == F.col("main")).select("r", "u", "n", "d", "sure", "inner"))
         # They stay only where one outside can be near them.
         least = state.groupBy("r").agg(F.min(F.when(~F.col("inner"), F.col("d"))).alias("least"))
         state = state.join(least.where("least is not null"), "r").where(~F.col("inner") | ~F.col("sure") | (F.col("d") >= F.col("least") - eps - 1e-9)).drop("least")
-        sizes = state.groupBy("r").agg(F.count("*").alias("m"), F.min(F.when(~F.col("inner"), F.struct(F.xxhash64("k"), "k"))).alias("first"))
-        state = stored(state.join(sizes.where("m > 1").select("r", "m", F.col("first.k").alias("first")), "r"))
+        sizes = state.groupBy("r").agg(F.count("*").alias("m"), F.min(F.when(~F.col("inner"), F.struct(F.xxhash64("u"), "u"))).alias("first"))
+        state = stored(state.join(sizes.where("m > 1").select("r", "m", F.col("first.u").alias("first")), "r"))
         if not state.limit(1).count():
             break
         leaf = state.where(F.col("m") <= LEAF)
-        x, y = leaf.select("r", F.col("k").alias("a"), F.col("n").alias("na"), F.col("inner").alias("ia")), leaf.select("r", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("inner").alias("ib"))
+        x, y = leaf.select("r", F.col("u").alias("a"), F.col("n").alias("na"), F.col("inner").alias("ia")), leaf.select("r", F.col("u").alias("b"), F.col("n").alias("nb"), F.col("inner").alias("ib"))
         pairs = x.join(y, "r").where("a < b and not (ia and ib)").where(_near_size("na", "nb", percent)).select("a", "b")
         big = state.where(F.col("m") > LEAF)
         more = bool(big.limit(1).count())
         if more:
-            chosen = ~F.col("inner") & ((F.col("k") == F.col("first")) | (F.pmod(F.xxhash64("k", F.lit(turn)), F.col("m")) < PIVOTS * 2 ** min(turn - 1, 20)))
+            chosen = ~F.col("inner") & ((F.col("u") == F.col("first")) | (F.pmod(F.xxhash64("u", F.lit(turn)), F.col("m")) < PIVOTS * 2 ** min(turn - 1, 20)))
             big = big.withColumn("chosen", chosen)
-            pivots = big.where("chosen").select("r", F.col("k").alias("q"), F.col("n").alias("qn"))
-            tried = big.join(pivots, "r").where("k != q")
-            pairs = pairs.unionByName(tried.where(_near_size("n", "qn", percent)).select(F.least("k", "q").alias("a"), F.greatest("k", "q").alias("b")))
+            pivots = big.where("chosen").select("r", F.col("u").alias("q"), F.col("n").alias("qn"))
+            tried = big.join(pivots, "r").where("u != q")
+            pairs = pairs.unionByName(tried.where(_near_size("n", "qn", percent)).select(F.least("u", "q").alias("a"), F.greatest("u", "q").alias("b")))
         known = compare(pairs.distinct())
         found.append(known.where("linked").select("a", "b"))
         if not more:
             break
         rest = (
             tried.where("not chosen")
-            .withColumns({"a": F.least("k", "q"), "b": F.greatest("k", "q")})
+            .withColumns({"a": F.least("u", "q"), "b": F.greatest("u", "q")})
             .join(known.withColumnsRenamed({"d": "dq", "linked": "lq"}), ["a", "b"], "left")
             .withColumn("exact", F.coalesce("exact", F.lit(False)))
             .withColumn("dq", F.coalesce("dq", F.greatest(1 - F.least("n", "qn") / F.greatest("n", "qn"), F.lit(eps))))
@@ -249,9 +259,9 @@ def links(docs: DataFrame, sig: DataFrame, words: int = WORDS, percent: int = PE
         # around it; all outside the cores go on together.  Pivots are done with.
         cells = rest.where(F.col("dq") <= 3 * eps + 1e-9).groupBy("r", "q", "m").agg(F.count("*").alias("held")).where("2 * held <= m").select("r", "q")
         inside = rest.join(cells, ["r", "q"]).where(F.col("dq") <= 3 * eps + 1e-9)
-        cell_state = inside.select(F.xxhash64("r", "q").alias("r"), "k", "n", F.col("dq").alias("d"), F.col("exact").alias("sure"), F.col("lq").alias("inner"))
-        cores = inside.where("exact").where(F.col("dq") <= 2 * eps).select("r", "k").distinct()
-        others = big.where("not chosen").join(cores, ["r", "k"], "left_anti").select("r", "k", "n", "d", "sure", "inner")
+        cell_state = inside.select(F.xxhash64("r", "q").alias("r"), "u", "n", F.col("dq").alias("d"), F.col("exact").alias("sure"), F.col("lq").alias("inner"))
+        cores = inside.where("exact").where(F.col("dq") <= 2 * eps).select("r", "u").distinct()
+        others = big.where("not chosen").join(cores, ["r", "u"], "left_anti").select("r", "u", "n", "d", "sure", "inner")
         state = stored(cell_state.unionByName(others))
     return _union(found)
 
@@ -265,10 +275,12 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def keyed_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, k, t, n and c, the least k of the component, for every row."""
-    sig = stored(signatures(docs, frequent_bits(docs, words), words, percent))
+    sig = signatures(docs, frequent_bits(docs, words), words, percent)
     comp = components(links(docs, sig, words, percent))
-    reps = sig.where("n > 0").groupBy("fp").agg(F.min("k").alias("node"))
-    of_set = reps.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("c"))
+    sets = stored(sig.where("n > 0").groupBy("fp").agg(F.min("u").alias("node"), F.min("k").alias("least")))
+    linked = stored(sets.join(comp, "node"))
+    least = linked.groupBy("component").agg(F.min("least").alias("c"))
+    of_set = sets.join(linked.join(least, "component").select("fp", "c"), "fp", "left").select("fp", F.coalesce("c", "least").alias("c"))
     out = sig.select("doc_id", "k", "t", "n", "fp").join(of_set, "fp", "left")
     return out.select("doc_id", "k", "t", "n", F.coalesce("c", "k").alias("c"))
 
