@@ -162,6 +162,17 @@ def test_similarity_identities(spark):
     assert got == pytest.approx({2: 1.0, 3: 0.0, 4: -1.0}, abs=1e-9)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_top_k_goes_over_queries_in_blocks(spark, monkeypatch, metric):
+    r = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, r.normal(size=5).tolist()) for i in range(90)], "vec_id long, embedding array<double>").repartition(3)
+    want = sorted(map(tuple, similarity.top_k(v, v.where("vec_id % 3 = 0"), 4, metric).collect()))
+    monkeypatch.setattr(similarity, "MAX_QUERIES", 7)
+    got = sorted(map(tuple, similarity.top_k(v, v.where("vec_id % 3 = 0"), 4, metric).collect()))
+    assert len(want) == 120 and [(a, b, n) for a, b, _, n in got] == [(a, b, n) for a, b, _, n in want]
+    np.testing.assert_allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-9)
+
+
 def test_steps_and_streaks(spark):
     df = spark.createDataFrame([(-30.0, "loosen"), (0.4, "tighten"), (-50.0, "loosen"), (0.4, "keep")], "v double, a string")
     assert [r["next"] for r in tracking.bounded_step(df, "v", "a", 5.0, -50.0, 100.0).collect()] == [-35.0, 5.4, None, None]

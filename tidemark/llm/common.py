@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import scratch
+
 #: Stands for a null doc_id wherever an order or a key is needed: such rows form one last document.
 NULL_ID = 2**63 - 1
 
@@ -20,22 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh folder name under the shared checkpoint folder of the session.
-
-    Only where the session names none (tests, a single machine) a temporary folder is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            base = found.get()
-        else:
-            base = tempfile.mkdtemp(prefix="spark-")
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame) -> DataFrame:
     """The same rows, written to the shared folder and read again; cuts the lineage."""
     spark = df.sparkSession

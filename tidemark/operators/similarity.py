@@ -9,18 +9,32 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import scratch
+
 MAX_QUERIES = 4096
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, id, score, rank of the k nearest other vectors of every query.
 
-    The queries are a stated, bounded set and broadcast; every partition of the vectors keeps its
-    own k best of each query by one matrix product a batch, and only those are ranked together.
+    Up to MAX_QUERIES queries are broadcast; every partition of the vectors keeps its own k best of
+    each query by one matrix product a batch, and only those are ranked together.  More queries go
+    in blocks of about that many by the hash of their ids, one pass over the vectors for each, and
+    the results are written to the shared folder: the driver holds one block at a time.
     """
-    held = queries.select(id_col, vec_col).limit(MAX_QUERIES + 1).toPandas()
-    if len(held) > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} queries at a time; call again for the next block")
+    asked = queries.select(id_col, vec_col)
+    held = asked.limit(MAX_QUERIES + 1).toPandas()
+    if len(held) <= MAX_QUERIES:
+        return _top_k(vectors, held, k, metric, id_col, vec_col)
+    blocks, path = -(-asked.count() // MAX_QUERIES), scratch(vectors.sparkSession)
+    for block in range(blocks):
+        held = asked.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == block).toPandas()
+        found = _top_k(vectors, held, k, metric, id_col, vec_col)
+        found.write.mode("append").parquet(path)
+    return vectors.sparkSession.read.schema(found.schema).parquet(path)
+
+
+def _top_k(vectors: DataFrame, held: pd.DataFrame, k: int, metric: str, id_col: str, vec_col: str) -> DataFrame:
     ids = held[id_col].to_numpy(np.int64)
     q = np.stack([np.asarray(v, np.float64) for v in held[vec_col]]) if len(held) else np.zeros((0, 1))
 
