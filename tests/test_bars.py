@@ -148,6 +148,35 @@ def test_backtest_trades_are_consistent(spark, table):
     np.testing.assert_allclose(t["profit_pct"], (sign * (t["exit_price"] - t["entry_price"]) / t["entry_price"] - 0.0008) * 100)
 
 
+def test_walks_carry_their_state_over_long_series(spark):
+    r = np.random.default_rng(6)
+    n = 9000
+    close = 100 * np.exp(np.cumsum(r.normal(0, 0.001, n)))
+    opened = np.concatenate([[100.0], close[:-1]])
+    high, low = np.maximum(opened, close) * 1.0005, np.minimum(opened, close) * 0.9995
+    signal = np.where(np.arange(n) % 45 == 5, 1, np.where(np.arange(n) % 45 == 25, -1, 0))
+    b = pd.DataFrame({"symbol": "a", "bar_idx": np.arange(n), "open": opened, "high": high, "low": low, "close": close, "atr": close * 0.02, "signal": signal})
+    df = spark.createDataFrame(pd.concat([b, b.head(700).assign(symbol="b")])).repartition(5, "bar_idx")
+    turns, up, top, bottom = [], None, 0, 0
+    for i in range(1, n):
+        top = i if up is not False and high[i] > high[top] else top
+        bottom = i if up is not True and low[i] < low[bottom] else bottom
+        if up is not False and high[top] - low[i] >= close[i] * 0.04 and top < i:
+            turns.append((top, True))
+            up, bottom = False, i
+        elif up is not True and high[i] - low[bottom] >= close[i] * 0.04 and bottom < i:
+            turns.append((bottom, False))
+            up, top = True, i
+    turns.append((top, True) if up else (bottom, False))
+    got = recurrences.zigzag(df).where("symbol = 'a'").orderBy("bar_idx").collect()
+    assert [(x["bar_idx"], x["is_high"]) for x in got] == turns
+    trades = recurrences.backtest(df, 0.5, 0.5, 60).toPandas().sort_values(["symbol", "entry_idx"])
+    own = trades[trades["symbol"] == "a"]
+    # Far targets: each position is turned by the opposite signal, and only the last bar closes one.
+    assert own["entry_idx"].tolist() == [i + 1 for i in range(n - 1) if signal[i]] and own["exit_idx"].tolist() == [*own["entry_idx"].tolist()[1:], n - 1]
+    assert (own["reason"].iloc[:-1] == "SIGNAL").all() and trades[trades["symbol"] == "b"]["exit_idx"].max() == 699
+
+
 def test_swings_and_trades(table):
     points = swings.alternating(swings.swing_points(table)).toPandas().sort_values(["symbol", "bar_idx"])
     for _, g in points.groupby("symbol"):

@@ -1,55 +1,76 @@
-"""Order-dependent walks over bars or trades that no window expresses: one fold for each series.
+"""Order-dependent walks over bars or trades that no window expresses.
 
-Each function takes the rows of one symbol (or of one fold of it) as a pandas frame, and is
-applied by Spark to many of them at once; long series are dealt into folds first (`folds`), so
-that a task holds one fold and not a symbol's whole history.
+Walks over bars read a symbol's bars in order, batch by batch, and carry their small state from
+each to the next: a task holds a batch and not a symbol's whole history, and symbols run side by
+side.  Trades are chosen for each symbol as a pandas frame.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def folds(bars: DataFrame, length: int = 4096, step: int | None = None) -> DataFrame:
-    """bars with fold: overlapping stretches of `length` bars every `step` bars."""
-    step = step or length
-    first = F.greatest(F.lit(0), F.expr(f"(bar_idx - {length} + {step}) div {step}"))
-    return bars.withColumn("fold", F.explode(F.sequence(first, F.expr(f"bar_idx div {step}"))))
-
-
-def zigzag(bars: DataFrame, threshold: float = 2.0, length: int = 4096) -> DataFrame:
-    """symbol, bar_idx, price, is_high: turns of at least threshold ATRs (1 % of close without ATR).
-
-    Every fold of `length` bars is walked from its own start."""
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_idx")
-        idx, high, low = pdf["bar_idx"].to_numpy(), pdf["high"].to_numpy(), pdf["low"].to_numpy()
-        atr, close = pdf["atr"].to_numpy(float), pdf["close"].to_numpy()
-        need = np.where(np.isnan(atr) | (atr <= 0), close * 0.01, atr * threshold)
-        out, up, top, bottom = [], None, 0, 0
-        for i in range(1, len(pdf)):
-            if up is not False and high[i] > high[top]:
-                top = i
-            if up is not True and low[i] < low[bottom]:
-                bottom = i
-            if up is not False and high[top] - low[i] >= need[i] and top < i:
-                out.append((idx[top], high[top], True))
-                up, bottom = False, i
-            elif up is not True and high[i] - low[bottom] >= need[i] and bottom < i:
-                out.append((idx[bottom], low[bottom], False))
-                up, top = True, i
+def _walked(bars: DataFrame, columns: list[str], walk: Callable[[Iterator[tuple[tuple, bool]]], Iterator[tuple]], names: list[str], types: str) -> DataFrame:
+    """What walk yields for the rows of each symbol in order, each with whether it is the last one.
+
+    A symbol's rows come to one task by sorted Arrow batches; only the walk's own state and one
+    row go from batch to batch."""
+    types = f"symbol string, {types}"
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, tuple, bool]]:
+        held = None
+        for pdf in batches:
+            for row in pdf.itertuples(index=False, name=None):
+                if held is not None:
+                    yield held[0], held[1:], held[0] != row[0]
+                held = row
+        if held is not None:
+            yield held[0], held[1:], True
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for symbol, rows in groupby(marked(batches), itemgetter(0)):
+            for found in walk((row, last) for _, row, last in rows):
+                out.append((symbol, *found))
+                if len(out) >= 4096:
+                    yield pd.DataFrame(out, columns=["symbol", *names])
+                    out = []
+        yield pd.DataFrame(out, columns=["symbol", *names])
+
+    return bars.select("symbol", *columns).repartition("symbol").sortWithinPartitions("symbol", "bar_idx").mapInPandas(run, types)
+
+
+def zigzag(bars: DataFrame, threshold: float = 2.0) -> DataFrame:
+    """symbol, bar_idx, price, is_high: turns of at least threshold ATRs (1 % of close without ATR)."""
+
+    def walk(rows: Iterator[tuple[tuple, bool]]) -> Iterator[tuple]:
+        up = top = bottom = None
+        for (idx, high, low, close, atr), _ in rows:
+            if top is None:
+                top, bottom = (idx, high), (idx, low)
+                continue
+            need = close * 0.01 if atr is None or not atr > 0 else atr * threshold
+            if up is not False and high > top[1]:
+                top = idx, high
+            if up is not True and low < bottom[1]:
+                bottom = idx, low
+            if up is not False and top[1] - low >= need and top[0] < idx:
+                yield (*top, True)
+                up, bottom = False, (idx, low)
+            elif up is not True and high - bottom[1] >= need and bottom[0] < idx:
+                yield (*bottom, False)
+                up, top = True, (idx, high)
         if up is not None:
-            out.append((idx[top], high[top], True) if up else (idx[bottom], low[bottom], False))
-        return pd.DataFrame({"symbol": pdf["symbol"].iloc[0], "bar_idx": [o[0] for o in out], "price": [o[1] for o in out], "is_high": [o[2] for o in out]})
+            yield (*top, True) if up else (*bottom, False)
 
-    dealt = folds(bars.select("symbol", "bar_idx", "high", "low", "close", "atr"), length)
-    return dealt.groupBy("symbol", "fold").applyInPandas(walk, "symbol string, bar_idx long, price double, is_high boolean")
+    return _walked(bars, ["bar_idx", "high", "low", "close", "atr"], walk, ["bar_idx", "price", "is_high"], "bar_idx long, price double, is_high boolean")
 
 
 def best_trades(candidates: DataFrame, *keys: str) -> DataFrame:
@@ -79,18 +100,15 @@ def best_trades(candidates: DataFrame, *keys: str) -> DataFrame:
     return candidates.select(*keys, *names).groupBy(*keys).applyInPandas(choose, schema)
 
 
-def backtest(signals: DataFrame, take_profit: float = 0.006, stop_loss: float = 0.008, max_hold: int = 60, fee: float = 0.0004, length: int = 4096) -> DataFrame:
+def backtest(signals: DataFrame, take_profit: float = 0.006, stop_loss: float = 0.008, max_hold: int = 60, fee: float = 0.0004) -> DataFrame:
     """Trades of one position at a time: entry at the open after a signal (1 long, -1 short), exit
     at target, stop (stop first), the opposite signal or after max_hold bars; fees both ways.
 
-    Each fold starts flat and closes its last trade at its last bar."""
+    A symbol starts flat and closes its last trade at its last bar."""
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_idx")
-        rows = list(pdf[["bar_idx", "open", "high", "low", "close", "signal"]].itertuples(index=False))
-        out, side, entry, since = [], 0, 0.0, 0
-        for i, (idx, opened, high, low, close, _) in enumerate(rows):
-            before = rows[i - 1].signal if i else 0
+    def walk(rows: Iterator[tuple[tuple, bool]]) -> Iterator[tuple]:
+        side, entry, since, before = 0, 0.0, 0, 0
+        for (idx, opened, high, low, close, signal), last in rows:
             reason = price = None
             if side and before == -side:
                 price, reason = opened, "SIGNAL"
@@ -100,30 +118,30 @@ def backtest(signals: DataFrame, take_profit: float = 0.006, stop_loss: float =
                     price, reason = stop, "STOP_LOSS"
                 elif (high >= goal) if side > 0 else (low <= goal):
                     price, reason = goal, "TAKE_PROFIT"
-                elif idx - since >= max_hold or i == len(rows) - 1:
+                elif idx - since >= max_hold or last:
                     price, reason = close, "TIMEOUT"
             if reason:
-                out.append((since, idx, "long" if side > 0 else "short", entry, price, (side * (price - entry) / entry - 2 * fee) * 100, reason))
+                yield since, idx, "long" if side > 0 else "short", entry, price, (side * (price - entry) / entry - 2 * fee) * 100, reason
                 side = 0
-            if not side and before and reason in (None, "SIGNAL") and i < len(rows) - 1:
+            if not side and before and reason in (None, "SIGNAL") and not last:
                 side, entry, since = int(before), opened, idx
-        columns = ["entry_idx", "exit_idx", "side", "entry_price", "exit_price", "profit_pct", "reason"]
-        found = pd.DataFrame(out, columns=columns)
-        found.insert(0, "symbol", pdf["symbol"].iloc[0])
-        return found
-
-    dealt = folds(signals.select("symbol", "bar_idx", "open", "high", "low", "close", "signal"), length)
-    return dealt.groupBy("symbol", "fold").applyInPandas(
-        walk, "symbol string, entry_idx long, exit_idx long, side string, entry_price double, exit_price double, profit_pct double, reason string"
+            before = signal
+
+    return _walked(
+        signals,
+        ["bar_idx", "open", "high", "low", "close", "signal"],
+        walk,
+        ["entry_idx", "exit_idx", "side", "entry_price", "exit_price", "profit_pct", "reason"],
+        "entry_idx long, exit_idx long, side string, entry_price double, exit_price double, profit_pct double, reason string",
     )
 
 
 def parameter_search(signals: DataFrame, grid: list[tuple[float, float, int]], fold_length: int = 720) -> DataFrame:
-    """Sharpe-like ratio of the back-test for each (take_profit, stop_loss, max_hold) and fold: every
-    trial is an independent plan, and folds run side by side."""
+    """Sharpe-like ratio of the back-test for each (take_profit, stop_loss, max_hold) and fold of
+    entries: every trial is an independent plan over whole series; positions cross the folds' ends."""
     parts = []
     for number, (tp, sl, hold) in enumerate(grid):
-        trades = backtest(signals, tp, sl, hold, length=fold_length).withColumn("trial", F.lit(number)).withColumn("fold", F.expr(f"entry_idx div {fold_length}"))
+        trades = backtest(signals, tp, sl, hold).withColumn("trial", F.lit(number)).withColumn("fold", F.expr(f"entry_idx div {fold_length}"))
         parts.append(trades.groupBy("trial", "fold").agg(F.count("*").alias("n"), F.avg("profit_pct").alias("mean"), F.stddev_pop("profit_pct").alias("sd")))
     out = parts[0]
     for p in parts[1:]:
