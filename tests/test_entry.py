@@ -39,3 +39,15 @@ def test_query_equals_its_sql(spark, name):
     at = [want.columns.index(c) for c in columns]
     b = sorted((tuple(r[i] for i in at) for r in want.fetchall()), key=key)
     assert a == b
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
+def test_trajectories_end_at_every_bar(spark):
+    table = catalog.ind.window_indicators(catalog.bars(spark, SF)).where("bar_idx >= 20").selectExpr("symbol", "bar_idx", "rsi / 100 AS a", "boll_position AS b", "volume_ratio AS c").toPandas()
+    want = set()
+    for symbol, g in table.sort_values("bar_idx").groupby("symbol"):
+        x, idx = g[["a", "b", "c"]].to_numpy(float), g["bar_idx"].tolist()
+        d = [(min(1.0, catalog.sim.dtw(x[:20], x[i - 19 : i + 1]) / (20 * 3**0.5 * 2)), idx[i]) for i in range(20, len(x))]
+        want |= {(symbol, i, n + 1, round(v, 9)) for n, (v, i) in enumerate(sorted(d)[:10])}
+    got = {(r["symbol"], r["bar_idx"], r["rank"], round(r["dtw"], 9)) for r in catalog.QUERIES["trajectory_dtw"](spark, SF).collect()}
+    assert got == want and any(i % 20 != 19 for _, i, _, _ in got)

@@ -111,14 +111,32 @@ def dtw(a: np.ndarray, b: np.ndarray, radius: int = 10) -> float:
     return float(row[m])
 
 
+def _dtw_many(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """dtw of a[i] and b[i], arrays of (pairs, steps, features), all pairs side by side."""
+    n, m = a.shape[1], b.shape[1]
+    band = max(radius, abs(n - m))
+    row = np.full((m + 1, len(a)), np.inf)
+    row[0] = 0.0
+    for i in range(n):
+        new = np.full_like(row, np.inf)
+        for j in range(max(0, i - band), min(m, i + band + 1)):
+            new[j + 1] = np.sqrt(((a[:, i] - b[:, j]) ** 2).sum(1)) + np.minimum(np.minimum(row[j], row[j + 1]), new[j])
+        row = new
+    return row[m]
+
+
 def dtw_pairs(pairs: DataFrame, radius: int = 10) -> DataFrame:
     """pairs with dtw over columns x and y, arrays of feature arrays; scaled to 0 (equal) to 1."""
 
     def scaled(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y, strict=True):
-            p, q = np.stack([np.asarray(r, float) for r in a]), np.stack([np.asarray(r, float) for r in b])
-            out.append(min(1.0, dtw(p, q, radius) / (max(len(p), len(q)) * np.sqrt(p.shape[1]) * 2)))
+        out, alike = np.zeros(len(x)), {}
+        for i, (a, b) in enumerate(zip(x, y, strict=True)):
+            alike.setdefault((len(a), len(b)), []).append(i)
+        stacked = lambda s, at: np.stack([np.stack([np.asarray(r, float) for r in s.iloc[i]]) for i in at])
+        for (n, m), at in alike.items():
+            p, q = stacked(x, at), stacked(y, at)
+            d = _dtw_many(p, q, radius) / (max(n, m) * np.sqrt(p.shape[2]) * 2)
+            out[at] = np.where(d < 1.0, d, 1.0)
         return pd.Series(out)
 
     return pairs.withColumn("dtw", F.pandas_udf(scaled, "double")("x", "y"))

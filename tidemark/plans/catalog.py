@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.windows import frame, only_own, with_halo
 from tidemark.operators import features as feat
 from tidemark.operators import indicators as ind
 from tidemark.operators import learning as learn
@@ -592,9 +593,11 @@ def feature_importance(spark, sf_dir):
 
 @query()
 def trajectory_dtw(spark, sf_dir):
-    """The ten trajectories of 20 bars nearest to each symbol's first, by DTW over three features."""
-    cols = "collect_list(array(rsi / 100, boll_position, volume_ratio)) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS y"
-    t = ind.window_indicators(bars(spark, sf_dir)).where("bar_idx >= 20").selectExpr("symbol", "bar_idx", cols).where("size(y) = 20 AND bar_idx % 20 = 19")
+    """The ten trajectories of 20 bars nearest to each symbol's first, by DTW over three features;
+    a trajectory ends at every bar."""
+    cols = frame("collect_list", "array(rsi / 100, boll_position, volume_ratio)", "19 PRECEDING", "CURRENT ROW") + " AS y"
+    held = with_halo(ind.window_indicators(bars(spark, sf_dir)).where("bar_idx >= 20"), 19).selectExpr("symbol", "bar_idx", "own", "chunk", cols)
+    t = only_own(held).where("size(y) = 20")
     first = t.groupBy("symbol").agg(F.min_by("y", "bar_idx").alias("x"), F.min("bar_idx").alias("first_idx"))
     scored = sim.dtw_pairs(t.join(F.broadcast(first), "symbol").where("bar_idx > first_idx"))
     return scored.withColumn("rank", F.expr("row_number() OVER (PARTITION BY symbol ORDER BY dtw, bar_idx)")).where("rank <= 10").select("symbol", "bar_idx", "dtw", "rank")
