@@ -41,6 +41,14 @@ def test_query_equals_its_sql(spark, name):
     assert a == b
 
 
+def test_forest_is_that_of_the_operator(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(catalog, "bars", lambda spark, sf_dir: spark.range(0).selectExpr("'a' AS symbol", "id AS bar_idx", "timestamp_seconds(id) AS ts", *[f"0D AS {c}" for c in catalog.OHLCV]))
+    monkeypatch.setattr(catalog.learn, "importances", lambda table, names, label, **kw: asked.update(table=table, names=names, kw=kw))
+    catalog.QUERIES["feature_importance"](spark, SF)
+    assert len(asked["names"]) == 44 and set(asked["names"]) < set(asked["table"].columns) and asked["kw"] == {}
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 def test_trajectories_end_at_every_bar(spark):
     table = catalog.ind.window_indicators(catalog.bars(spark, SF)).where("bar_idx >= 20").selectExpr("symbol", "bar_idx", "rsi / 100 AS a", "boll_position AS b", "volume_ratio AS c").toPandas()

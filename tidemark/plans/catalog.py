@@ -586,9 +586,10 @@ def embedding_prototypes(spark, sf_dir):
 
 @query()
 def feature_importance(spark, sf_dir):
-    names = ["rsi", "boll_position", "volume_ratio", "adx", "roc", "close_vs_ma5"]
-    table = sig.outcomes(ind.window_indicators(bars(spark, sf_dir)), "long").where("hold >= 0 AND adx IS NOT NULL").select(*names, F.col("outcome").cast("int").alias("y"))
-    return learn.importances(table, names, "y", trees=20, depth=5)
+    names = [n for group in feat.GROUPS.values() for n in group]
+    table = ind.indicators(bars(spark, sf_dir))
+    judged = sig.outcomes(table, "long").where("hold >= 0 AND adx IS NOT NULL").select(*KEYS, F.col("outcome").cast("int").alias("y"))
+    return learn.importances(feat.features(table).join(judged, KEYS), names, "y")
 
 
 @query()
