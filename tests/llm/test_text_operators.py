@@ -146,18 +146,33 @@ def test_jaccard_classes_equal_brute_force(docs, rows):
     assert got == brute_components(rows)
 
 
-def test_jaccard_recursion_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "LEAF", 4)
-    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
-    r = np.random.default_rng(5)
-    rows, base = [], [f"w{i}" for i in range(60)]
-    for i in range(60):
+@pytest.mark.parametrize(("leaf", "edits", "clusters"), [(8, 6, 1), (16, 16, 3)])
+def test_jaccard_recursion_equals_brute_force(spark, leaf, edits, clusters):
+    """Groups beyond a leaf, dense ones and ones that fall into cells, joined to one another."""
+    r = np.random.default_rng(leaf)
+    rows, shared = [], [f"s{i}" for i in range(40)]
+    for c in range(clusters):
+        base = shared + [f"w{c}-{i}" for i in range(60)]
+        for _ in range(90 // clusters):
+            w = list(base)
+            for j in r.integers(0, len(w), int(r.integers(0, edits))):
+                w[j] = f"v{r.integers(0, 3)}"
+            rows.append((len(rows), " ".join(w)))
+    got = jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), leaf=leaf).collect()
+    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in got} == brute_components(rows)
+
+
+def test_links_of_a_clique_are_as_many_as_its_members(spark):
+    r = np.random.default_rng(1)
+    rows, base = [], [f"w{i}" for i in range(150)]
+    for i in range(3000):
         w = list(base)
-        for j in r.integers(0, 60, int(r.integers(0, 6))):
-            w[j] = f"v{r.integers(0, 3)}"
+        w[int(r.integers(0, 150))] = f"x{i}"
         rows.append((i, " ".join(w)))
-    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sig = jaccard_join.signatures(docs, jaccard_join.frequent_bits(docs))
+    assert jaccard_join.links(docs, sig).count() < 4 * len(rows)
+    assert {x["component_id"] for x in jaccard_join.classes(docs).collect()} == {0}
 
 
 def test_jaccard_tells_rows_of_one_id_apart(spark):

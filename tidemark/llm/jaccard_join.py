@@ -1,28 +1,32 @@
 """Exact Jaccard self-join over word shingles as a metric-space join with pivots.
 
-Jaccard distance is a metric, so pivots and the triangle inequality bound what a region can
-miss.  Documents of a corpus are nearly all at distance 1 from each other, where document
-pivots alone tell nothing apart; the first pivots are therefore single shingles.  The home
-region of a document is its first shingle in a fixed order; a document within distance
-1 - SIMILARITY can lack so many of its shingles only, so replicating each document into the
-regions of that many further shingles (its window) puts every linked pair into a common region.
-The order puts frequent shingles last, as told by a sketch over all shingles of all texts: the
-order only steers cost, any fixed order is exact.
-
-Inside, regions join recursively.  The pivot of a region is compared with its members: members
-within the threshold are one component and need no comparison among themselves, nor do any that
-the links found so far join; members farther off can only link to those within the triangle
-window.  Before whole sets are compared,
-BUCKETS further pivots, the classes of all shingles by their hash, bound the distance of a pair
-from below by the triangle inequality of symmetric differences: sets that differ by at least L
-shingles in their counts by class are at distance 2 L / (both sizes + L) or more.  Small rests are compared pair
-by pair; large ones get several document pivots, whose cells hold the members up to twice the
-threshold beyond their core, and go round again.  Copies of one set are one member throughout,
-and equal regions are joined once.  Distances are computed on whole sets.
-
-A member is a distinct set, named by the least row number u of the rows that hold it, and not a
-doc_id: rows that repeat a doc_id or have none may hold different sets.  Only finished components
-are given the least doc_id of their rows.
+Jaccard distance is a metric, so pivots and the triangle inequality bound what a region can miss.
+
+1. Shingles as pivots.  Documents of a corpus are nearly all at distance 1 from each other, where
+   document pivots tell nothing apart; a set of one shingle is nearer to just the documents that
+   hold it.  The home of a document is its first shingle in a fixed order (the nearest pivot, ties
+   by the order).  A document within distance 1 - SIMILARITY can lack so many of its shingles
+   only, so replicating each document to that many further shingles (its window) puts every
+   linked pair into a common region.  The order puts frequent shingles last, as told by a sketch
+   over all shingles of all texts: the order only steers cost, any fixed order is exact.
+2. Documents as pivots.  The least member of a region is its pivot, and regions with one pivot are
+   one group: copies and near copies share nearly all their regions, which so become one.
+3. A group of over LEAF members gets CELLS pivots.  Each member is assigned to the nearest one by
+   exact distance (its Voronoi cell) and replicated to those that are at most twice the threshold
+   farther off, so that it meets everything it can be linked with in that one's home cell.  Members
+   that the pivots link are one component, and a cell of one component is done.  Cells join in the
+   same way again.  Where the cells don't separate (all members near each other), further pivots
+   are tried while they at least halve the members outside the commonest component; what then is
+   left is compared with the group in blocks of LEAF members.
+4. In groups of LEAF members at most, counts of shingles by BUCKETS classes bound distances from
+   below: sets that differ by at least L shingles in these counts are at distance 2 L / (both
+   sizes + L) or more.  Only members with an open pair have their whole sets compared, and none
+   that the links so far join.
+
+What comes out of a group is at most one link fewer than it has members.  Copies of one set are one
+member throughout.  A member is a distinct set, named by the least row number u of the rows that
+hold it, and not a doc_id: rows that repeat a doc_id or have none may hold different sets.  Only
+finished components are given the least doc_id of their rows.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import NULL_ID, id_key, stored, text_key, texts
@@ -46,10 +50,12 @@ PERCENT = 80
 SKETCH_BITS = 22
 CHUNKS = 256
 FREQUENT = 16
-LEAF = 32
-PIVOTS = 8
+LEAF = 1_024
+SET_SHINGLES = 1 << 22
+CELLS = 8
 BROADCAST_IDS = 500_000
 BUCKETS = 256
+PIVOT, OUTSIDE, INSIDE, BOTH = range(4)
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -144,125 +150,259 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return keyed.join(F.broadcast(ids) if few else ids, ["k", "t"]).select("u", "text").mapInArrow(made, "u long, s array<bigint>")
 
 
-def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
-    x = np.frombuffer(b"".join(a), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
-    y = np.frombuffer(b"".join(b), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
-    return pd.Series(np.abs(x - y).sum(axis=1, dtype=np.int32))
-
-
-class _Compared:
-    """Distances of pairs, by bounds first and by whole sets where the bounds leave it open."""
-
-    def __init__(self, docs: DataFrame, reps: DataFrame, repeated: bool, words: int, percent: int):
-        self.docs, self.repeated, self.words, self.percent = docs, repeated, words, percent
-        self.counts = reps.select("u", "n", "counts")
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of one key at a time, of batches sorted by it."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(key).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        table = pa.Table.from_batches([batch])
+        for i, (begin, end) in enumerate(zip(edges, edges[1:], strict=False)):
+            if held and (i or held[0].column(key)[0].as_py() != keys[0]):
+                yield pa.concat_tables(held).combine_chunks()
+                held = []
+            held.append(table.slice(begin, end - begin))
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _arrays(rows: pa.Table) -> list[np.ndarray]:
+    column = rows.column("s").combine_chunks()
+    offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    return [values[a:b] for a, b in zip(offsets, offsets[1:], strict=False)]
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int(np.count_nonzero(y[at] == x)) if len(y) else 0
+
+
+class _Open:
+    """The pairs of a group that sizes and counts by class leave open, a row at a time."""
+
+    def __init__(self, rows: pa.Table, percent: int):
+        self.percent = percent
+        self.n = rows.column("n").to_numpy().astype(np.int64)
+        self.label = rows.column("label").to_numpy()
+        self.role = rows.column("role").to_numpy()
+        self.counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+        self.against = np.flatnonzero(self.role != OUTSIDE)
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        n, c, against = self.n, self.counts, self.against
+        for i in np.flatnonzero(self.role != INSIDE):
+            js = against[against > i] if self.role[i] == BOTH else against
+            js = js[(self.label[js] != self.label[i]) & (100 * np.minimum(n[js], n[i]) >= self.percent * np.maximum(n[js], n[i]))]
+            if not len(js):
+                continue
+            apart = (np.maximum(c[js], c[i]) - np.minimum(c[js], c[i])).sum(axis=1, dtype=np.int64)
+            both = n[js] + n[i]
+            left = 100 * (both - apart) >= self.percent * (both + apart)
+            if left.any():
+                yield i, js[left], apart[left]
+
+
+def _root(parent: list[int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def _with_open_pairs(percent: int):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "g"):
+            some = np.zeros(rows.num_rows, bool)
+            for i, js, _ in _Open(rows, percent):
+                some[i] = True
+                some[js] = True
+            if some.any():
+                yield from rows.filter(pa.array(some)).to_batches()
+
+    return found
+
+
+def _spanning_links(percent: int):
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "g"):
+            sets, u = _arrays(rows), rows.column("u").to_numpy()
+            pairs = _Open(rows, percent)
+            _, at = np.unique(pairs.label, return_inverse=True)
+            at, parent = at.tolist(), list(range(len(at)))
+            a, b = [], []
+            for i, js, apart in pairs:
+                for j in js[np.argsort(apart, kind="stable")].tolist():
+                    mine, other = _root(parent, at[i]), _root(parent, at[j])
+                    if mine == other:
+                        continue
+                    common = _common(sets[i], sets[j])
+                    if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                        parent[mine] = other
+                        a.append(u[i])
+                        b.append(u[j])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return found
+
+
+def _distances(percent: int):
+    """For the members of a block (after its pivots): whole-set distances to each pivot, linked
+    where that joins what was not joined within the block."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "g"):
+            sets, role, u = _arrays(rows), rows.column("role").to_numpy(), rows.column("u").to_numpy()
+            pivots = np.flatnonzero(role == PIVOT)
+            parent = list(range(rows.num_rows))
+            out: dict[str, list] = {name: [] for name in ("cell", "u", "n", "to")}
+            for i in np.flatnonzero(role != PIVOT).tolist():
+                to = []
+                for j in pivots.tolist():
+                    common = _common(sets[i], sets[j])
+                    union = len(sets[i]) + len(sets[j]) - common
+                    new = 100 * common >= percent * union and u[i] != u[j] and (x := _root(parent, i)) != (y := _root(parent, j))
+                    if new:
+                        parent[x] = y
+                    to.append({"q": int(u[j]), "d": 1 - common / union, "linked": new})
+                for name, value in (("cell", rows.column("cell")[i].as_py()), ("u", int(u[i])), ("n", len(sets[i])), ("to", to)):
+                    out[name].append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.struct([("q", pa.int64()), ("d", pa.float64()), ("linked", pa.bool_())])))
+            yield pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], list(out))
+
+    return found
+
+
+def _dealt(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows of a group g together, groups being of a bounded size."""
+    return rows.repartition("g").sortWithinPartitions("g", *order)
+
+
+class _Groups:
+    """Joins groups(cell, u, n, label) of any size; label tells members known to be joined."""
+
+    def __init__(self, docs: DataFrame, reps: DataFrame, repeated: bool, words: int, percent: int, leaf: int):
+        self.docs, self.repeated, self.words, self.percent, self.leaf = docs, repeated, words, percent, leaf
+        self.counts = reps.select("u", "counts")
         self.where = reps.select("u", "k", "t")
-
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """a, b, d, linked, exact for distinct pairs(a, b); where not exact, d is a lower bound
-        above the threshold."""
-        by = lambda x: self.counts.select(F.col("u").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}"))
-        bounded = pairs.join(by("a"), "a").join(by("b"), "b").withColumn("l", F.pandas_udf(_apart, "int")("ca", "cb")).withColumn("both", F.col("na") + F.col("nb"))
-        bounded = stored(bounded.select("a", "b", (2 * F.col("l") / (F.col("both") + F.col("l"))).alias("d"), (100 * (F.col("both") - F.col("l")) >= self.percent * (F.col("both") + F.col("l"))).alias("open")))
-        far = bounded.where("not open").select("a", "b", "d", F.lit(False).alias("linked"), F.lit(False).alias("exact"))
-        left = bounded.where("open").select("a", "b")
-        if not left.limit(1).count():
-            return far
-        ids = left.select(F.col("a").alias("u")).unionByName(left.select(F.col("b").alias("u"))).distinct()
-        sets = _whole_sets(self.docs, stored(self.where.join(ids, "u")), self.words)
-        sets = stored(sets.dropDuplicates(["u"]) if self.repeated else sets)
-        found = (
-            left.join(sets.select(F.col("u").alias("b"), F.col("s").alias("sb")), "b")
-            .join(sets.select(F.col("u").alias("a"), F.col("s").alias("sa")), "a")
-            .select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("both"))
-        )
-        union = F.col("both") - F.col("i")
-        exact = found.select("a", "b", (1 - F.col("i") / union).alias("d"), (100 * F.col("i") >= self.percent * union).alias("linked"), F.lit(True).alias("exact"))
-        return stored(exact.unionByName(far))
-
-
-def _near_size(x: str, y: str, percent: int):
-    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-
-def links(docs: DataFrame, sig: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+        self.eps = 1 - percent / 100
+
+    def _sets(self, of: DataFrame) -> DataFrame:
+        """u, s for the members of a table."""
+        sets = _whole_sets(self.docs, stored(self.where.join(of.select("u").distinct(), "u")), self.words)
+        return stored(sets.dropDuplicates(["u"]) if self.repeated else sets)
+
+    def within(self, groups: DataFrame, one_block: bool) -> DataFrame:
+        """a, b: links that join every group, members outside its commonest component against all
+        (one_block: groups of a leaf at most, everything against everything)."""
+        if one_block:
+            dealt = groups.withColumns({"g": F.col("cell"), "role": F.lit(BOTH)})
+        else:
+            inner = F.coalesce(F.col("label") == F.col("main"), F.lit(False))
+            weight = lambda x: F.greatest(F.ceil(F.sum(x) / self.leaf), F.ceil(F.sum(x * F.col("n")) / SET_SHINGLES), F.lit(1))
+            sizes = groups.withColumn("out", (~inner).cast("int")).groupBy("cell").agg(weight(F.col("out")).cast("int").alias("outs"), weight(F.lit(1)).cast("int").alias("alls"))
+            cut = groups.join(sizes, "cell").withColumn("h", F.xxhash64("u"))
+            sides = F.array(
+                F.struct(F.lit(OUTSIDE).alias("role"), F.pmod("h", "outs").cast("int").alias("own"), F.col("alls").alias("times")),
+                F.struct(F.lit(INSIDE).alias("role"), F.pmod("h", "alls").cast("int").alias("own"), F.col("outs").alias("times")),
+            )
+            sides = F.filter(sides, lambda x: (x["role"] == INSIDE) | ~inner)
+            each = cut.withColumn("side", F.explode(sides)).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("side.times") - 1)))
+            first, second = F.when(F.col("side.role") == OUTSIDE, F.col("side.own")).otherwise(F.col("with")), F.when(F.col("side.role") == OUTSIDE, F.col("with")).otherwise(F.col("side.own"))
+            dealt = each.select("cell", "u", "n", "label", F.xxhash64("cell", first, second).alias("g"), F.col("side.role").alias("role"))
+        kept = "g long, u long, n int, label long, role int, counts binary"
+        some = _dealt(dealt.select("g", "u", "n", "label", "role").join(self.counts, "u").select("g", "u", "n", "label", "role", "counts"))
+        left = stored(some.mapInArrow(_with_open_pairs(self.percent), kept))
+        return stored(_dealt(left.join(self._sets(left), "u")).mapInArrow(_spanning_links(self.percent), "a long, b long"))
+
+    def cells(self, groups: DataFrame, turn: int) -> DataFrame:
+        """cell, u, n and the distances `to` its pivots, for groups(cell, u, n, m, blocks); members
+        that no pivots were drawn for are missing."""
+        drawn = groups.withColumn("h", F.xxhash64("u", F.lit(turn))).where(F.pmod("h", "m") < 4 * CELLS)
+        rank = F.row_number().over(Window.partitionBy("cell").orderBy("h", "u"))
+        pivots = drawn.withColumn("rank", rank).where(F.col("rank") <= CELLS)
+        rows = groups.select("cell", F.pmod(F.xxhash64("u"), "blocks").cast("int").alias("block"), "u", F.lit(INSIDE).alias("role"))
+        copies = pivots.select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "u", F.lit(PIVOT).alias("role"))
+        both = rows.unionByName(copies).withColumn("g", F.xxhash64("cell", "block"))
+        made = "cell long, u long, n int, to array<struct<q: long, d: double, linked: boolean>>"
+        dealt = _dealt(both.join(self._sets(groups), "u").select("g", "cell", "u", "role", "s"), "role")
+        return stored(dealt.mapInArrow(_distances(self.percent), made).where("size(to) > 0"))
+
+
+def _with_main(groups: DataFrame) -> DataFrame:
+    """With main, the commonest label of each cell, and outside, the members of another."""
+    by_label = groups.groupBy("cell", "label").agg(F.count("*").alias("c"))
+    main = by_label.groupBy("cell").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"), F.sum("c").alias("m"), F.max("c").alias("most"))
+    return groups.drop("m").join(main.select("cell", "main", "m", (F.col("m") - F.col("most")).alias("outside")), "cell")
+
+
+def _blocks(members: str, shingles: str, leaf: int) -> Column:
+    """Into how many blocks a group goes, for no block to outgrow a task."""
+    return F.greatest(F.ceil(F.col(members) / leaf), F.ceil(F.col(shingles) / SET_SHINGLES), F.lit(1)).cast("int")
+
+
+def _split(state: DataFrame, to: DataFrame, labels: DataFrame, leaf: int, eps: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One turn over large groups: (cells small enough to join, groups to join in blocks, the next
+    turn's groups), from the distances `to` the pivots and the labels that the links so far give."""
+    had = state.select("cell", "u", F.col("m").alias("before"), F.col("outside").alias("outside_before"))
+    now = to.join(had, ["cell", "u"]).join(labels, F.col("u") == F.col("node"), "left").withColumn("label", F.coalesce("component", "u"))
+    now = stored(_with_main(now.drop("node", "component")).where("outside > 0"))
+    # The home cell and the window of each member; pivots have met all others.
+    nearest = F.array_min(F.transform("to", lambda p: p["d"]))
+    window = F.filter("to", lambda p: p["d"] <= nearest + 2 * eps + 1e-9)
+    parts = now.where(~F.exists("to", lambda p: p["q"] == F.col("u"))).withColumn("p", F.explode(window))
+    parts = parts.select(F.col("cell").alias("parent"), F.xxhash64("cell", "p.q").alias("cell"), "u", "n", "label", "before", F.col("p.d").alias("d"))
+    parts = _with_main(parts).where("outside > 0").withColumn("inner", F.col("label") == F.col("main"))
+    # The commonest component stays only where one outside can be near it.
+    ring = parts.where("not inner").groupBy("cell").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    parts = parts.join(ring, "cell").where(~F.col("inner") | F.col("d").between(F.col("low") - eps - 1e-9, F.col("high") + eps + 1e-9))
+    parts = stored(parts.select("parent", "cell", "u", "n", "label", "before"))
+    sizes = parts.groupBy("parent", "cell", "before").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
+    sizes = stored(sizes.withColumn("blocks", _blocks("m", "shingles", leaf)))
+    unsplit = sizes.where((F.col("blocks") > 1) & (4 * F.col("m") > 3 * F.col("before"))).select(F.col("parent").alias("cell")).distinct()
+    split = parts.join(unsplit.withColumnRenamed("cell", "parent"), "parent", "left_anti").drop("parent", "before").join(sizes.drop("parent", "before"), "cell")
+    whole = now.join(unsplit, "cell")
+    halved = (F.col("outside") > leaf) & (2 * F.col("outside") <= F.col("outside_before"))
+    undrawn = state.join(to.select("cell").distinct(), "cell", "left_anti").select("cell", "u", "n", "label", F.lit(None).cast("long").alias("main"))
+    in_blocks = whole.where(~halved).select("cell", "u", "n", "label", "main").unionByName(undrawn)
+    names = ("cell", "u", "n", "label", "m", "outside", "blocks")
+    more = whole.where(halved).withColumn("blocks", F.ceil(F.col("m") / leaf).cast("int")).select(*names)
+    more = more.unionByName(split.where("blocks > 1").withColumn("outside", F.col("m")).select(*names))
+    return split.where("blocks = 1").select("cell", "u", "n", "label"), in_blocks, stored(more)
+
+
+def links(docs: DataFrame, sig: DataFrame, words: int = WORDS, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
     """a, b: links between different sets, by their least u, enough of them to give the components."""
-    eps = 1 - percent / 100
     held = sig.where("n > 0").groupBy("fp").agg(F.min("u").alias("first"), F.count("*").alias("c")).where("c > 1")
     alike = stored(sig.select("fp", "u", "k", "t").join(held, "fp").select("u", "k", "t", "first"))
     repeated = bool(alike.groupBy("k", "t").count().where("count > 1").limit(1).count())
     copies = alike.where("u != first").select("u")
     few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # 8 bytes a row
     reps = sig.where("n > 0").join(F.broadcast(copies) if few else copies, "u", "left_anti")
-    postings = reps.select("u", "n", F.explode("window").alias("r"))
-    # Written before it is joined: Spark splits a hot key only in joins right above two shuffles.
-    shared = stored(postings.groupBy("r").agg(F.count("*").alias("c")).where("c > 1").select("r"))
-    members = stored(postings.join(shared, "r").select("r", "u", "n"))
-    counted = members.groupBy("r").agg(
-        F.count("*").alias("c"), F.min(F.struct("u", "n")).alias("p"), F.bit_xor(F.xxhash64("u")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "u")).alias("x2")
-    )
-    regions = counted.groupBy("c", "p", "x1", "x2").agg(F.min("r").alias("r"))  # equal regions once
-    regions = stored(regions.select("r", "c", F.col("p.u").alias("p"), F.col("p.n").alias("pn")))
-    members = stored(members.join(regions, "r"))
-    compare = _Compared(docs, reps, repeated, words, percent)
-
-    star = members.where("u != p").where(_near_size("n", "pn", percent)).select(F.col("p").alias("a"), F.col("u").alias("b")).distinct()
-    near = compare(star)
-    found = [near.where("linked").select("a", "b")]
-    to_pivot = near.select(F.col("a").alias("p"), F.col("b").alias("u"), "d", "linked", "exact")
-    apart = 1 - F.least("n", "pn") / F.greatest("n", "pn")  # the least distance that the sizes allow
-    state = (
-        members.where("c > 2 and u != p")
-        .join(to_pivot, ["p", "u"], "left")
-        .select("r", "u", "n", F.coalesce("d", F.greatest(apart, F.lit(eps))).alias("d"), F.coalesce("exact", F.lit(False)).alias("sure"), F.coalesce("linked", F.lit(False)).alias("inner"))
-    )
-    turn = 0
-    while True:
+    postings = reps.select("u", F.explode("window").alias("r"))
+    shared = stored(postings.groupBy("r").agg(F.count("*").alias("c"), F.min("u").alias("cell")).where("c > 1").select("r", "cell"))
+    near = postings.join(shared, "r").select("cell", "u").distinct()
+    near = stored(near.join(reps.select("u", "n"), "u").withColumn("label", F.col("u")))
+    sizes = near.groupBy("cell").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
+    large = stored(sizes.withColumn("blocks", _blocks("m", "shingles", leaf)).where("blocks > 1").select("cell", "m", "blocks"))
+    join = _Groups(docs, reps, repeated, words, percent, leaf)
+    if not large.limit(1).count():
+        return join.within(near, True)
+    found = [join.within(near.join(large, "cell", "left_anti"), True)]
+    state, turn = stored(near.join(large, "cell").withColumn("outside", F.col("m"))), 0
+    while state.limit(1).count():
         turn += 1
-        # Members that the links so far join are one component: inside is the region's commonest, and
-        # only pairs with a member outside it are of interest.  A region all inside is done.
-        labels = components(_union(found))
-        labelled = state.join(labels, state["u"] == labels["node"], "left").withColumn("label", F.coalesce("component", "u")).drop("node", "component")
-        common = labelled.groupBy("r", "label").agg(F.count("*").alias("c")).groupBy("r").agg(F.max_by("label", F.struct("c", -F.col("label"))).alias("main"))
-        state = stored(labelled.join(common, "r").withColumn("inner", F.col("label") == F.col("main")).select("r", "u", "n", "d", "sure", "inner"))
-        # They stay only where one outside can be near them.
-        least = state.groupBy("r").agg(F.min(F.when(~F.col("inner"), F.col("d"))).alias("least"))
-        state = state.join(least.where("least is not null"), "r").where(~F.col("inner") | ~F.col("sure") | (F.col("d") >= F.col("least") - eps - 1e-9)).drop("least")
-        sizes = state.groupBy("r").agg(F.count("*").alias("m"), F.min(F.when(~F.col("inner"), F.struct(F.xxhash64("u"), "u"))).alias("first"))
-        state = stored(state.join(sizes.where("m > 1").select("r", "m", F.col("first.u").alias("first")), "r"))
-        if not state.limit(1).count():
-            break
-        leaf = state.where(F.col("m") <= LEAF)
-        x, y = leaf.select("r", F.col("u").alias("a"), F.col("n").alias("na"), F.col("inner").alias("ia")), leaf.select("r", F.col("u").alias("b"), F.col("n").alias("nb"), F.col("inner").alias("ib"))
-        pairs = x.join(y, "r").where("a < b and not (ia and ib)").where(_near_size("na", "nb", percent)).select("a", "b")
-        big = state.where(F.col("m") > LEAF)
-        more = bool(big.limit(1).count())
-        if more:
-            chosen = ~F.col("inner") & ((F.col("u") == F.col("first")) | (F.pmod(F.xxhash64("u", F.lit(turn)), F.col("m")) < PIVOTS * 2 ** min(turn - 1, 20)))
-            big = big.withColumn("chosen", chosen)
-            pivots = big.where("chosen").select("r", F.col("u").alias("q"), F.col("n").alias("qn"))
-            tried = big.join(pivots, "r").where("u != q")
-            pairs = pairs.unionByName(tried.where(_near_size("n", "qn", percent)).select(F.least("u", "q").alias("a"), F.greatest("u", "q").alias("b")))
-        known = compare(pairs.distinct())
-        found.append(known.where("linked").select("a", "b"))
-        if not more:
-            break
-        rest = (
-            tried.where("not chosen")
-            .withColumns({"a": F.least("u", "q"), "b": F.greatest("u", "q")})
-            .join(known.withColumnsRenamed({"d": "dq", "linked": "lq"}), ["a", "b"], "left")
-            .withColumn("exact", F.coalesce("exact", F.lit(False)))
-            .withColumn("dq", F.coalesce("dq", F.greatest(1 - F.least("n", "qn") / F.greatest("n", "qn"), F.lit(eps))))
-            .withColumn("lq", F.coalesce("lq", F.lit(False)))
-        )
-        # Cells of up to half the region hold its core (up to two thresholds off) and the window
-        # around it; all outside the cores go on together.  Pivots are done with.
-        cells = rest.where(F.col("dq") <= 3 * eps + 1e-9).groupBy("r", "q", "m").agg(F.count("*").alias("held")).where("2 * held <= m").select("r", "q")
-        inside = rest.join(cells, ["r", "q"]).where(F.col("dq") <= 3 * eps + 1e-9)
-        cell_state = inside.select(F.xxhash64("r", "q").alias("r"), "u", "n", F.col("dq").alias("d"), F.col("exact").alias("sure"), F.col("lq").alias("inner"))
-        cores = inside.where("exact").where(F.col("dq") <= 2 * eps).select("r", "u").distinct()
-        others = big.where("not chosen").join(cores, ["r", "u"], "left_anti").select("r", "u", "n", "d", "sure", "inner")
-        state = stored(cell_state.unionByName(others))
+        to = join.cells(state, turn)
+        met = to.select(F.col("u").alias("b"), F.explode(F.filter("to", lambda p: p["linked"])).alias("p"))
+        found.append(stored(met.select(F.col("p.q").alias("a"), "b")))
+        small, in_blocks, state = _split(state, to, components(_union(found)), leaf, 1 - percent / 100)
+        found += [join.within(small, True), join.within(in_blocks, False)]
     return _union(found)
 
 
@@ -273,10 +413,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def keyed_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def keyed_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
     """doc_id, k, t, n and c, the least k of the component, for every row."""
     sig = signatures(docs, frequent_bits(docs, words), words, percent)
-    comp = components(links(docs, sig, words, percent))
+    comp = components(links(docs, sig, words, percent, leaf))
     sets = stored(sig.where("n > 0").groupBy("fp").agg(F.min("u").alias("node"), F.min("k").alias("least")))
     linked = stored(sets.join(comp, "node"))
     least = linked.groupBy("component").agg(F.min("least").alias("c"))
@@ -285,7 +425,7 @@ def keyed_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -
     return out.select("doc_id", "k", "t", "n", F.coalesce("c", "k").alias("c"))
 
 
-def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
     """doc_id, n_shingles, component_id for every row.
 
     Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased.  Texts without words (null, empty, blank)
@@ -293,7 +433,7 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     Equal sets are linked.  A null doc_id counts as the greatest and comes out as null; rows
     that repeat a doc_id are judged by their own texts.
     """
-    found = keyed_classes(docs, words, percent)
+    found = keyed_classes(docs, words, percent, leaf)
     return found.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("c") != NULL_ID, F.col("c")).alias("component_id"))
 
 
