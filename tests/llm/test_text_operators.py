@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import struct
 import zlib
 from array import array
 
@@ -121,6 +122,35 @@ def test_sum_of_squares_picks_the_least(spark):
         s.place((i, 0, size, np.zeros(size, np.uint16)))
 
 
+def test_open_windows_keep_what_was_placed():
+    r = np.random.default_rng(8)
+    s, closed, placed = packing.SumOfSquares(256), [], 0
+    for i in range(3000):
+        size = int(r.integers(1, 256))
+        placed += size
+        if full := s.place((i, 0, size, np.full(size, i, np.uint16))):
+            closed.append(full)
+    gaps = sum((256 - h) * len(s.open[h]) for h in range(1, 256))
+    rest = list(s.rest())
+    assert s.moved <= gaps and sum(len(p[3]) for w in closed + rest for p in w) == placed
+    sizes = [sum(len(p[3]) for p in w) for w in rest]
+    assert all(n & (n - 1) == 0 for n in sizes) and all(n < 256 for n in sizes[len(sizes) - 8 :] if n != 256)
+    whole = collections.Counter()
+    for w in closed + rest:
+        for i, start, _, ids in w:
+            assert (ids == i % 65536).all()
+            whole[i] += len(ids)
+    assert len(whole) == 3000 and not list(packing.SumOfSquares(16).rest())
+
+
+def test_packing_of_odd_rows(odd, empty):
+    """Null and repeated ids are documents of their own; no text is the end id alone."""
+    got = packing.pack_documents(odd, vocabulary_path()).collect()
+    assert sorted((str(g["doc_id"]) for g in got if g["start"] == 0)) == ["1", "3", "3", "3", "None"]
+    assert [g["doc_tokens"] for g in got if g["doc_id"] == 1] == [1]
+    assert packing.pack_documents(empty, vocabulary_path()).count() == 0
+
+
 def brute_components(rows):
     sets = {}
     for i, x in rows:
@@ -218,6 +248,16 @@ def test_line_bitmaps(docs, rows, odd, empty):
         lines = (x or "").split("\n")
         kept = [v for v in lines if len(key(v)) < 10 or len(holders[key(v)]) < 2 or first[key(v)] == i]
         assert (got[i]["n_lines"], got[i]["n_dropped"], got[i]["kept"]) == (len(lines), len(lines) - len(kept), "\n".join(kept))
+    # Only where lines go is there a bitmap, and other lines of a long text are in none of its runs.
+    long = "\n".join(["the same long line"] * 300 + [f"line of its own {i}" for i in range(500)] + ["the same long line"])
+    two = docs.sparkSession.createDataFrame([(1, "x\nthe same long line"), (2, long), (3, None)], "doc_id long, text string")
+    two = two.withColumns({c: F.lit(7) for c in ("kept", "n_lines", "n_dropped", "keep", "k", "t", "words")})
+    maps = {r["k"]: r["keep"] for r in line_dedup.keep_bitmaps(two, salts=2).collect()}
+    assert [(r["word"], r["times"], r["bits"]) for r in maps[2]] == [(0, 4, 0), (4, 1, -(1 << 44)), (12, 1, ~(1 << 32))] and len(maps) == 1
+    cut = line_dedup.without_lines(two, line_dedup.keep_bitmaps(two))
+    left = {r["doc_id"]: r for r in cut.collect()}
+    assert cut.columns == two.columns and left[2]["text"] == "\n".join(f"line of its own {i}" for i in range(500))
+    assert left[1]["text"] == "x\nthe same long line" and left[3]["text"] is None and {r["n_lines"] for r in left.values()} == {7}
     kept = [(r["doc_id"], r["n_dropped"]) for r in line_dedup.dedup_lines(odd).collect()]
     assert sorted(kept, key=str) == sorted([(None, 2), (3, 0), (3, 0), (3, 0), (1, 0)], key=str)
     assert line_dedup.dedup_lines(empty).count() == 0
@@ -241,6 +281,19 @@ def test_fingerprints_are_homomorphic(spark):
     rows = [(1, "first line\nsecond line"), (2, "second line\nfirst line"), (3, "first line"), (4, "second line")]
     got = {r["doc_id"]: r["v"] for r in fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1] == got[2] == [a + b for a, b in zip(got[3], got[4])]
+    # Likeness estimates the common share of the paragraphs, within three standard errors of 120 lanes.
+    r = np.random.default_rng(4)
+    mixed = []
+    for i in range(60):
+        mine, both = int(r.integers(0, 60)), int(r.integers(0, 60))
+        mixed.append((i, "\n".join([f"common {i} {j}" for j in range(both)] + [f"own {i} {j}" for j in range(mine)])))
+        mixed.append((i + 100, "\n".join([f"common {i} {j}" for j in range(both)] + [f"other {i} {j}" for j in range(mine)])))
+    prints = fingerprints.fingerprint(spark.createDataFrame(mixed, "doc_id long, text string"))
+    a, b = prints.where("doc_id < 100").select("doc_id", F.col("v").alias("a")), prints.where("doc_id >= 100").select((F.col("doc_id") - 100).alias("doc_id"), F.col("v").alias("b"))
+    found = {x["doc_id"]: x["l"] for x in a.join(b, "doc_id").select("doc_id", fingerprints.likeness(F.col("a"), F.col("b")).alias("l")).collect()}
+    count = lambda i, w: mixed[2 * i][1].count(w)
+    true = [count(i, "common") / max(1, count(i, "common") + 2 * count(i, "own")) for i in range(60)]
+    assert max(abs(found[i] - true[i]) for i in range(60) if mixed[2 * i][1]) < 0.2 and np.mean([abs(found[i] - t) for i, t in enumerate(true) if mixed[2 * i][1]]) < 0.06
     one = spark.createDataFrame([(got[1], got[4])], "a array<bigint>, b array<bigint>").select(fingerprints.delete(F.col("a"), F.col("b")).alias("x")).first()
     assert one["x"] == got[3]
 
@@ -260,6 +313,20 @@ def test_repeated_bytes_equal_brute_force(docs, rows, leaf_rows):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (len(b), int(gone.sum()), spans, kept)
 
 
+def test_large_cores_are_split(spark):
+    """Texts that share a long core with differing edges, in groups far over a leaf."""
+    r = np.random.default_rng(6)
+    core, ends = "".join(r.choice(list("abcdefgh"), 396)), ["".join(r.choice(list("xy"), 8)) for _ in range(60)]
+    rows = [(i, "".join(r.choice(list("pq"), 3)) + e[:4] + core + e[4:] + "".join(r.choice(list("pq"), 3))) for i, e in enumerate(ends)]
+    rows += [(100 + i, f"{'z' * i}{core}tt{i % 3}{i}") for i in range(12)]
+    got = {g["k"]: g for g in suffix_dedup.dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string"), leaf_rows=3).collect()}
+    counts = collections.Counter(t[p : p + 400] for _, t in rows for p in range(len(t) - 399))
+    for i, t in rows:
+        gone = {q for p in range(len(t) - 399) if counts[t[p : p + 400]] > 1 for q in range(p, p + 400)}
+        assert got[i]["n_removed"] == len(gone)
+    assert sum(g["n_removed"] > 0 for g in got.values()) > 20
+
+
 def test_interval_expansion_equals_counting():
     r = np.random.default_rng(0)
     for _ in range(100):
@@ -332,6 +399,51 @@ def test_transducer_equals_the_library(docs, rows, empty):
     assert sentencepiece_fst.encode_summary(empty, path).count() == 0
 
 
+def _message(number, value):
+    head = lambda kind: bytes((number << 3 | kind,))
+    if isinstance(value, float):
+        return head(5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return head(0) + bytes((value,))
+    size, out = len(value), b""
+    while size > 127:
+        out, size = out + bytes((size & 127 | 128,)), size >> 7
+    return head(2) + out + bytes((size,)) + value
+
+
+@pytest.mark.parametrize(("rules", "squeeze"), [("identity", 0), ("nmt_nfkc", 1), ("nmt_nfkc_cf", 0)])
+def test_unigram_models_equal_the_library(rows, tmp_path, rules, squeeze):
+    """A model written by hand: random scores, byte fallback, the library's own rewriting rules."""
+    import sentencepiece
+
+    r = np.random.default_rng(3)
+    pieces = {"".join(r.choice(list("abcdeé \u2581ofi"), r.integers(1, 6))).replace(" ", "") or "a" for _ in range(300)} | set("abcde\u2581")
+    model = b"".join(_message(1, _message(1, n) + _message(2, 0.0) + _message(3, k)) for n, k in ((b"<unk>", 2), (b"<s>", 3), (b"</s>", 3)))
+    model += b"".join(_message(1, _message(1, b"<0x%02X>" % b) + _message(2, 0.0) + _message(3, 6)) for b in range(256))
+    model += b"".join(_message(1, _message(1, n.encode()) + _message(2, float(-r.uniform(1, 12)))) for n in sorted(pieces))
+    model += _message(2, _message(3, 1) + bytes((35 << 3 & 127 | 128, 35 >> 4, 1)))
+    charsmap = next((v for n, _, v in sentencepiece_fst._fields(next(v for n, _, v in sentencepiece_fst._fields(sentencepiece.SentencePieceNormalizer(rule_name=rules).serialized_model_proto()) if n == 3)) if n == 2), b"")
+    model += _message(3, _message(1, rules.encode()) + _message(2, charsmap) + _message(3, 1) + _message(4, squeeze) + _message(5, 1))
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(model)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_fst.PieceTransducer(path)
+    for text in [x or "" for _, x in rows] + ["ＡＢＣ  ﬁ ①  ㍿ e\u0301 ", "  ", " a\tb ", "Ω Å ½"]:
+        assert array("H", own.encode(text)).tolist() == library.encode(text), text[:80]
+        assert own.decode(array("H", own.encode(text))) == own.kept(text)
+    with open(path, "ab") as f:
+        f.write(_message(1, _message(1, b"own") + _message(3, sentencepiece_fst.USER_DEFINED)))
+    with pytest.raises(ValueError):
+        sentencepiece_fst.PieceTransducer(path)
+
+
+def test_transducer_of_odd_rows(odd):
+    path = vocabulary_path(sentencepiece_fst.MODEL)
+    got = sentencepiece_fst.encode_summary(odd, path).collect()
+    assert sorted(str(g["doc_id"]) for g in got) == ["1", "3", "3", "3", "None"] and all(g["round_trip"] for g in got)
+    assert [g["n_pieces"] for g in got if g["doc_id"] == 1] == [0]
+
+
 def test_toxicity_on_held_out_rows(spark, empty):
     r = np.random.default_rng(11)
     common, bad = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)], ["vilest", "rotten", "awfully"]
@@ -350,17 +462,37 @@ def test_toxicity_on_held_out_rows(spark, empty):
     held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([got[i]["predicted"] == labels[i][2] for i in held]) > 0.97 and 0 <= got[600]["score"] < 0.5
     assert all(e in range(600) and zlib.crc32(str(e).encode()) % 5 for i in held for e in got[i]["evidence"])
-    # Neighbours by blocks are those of a full scan.
-    flat = index.weights.reshape(len(index.terms), -1)
-    for _, text in rows[:50]:
-        if c := index.counts(text):
-            at, w = index.unit(c)
-            places, cosines, _ = index.nearest(at, w)
-            full = w @ flat[at]
-            np.testing.assert_allclose(np.sort(cosines), np.sort(full)[::-1][: len(cosines)][::-1], rtol=1e-5)
+    # Neighbours by blocks are those of a full scan over all words, and every text with words has some.
+    dense = np.zeros((len(index.ids), len(index.terms.names)))
+    lists = np.repeat(np.arange(len(index.list_block)), np.diff(index.lists))
+    dense[index.place, np.searchsorted(index.of_term, lists, side="right") - 1] = index.weight
+    np.testing.assert_allclose((dense**2).sum(axis=1), 1)
+    for i, text in rows[:50]:
+        at, w = index.terms.unit(*index.terms.counts(text + " Unseen word"))
+        places, cosines, _ = index.nearest(at, w)
+        full = dense[:, at] @ w
+        assert places.tolist() == np.lexsort((np.arange(len(full)), -full.round(12)))[: len(places)].tolist() or np.allclose(full[places], np.sort(full)[::-1][: len(places)])
+        assert 0 < (w**2).sum() < 1 and len(got[i]["evidence"]) == toxicity.K
     assert toxicity.score(empty, toxicity.fit(empty, known)).count() == 0
 
 
+def test_toxicity_of_odd_rows(spark, odd, empty):
+    """Null and repeated ids and labels, texts without words, a text of a million words, ties."""
+    r = np.random.default_rng(2)
+    texts = [" ".join(r.choice(["foul", "nasty", "plain", "word", "other"], 20)) for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "x", 1, 1) for i, t in enumerate(texts)], SCHEMA).unionByName(odd)
+    docs = docs.unionByName(spark.createDataFrame([(90, "12 34 !", "x", 1, 1), (91, "plain " * 300_000, "x", 1, 1), (92, "", "x", 1, 1)], SCHEMA))
+    known = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] + [(3, 1, None), (3, 1, 0), (None, 1, 1), (500, 1, 1), (90, 1, 0)], "doc_id long, quality int, toxic int")
+    index = toxicity.fit(docs, known)
+    got = toxicity.score(docs, index).collect()
+    assert len(got) == 48 and all(0 <= g["score"] <= 1 and g["predicted"] == (g["score"] >= 0.5) for g in got)
+    assert len({g["score"] for g in got if g["doc_id"] in (90, 92)}) == 1
+    kept = toxicity.drop_toxic(docs, index)
+    assert kept.columns == docs.columns and kept.count() == sum(g["score"] < 0.5 for g in got)
+    nothing = toxicity.fit(docs, known.where("false"))
+    assert {g["score"] for g in toxicity.score(docs, nothing).collect()} == {0.0}
+
+
 def test_repeated_and_null_ids(odd, empty):
     got = [(r["doc_id"], r["component_id"]) for r in jaccard_join.classes(odd).collect()]
     assert sorted(got, key=str) == sorted([(None, 3), (3, 3), (3, 3), (3, 3), (1, 1)], key=str)

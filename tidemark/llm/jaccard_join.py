@@ -20,8 +20,8 @@ Jaccard distance is a metric, so pivots and the triangle inequality bound what a
    left is compared with the group in blocks of LEAF members.
 4. In groups of LEAF members at most, counts of shingles by BUCKETS classes bound distances from
    below: sets that differ by at least L shingles in these counts are at distance 2 L / (both
-   sizes + L) or more.  Only members with an open pair have their whole sets compared, and none
-   that the links so far join.
+   sizes + L) or more.  Only members with an open pair have their whole sets compared, none that the
+   links so far join, and each pair in the first of its groups.
 
 What comes out of a group is at most one link fewer than it has members.  Copies of one set are one
 member throughout.  A member is a distinct set, named by the least row number u of the rows that
@@ -193,6 +193,7 @@ class _Open:
         self.role = rows.column("role").to_numpy()
         self.counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint8).reshape(-1, BUCKETS)
         self.against = np.flatnonzero(self.role != OUTSIDE)
+        self.group, self.cells = rows.column("g")[0].as_py(), rows.column("cells").to_pylist()
 
     def __iter__(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         n, c, against = self.n, self.counts, self.against
@@ -204,8 +205,17 @@ class _Open:
             apart = (np.maximum(c[js], c[i]) - np.minimum(c[js], c[i])).sum(axis=1, dtype=np.int64)
             both = n[js] + n[i]
             left = 100 * (both - apart) >= self.percent * (both + apart)
-            if left.any():
-                yield i, js[left], apart[left]
+            js, apart = js[left], apart[left]
+            if len(js) and self.cells[i] and self.cells[i][0] < self.group:
+                first = [self._first_met_here(i, j) for j in js.tolist()]
+                js, apart = js[first], apart[first]
+            if len(js):
+                yield i, js, apart
+
+    def _first_met_here(self, i: int, j: int) -> bool:
+        """Whether no group of a lesser key holds both: each pair is judged in one of its groups."""
+        mine = {c for c in self.cells[i] if c < self.group}
+        return mine.isdisjoint(self.cells[j])
 
 
 def _root(parent: list[int], x: int) -> int:
@@ -316,8 +326,9 @@ class _Groups:
             each = cut.withColumn("side", F.explode(sides)).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("side.times") - 1)))
             first, second = F.when(F.col("side.role") == OUTSIDE, F.col("side.own")).otherwise(F.col("with")), F.when(F.col("side.role") == OUTSIDE, F.col("with")).otherwise(F.col("side.own"))
             dealt = each.select("cell", "u", "n", "label", F.xxhash64("cell", first, second).alias("g"), F.col("side.role").alias("role"))
-        kept = "g long, u long, n int, label long, role int, counts binary"
-        some = _dealt(dealt.select("g", "u", "n", "label", "role").join(self.counts, "u").select("g", "u", "n", "label", "role", "counts"))
+        kept = "g long, u long, n int, label long, role int, cells array<bigint>, counts binary"
+        cells = F.col("cells") if "cells" in groups.columns else F.array().cast("array<bigint>").alias("cells")
+        some = _dealt(dealt.join(self.counts, "u").select("g", "u", "n", "label", "role", cells, "counts"))
         left = stored(some.mapInArrow(_with_open_pairs(self.percent), kept))
         return stored(_dealt(left.join(self._sets(left), "u")).mapInArrow(_spanning_links(self.percent), "a long, b long"))
 
@@ -379,7 +390,8 @@ def _split(state: DataFrame, to: DataFrame, labels: DataFrame, leaf: int, eps: f
 
 def links(docs: DataFrame, sig: DataFrame, words: int = WORDS, percent: int = PERCENT, leaf: int = LEAF) -> DataFrame:
     """a, b: links between different sets, by their least u, enough of them to give the components."""
-    held = sig.where("n > 0").groupBy("fp").agg(F.min("u").alias("first"), F.count("*").alias("c")).where("c > 1")
+    # Written before it is joined: Spark splits a hot key only in joins right above two shuffles.
+    held = stored(sig.where("n > 0").groupBy("fp").agg(F.min("u").alias("first"), F.count("*").alias("c")).where("c > 1"))
     alike = stored(sig.select("fp", "u", "k", "t").join(held, "fp").select("u", "k", "t", "first"))
     repeated = bool(alike.groupBy("k", "t").count().where("count > 1").limit(1).count())
     copies = alike.where("u != first").select("u")
@@ -389,12 +401,13 @@ def links(docs: DataFrame, sig: DataFrame, words: int = WORDS, percent: int = PE
     shared = stored(postings.groupBy("r").agg(F.count("*").alias("c"), F.min("u").alias("cell")).where("c > 1").select("r", "cell"))
     near = postings.join(shared, "r").select("cell", "u").distinct()
     near = stored(near.join(reps.select("u", "n"), "u").withColumn("label", F.col("u")))
+    of_member = near.groupBy("u").agg(F.sort_array(F.collect_set("cell")).alias("cells"))  # fewer than its shingles
     sizes = near.groupBy("cell").agg(F.count("*").alias("m"), F.sum("n").alias("shingles"))
     large = stored(sizes.withColumn("blocks", _blocks("m", "shingles", leaf)).where("blocks > 1").select("cell", "m", "blocks"))
     join = _Groups(docs, reps, repeated, words, percent, leaf)
     if not large.limit(1).count():
-        return join.within(near, True)
-    found = [join.within(near.join(large, "cell", "left_anti"), True)]
+        return join.within(near.join(of_member, "u"), True)
+    found = [join.within(near.join(large, "cell", "left_anti").join(of_member, "u"), True)]
     state, turn = stored(near.join(large, "cell").withColumn("outside", F.col("m"))), 0
     while state.limit(1).count():
         turn += 1
