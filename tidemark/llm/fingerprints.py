@@ -1,11 +1,12 @@
 """Order-independent document fingerprints: a homomorphic multiset hash, in DataFrame operations only.
 
-A text is the multiset of its paragraphs: its lines, cut further at the ends of sentences and clauses.  Each
-paragraph is hashed to a wide vector of LANES zeros and ones, and a fingerprint is the sum of
-its paragraphs' vectors modulo powers of two: three lanes of 20 bits share one long, so that a
-paragraph costs 21 shifts and masks a hash.  The sum does not depend on the order, and adding
-or taking away paragraphs adds or subtracts their vectors (insert(), delete()).  Lanes are
-independent fair signs, so that the mean squared difference of two fingerprints' signed sums
+A text is the multiset of its paragraphs: its lines, cut further at the ends of sentences and
+clauses, as many texts are one line.  Each paragraph is hashed to a wide vector of LANES zeros and
+ones, and a fingerprint is the sum of its paragraphs' vectors modulo powers of two: three lanes of 20
+bits share one long, kept modulo 2**60, so that a paragraph costs 20 shifts and masks a hash.  The
+sum does not depend on the order, and adding or taking away paragraphs adds or subtracts their
+vectors (insert(), delete()), however many there are.  Each lane reads a hash bit of its own, so that
+lanes are independent fair signs and the mean squared difference of two fingerprints' signed sums
 estimates the size of the multisets' symmetric difference, and with it their likeness.
 """
 
@@ -16,9 +17,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import id_key, texts
 
-HASHES, SHIFTS, WIDTH = 2, 21, 20
+HASHES, SHIFTS, WIDTH = 2, 20, 20
 LANES = 3 * HASHES * SHIFTS
-_MASK = sum(1 << (WIDTH * lane) for lane in range(3))
+_LOW, _TOP = 1 | 1 << WIDTH, 1 << (2 * WIDTH)
+_MODULUS = (1 << (3 * WIDTH)) - 1
 #: A paragraph ends at a line feed, or at blanks after a closing mark.
 PARAGRAPH_END = r"\n|(?<=[.!?,;:])[ \t]+"
 
@@ -30,15 +32,17 @@ def paragraphs(text: Column) -> Column:
 def vector_sums(paragraph: str = "p") -> list[Column]:
     """Aggregates for groupBy(): the number of paragraphs, then the packed lanes.
 
-    A null paragraph counts as none.  A text of more than 2**23 paragraphs overflows the top
-    lane; that long is then -1 for every such text.
+    A null paragraph counts as none.  The top lane is summed apart, so that no sum leaves a long.
     """
     sums = [F.count(paragraph).alias("v0")]
+    number = lambda x: F.lit(x).cast("long")
     for h in range(HASHES):
-        hashed = F.xxhash64(F.lit(h), paragraph)
+        hashed = F.when(F.col(paragraph).isNotNull(), F.xxhash64(F.lit(h), paragraph)).otherwise(number(0))
         for i in range(SHIFTS):
-            lane = F.when(F.col(paragraph).isNotNull(), F.shiftrightunsigned(hashed, i).bitwiseAND(F.lit(_MASK).cast("long"))).otherwise(0)
-            sums.append(F.coalesce(F.try_sum(lane), F.lit(-1)).alias(f"v{len(sums)}"))
+            bits = F.shiftrightunsigned(hashed, i)
+            low, top = F.sum(bits.bitwiseAND(number(_LOW))), F.sum(F.shiftrightunsigned(bits, 2 * WIDTH).bitwiseAND(number(1)))
+            both = F.shiftleft(top.bitwiseAND(number((1 << WIDTH) - 1)), 2 * WIDTH) + low.bitwiseAND(number(_MODULUS))
+            sums.append(both.bitwiseAND(number(_MODULUS)).alias(f"v{len(sums)}"))
     return sums
 
 
@@ -48,12 +52,12 @@ def packed(prefix: str = "v") -> Column:
 
 def insert(fingerprint: Column, other: Column) -> Column:
     """The fingerprint of both multisets together."""
-    return F.zip_with(fingerprint, other, lambda a, b: a + b)
+    return F.zip_with(fingerprint, other, lambda a, b: (a + b).bitwiseAND(F.lit(_MODULUS).cast("long")))
 
 
 def delete(fingerprint: Column, other: Column) -> Column:
     """The fingerprint without the paragraphs of the other."""
-    return F.zip_with(fingerprint, other, lambda a, b: a - b)
+    return F.zip_with(fingerprint, other, lambda a, b: (a - b).bitwiseAND(F.lit(_MODULUS).cast("long")))
 
 
 def as_text(fingerprint: Column) -> Column:
@@ -61,7 +65,8 @@ def as_text(fingerprint: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common paragraphs, from 0 to 1; equal fingerprints give 1 exactly."""
+    """Estimated share of common paragraphs (of both multisets' union), from 0 to 1; equal
+    fingerprints give 1 exactly.  From 2**20 paragraphs on lanes carry, and only equality tells."""
     na, nb = F.element_at(a, 1), F.element_at(b, 1)
 
     def squared(x: Column, y: Column) -> Column:

@@ -4,8 +4,9 @@ Each Spark partition packs its own documents as they come, with no shuffle.  N[h
 open windows filled to level h; a piece of s ids goes to the level whose change keeps the sum
 of the squares of N least, which the level array gives for all levels in one numpy expression.
 A document longer than a window is cut: its full windows close at once, the rest is placed.
-At the end of a partition the windows still open are joined by cutting pieces, and what is
-left is cut into powers of two, which need no padding.
+At the end of a partition the windows still open stay as they are but for their gaps: the emptiest
+ones are taken apart, from the end, to fill the fullest, and the ids of the last one are cut into
+powers of two, which need no padding.  What moves is as much as the gaps hold.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ class SumOfSquares:
         self.window = window
         self.n = np.zeros(window + 1, np.int64)
         self.open: list[list[list[tuple]]] = [[] for _ in range(window)]
+        self.moved = 0  # ids that rest() took out of the windows they were placed in
 
     def level(self, size: int) -> int:
         """The level (0: a new window) to which a piece of this size goes.
@@ -67,21 +69,42 @@ class SumOfSquares:
         return None
 
     def rest(self) -> Iterator[list[tuple]]:
-        """The open windows, fullest first, joined and cut anew; the last ids as powers of two."""
-        pieces = [p for h in range(self.window - 1, 0, -1) for pieces in self.open[h] for p in pieces]
-        left = sum(len(p[3]) for p in pieces)
-        now, room = [], 0
-        for doc_id, start, total, ids in pieces:
-            while len(ids):
-                if not room:
-                    room = self.window if left >= self.window else 1 << (left.bit_length() - 1)
-                    left -= room
-                take = ids[:room]
-                now.append((doc_id, start, total, take))
-                ids, start, room = ids[len(take) :], start + len(take), room - len(take)
-                if not room:
-                    yield now
-                    now = []
+        """The open windows, fullest first, their gaps filled from the emptiest."""
+        windows = [pieces for h in range(self.window - 1, 0, -1) for pieces in self.open[h]]
+        filled = [h for h in range(self.window - 1, 0, -1) for _ in self.open[h]]
+        i, j = 0, len(windows) - 1
+        while i < j:
+            while filled[i] < self.window and i < j:
+                name, start, total, ids = windows[j].pop()
+                cut = max(0, len(ids) - (self.window - filled[i]))
+                windows[i].append((name, start + cut, total, ids[cut:]))
+                filled[i] += len(ids) - cut
+                self.moved += len(ids) - cut
+                if cut:
+                    windows[j].append((name, start, total, ids[:cut]))
+                if not windows[j]:
+                    j -= 1
+            if filled[i] == self.window:
+                yield windows[i]
+                i += 1
+        if i == j:
+            yield from _powers_of_two(windows[i])
+
+
+def _powers_of_two(pieces: list[tuple]) -> Iterator[list[tuple]]:
+    left = sum(len(p[3]) for p in pieces)
+    now, room = [], 0
+    for name, start, total, ids in pieces:
+        while len(ids):
+            if not room:
+                room = 1 << (left.bit_length() - 1)
+                left -= room
+            take = ids[:room]
+            now.append((name, start, total, take))
+            ids, start, room = ids[len(take) :], start + len(take), room - len(take)
+            if not room:
+                yield now
+                now = []
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:

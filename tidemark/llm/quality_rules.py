@@ -24,7 +24,7 @@ RULES = (
     ("word_length", "word_chars / n_words", 1.5, 25.0),
     ("symbols_per_word", "n_symbols / n_words", None, 0.3),
     ("repeated_lines", "n_dup_lines / n_text_lines", None, 0.5),
-    ("stop_words", "n_stop_words / 1", 2, None),
+    ("stop_words", "n_stop_words / n_words", 0.01, None),
 )
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -49,13 +49,13 @@ def _repeat_words() -> str:
 
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and the counts that RULES refer to; null and empty texts count as no words."""
-    stops = "array(" + ", ".join(f"'{w}'" for w in STOP_WORDS) + ")"
+    stops = ", ".join(f"'{w}'" for w in STOP_WORDS)
     of_words = let(
         _WORDS,
         "ws",
         "named_struct('n_words', cast(size(ws) as bigint), "
         "'word_chars', cast(char_length(array_join(ws, '')) as bigint), "
-        f"'n_stop_words', cast(size(array_intersect(ws, {stops})) as bigint), "
+        f"'n_stop_words', cast(size(filter(ws, w -> w in ({stops}))) as bigint), "
         f"'n_repeat_words', {_repeat_words()})",
     )
     of_lines = let(

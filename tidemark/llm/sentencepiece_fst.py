@@ -1,14 +1,22 @@
 """SentencePiece encoding and decoding as a shortest path through a weighted transducer.
 
-compile_model() turns a model file into three parts: the normaliser (dummy prefix, blank to
-U+2581), the pieces (arcs that read a string and write an id) and the byte fallback (arcs that
-read a character outside the vocabulary and write its bytes).  States are the last piece read.
-For a merge-trained model an arc from piece a to piece b costs nothing if the merges of the
-string ab end in exactly a, b, and is infinite otherwise: a sequence all of whose neighbours
-agree is the one that the merges give for the whole string.  So, composed with an input, each
-position has one state of finite cost, and the tropical shortest path is found by looking back
-over the pieces that end there.  The input is cut where no piece can cross (before a blank,
-around control characters), and the paths of frequent stretches are kept in a bounded table.
+compile_model() turns a model file into three transducers.
+
+- The normaliser rewrites characters by its rules (leftmost, longest; read out of the model's double
+  array), squeezes and trims blanks if the model says so, puts the dummy prefix first and writes
+  blanks as U+2581.
+- The pieces are arcs that read a string and write an id.  A unigram model's arcs weigh minus their
+  score and leave one state.  A merge-trained model's states are the last piece read: an arc from
+  piece a to piece b weighs 0 if the merges of the string ab end in exactly a, b, and is infinite
+  otherwise, as a sequence all of whose neighbours agree is the one that the merges give for the
+  whole string.  So only one state of a position has a finite weight.
+- The byte fallback reads a character that is no piece and writes its bytes; in a unigram model it
+  weighs PENALTY more than the worst piece.
+
+They are composed with an input as it is read: shortest() relaxes the arcs into each position in the
+tropical semiring (min, +), longest first, so that of equal weights the longest arc stays; weight 0
+cannot be improved on and ends the search of a merge model's position.  The input is cut where no
+arc can cross, and the paths of frequent stretches are kept in a bounded table.
 """
 
 from __future__ import annotations
@@ -20,6 +28,7 @@ import zlib
 from array import array
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -28,7 +37,11 @@ from tidemark.llm.common import texts
 MODEL = "piece_bpe_32k.model"
 BLANK = "\u2581"
 CACHE_ENTRIES = 300_000
-NORMAL, BYTE = 1, 6
+#: Fixed values of the model format.
+NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
+UNIGRAM, MERGES = 1, 2
+PENALTY = 10.0
+INFINITE = float("inf")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int, bytes | int]]:
@@ -53,19 +66,90 @@ def _fields(data: bytes) -> Iterator[tuple[int, int, bytes | int]]:
             value: bytes | int = varint()
         else:
             size = varint() if kind == 2 else 8 if kind == 1 else 4
-            value = data[at : at + size]
-            at += size
+            value, at = data[at : at + size], at + size
         yield key >> 3, kind, value
 
 
+class Normaliser:
+    """Rewriting rules, white space and the dummy prefix of a model."""
+
+    def __init__(self, spec: bytes):
+        found = dict((n, v) for n, _, v in _fields(spec))
+        self.dummy_prefix, self.squeeze = bool(found.get(3, 1)), bool(found.get(4, 1))
+        if not found.get(5, 1):
+            raise ValueError("models that don't write blanks as U+2581 are not compiled")
+        self.rules = self._rules(found.get(2, b""))
+        self.longest = max(map(len, self.rules), default=0)
+        starts = sorted({k[0] for k in self.rules})
+        self.at = re.compile("[" + "".join(map(re.escape, starts)) + "]") if starts else None
+
+    @staticmethod
+    def _rules(charsmap: bytes) -> dict[str, str]:
+        """The strings of the double array and what they become."""
+        if not charsmap:
+            return {}
+        size = struct.unpack("<I", charsmap[:4])[0]
+        units, written = np.frombuffer(charsmap[4 : 4 + size], "<u4").astype(np.int64), charsmap[4 + size :]
+        below = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+        out, labels = {}, np.arange(256)
+        todo = [(int(below(units[0])), b"")]
+        while todo:
+            node, key = todo.pop()
+            at = node ^ labels
+            at = at[at < len(units)]
+            for b in np.flatnonzero((units[at] & (1 << 31 | 255)) == labels[: len(at)]).tolist():
+                unit = int(units[node ^ b])
+                child = (node ^ b) ^ below(unit)
+                if b == 0:
+                    continue
+                if unit >> 8 & 1:
+                    begin = int(units[child]) & (1 << 31) - 1
+                    out[key + bytes((b,))] = written[begin : written.index(b"\0", begin)]
+                todo.append((int(child), key + bytes((b,))))
+        return {k.decode(): v.decode() for k, v in out.items()}
+
+    def rewritten(self, text: str) -> str:
+        if self.at is None or not self.at.search(text):
+            return text
+        out, done = [], 0
+        while found := self.at.search(text, done):
+            begin = found.start()
+            out.append(text[done:begin])
+            for n in range(min(self.longest, len(text) - begin), 0, -1):
+                new = self.rules.get(text[begin : begin + n])
+                if new is not None:
+                    out.append(new)
+                    break
+            else:
+                n = 1
+                out.append(text[begin])
+            done = begin + n
+        return "".join([*out, text[done:]])
+
+    def __call__(self, text: str) -> str:
+        text = self.rewritten(text)
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
+        if not text:
+            return ""
+        return (BLANK if self.dummy_prefix else "") + text.replace(" ", BLANK)
+
+    def restored(self, text: str) -> str:
+        """What a normalised text says, with blanks and without the dummy prefix."""
+        text = text.replace(BLANK, " ")
+        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+
+
 class PieceTransducer:
+    """Models of unknown arcs raise ValueError: user-defined pieces, no byte fallback, over 65,536 ids."""
+
     def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         self.names: list[str] = []
         self.ids: dict[str, int] = {}
         self.scores: dict[str, float] = {}
         self.byte_ids: dict[int, int] = {}
         self.bytes_of: dict[int, int] = {}
-        self.dummy_prefix, squeeze, charsmap = True, True, b""
+        self.kind, spec = UNIGRAM, b""
         with open(path, "rb") as f:
             model = f.read()
         for number, _, value in _fields(model):
@@ -78,19 +162,26 @@ class PieceTransducer:
                     self.ids[name], self.scores[name] = i, struct.unpack("<f", piece.get(2, b"\0\0\0\0"))[0]
                 elif kind == BYTE:
                     self.byte_ids[int(name[3:5], 16)], self.bytes_of[i] = i, int(name[3:5], 16)
+                elif kind == USER_DEFINED:
+                    raise ValueError(f"user-defined piece {name!r}")
+            elif number == 2:
+                self.kind = {n: v for n, _, v in _fields(value)}.get(3, UNIGRAM)
             elif number == 3:
-                spec = {n: v for n, _, v in _fields(value)}
-                charsmap, self.dummy_prefix, squeeze = spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1))
-        assert not charsmap and not squeeze and len(self.byte_ids) == 256, "only identity normalisers with byte fallback are compiled"
+                spec = value
+        if self.kind not in (UNIGRAM, MERGES) or len(self.byte_ids) != 256 or len(self.names) > 1 << 16:
+            raise ValueError("only unigram and merge models with byte fallback and at most 65,536 ids are compiled")
+        self.normalise = Normaliser(spec)
+        self.least = 0.0 if self.kind == MERGES else -INFINITE  # a weight that no arc can improve on
+        self.fallback = PENALTY - min(self.scores.values(), default=0.0)
         self.longest: dict[str, int] = {}
         for name in self.ids:
             self.longest[name[-1]] = max(len(name), self.longest.get(name[-1], 1))
         self.inner = {name[i : i + 2] for name in self.ids for i in range(len(name) - 1)}
-        assert not any(BLANK in name.lstrip(BLANK) or "\n" in name or "\t" in name for name in self.ids)
-        self.agree: dict[tuple[str, str], bool] = {}
+        self.weights: dict[tuple[str, str], float] = {}
         self.cache: dict[str, bytes] = {}
         self.entries = entries
-        self.stretches = re.compile(f"[\n\t]|{BLANK}*[^{BLANK}\n\t]+|{BLANK}+")
+        crossed = any(BLANK in name.lstrip(BLANK) or "\n" in name or "\t" in name for name in self.ids)
+        self.stretches = re.compile("(?s).+" if crossed else f"[\n\t]|{BLANK}*[^{BLANK}\n\t]+|{BLANK}+")
 
     def merges(self, text: str) -> list[str]:
         """The pieces that merging leaves, best score first, leftmost of equals."""
@@ -113,26 +204,35 @@ class PieceTransducer:
                 heapq.heappush(heap, (-scores[q], before[i], i, q))
         return [p for p in parts if p is not None]
 
-    def agrees(self, a: str, b: str) -> bool:
-        found = self.agree.get((a, b))
-        if found is None:
-            if len(self.agree) > 4 * self.entries:
-                self.agree.clear()
-            found = self.agree[a, b] = self.merges(a + b) == ([a, b] if a else [b])
+    def weight(self, state: str, piece: str) -> float:
+        """Of the arc that reads piece in this state; kept in a bounded table."""
+        if self.kind == UNIGRAM:
+            found = -self.scores[piece] if piece in self.scores else self.fallback
+        else:
+            found = 0.0 if self.merges(state + piece) == ([state, piece] if state else [piece]) else INFINITE
+        if len(self.weights) > 4 * self.entries:
+            self.weights.clear()
+        self.weights[state, piece] = found
         return found
 
-    def path(self, text: str) -> list[str]:
-        """Strings of the shortest path over a stretch: last[i] is the piece that ends at i."""
-        last: list[str] = [""]
-        ids, agree, longest = self.ids, self.agree, self.longest
+    def shortest(self, text: str) -> list[str]:
+        """The strings that the arcs of the shortest path over a stretch read."""
+        total, last, states = [0.0], [""], [""]
+        ids, weights, longest, least, merged = self.ids, self.weights, self.longest, self.least, self.kind == MERGES
         for end in range(1, len(text) + 1):
-            for begin in range(max(0, end - longest.get(text[end - 1], 1)), end):
+            best, arc = INFINITE, text[end - 1]
+            for begin in range(max(0, end - longest.get(arc, 1)), end):
                 piece = text[begin:end]
                 if piece in ids or begin == end - 1:
-                    ok = agree.get((last[begin], piece))
-                    if ok or (ok is None and self.agrees(last[begin], piece)):
-                        break
-            last.append(piece)
+                    w = weights.get((states[begin], piece))
+                    w = total[begin] + (self.weight(states[begin], piece) if w is None else w)
+                    if w < best:
+                        best, found = w, piece
+                        if w <= least:
+                            break
+            total.append(best)
+            last.append(found)
+            states.append(found if merged else "")
         out, end = [], len(text)
         while end:
             out.append(last[end])
@@ -158,7 +258,7 @@ class PieceTransducer:
             part = stretch[a:b]
             found = cache.get(part)
             if found is None:
-                found = self._write(self.path(part))
+                found = self._write(self.shortest(part))
                 if len(cache) < self.entries and b - a <= 64:
                     cache[part] = found
             out.append(found)
@@ -166,9 +266,7 @@ class PieceTransducer:
 
     def encode(self, text: str) -> bytes:
         """ids (little-endian u16) of the whole text."""
-        if not text:
-            return b""
-        stretches = self.stretches.findall((BLANK if self.dummy_prefix else "") + text.replace(" ", BLANK))
+        stretches = self.stretches.findall(self.normalise(text))
         cache, out = self.cache, []
         for s in stretches:
             found = cache.get(s)
@@ -181,8 +279,11 @@ class PieceTransducer:
         for i in ids:
             b = bytes_of.get(i)
             out.append(names[i].encode() if b is None else bytes((b,)))
-        text = b"".join(out).decode("utf-8", "replace").replace(BLANK, " ")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        return self.normalise.restored(b"".join(out).decode("utf-8", "replace"))
+
+    def kept(self, text: str) -> str:
+        """What of a text its ids keep: all but what the normaliser rewrites."""
+        return self.normalise.restored(self.normalise(text))
 
 
 _compiled: dict[str, PieceTransducer] = {}
@@ -209,7 +310,7 @@ def encode_documents(docs: DataFrame, model: str) -> DataFrame:
                 part = pdf.iloc[at : at + 512]
                 ids = [fst.encode(t) for t in part["text"]]
                 decoded = [fst.decode(array("H", i)) for i in ids]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").values, "ids": ids, "decoded": decoded, "same": [d == t.replace(BLANK, " ") for d, t in zip(decoded, part["text"], strict=True)]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").values, "ids": ids, "decoded": decoded, "same": [d == fst.kept(t) for d, t in zip(decoded, part["text"], strict=True)]})
 
     return texts(docs).mapInPandas(encoded, "doc_id long, ids binary, decoded string, same boolean")
 
@@ -228,7 +329,7 @@ def encode_summary(docs: DataFrame, model: str) -> DataFrame:
                         "doc_id": part["doc_id"].astype("Int64").values,
                         "n_pieces": [len(i) for i in ids],
                         "ids_crc32": [zlib.crc32(array("I", i).tobytes()) for i in ids],
-                        "round_trip": [fst.decode(i) == t.replace(BLANK, " ") for i, t in zip(ids, part["text"], strict=True)],
+                        "round_trip": [fst.decode(i) == fst.kept(t) for i, t in zip(ids, part["text"], strict=True)],
                     }
                 )
 

@@ -14,10 +14,12 @@ the interval expansion works on small texts that carry all that is undecided:
    breadth first: level l holds the suffix-array intervals of all repeated strings of l symbols,
    so that the boundaries between them come out as common prefixes of increasing length, and the
    expansion stops at STEP symbols, which is MIN_BYTES bytes.
-   A core with more than LEAF_ROWS texts is not gathered; its windows are counted by hash.
+   A core with more than LEAF_ROWS texts is split first: the lower half of the offsets of its windows
+   reads at least half the symbols to its right, the upper half those to its left, so that cores
+   made longer by these symbols divide the texts, and again, down to one offset.
 
-Equal texts are one text throughout, and wholly removed.  Hashes have 64 bits and are compared
-within equal anchors or cores only.
+Equal texts are one text throughout, and wholly removed.  Equality of contents within equal anchors
+or cores is judged by hashes of 64 bits, and not verified against the bytes.
 """
 
 from __future__ import annotations
@@ -206,7 +208,8 @@ def repeated_ranges(docs: DataFrame, length: int = MIN_BYTES, step: int = STEP,
 
     undecided = (~F.col("two")) & (F.col("c") == 1)
     cores = stored(kinds.groupBy("core").agg(F.count("*").alias("m"), F.max(undecided).alias("open")).where("open and m > 1").select("core", "m"))
-    leaves = stored(kinds.join(cores, "core").select("core", "m", "x", "y", "b", undecided.alias("open"), "one.t1", "one.t2", "one.a", "one.left", "one.right"))
+    parts = kinds.join(cores, "core").select("core", "m", "x", "y", "b", undecided.alias("open"), "one.t1", "one.t2", "one.a", "one.left", "one.right")
+    parts = stored(parts.withColumns({"low": F.lit(0), "high": F.lit(step - 1)}))
     range_schema = "t1 long, t2 long, first long, last long"
 
     def piece(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -246,14 +249,26 @@ def repeated_ranges(docs: DataFrame, length: int = MIN_BYTES, step: int = STEP,
         if held and sum(map(len, held)):
             yield piece(pd.concat(held, ignore_index=True))
 
-    small = leaves.where(F.col("m") <= leaf_rows).repartition("core").sortWithinPartitions("core").mapInPandas(expanded, range_schema)
-
-    offset = F.col("o") - step * F.col("b")
-    content = F.xxhash64(F.expr(f"substring(left, length(left) - (o - {step} * b) + 1)"), F.expr(f"substring(right, 1, {step - 1} - (o - {step} * b))"))
-    large = leaves.where(F.col("m") > leaf_rows).select("*", F.explode(F.sequence("x", "y")).alias("o")).select("core", "open", "t1", "t2", "a", "o", offset.alias("i"), content.alias("w"))
-    twice = large.groupBy("core", "i", "w").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    counted = large.where("open").join(twice, ["core", "i", "w"]).select("t1", "t2", (F.col("a") - F.col("o")).alias("first"), (F.col("a") - F.col("o")).alias("last"))
-    return settled.unionByName(equal).unionByName(small).unionByName(counted), firsts
+    found = [settled, equal]
+    while True:
+        found.append(parts.where(F.col("m") <= leaf_rows).repartition("core").sortWithinPartitions("core").mapInPandas(expanded, range_schema))
+        large = parts.where(F.col("m") > leaf_rows)
+        if not large.limit(1).count():
+            break
+        # Offsets i from low to high of a core all read the last `low` bytes of left and the first
+        # step - 1 - high of right.  Half of them share more, which tells the texts apart.
+        halves = F.array(F.struct(F.col("low"), ((F.col("low") + F.col("high") - 1) / 2).cast("int").alias("high")), F.struct(((F.col("low") + F.col("high") + 1) / 2).cast("int").alias("low"), F.col("high")))
+        cut = large.where("low < high").withColumn("half", F.explode(halves)).withColumns({"low": F.col("half.low"), "high": F.col("half.high")})
+        cut = cut.withColumns({"x": F.greatest("x", step * F.col("b") + F.col("low")), "y": F.least("y", step * F.col("b") + F.col("high"))}).where("x <= y")
+        cut = cut.withColumn("core", F.xxhash64("core", "low", F.expr("substring(left, length(left) - low + 1)"), F.expr(f"substring(right, 1, {step - 1} - high)")))
+        one = large.where("low = high and open")  # with a single offset, all texts of a core are equal
+        found.append(one.select("t1", "t2", (F.col("a") - F.col("x")).alias("first"), (F.col("a") - F.col("x")).alias("last")))
+        sizes = cut.groupBy("core").agg(F.count("*").alias("m"), F.max("open").alias("some")).where("some and m > 1").select("core", "m")
+        parts = stored(cut.drop("half", "m").join(sizes, "core"))
+    ranges = found[0]
+    for more in found[1:]:
+        ranges = ranges.unionByName(more)
+    return ranges, firsts
 
 
 def _cut(text: str, ranges: list, length: int) -> tuple[int, int, bytes]:

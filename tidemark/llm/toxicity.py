@@ -1,13 +1,18 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-fit() takes a bounded sample of the labelled rows outside the held-out fold, chooses the terms
-(words, and the beginnings of words) that go with the label, and lays the examples out as an
-inverted index: for each term a row of weights over the examples, in blocks of BLOCK examples,
-with the greatest weight of each block.  A query adds up the block maxima of its own terms, and
-looks into blocks in falling order of that bound until no block left can hold a nearer example
-than the K found, so that the neighbours are exact.  Neighbours vote by their similarity
-against a constant weight of the base rate, and the votes are calibrated by a logistic curve
-on sampled rows outside the index.  Sample, terms and index are bounded by parameters, so the
+fit() takes a bounded sample of the labelled rows outside the held-out fold.  INDEX_ROWS of them, as
+many of either label as there are, become examples; every word of theirs is a term, and so are the
+beginnings of words that go with a label in the sample.  Document frequencies are counted over all
+documents.  A term's weight is its TF-IDF, times FAINT unless it leans to a label by MIN_Z standard
+deviations: no term is left out, but among some hundred words of a text the one that matters counts.
+Norms are over all words of a text, those that no example holds included.
+
+The examples are an inverted index: postings by term, in blocks of BLOCK examples, with the greatest
+weight of each term in each block.  A query adds up the block maxima of its own terms, and reads
+blocks in falling order of that bound until no block left can hold a nearer example than the K found,
+so that the neighbours are exact.  Neighbours vote by the square of their cosine relative to the
+nearest one's, against a constant weight of the base rate, and the votes are calibrated by a logistic
+curve on sampled rows outside the index.  Sample and examples are bounded by parameters, so the
 broadcast index is too; every document is scored, over its whole text.
 """
 
@@ -15,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,14 +32,15 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import stored, texts
 
 SAMPLE_ROWS = 20_000
-INDEX_ROWS = 4_096
-TERMS = 1_024
+INDEX_ROWS = 2_048
 BLOCK = 64
 K = 15
 PREFIXES = (4, 5, 6)
 MIN_ROWS, MIN_Z = 4, 5.0
+FAINT = 0.03
 PRIOR_WEIGHT = 1.0
 FOLDS = 5
+_CHUNK = 1 << 14
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -41,96 +48,147 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    return (word, *[f"{word[:n]}~" for n in PREFIXES if len(word) > n])
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
+def beginnings(word: str) -> tuple[str, ...]:
+    return tuple(f"{word[:n]}~" for n in PREFIXES if len(word) > n)
+
+
+def _spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places begin[i]..end[i] of all spans in a row, and the span of each."""
+    size = end - begin
+    which = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + begin[which], which
+
+
+class Terms:
+    """Numbers, document frequencies and leanings of terms; vectors of texts."""
+
+    def __init__(self, names: list[str], leaning: np.ndarray, df: np.ndarray, documents: int):
+        self.names = {t: i for i, t in enumerate(names)}
+        idf = lambda d: np.log((1 + documents) / (1 + d)) + 0.01
+        self.weight = np.where(leaning, 1.0, FAINT) * idf(df.astype(np.float64))
+        self.unseen = FAINT * float(idf(0.0))
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def numbers(self, word: str) -> tuple[int, ...]:
+        """The word's own term first (-1: none), then its beginnings'."""
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            names = self.names
+            found = self.known[word] = (names.get(word, -1), *[names[t] for t in beginnings(word) if t in names])
+        return found
+
+    def counts(self, text: str) -> tuple[dict[int, int], int]:
+        """Occurrences of each term, and the number of distinct words that are none."""
+        out: dict[int, int] = {}
+        unseen = 0
+        for word, n in Counter(words_of(text)).items():
+            first, *more = self.numbers(word)
+            if first < 0:
+                unseen += 1
+            else:
+                out[first] = out.get(first, 0) + n
+            for t in more:
+                out[t] = out.get(t, 0) + n
+        return out, unseen
+
+    def unit(self, counts: dict[int, int], unseen: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.fromiter(counts, np.int64, len(counts))
+        w = (1.0 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.weight[at]
+        norm = math.sqrt(float((w * w).sum()) + unseen * self.unseen**2)
+        return at, w / norm if norm else w
 
 
 class BlockMaxIndex:
-    """Examples as unit vectors: weights[term, block, place] and their maxima over places."""
+    """Examples as unit vectors in postings by term and block, with the maxima of the blocks."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, ids: list[int], labels: list[int], vectors: list[dict[int, int]], base_rate: float):
-        self.terms, self.idf, self.base_rate = {t: i for i, t in enumerate(terms)}, idf, base_rate
-        units = [self.unit(v) for v in vectors]
+    def __init__(self, terms: Terms, ids: list[int], labels: list[int], vectors: list[tuple[dict[int, int], int]], base_rate: float):
+        self.terms, self.base_rate = terms, base_rate
+        units = [terms.unit(*v) for v in vectors]
         # Examples that share their strongest term stand together: bounds of blocks are tighter.
-        order = sorted(range(len(ids)), key=lambda j: (int(units[j][0][np.argmax(units[j][1])]), ids[j]))
-        blocks = max(1, -(-len(order) // BLOCK))
-        self.ids = np.full(blocks * BLOCK, -1, np.int64)
-        self.labels = np.zeros(blocks * BLOCK, np.float64)
-        self.weights = np.zeros((len(terms), blocks, BLOCK), np.float32)
-        for place, j in enumerate(order):
-            at, w = units[j]
-            self.ids[place], self.labels[place] = ids[j], labels[j]
-            self.weights[at, place // BLOCK, place % BLOCK] = w
-        self.maxima = self.weights.max(axis=2)
+        order = sorted(range(len(ids)), key=lambda j: (int(units[j][0][np.argmax(units[j][1])]) if len(units[j][0]) else -1, ids[j]))
+        self.ids = np.array([ids[j] for j in order], np.int64)
+        self.labels = np.array([labels[j] for j in order], np.float64)
+        self.blocks = max(1, -(-len(order) // BLOCK))
+        term = np.concatenate([units[j][0] for j in order] or [np.zeros(0, np.int64)])
+        weight = np.concatenate([units[j][1] for j in order] or [np.zeros(0)])
+        place = np.repeat(np.arange(len(order)), [len(units[j][0]) for j in order]) if order else np.zeros(0, np.int64)
+        by = np.lexsort((place, term))
+        term, self.weight, self.place = term[by], weight[by], place[by]
+        block = self.place // BLOCK
+        edge = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
+        #: A list is the postings of one term in one block: lists[i] to lists[i + 1].
+        self.lists = np.append(edge, len(term))
+        self.list_block, self.list_most = block[edge], np.maximum.reduceat(self.weight, edge) if len(edge) else np.zeros(0)
+        self.of_term = np.searchsorted(term[edge], np.arange(len(terms.names) + 1))
         self.slope, self.shift, self.empty = 1.0, 0.0, base_rate
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(counts, np.int64, len(counts))
-        w = (1.0 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[at]
-        return at, (w / np.sqrt((w * w).sum())).astype(np.float32)
-
-    def counts(self, text: str) -> dict[int, int]:
-        words, terms, out = self.words, self.terms, {}
-        if len(words) > 500_000:
-            words.clear()
-        for w in _WORD.findall(text.lower()):
-            found = words.get(w)
-            if found is None:
-                found = words[w] = tuple(terms[t] for t in terms_of(w) if t in terms)
-            for t in found:
-                out[t] = out.get(t, 0) + 1
-        return out
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, int]:
         """Places and cosines of the k nearest examples (cosine above 0), and the blocks read.
 
         Equal cosines are ordered by place."""
-        bounds = weights @ self.maxima[at]
+        lists, which = _spans(self.of_term[at], self.of_term[at + 1])
+        mine, blocks = weights[which], self.list_block[lists]
+        bounds = np.bincount(blocks, mine * self.list_most[lists], self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        best_at, best, step, read = np.zeros(0, np.int64), np.zeros(0, np.float32), 4, 0
-        for i in range(0, len(order), step):
-            chosen = order[i : i + step]
-            if bounds[chosen[0]] <= 0 or (len(best) == k and bounds[chosen[0]] * np.float32(1.00001) < best[-1]):
-                break
-            read += len(chosen)
-            scores = np.tensordot(weights, self.weights[at[:, None], chosen[None, :]], axes=1)
-            places = (chosen[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
-            scores = scores.reshape(-1)
-            near = scores > 0
-            best_at, best = np.concatenate([best_at, places[near]]), np.concatenate([best, scores[near]])
+        best_at, best, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        while done < len(order) and bounds[order[done]] > 0:
+            chosen = order[done : done + step]
+            if len(best) == k:
+                chosen = chosen[bounds[chosen] * 1.000001 >= best[-1]]
+                if not len(chosen):
+                    break
+            wanted = np.zeros(self.blocks, bool)
+            wanted[chosen] = True
+            some = np.flatnonzero(wanted[blocks])
+            postings, of = _spans(self.lists[lists[some]], self.lists[lists[some] + 1])
+            scores = np.bincount(self.place[postings], self.weight[postings] * mine[some][of], len(self.ids))
+            places = np.flatnonzero(scores)
+            best_at, best = np.concatenate([best_at, places]), np.concatenate([best, scores[places]])
             top = np.lexsort((best_at, -best))[:k]
             best_at, best = best_at[top], best[top]
-        return best_at, best, read
+            done, step = done + len(chosen), 2 * step
+        return best_at, best, done
 
     def vote(self, cosines: np.ndarray, labels: np.ndarray) -> float:
-        w = cosines.astype(np.float64) ** 2
+        w = (cosines / cosines[0]) ** 2 if len(cosines) else cosines
         return float(((w * labels).sum() + PRIOR_WEIGHT * self.base_rate) / (w.sum() + PRIOR_WEIGHT))
 
     def calibrated(self, vote: float) -> float:
         odds = math.log(max(vote, 1e-6) / max(1 - vote, 1e-6))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * odds + self.shift))))
 
+    def raw_vote(self, text: str) -> tuple[float, np.ndarray, np.ndarray] | None:
+        """Vote, places and cosines; None for a text without words."""
+        counts, unseen = self.terms.counts(text)
+        if not counts and not unseen:
+            return None
+        at, cosines, _ = self.nearest(*self.terms.unit(counts, unseen))
+        return self.vote(cosines, self.labels[at]), at, cosines
+
     def score(self, text: str) -> tuple[float, list[int], list[float]]:
         """Calibrated score and the evidence: ids and cosines of the nearest examples."""
-        return self.score_counts(self.counts(text))
-
-    def score_counts(self, counts: dict[int, int]) -> tuple[float, list[int], list[float]]:
-        if not counts:
+        found = self.raw_vote(text)
+        if found is None or not len(self.ids):
             return self.empty, [], []
-        at, cosines, _ = self.nearest(*self.unit(counts))
-        return self.calibrated(self.vote(cosines, self.labels[at])), self.ids[at].tolist(), [float(c) for c in cosines]
+        vote, at, cosines = found
+        return self.calibrated(vote), self.ids[at].tolist(), cosines.tolist()
 
 
-def _logistic(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Slope and shift by Newton steps on log-odds, with a little ridge."""
+def _logistic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Slope and shift by weighted Newton steps on log-odds, with a little ridge."""
     x = np.log(np.clip(votes, 1e-6, 1 - 1e-6) / np.clip(1 - votes, 1e-6, 1 - 1e-6))
     a = np.stack([x, np.ones_like(x)], axis=1)
     beta = np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        grad = a.T @ (labels - p) - 0.1 * (beta - [1.0, 0.0])
-        hess = (a * (p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(2)
+        grad = a.T @ (weights * (labels - p)) - 0.1 * (beta - [1.0, 0.0])
+        hess = (a * (weights * p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(2)
         step = np.linalg.solve(hess, grad)
         beta = beta + step
         if np.abs(step).max() < 1e-9:
@@ -138,25 +196,46 @@ def _logistic(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return max(0.05, float(beta[0])), float(beta[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, index_rows: int = INDEX_ROWS, terms: int = TERMS) -> BlockMaxIndex:
-    """The index from labelled rows outside the held-out fold.
+def _frequencies(docs: DataFrame, terms: Terms) -> np.ndarray:
+    """In how many of all documents each term occurs.  Counts of a task go as compressed chunks of
+    the term numbers; the driver gets one number a term of the (bounded) index."""
+    size = len(terms.names)
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
-    Rows with a null id or label, and labels without a document, teach nothing; a repeated
-    doc_id is labelled by the greatest of its labels.  Without any labelled row every score is 0.
-    """
-    known = labels.where("doc_id is not null and toxic is not null").where(~held_out())
-    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
-    rows = stored(texts(docs).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]))
-    n, positive = rows.agg(F.count("*"), F.sum("y")).first()
-    if not n:
-        return BlockMaxIndex([], np.zeros(0), [], [], [], 0.0)
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, total = shared.value, np.zeros(size, np.int64)
+        for pdf in batches:
+            for text in pdf["text"]:
+                found = {t for w in set(words_of(text)) for t in own.numbers(w)}
+                found.discard(-1)
+                total[np.fromiter(found, np.int64, len(found))] += 1
+        chunks = range(0, size, _CHUNK)
+        yield pd.DataFrame({"chunk": list(chunks), "counts": [zlib.compress(total[c : c + _CHUNK].tobytes(), 1) for c in chunks]})
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for chunk, counts in zip(pdf["chunk"], pdf["counts"], strict=True):
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(zlib.decompress(counts), np.int64)
+        yield pd.DataFrame({"chunk": list(total), "counts": [zlib.compress(c.tobytes(), 1) for c in total.values()]})
+
+    kind = "chunk int, counts binary"
+    out = np.zeros(size, np.int64)
+    for r in texts(docs).select("text").mapInPandas(counted, kind).repartition("chunk").mapInPandas(summed, kind).collect():
+        part = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+        out[r["chunk"] : r["chunk"] + len(part)] = part
+    return out
+
+
+def _leaning(rows: DataFrame, n: int, positive: int) -> set[str]:
+    """Words and beginnings of words that occur with one label more often than chance allows."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, with_label = Counter(), Counter()
         for pdf in batches:
             for text, y in zip(pdf["text"], pdf["y"], strict=True):
-                found = {t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)}
+                words = set(words_of(text))
+                found = words | {t for w in words for t in beginnings(w)}
                 seen.update(found)
                 if y:
                     with_label.update(found)
@@ -165,49 +244,62 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, inde
 
     expected = F.col("df") * positive / n
     spread = F.sqrt(expected * (1 - F.col("df") / n) * (1 - positive / n) + 1e-9)
-    chosen = (
-        rows.select("text", "y")
-        .mapInPandas(counted, "term string, df long, dt long")
-        .groupBy("term")
-        .agg(F.sum("df").alias("df"), F.sum("dt").alias("dt"))
-        .where(F.col("df") >= MIN_ROWS)
-        .withColumn("z", (F.col("dt") - expected) / spread)
-        .where(F.col("z") >= MIN_Z)
-        .orderBy(F.desc("z"), "term")
-        .limit(terms)
-        .collect()
-    )
-    names = [r["term"] for r in chosen]
-    idf = np.log((1 + n) / (1 + np.array([r["df"] for r in chosen], np.float64))) + 1
-    base = BlockMaxIndex(names, idf, [], [], [], positive / n)
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = rows.select("text", "y").mapInPandas(counted, "term string, df long, dt long")
+    sums = counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("dt").alias("dt")).where(F.col("df") >= MIN_ROWS)
+    return {r["term"] for r in sums.where(F.abs((F.col("dt") - expected) / spread) >= MIN_Z).select("term").collect()}  # of a bounded sample
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, index_rows: int = INDEX_ROWS) -> BlockMaxIndex:
+    """The index from labelled rows outside the held-out fold.
+
+    Rows with a null id or label, and labels without a document, teach nothing; a repeated
+    doc_id is labelled by the greatest of its labels.  Without any labelled row every score is 0.
+    """
+    known = labels.where("doc_id is not null and toxic is not null").where(~held_out())
+    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    rows = stored(texts(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")))
+    n, positive = rows.agg(F.count("*"), F.sum("y")).first()
+    if not n:
+        return BlockMaxIndex(Terms([], np.zeros(0, bool), np.zeros(0), 0), [], [], [], 0.0)
+    leaning = _leaning(rows, n, positive)
+    worded = rows.where(F.col("text").rlike("\\p{L}"))
+    ranked = worded.select("doc_id", "text", "y", F.xxhash64("doc_id").alias("h"))
+    # At least a quarter of either label stays for the calibration, which weighs it up again.
+    of_label = {1: positive, 0: n - positive}
+    share = {y: min(index_rows // 2, -(-3 * c // 4)) for y, c in of_label.items()}
+    examples = [r for y in (1, 0) for r in ranked.where(F.col("y") == y).orderBy("h", "doc_id").limit(share[y]).collect()]  # at most index_rows
+    names = sorted({w for r in examples for w in words_of(r["text"])} | leaning)
+    marks = np.array([t in leaning for t in names], bool)
+    blank = Terms(names, marks, np.zeros(len(names)), 0)
+    terms = Terms(names, marks, _frequencies(docs, blank), docs.count())
+    base_rate = positive / n
+    index = BlockMaxIndex(terms, [r["doc_id"] for r in examples], [r["y"] for r in examples], [terms.counts(r["text"]) for r in examples], base_rate)
+    bare, bare_positive = rows.where(~F.col("text").rlike("\\p{L}")).agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    index.empty = (bare_positive + base_rate) / (bare + 1)
+
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+
+    def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = shared.value
         for pdf in batches:
-            found = [base.counts(t) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "at": [list(c) for c in found], "tf": [list(c.values()) for c in found]})
-
-    got = rows.mapInPandas(vectors, "doc_id long, y int, at array<int>, tf array<int>").orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most sample_rows
-    with_terms = [r for r in got if r["at"]]
-    share = min(index_rows, max(1, len(with_terms) * 3 // 4))
-    index = BlockMaxIndex(
-        names, idf, [r["doc_id"] for r in with_terms[:share]], [r["y"] for r in with_terms[:share]], [dict(zip(r["at"], r["tf"], strict=True)) for r in with_terms[:share]], positive / n
-    )
-    bare = [r["y"] for r in got if not r["at"]]
-    index.empty = (sum(bare) + index.base_rate) / (len(bare) + 1)
-    if rest := with_terms[share:]:
-        votes = []
-        for r in rest:
-            at, cosines, _ = index.nearest(*index.unit(dict(zip(r["at"], r["tf"], strict=True))))
-            votes.append(index.vote(cosines, index.labels[at]))
-        index.slope, index.shift = _logistic(np.array(votes), np.array([float(r["y"]) for r in rest]))
+            found = [own.raw_vote(t) for t in pdf["text"]]
+            some = [f is not None for f in found]
+            yield pd.DataFrame({"vote": [f[0] for f in found if f], "y": pdf["y"][some].astype(float).values})
+
+    used = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in examples], "doc_id long")
+    votes = ranked.join(F.broadcast(used), "doc_id", "left_anti").mapInPandas(voted, "vote double, y double").toPandas()  # at most sample_rows
+    if len(votes):
+        y = votes["y"].to_numpy()
+        weights = np.where(y == 1, positive / max(1.0, y.sum()), (n - positive) / max(1.0, (1 - y).sum()))
+        index.slope, index.shift = _logistic(votes["vote"].to_numpy(), y, weights)
     return index
 
 
 def score(docs: DataFrame, index: BlockMaxIndex) -> DataFrame:
     """doc_id, score, predicted, evidence (ids of the nearest examples) and their cosines.
 
-    Texts without any of the terms, empty and null ones too, get the rate of such rows in the
-    sample.  Each row is scored alone, in its own partition.
+    Texts without words, empty and null ones too, get the rate of such rows in the sample.  Each row is scored alone, in its own partition.
     """
     spark: SparkSession = docs.sparkSession
     shared = spark.sparkContext.broadcast(index)
