@@ -25,8 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that a document of smaller doc_id has go from the text."""
-    cut = line_dedup.apply_bitmaps(docs, line_dedup.keep_bitmaps(docs))
-    return _recounted(cut.withColumnRenamed("kept", "text")).select(docs.columns)
+    return _recounted(line_dedup.without_lines(docs, line_dedup.keep_bitmaps(docs)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
