@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,27 +16,10 @@ from tidemark.operators import store, studies
 from tidemark.operators import swings as swing
 from tidemark.operators import tracking as track
 from tidemark.plans import sql
+from tidemark.plans.registry import ORACLE, QUERIES, query, rounded
 from tidemark.sources import bars as src
 from tidemark.streaming import feed
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle is not None:
-            ORACLE[f.__name__] = oracle
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, keys: list[str], names, digits: int = 6) -> DataFrame:
-    return df.select(*keys, *[(F.round(n, digits) + F.lit(0.0)).alias(n) for n in names])  # no -0.0
-
-
 KEYS = ["symbol", "bar_idx"]
 
 
@@ -721,3 +702,7 @@ _SCORES = {"long_score": studies.position_score_sql(True), "short_score": studie
 def position_scores(spark, sf_dir):
     table = ind.window_indicators(bars(spark, sf_dir)).selectExpr("*", *[f"{x} AS {n}" for n, x in _SCORES.items()])
     return rounded(table, KEYS, _SCORES)
+
+
+# Modules that register further queries.
+from tidemark.plans import pool_queries  # noqa: E402, F401
