@@ -705,4 +705,4 @@ def position_scores(spark, sf_dir):
 
 
 # Modules that register further queries.
-from tidemark.plans import pool_queries  # noqa: E402, F401
+from tidemark.plans import pool_queries, template_queries  # noqa: E402, F401
