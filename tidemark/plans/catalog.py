@@ -550,11 +550,6 @@ def slope_signals(spark, sf_dir) -> DataFrame:
     return ind.window_indicators(bars(spark, sf_dir)).selectExpr("*", f"CAST(CASE WHEN {turn} > 0 THEN 1 WHEN {turn} < 0 THEN -1 ELSE 0 END AS int) AS signal")
 
 
-@query()
-def signal_backtest(spark, sf_dir):
-    return rec.backtest(slope_signals(spark, sf_dir))
-
-
 @query()
 def walk_forward_search(spark, sf_dir):
     return rec.parameter_search(slope_signals(spark, sf_dir), [(0.006, 0.008, 60), (0.01, 0.005, 60), (0.004, 0.004, 30)])
@@ -705,4 +700,4 @@ def position_scores(spark, sf_dir):
 
 
 # Modules that register further queries.
-from tidemark.plans import pool_queries, template_queries  # noqa: E402, F401
+from tidemark.plans import backtest_queries, pool_queries, template_queries  # noqa: E402, F401
