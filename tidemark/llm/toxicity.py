@@ -33,6 +33,9 @@ from tidemark.llm.common import stored, texts
 
 SAMPLE_ROWS = 20_000
 INDEX_ROWS = 2_048
+CALIBRATION_ROWS = 4_096
+EXAMPLE_CHARS = 100_000  # labelled texts beyond it are no examples, so that the index is bounded
+CACHE_WORDS = 100_000
 BLOCK = 64
 K = 15
 PREFIXES = (4, 5, 6)
@@ -71,30 +74,32 @@ class Terms:
         idf = lambda d: np.log((1 + documents) / (1 + d)) + 0.01
         self.weight = np.where(leaning, 1.0, FAINT) * idf(df.astype(np.float64))
         self.unseen = FAINT * float(idf(0.0))
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def numbers(self, word: str) -> tuple[int, ...]:
-        """The word's own term first (-1: none), then its beginnings'."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            names = self.names
-            found = self.known[word] = (names.get(word, -1), *[names[t] for t in beginnings(word) if t in names])
+        self.known: dict[str, int | tuple[int, ...]] = {}
+
+    def numbers(self, word: str) -> int | tuple[int, ...]:
+        """The word's own term (-1: none), followed by its beginnings' if there are any."""
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        own, more = self.names.get(word, -1), tuple(self.names[t] for t in beginnings(word) if t in self.names)
+        found = self.known[word] = (own, *more) if more else own
         return found
 
     def counts(self, text: str) -> tuple[dict[int, int], int]:
         """Occurrences of each term, and the number of distinct words that are none."""
         out: dict[int, int] = {}
-        unseen = 0
+        unseen, known = 0, self.known
         for word, n in Counter(words_of(text)).items():
-            first, *more = self.numbers(word)
-            if first < 0:
+            t = known.get(word)
+            if t is None:
+                t = self.numbers(word)
+            if type(t) is tuple:
+                for more in t[1:]:
+                    out[more] = out.get(more, 0) + n
+                t = t[0]
+            if t < 0:
                 unseen += 1
             else:
-                out[first] = out.get(first, 0) + n
-            for t in more:
-                out[t] = out.get(t, 0) + n
+                out[t] = n
         return out, unseen
 
     def unit(self, counts: dict[int, int], unseen: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,8 +211,7 @@ def _frequencies(docs: DataFrame, terms: Terms) -> np.ndarray:
         own, total = shared.value, np.zeros(size, np.int64)
         for pdf in batches:
             for text in pdf["text"]:
-                found = {t for w in set(words_of(text)) for t in own.numbers(w)}
-                found.discard(-1)
+                found, _ = own.counts(text)
                 total[np.fromiter(found, np.int64, len(found))] += 1
         chunks = range(0, size, _CHUNK)
         yield pd.DataFrame({"chunk": list(chunks), "counts": [zlib.compress(total[c : c + _CHUNK].tobytes(), 1) for c in chunks]})
@@ -263,7 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, inde
     if not n:
         return BlockMaxIndex(Terms([], np.zeros(0, bool), np.zeros(0), 0), [], [], [], 0.0)
     leaning = _leaning(rows, n, positive)
-    worded = rows.where(F.col("text").rlike("\\p{L}"))
+    worded = rows.where(F.col("text").rlike("\\p{L}") & (F.char_length("text") <= EXAMPLE_CHARS))
     ranked = worded.select("doc_id", "text", "y", F.xxhash64("doc_id").alias("h"))
     # At least a quarter of either label stays for the calibration, which weighs it up again.
     of_label = {1: positive, 0: n - positive}
@@ -288,7 +292,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, inde
             yield pd.DataFrame({"vote": [f[0] for f in found if f], "y": pdf["y"][some].astype(float).values})
 
     used = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in examples], "doc_id long")
-    votes = ranked.join(F.broadcast(used), "doc_id", "left_anti").mapInPandas(voted, "vote double, y double").toPandas()  # at most sample_rows
+    rest = ranked.join(F.broadcast(used), "doc_id", "left_anti").orderBy("h", "doc_id").limit(CALIBRATION_ROWS)
+    votes = rest.repartition(8).mapInPandas(voted, "vote double, y double").toPandas()
     if len(votes):
         y = votes["y"].to_numpy()
         weights = np.where(y == 1, positive / max(1.0, y.sum()), (n - positive) / max(1.0, (1 - y).sum()))
