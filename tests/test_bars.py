@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows
-from tidemark.operators import features, indicators, recurrences, signals, similarity, store, swings, tracking
+from tidemark.operators import backtests, features, indicators, recurrences, signals, similarity, store, swings, tracking
 from tidemark.sources import bars as src
 
 
@@ -138,43 +138,45 @@ def test_zigzag_alternates_and_best_trades_do_not_overlap(spark, table):
     assert sum(g["profit"] for g in got) == best
 
 
-def test_backtest_trades_are_consistent(spark, table):
-    s = table.withColumn("signal", F.when(F.col("bar_idx") % 20 == 5, 1).when(F.col("bar_idx") % 20 == 15, -1).otherwise(0))
-    t = recurrences.backtest(s).toPandas().sort_values(["symbol", "entry_idx"])
-    assert len(t) and (t["exit_idx"] >= t["entry_idx"]).all()
-    for _, g in t.groupby("symbol"):
-        assert (g["entry_idx"].iloc[1:].to_numpy() >= g["exit_idx"].iloc[:-1].to_numpy()).all()
-    sign = np.where(t["side"] == "long", 1, -1)
-    np.testing.assert_allclose(t["profit_pct"], (sign * (t["exit_price"] - t["entry_price"]) / t["entry_price"] - 0.0008) * 100)
-
-
-def test_walks_carry_their_state_over_long_series(spark):
+def plain_zigzag(high, low, close, need, wide):
+    """Turns of one series, read twice: once for the start, once for the walk."""
+    n = len(close)
+    if n < 24:
+        return []
+    start = next((i for i in range(14, min(64, n)) if wide[i]), None)
+    up = start is None or close[start] > close[start - 1]
+    at, price = (14, close[14]) if start is None else (start, high[start] if up else low[start])
+    turns = []
+    for i in range(at + 1, n):
+        if (low[i] < price - need[i]) if up else (high[i] > price + need[i]):
+            turns.append((at, up))
+            at, price, up = i, low[i] if up else high[i], not up
+        elif (high[i] > price) if up else (low[i] < price):
+            at, price = i, high[i] if up else low[i]
+    return turns + ([(at, up)] if at < n - 1 else [])
+
+
+@pytest.mark.parametrize("spread", [0.0005, 0.05])
+def test_walks_carry_their_state_over_long_series(spark, spread):
     r = np.random.default_rng(6)
     n = 9000
     close = 100 * np.exp(np.cumsum(r.normal(0, 0.001, n)))
     opened = np.concatenate([[100.0], close[:-1]])
-    high, low = np.maximum(opened, close) * 1.0005, np.minimum(opened, close) * 0.9995
+    high, low = np.maximum(opened, close) * (1 + spread), np.minimum(opened, close) * (1 - spread)
+    atr = close * 0.02
     signal = np.where(np.arange(n) % 45 == 5, 1, np.where(np.arange(n) % 45 == 25, -1, 0))
-    b = pd.DataFrame({"symbol": "a", "bar_idx": np.arange(n), "open": opened, "high": high, "low": low, "close": close, "atr": close * 0.02, "signal": signal})
-    df = spark.createDataFrame(pd.concat([b, b.head(700).assign(symbol="b")])).repartition(5, "bar_idx")
-    turns, up, top, bottom = [], None, 0, 0
-    for i in range(1, n):
-        top = i if up is not False and high[i] > high[top] else top
-        bottom = i if up is not True and low[i] < low[bottom] else bottom
-        if up is not False and high[top] - low[i] >= close[i] * 0.04 and top < i:
-            turns.append((top, True))
-            up, bottom = False, i
-        elif up is not True and high[i] - low[bottom] >= close[i] * 0.04 and bottom < i:
-            turns.append((bottom, False))
-            up, top = True, i
-    turns.append((top, True) if up else (bottom, False))
-    got = recurrences.zigzag(df).where("symbol = 'a'").orderBy("bar_idx").collect()
-    assert [(x["bar_idx"], x["is_high"]) for x in got] == turns
-    trades = recurrences.backtest(df, 0.5, 0.5, 60).toPandas().sort_values(["symbol", "entry_idx"])
+    b = pd.DataFrame({"symbol": "a", "bar_idx": np.arange(n), "open": opened, "high": high, "low": low, "close": close, "atr": atr, "signal": signal})
+    df = spark.createDataFrame(pd.concat([b, *[b.head(k).assign(symbol=f"b{k}") for k in (700, 23, 40, 1)]])).repartition(5, "bar_idx")
+    got = recurrences.zigzag(df).toPandas().sort_values("bar_idx")
+    for symbol, k in (("a", n), ("b700", 700), ("b23", 23), ("b40", 40), ("b1", 1)):
+        own = got[got["symbol"] == symbol]
+        assert list(zip(own["bar_idx"], own["is_high"])) == plain_zigzag(high[:k], low[:k], close[:k], (2 * atr)[:k], (high - low > 2 * atr)[:k])
+    far = backtests.Rules(target=0.5, stop=0.5, lift_at=1e9)
+    trades = backtests.on_signals(df, far).toPandas().sort_values(["symbol", "entry_idx"])
     own = trades[trades["symbol"] == "a"]
     # Far targets: each position is turned by the opposite signal, and only the last bar closes one.
-    assert own["entry_idx"].tolist() == [i + 1 for i in range(n - 1) if signal[i]] and own["exit_idx"].tolist() == [*own["entry_idx"].tolist()[1:], n - 1]
-    assert (own["reason"].iloc[:-1] == "SIGNAL").all() and trades[trades["symbol"] == "b"]["exit_idx"].max() == 699
+    assert own["entry_idx"].tolist() == [i for i in range(n) if signal[i]] and own["exit_idx"].tolist() == [*own["entry_idx"].tolist()[1:], n - 1]
+    assert (own["reason"].iloc[:-1] == "signal").all() and trades[trades["symbol"] == "b700"]["exit_idx"].max() == 699
 
 
 def test_swings_and_trades(table):

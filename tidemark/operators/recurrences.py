@@ -11,11 +11,15 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from itertools import groupby
 from operator import itemgetter
+from typing import TYPE_CHECKING
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    from tidemark.operators.backtests import Rules
+
 
 def _walked(bars: DataFrame, columns: list[str], walk: Callable[[Iterator[tuple[tuple, bool]]], Iterator[tuple]], names: list[str], types: str) -> DataFrame:
     """What walk yields for the rows of each symbol in order, each with whether it is the last one.
@@ -47,28 +51,50 @@ def _walked(bars: DataFrame, columns: list[str], walk: Callable[[Iterator[tuple[
     return bars.select("symbol", *columns).repartition("symbol").sortWithinPartitions("symbol", "bar_idx").mapInPandas(run, types)
 
 
-def zigzag(bars: DataFrame, threshold: float = 2.0) -> DataFrame:
-    """symbol, bar_idx, price, is_high: turns of at least threshold ATRs (1 % of close without ATR)."""
+def zigzag(bars: DataFrame, factor: float = 2.0, warm_up: int = 14, search: int = 50) -> DataFrame:
+    """symbol, bar_idx, price, is_high: turns by more than factor ATRs (1 % of the close without one).
+
+    The walk starts at the first of the `search` bars after the warm-up whose range exceeds that, at its
+    high if it closes above the bar before and else at its low, or, if there is none, at the warm-up
+    bar's close as a high.  The last point is one as well, unless it is the last bar; symbols of fewer
+    than warm_up + 10 bars have none.
+    """
 
     def walk(rows: Iterator[tuple[tuple, bool]]) -> Iterator[tuple]:
-        up = top = bottom = None
-        for (idx, high, low, close, atr), _ in rows:
-            if top is None:
-                top, bottom = (idx, high), (idx, low)
-                continue
-            need = close * 0.01 if atr is None or not atr > 0 else atr * threshold
-            if up is not False and high > top[1]:
-                top = idx, high
-            if up is not True and low < bottom[1]:
-                bottom = idx, low
-            if up is not False and top[1] - low >= need and top[0] < idx:
-                yield (*top, True)
-                up, bottom = False, (idx, low)
-            elif up is not True and high - bottom[1] >= need and bottom[0] < idx:
-                yield (*bottom, False)
-                up, top = True, (idx, high)
-        if up is not None:
-            yield (*top, True) if up else (*bottom, False)
+        seen: list[tuple] = []  # bars kept until the start is known
+        at = price = high_last = None
+        n = 0
+
+        def step(row: tuple) -> Iterator[tuple]:
+            nonlocal at, price, high_last
+            idx, high, low, close, atr = row
+            need = atr * factor if atr is not None and atr * factor > 0 else close * 0.01
+            beyond, further, here = (low < price - need, high > price, low) if high_last else (high > price + need, low < price, high)
+            if beyond:
+                yield at, price, high_last
+                at, price, high_last = idx, here, not high_last
+            elif further:
+                at, price = idx, high if high_last else low
+
+        wide = lambda row: row[4] is not None and row[1] - row[2] > row[4] * factor
+        for row, last in rows:
+            n += 1
+            if at is not None:
+                yield from step(row)
+            else:
+                seen.append(row)
+                if n < warm_up + 10:
+                    continue
+                start = next((i for i in range(warm_up, min(n, warm_up + search)) if wide(seen[i])), None)
+                if start is None and n < warm_up + search and not last:
+                    continue
+                idx, high, low, close, _ = seen[warm_up if start is None else start]
+                high_last = start is None or close > seen[start - 1][3]
+                at, price = idx, close if start is None else high if high_last else low
+                for early in seen[(warm_up if start is None else start) + 1 :]:
+                    yield from step(early)
+            if last and at != row[0]:
+                yield at, price, high_last
 
     return _walked(bars, ["bar_idx", "high", "low", "close", "atr"], walk, ["bar_idx", "price", "is_high"], "bar_idx long, price double, is_high boolean")
 
@@ -100,50 +126,29 @@ def best_trades(candidates: DataFrame, *keys: str) -> DataFrame:
     return candidates.select(*keys, *names).groupBy(*keys).applyInPandas(choose, schema)
 
 
-def backtest(signals: DataFrame, take_profit: float = 0.006, stop_loss: float = 0.008, max_hold: int = 60, fee: float = 0.0004) -> DataFrame:
-    """Trades of one position at a time: entry at the open after a signal (1 long, -1 short), exit
-    at target, stop (stop first), the opposite signal or after max_hold bars; fees both ways.
+def parameter_search(signals: DataFrame, grid: list[Rules], fold_length: int = 720) -> DataFrame:
+    """trial, n, score: trades and the mean Sharpe-like ratio over folds of entries of every setting.
 
-    A symbol starts flat and closes its last trade at its last bar."""
+    All settings walk a symbol's bars in one pass, each with an account of its own; positions cross the
+    folds' ends.
+    """
+    from tidemark.operators.backtests import Account
 
     def walk(rows: Iterator[tuple[tuple, bool]]) -> Iterator[tuple]:
-        side, entry, since, before = 0, 0.0, 0, 0
-        for (idx, opened, high, low, close, signal), last in rows:
-            reason = price = None
-            if side and before == -side:
-                price, reason = opened, "SIGNAL"
-            if side and reason is None:
-                stop, goal = entry * (1 - side * stop_loss), entry * (1 + side * take_profit)
-                if (low <= stop) if side > 0 else (high >= stop):
-                    price, reason = stop, "STOP_LOSS"
-                elif (high >= goal) if side > 0 else (low <= goal):
-                    price, reason = goal, "TAKE_PROFIT"
-                elif idx - since >= max_hold or last:
-                    price, reason = close, "TIMEOUT"
-            if reason:
-                yield since, idx, "long" if side > 0 else "short", entry, price, (side * (price - entry) / entry - 2 * fee) * 100, reason
-                side = 0
-            if not side and before and reason in (None, "SIGNAL") and not last:
-                side, entry, since = int(before), opened, idx
-            before = signal
-
-    return _walked(
-        signals,
-        ["bar_idx", "open", "high", "low", "close", "signal"],
-        walk,
-        ["entry_idx", "exit_idx", "side", "entry_price", "exit_price", "profit_pct", "reason"],
-        "entry_idx long, exit_idx long, side string, entry_price double, exit_price double, profit_pct double, reason string",
-    )
-
-
-def parameter_search(signals: DataFrame, grid: list[tuple[float, float, int]], fold_length: int = 720) -> DataFrame:
-    """Sharpe-like ratio of the back-test for each (take_profit, stop_loss, max_hold) and fold of
-    entries: every trial is an independent plan over whole series; positions cross the folds' ends."""
-    parts = []
-    for number, (tp, sl, hold) in enumerate(grid):
-        trades = backtest(signals, tp, sl, hold).withColumn("trial", F.lit(number)).withColumn("fold", F.expr(f"entry_idx div {fold_length}"))
-        parts.append(trades.groupBy("trial", "fold").agg(F.count("*").alias("n"), F.avg("profit_pct").alias("mean"), F.stddev_pop("profit_pct").alias("sd")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("trial").agg(F.sum("n").alias("n"), F.avg(F.when(F.col("sd") > 0, F.col("mean") / F.col("sd"))).alias("score"))
+        accounts = [Account(r) for r in grid]
+        for (idx, high, low, close, signal), last in rows:
+            for trial, account in enumerate(accounts):
+                if account.side:
+                    account.guard(idx, high, low)
+                    if account.rules.max_hold and account.side and idx - account.since >= account.rules.max_hold:
+                        account.close(idx, close, "timeout")
+                account.follow(idx, close, int(signal))
+                if last and account.side:
+                    account.close(idx, close, "end")
+                for t in account.trades:
+                    yield trial, t[0], t[7]
+                account.trades.clear()
+
+    trades = _walked(signals, ["bar_idx", "high", "low", "close", "signal"], walk, ["trial", "entry_idx", "profit_pct"], "trial int, entry_idx long, profit_pct double")
+    folds = trades.withColumn("fold", F.expr(f"entry_idx div {fold_length}")).groupBy("trial", "fold").agg(F.count("*").alias("n"), F.avg("profit_pct").alias("mean"), F.stddev_pop("profit_pct").alias("sd"))
+    return folds.groupBy("trial").agg(F.sum("n").alias("n"), F.avg(F.when(F.col("sd") > 0, F.col("mean") / F.col("sd"))).alias("score"))

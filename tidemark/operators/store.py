@@ -35,7 +35,8 @@ def cumulative(history: DataFrame, direction: str, pool: str = "pool1") -> DataF
     return grouped.selectExpr("*", *[f"{x} AS {n}" for n, x in metrics_sql(direction, pool).items()])
 
 
-STABLE = "rounds >= 5 AND avg_rate >= 0.5e0 AND rate_std <= 0.15e0"
+#: Rounds, mean rate and deviation of a stable combination.
+STABLE = "rounds >= 5 AND avg_rate >= 0.62e0 AND rate_std <= 0.05e0"
 
 
 def diverse(ranked: DataFrame, group: str, most: int = 10, overlap: float = 0.3) -> DataFrame:

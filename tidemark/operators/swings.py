@@ -79,7 +79,9 @@ def regimes(points: DataFrame, at: DataFrame) -> DataFrame:
     mean = "aggregate(l, 0e0, (a, x) -> a + x.price) / size(l)"
     told = held.selectExpr("symbol", "bar_idx AS since", "until", f"IF({enough}, ({trend('true')} + {trend('false')}) / 2, null) AS direction", f"IF({enough}, ({moves}) / ({mean}), null) AS strength")
     piece = 4096
-    spans = told.withColumn("piece", F.explode(F.expr(f"sequence((since + 1) div {piece}, coalesce(until, since + {1 << 20}) div {piece})")))
+    ends = at.groupBy("symbol").agg(F.max("bar_idx").alias("end"))
+    told = told.join(ends, "symbol").withColumn("to", F.least(F.coalesce("until", "end"), F.col("end"))).where("to > since")
+    spans = told.withColumn("piece", F.explode(F.expr(f"sequence((since + 1) div {piece}, to div {piece})")))
     bars = at.withColumn("piece", F.expr(f"bar_idx div {piece}"))
     joined = bars.alias("b").join(spans.alias("s"), (F.col("b.symbol") == F.col("s.symbol")) & (F.col("b.piece") == F.col("s.piece")) & (F.col("bar_idx") > F.col("since")) & (F.col("bar_idx") <= F.coalesce("until", F.lit(2**62))), "left")
     return joined.selectExpr("b.symbol", "bar_idx", "direction", "strength", f"{regime_sql()} AS regime")
@@ -102,13 +104,16 @@ def regime_stats(trades: DataFrame) -> DataFrame:
     return out.withColumn("win_rate", F.when(F.col("n") > 0, F.col("wins") / F.col("n")).otherwise(0.0))
 
 
-def swing_pairs(points: DataFrame, least: int = 30, most: int = 480, ratio: float = 1.5) -> DataFrame:
-    """Lows with later highs least to most bars on, whose profit is ratio times the risk below the
-    low's last high or more: a range join on pieces of `most` bars."""
-    low = points.where("NOT is_high").select("symbol", F.col("bar_idx").alias("entry_idx"), F.col("price").alias("entry_price"))
-    high = points.where("is_high").select("symbol", F.col("bar_idx").alias("exit_idx"), F.col("price").alias("exit_price"))
-    dealt = low.withColumn("piece", F.explode(F.expr(f"sequence((entry_idx + {least}) div {most}, (entry_idx + {most}) div {most})")))
-    joined = dealt.join(high.withColumn("piece", F.expr(f"exit_idx div {most}")), ["symbol", "piece"])
-    profit = (F.col("exit_price") - F.col("entry_price")) / F.col("entry_price")
-    fit = joined.where(F.col("exit_idx").between(F.col("entry_idx") + least, F.col("entry_idx") + most)).withColumn("profit", profit)
-    return fit.where(F.col("profit") >= ratio * 0.008).drop("piece")
+def swing_pairs(points: DataFrame, atrs: DataFrame, least: int = 30, most: int = 480, ratio: float = 1.5) -> DataFrame:
+    """symbol, side, entry_idx, exit_idx, entry_price, exit_price, profit: from each low to later highs
+    (long) and from each high to later lows (short), least to most bars on, whose gain is ratio times
+    the ATR at the entry or more (1 % of the price without one): a range join on pieces of `most` bars."""
+    risk = F.when(F.col("atr") > 0, F.col("atr")).otherwise(F.col("price") * 0.01)
+    known = points.join(atrs.select("symbol", "bar_idx", "atr"), ["symbol", "bar_idx"], "left")
+    start = known.select("symbol", F.col("is_high").alias("from_high"), F.col("bar_idx").alias("entry_idx"), F.col("price").alias("entry_price"), risk.alias("risk"))
+    dealt = start.withColumn("piece", F.explode(F.expr(f"sequence((entry_idx + {least}) div {most}, (entry_idx + {most}) div {most})")))
+    end = points.select("symbol", (~F.col("is_high")).alias("from_high"), F.col("bar_idx").alias("exit_idx"), F.col("price").alias("exit_price"), F.expr(f"bar_idx div {most}").alias("piece"))
+    joined = dealt.join(end, ["symbol", "from_high", "piece"]).where(F.col("exit_idx").between(F.col("entry_idx") + least, F.col("entry_idx") + most))
+    profit = F.when(F.col("from_high"), F.col("entry_price") - F.col("exit_price")).otherwise(F.col("exit_price") - F.col("entry_price"))
+    fit = joined.withColumn("profit", profit).where((F.col("profit") > 0) & (F.col("profit") / F.col("risk") >= ratio))
+    return fit.select("symbol", F.when(F.col("from_high"), "short").otherwise("long").alias("side"), "entry_idx", "exit_idx", "entry_price", "exit_price", "profit")

@@ -15,6 +15,7 @@ from tidemark.operators import similarity as sim
 from tidemark.operators import store, studies
 from tidemark.operators import swings as swing
 from tidemark.operators import tracking as track
+from tidemark.operators.backtests import Rules
 from tidemark.plans import sql
 from tidemark.plans.registry import ORACLE, QUERIES, query, rounded
 from tidemark.sources import bars as src
@@ -383,14 +384,24 @@ def regime_statistics(spark, sf_dir):
     return swing.regime_stats(trades_with_regime(spark, sf_dir)).withColumn("avg_profit", F.round("avg_profit", 6))
 
 
+_ATR = """tr AS (SELECT symbol, bar_idx, greatest(high - low, coalesce(abs(high - lag(close) OVER o), 0), coalesce(abs(low - lag(close) OVER o), 0)) AS t FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY bar_idx)),
+at AS MATERIALIZED (SELECT symbol, bar_idx, CASE WHEN bar_idx >= 13 THEN avg(t) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) END AS atr FROM tr)"""
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    b = bars(spark, sf_dir)
+    return swing.swing_pairs(swing.alternating(swing.swing_points(b)), ind.window_indicators(b))
+
+
 @query(
     _swings_sql(
-        """SELECT l.symbol, l.bar_idx AS entry_idx, h.bar_idx AS exit_idx, round((h.price - l.price) / l.price, 6) AS profit FROM points l JOIN points h
-ON h.symbol = l.symbol AND NOT l.is_high AND h.is_high AND h.bar_idx BETWEEN l.bar_idx + 30 AND l.bar_idx + 480 WHERE (h.price - l.price) / l.price >= 1.5 * 0.008"""
+        f""", {_ATR.replace('at AS', 'av AS')} SELECT p.symbol, CASE WHEN p.is_high THEN 'short' ELSE 'long' END AS side, p.bar_idx AS entry_idx, q.bar_idx AS exit_idx, round(abs(q.price - p.price), 6) AS profit
+FROM points p JOIN av ON av.symbol = p.symbol AND av.bar_idx = p.bar_idx JOIN points q ON q.symbol = p.symbol AND q.is_high <> p.is_high AND q.bar_idx BETWEEN p.bar_idx + 30 AND p.bar_idx + 480
+WHERE CASE WHEN p.is_high THEN p.price - q.price ELSE q.price - p.price END >= 1.5 * CASE WHEN av.atr > 0 THEN av.atr ELSE p.price * 0.01 END"""
     )
 )
 def swing_pairs(spark, sf_dir):
-    return swing.swing_pairs(points(spark, sf_dir)).select("symbol", "entry_idx", "exit_idx", F.round("profit", 6).alias("profit"))
+    return _pairs(spark, sf_dir).select("symbol", "side", "entry_idx", "exit_idx", F.round("profit", 6).alias("profit"))
 
 
 # --- decisions and their judgements
@@ -534,14 +545,26 @@ def live_streaks(spark, sf_dir):
 # --- walks, learning and streams: no SQL counterpart, tested against plain folds
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + sql.TICK_BARS + "," + _ATR.replace("at AS", "av AS")
+    + """, zb AS MATERIALIZED (SELECT b.symbol, b.bar_idx, high, low, close, CASE WHEN atr > 0 THEN 2 * atr ELSE close * 0.01 END AS need, high - low > 2 * atr AS wide, lag(close) OVER (PARTITION BY b.symbol ORDER BY b.bar_idx) AS before,
+  max(b.bar_idx) OVER (PARTITION BY b.symbol) AS last FROM bars b JOIN av ON av.symbol = b.symbol AND av.bar_idx = b.bar_idx),
+st AS (SELECT symbol, coalesce(min(bar_idx) FILTER (WHERE wide), 14) AS start, count(*) FILTER (WHERE wide) > 0 AS found FROM zb WHERE bar_idx BETWEEN 14 AND 63 AND last >= 23 GROUP BY symbol),
+z AS (SELECT s.symbol, b.bar_idx, b.bar_idx AS p_idx, CASE WHEN NOT found THEN close WHEN close > before THEN high ELSE low END AS price, NOT found OR close > before AS up, NULL::BIGINT AS t_idx, NULL::DOUBLE AS t_price, NULL::BOOLEAN AS t_high FROM st s JOIN zb b ON b.symbol = s.symbol AND b.bar_idx = s.start
+ UNION ALL SELECT symbol, bar_idx, CASE WHEN turns OR further THEN bar_idx ELSE p_idx END, CASE WHEN turns THEN CASE WHEN up THEN low ELSE high END WHEN further THEN CASE WHEN up THEN high ELSE low END ELSE price END, up <> turns,
+   CASE WHEN turns THEN p_idx END, CASE WHEN turns THEN price END, CASE WHEN turns THEN up END
+ FROM (SELECT b.symbol, b.bar_idx, b.high, b.low, z.p_idx, z.price, z.up, CASE WHEN z.up THEN b.low < z.price - b.need ELSE b.high > z.price + b.need END AS turns, CASE WHEN z.up THEN b.high > z.price ELSE b.low < z.price END AS further
+   FROM z JOIN zb b ON b.symbol = z.symbol AND b.bar_idx = z.bar_idx + 1))
+SELECT symbol, t_idx AS bar_idx, round(t_price, 6) AS price, t_high AS is_high FROM z WHERE t_idx IS NOT NULL
+UNION ALL SELECT z.symbol, z.p_idx, round(z.price, 6), z.up FROM z JOIN zb ON zb.symbol = z.symbol AND zb.bar_idx = z.bar_idx AND zb.last = z.bar_idx WHERE z.p_idx < z.bar_idx"""
+)
 def zigzag_points(spark, sf_dir):
-    return rec.zigzag(ind.window_indicators(bars(spark, sf_dir)))
+    return rec.zigzag(ind.window_indicators(bars(spark, sf_dir))).select("symbol", "bar_idx", F.round("price", 6).alias("price"), "is_high")
 
 
 @query()
 def best_swing_trades(spark, sf_dir):
-    return rec.best_trades(swing.swing_pairs(points(spark, sf_dir)), "symbol")
+    return rec.best_trades(_pairs(spark, sf_dir), "symbol")
 
 
 def slope_signals(spark, sf_dir) -> DataFrame:
@@ -552,7 +575,8 @@ def slope_signals(spark, sf_dir) -> DataFrame:
 
 @query()
 def walk_forward_search(spark, sf_dir):
-    return rec.parameter_search(slope_signals(spark, sf_dir), [(0.006, 0.008, 60), (0.01, 0.005, 60), (0.004, 0.004, 30)])
+    grid = [Rules(target=t, stop=s, max_hold=h) for t in (0.004, 0.006, 0.010) for s in (0.004, 0.008) for h in (30, 60)]
+    return rec.parameter_search(slope_signals(spark, sf_dir), grid)
 
 
 @query()
@@ -700,4 +724,4 @@ def position_scores(spark, sf_dir):
 
 
 # Modules that register further queries.
-from tidemark.plans import backtest_queries, pool_queries, template_queries  # noqa: E402, F401
+from tidemark.plans import backtest_queries, order_queries, pool_queries, template_queries  # noqa: E402, F401
