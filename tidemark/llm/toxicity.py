@@ -75,12 +75,22 @@ class Terms:
         self.weight = np.where(leaning, 1.0, FAINT) * idf(df.astype(np.float64))
         self.unseen = FAINT * float(idf(0.0))
         self.known: dict[str, int | tuple[int, ...]] = {}
+        self.words, self.starts = frozenset(names), {t[: PREFIXES[0]] for t in names if t.endswith("~")}
+
+    def more(self, word: str) -> list[int]:
+        """The terms that are beginnings of a word."""
+        return [self.names[t] for t in beginnings(word) if t in self.names] if word[: PREFIXES[0]] in self.starts else []
+
+    def present(self, text: str) -> list[int]:
+        """The terms of a text, each once."""
+        words = set(words_of(text))
+        return [self.names[w] for w in words & self.words] + list({t for w in words for t in self.more(w)})
 
     def numbers(self, word: str) -> int | tuple[int, ...]:
         """The word's own term (-1: none), followed by its beginnings' if there are any."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        own, more = self.names.get(word, -1), tuple(self.names[t] for t in beginnings(word) if t in self.names)
+        own, more = self.names.get(word, -1), self.more(word)
         found = self.known[word] = (own, *more) if more else own
         return found
 
@@ -141,7 +151,7 @@ class BlockMaxIndex:
         mine, blocks = weights[which], self.list_block[lists]
         bounds = np.bincount(blocks, mine * self.list_most[lists], self.blocks)
         order = np.argsort(-bounds, kind="stable")
-        best_at, best, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        best_at, best, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 8
         while done < len(order) and bounds[order[done]] > 0:
             chosen = order[done : done + step]
             if len(best) == k:
@@ -157,7 +167,7 @@ class BlockMaxIndex:
             best_at, best = np.concatenate([best_at, places]), np.concatenate([best, scores[places]])
             top = np.lexsort((best_at, -best))[:k]
             best_at, best = best_at[top], best[top]
-            done, step = done + len(chosen), 2 * step
+            done, step = done + len(chosen), 4 * step
         return best_at, best, done
 
     def vote(self, cosines: np.ndarray, labels: np.ndarray) -> float:
@@ -211,8 +221,7 @@ def _frequencies(docs: DataFrame, terms: Terms) -> np.ndarray:
         own, total = shared.value, np.zeros(size, np.int64)
         for pdf in batches:
             for text in pdf["text"]:
-                found, _ = own.counts(text)
-                total[np.fromiter(found, np.int64, len(found))] += 1
+                total[own.present(text)] += 1
         chunks = range(0, size, _CHUNK)
         yield pd.DataFrame({"chunk": list(chunks), "counts": [zlib.compress(total[c : c + _CHUNK].tobytes(), 1) for c in chunks]})
 
