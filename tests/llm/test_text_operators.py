@@ -444,7 +444,7 @@ def test_transducer_of_odd_rows(odd):
     assert [g["n_pieces"] for g in got if g["doc_id"] == 1] == [0]
 
 
-def test_toxicity_on_held_out_rows(spark, empty):
+def test_toxicity_on_held_out_rows(spark, empty, monkeypatch):
     r = np.random.default_rng(11)
     common, bad = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)], ["vilest", "rotten", "awfully"]
     rows, labels = [], []
@@ -462,6 +462,11 @@ def test_toxicity_on_held_out_rows(spark, empty):
     held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([got[i]["predicted"] == labels[i][2] for i in held]) > 0.97 and 0 <= got[600]["score"] < 0.5
     assert all(e in range(600) and zlib.crc32(str(e).encode()) % 5 for i in held for e in got[i]["evidence"])
+    # The same with an index that holds half of the toxic rows, and a small calibration.
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 100)
+    small = toxicity.fit(docs, known, index_rows=100)
+    again = {x["doc_id"]: x["predicted"] for x in toxicity.score(docs, small).collect()}
+    assert np.mean([again[i] == labels[i][2] for i in held]) > 0.95 and small.labels.sum() == 50
     # Neighbours by blocks are those of a full scan over all words, and every text with words has some.
     dense = np.zeros((len(index.ids), len(index.terms.names)))
     lists = np.repeat(np.arange(len(index.list_block)), np.diff(index.lists))

@@ -301,7 +301,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, inde
             yield pd.DataFrame({"vote": [f[0] for f in found if f], "y": pdf["y"][some].astype(float).values})
 
     used = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in examples], "doc_id long")
-    rest = ranked.join(F.broadcast(used), "doc_id", "left_anti").orderBy("h", "doc_id").limit(CALIBRATION_ROWS)
+    rest = ranked.join(F.broadcast(used), "doc_id", "left_anti")
+    # Examples have the least h of their label: another order, or few rows of the rarer label were left.
+    rest = rest.orderBy(F.xxhash64("h", F.lit(1)), "doc_id").limit(CALIBRATION_ROWS)
     votes = rest.repartition(8).mapInPandas(voted, "vote double, y double").toPandas()
     if len(votes):
         y = votes["y"].to_numpy()
