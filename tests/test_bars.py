@@ -30,19 +30,63 @@ def table(spark, series):
 
 
 def test_ewm_over_pieces_equals_the_recurrence(spark, series):
-    df = spark.createDataFrame(series)
-    got = windows.ewm(df, {"e": ("close", 2 / 27, 0), "f": ("close", 1 / 3, 0)}).toPandas().sort_values(["symbol", "bar_idx"])
-    for s, g in series.groupby("symbol"):
-        mine = got[got["symbol"] == s]
-        np.testing.assert_allclose(mine["e"], g["close"].ewm(span=26, adjust=False).mean(), rtol=1e-12)
-        np.testing.assert_allclose(mine["f"], g["close"].ewm(com=2, adjust=False).mean(), rtol=1e-12)
+    for chunk, reach, tolerance in ((4096, 512, 1e-12), (64, 64, 1e-2)):
+        held = windows.with_halo(spark.createDataFrame(series), min(reach, chunk), chunk=chunk)
+        for step in windows.ewm({"e": ("close", 2 / 27, 0), "f": ("close", 1 / 3, 0)}, reach):
+            held = held.selectExpr("*", *[f"{x} AS {n}" for n, x in step.items()])
+        got = windows.only_own(held).toPandas().sort_values(["symbol", "bar_idx"])
+        for s, g in series.groupby("symbol"):
+            mine = got[got["symbol"] == s]
+            np.testing.assert_allclose(mine["e"], g["close"].ewm(span=26, adjust=False).mean(), rtol=tolerance)
+            np.testing.assert_allclose(mine["f"], g["close"].ewm(com=2, adjust=False).mean(), rtol=max(1e-10, tolerance / 1e9))
 
 
 def test_running_sums_cross_pieces(spark, series):
-    got = windows.running(spark.createDataFrame(series), {"s": ("sum", "volume"), "m": ("max", "high")}, chunk=32).toPandas().sort_values(["symbol", "bar_idx"])
+    held = windows.with_halo(spark.createDataFrame(series), 20, chunk=32)
+    got = windows.running(held, {"s": ("sum", "volume"), "m": ("max", "high")})
+    lagged = windows.only_own(got.selectExpr("*", windows.lag("s", 15) + " AS s15")).toPandas().sort_values(["symbol", "bar_idx"])
     for s, g in series.groupby("symbol"):
-        np.testing.assert_allclose(got[got["symbol"] == s]["s"], g["volume"].cumsum())
-        np.testing.assert_allclose(got[got["symbol"] == s]["m"], g["high"].cummax())
+        mine = lagged[lagged["symbol"] == s]
+        np.testing.assert_allclose(mine["s"], g["volume"].cumsum())
+        np.testing.assert_allclose(mine["m"], g["high"].cummax())
+        np.testing.assert_allclose(mine["s15"].iloc[15:], g["volume"].cumsum().iloc[:-15])
+
+
+def test_indicators_do_not_depend_on_pieces(spark, series, monkeypatch):
+    """A long series in short pieces (the averages' reach is kept) is that of one piece."""
+    long = pd.concat([series[series["symbol"] == "a"].assign(bar_idx=lambda d, k=k: d["bar_idx"] + 300 * k) for k in range(12)]).reset_index(drop=True)
+    df = spark.createDataFrame(long).withColumn("ts", F.timestamp_seconds(F.col("bar_idx") * 60))
+    names = indicators.NAMES
+    whole = indicators.indicators(df).select("bar_idx", *names).toPandas().sort_values("bar_idx")
+    monkeypatch.setattr(windows.with_halo, "__defaults__", (windows.HALO, 0, 1024))
+    pieces = indicators.indicators(df).select("bar_idx", *names).toPandas().sort_values("bar_idx")
+    np.testing.assert_allclose(pieces[names].astype(float), whole[names].astype(float), rtol=1e-9, atol=1e-9)
+
+
+def test_longer_timeframes(spark, table, series):
+    """The eight features of two longer timeframes against pandas over the aggregated indicator table."""
+    df = spark.createDataFrame(series).withColumn("ts", F.timestamp_seconds(F.col("bar_idx") * 60))
+    got = features.multi_timeframe(df, table, 3, 6).toPandas().sort_values(["symbol", "bar_idx"]).reset_index(drop=True)
+    base = table.toPandas().sort_values(["symbol", "bar_idx"]).reset_index(drop=True)
+    assert list(got.columns[2:]) == list(features.LONGER)
+    for s in ("a", "b"):
+        mine, own, at = got[got["symbol"] == s], base[base["symbol"] == s], {}
+        for k in (3, 6):
+            t = indicators.indicators(src.aggregate_bars(df, k)).where(F.col("symbol") == s).toPandas().sort_values("bar_idx").reset_index(drop=True)
+            place = np.minimum(own["bar_idx"].to_numpy() // k, len(t) - 1)
+            trend, force = np.tanh((t["ema12"] - t["ema26"]) / (t["ema26"] + 1e-9) * 100), (t["rsi"] - 50) / 50
+            ma = t["atr"].rolling(20).mean()
+            slope = np.tanh((t["ema12"] - t["ema12"].shift(3)) / (t["ema12"].shift(3) + 1e-9) * 100)
+            at[k] = [x.fillna(0).to_numpy()[place] for x in (trend, force, slope, np.tanh((t["atr"] - ma) / (ma + 1e-9)))]
+        own_trend, own_force = np.sign(own["ema12"] - own["ema26"]).to_numpy(), np.sign(own["rsi"].astype(float) - 50).to_numpy()
+        align = lambda o, x, y: (o == np.sign(x)) * 1.0 + (o == np.sign(y)) - 1
+        want = [*at[3], *at[6][:2], align(own_trend, at[3][0], at[6][0]), align(own_force, at[3][1], at[6][1])]
+        for name, x in zip(features.LONGER, want):
+            np.testing.assert_allclose(mine[name].to_numpy(), x, atol=1e-9, err_msg=name)
+    whole = features.all_features(df, table, 3, 6)
+    assert len(whole.columns) == 54 and whole.count() == 600
+    labels = df.selectExpr("symbol", "bar_idx", "cast(bar_idx % 100 = 7 as int) AS label")
+    assert features.at_labels(whole, labels).count() == 6
 
 
 def test_halo_gives_windows_over_whole_series(spark, series):

@@ -1,9 +1,10 @@
 """Ordered expressions over bars, and the ways to run them on series of any length.
 
 Bars carry symbol and bar_idx.  A window over a whole symbol would put a long series into one
-task, so windows run over pieces of CHUNK bars that each also hold HALO bars of their neighbours;
-running sums and maxima, which look back without bound, take the totals of earlier pieces; and
-exponential averages, which forget, take a few earlier short pieces.
+task, so windows run over pieces of CHUNK bars that each also hold some bars of their neighbours (a
+halo).  Running sums and maxima, which look back without bound, take the totals of earlier pieces.
+Exponential averages forget: they are summed by doubling, a lag of 1, 2, 4 and so on bars at a time,
+as far back as a double can tell.  All of it stays within one exchange by symbol and piece.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 
 CHUNK = 4096
 HALO = 160
-EWM_CHUNK, EWM_REACH = 64, 8
 
 
 def lag(x: str, n: int = 1, by: str = "symbol, chunk") -> str:
@@ -49,49 +49,39 @@ def only_own(bars: DataFrame) -> DataFrame:
     return bars.where("own").drop("own", "chunk")
 
 
-def running(bars: DataFrame, columns: dict[str, tuple[str, str]], chunk: int = CHUNK) -> DataFrame:
-    """out = (sum or max, x) from the first bar to each bar of a symbol."""
-    pieces = bars.withColumn("chunk", F.expr(f"bar_idx div {chunk}"))
-    here = Window.partitionBy("symbol", "chunk").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy("symbol").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    totals = pieces.groupBy("symbol", "chunk").agg(*[F.expr(f"{f}({x})").alias(f"__{o}") for o, (f, x) in columns.items()])
-    carried = totals.select("symbol", "chunk", *[F.expr(f"{f}(__{o})").over(before).alias(f"__{o}") for o, (f, _) in columns.items()])
-    out = pieces.select("*", *[F.expr(f"{f}({x})").over(here).alias(o) for o, (f, x) in columns.items()]).join(carried, ["symbol", "chunk"])
-    for o, (f, _) in columns.items():
-        if f == "sum":
-            both = F.when(F.col(o).isNull() & F.col(f"__{o}").isNull(), None).otherwise(F.coalesce(o, F.lit(0)) + F.coalesce(f"__{o}", F.lit(0)))
-        else:
-            both = F.greatest(o, f"__{o}")
-        out = out.withColumn(o, both).drop(f"__{o}")
-    return out.drop("chunk")
-
-
-def ewm(bars: DataFrame, columns: dict[str, tuple[str, float, int]]) -> DataFrame:
-    """out = (x, alpha, start): y = x at bar `start`, where x begins, then alpha * x + (1 - alpha) * y.
-
-    y is the sum of alpha * x[i] * q ** (t - i): sums inside pieces of EWM_CHUNK bars, plus the
-    ends of the EWM_REACH pieces before, beyond which q ** 512 is below the precision of a double.
+def running(pieces: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame:
+    """pieces (with chunk, own and the halo before) with out = (sum or max, x) from the first bar to
+    each bar of a symbol; for bars of the halo, sums only are right.
+
+    The totals of a piece come from its own rows, one row each, and are added up over the pieces.
     """
-    n = EWM_CHUNK
-    pieces = bars.withColumn("chunk", F.expr(f"bar_idx div {n}")).withColumn("__p", F.expr(f"cast(bar_idx % {n} as double)"))
-    previous = Window.partitionBy("symbol", "chunk").orderBy("bar_idx")
-    running_frame = previous.rowsBetween(Window.unboundedPreceding, 0)
-    for o, (x, alpha, start) in columns.items():
-        z = F.when(F.col(x).isNull(), 0.0).when(F.col("bar_idx") == start, F.col(x)).otherwise(alpha * F.col(x))
-        pieces = pieces.withColumn(f"__z_{o}", z)
-    summed = pieces.select("*", *[F.sum(F.col(f"__z_{o}") * F.pow(F.lit(1 - a), -F.col("__p"))).over(running_frame).alias(f"__s_{o}") for o, (_, a, _) in columns.items()])
-    ends = pieces.groupBy("symbol", "chunk").agg(*[F.sum(F.col(f"__z_{o}") * F.pow(F.lit(1 - a), n - 1 - F.col("__p"))).alias(f"__e_{o}") for o, (_, a, _) in columns.items()])
-    by_chunk = Window.partitionBy("symbol").orderBy("chunk")
-    carried = ends.select(
-        "symbol",
-        "chunk",
-        *[
-            sum((F.coalesce(F.lag(f"__e_{o}", d).over(by_chunk), F.lit(0.0)) * (1 - a) ** (n * (d - 1)) for d in range(1, EWM_REACH + 1)), F.lit(0.0)).alias(f"__c_{o}")
-            for o, (_, a, _) in columns.items()
-        ],
+    totals = pieces.groupBy("symbol", "chunk").agg(
+        *[F.expr(f"{f}(CASE WHEN own THEN {x} END)").alias(f"__o_{o}") for o, (f, x) in columns.items()],
+        *[F.expr(f"sum(CASE WHEN NOT own THEN {x} END)").alias(f"__h_{o}") for o, (f, x) in columns.items() if f == "sum"],
     )
-    out = summed.join(carried, ["symbol", "chunk"])
-    for o, (x, a, _) in columns.items():
-        q = F.lit(1 - a)
-        out = out.withColumn(o, F.when(F.col(x).isNotNull(), F.pow(q, F.col("__p")) * F.col(f"__s_{o}") + F.pow(q, F.col("__p") + 1) * F.col(f"__c_{o}")))
-    return out.drop("chunk", "__p", *[f"__{c}_{o}" for o in columns for c in "zsc"])
+    before = Window.partitionBy("symbol").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    # What stands before the piece, less what its halo will add again.
+    carried = [
+        (F.coalesce(F.sum(f"__o_{o}").over(before), F.lit(0)) - F.coalesce(f"__h_{o}", F.lit(0)) if f == "sum" else F.max(f"__o_{o}").over(before)).alias(f"__c_{o}")
+        for o, (f, _) in columns.items()
+    ]
+    here = Window.partitionBy("symbol", "chunk").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
+    out = pieces.select("*", *[F.expr(f"{f}({x})").over(here).alias(f"__r_{o}") for o, (f, x) in columns.items()])
+    out = out.join(totals.select("symbol", "chunk", *carried), ["symbol", "chunk"])
+    whole = {o: F.col(f"__r_{o}") + F.col(f"__c_{o}") if f == "sum" else F.greatest(f"__r_{o}", f"__c_{o}") for o, (f, _) in columns.items()}
+    return out.withColumns(whole).drop(*[f"__{c}_{o}" for o in columns for c in "rc"])
+
+
+def ewm(columns: dict[str, tuple[str, float, int]], reach: int, by: str = "symbol, chunk") -> list[dict[str, str]]:
+    """Steps for out = (x, alpha, start): y = x at bar `start`, where x begins, then
+    alpha * x + (1 - alpha) * y.
+
+    y is the sum of alpha * x[i] * q ** (t - i) over the last `reach` bars, a power of two: y of twice
+    the reach is y plus q ** n times y of n bars before.
+    """
+    steps = [{f"__0_{o}": f"CASE WHEN {x} IS NULL THEN 0e0 WHEN bar_idx = {start} THEN {x} ELSE {a!r}D * {x} END" for o, (x, a, start) in columns.items()}]
+    n, k = 1, 0
+    while n < reach:
+        steps.append({f"__{k + 1}_{o}": f"__{k}_{o} + {(1 - a) ** n!r}D * lag(__{k}_{o}, {n}, 0e0) OVER (PARTITION BY {by} ORDER BY bar_idx)" for o, (_, a, _) in columns.items()})
+        n, k = 2 * n, k + 1
+    return [*steps, {o: f"CASE WHEN {x} IS NOT NULL THEN __{k}_{o} END" for o, (x, _, _) in columns.items()}]

@@ -12,60 +12,61 @@ from tidemark.sources.bars import aggregate_bars
 
 _rel = "({0} - {1}) / ({1} + 1e-9)"
 
+#: Fixed values, here and below: the names by which models know the features.
 TREND = {
-    "ma5_over_ma10": "tanh((ma5 - ma10) / (ma10 + 1e-9) * 100)",
-    "ma10_over_ma20": "tanh((ma10 - ma20) / (ma20 + 1e-9) * 100)",
-    "ma20_over_ma60": "tanh((ma20 - ma60) / (ma60 + 1e-9) * 100)",
-    "ema12_slope": "tanh(coalesce((ema12 - ema12_5) / (ema12_5 + 1e-9) * 100, 0))",
-    "ema26_slope": "tanh(coalesce((ema26 - ema26_5) / (ema26_5 + 1e-9) * 100, 0))",
-    "vs_ma5": "tanh(close_vs_ma5 / 5)",
-    "vs_ma20": "tanh(close_vs_ma20 / 5)",
-    "adx_centred": "(adx - 25) / 25",
+    "trend_ma_cross_5_10": "tanh((ma5 - ma10) / (ma10 + 1e-9) * 100)",
+    "trend_ma_cross_10_20": "tanh((ma10 - ma20) / (ma20 + 1e-9) * 100)",
+    "trend_ma_cross_20_60": "tanh((ma20 - ma60) / (ma60 + 1e-9) * 100)",
+    "trend_ema_slope_12": "tanh(coalesce((ema12 - ema12_5) / (ema12_5 + 1e-9) * 100, 0))",
+    "trend_ema_slope_26": "tanh(coalesce((ema26 - ema26_5) / (ema26_5 + 1e-9) * 100, 0))",
+    "trend_price_vs_ma5": "tanh(close_vs_ma5 / 5)",
+    "trend_price_vs_ma20": "tanh(close_vs_ma20 / 5)",
+    "trend_adx": "(adx - 25) / 25",
 }
 _RSI_MOVE = "coalesce(rsi - rsi_10, CASE WHEN bar_idx < 10 THEN 0 END)"
 MOMENTUM = {
-    "rsi_centred": "(rsi - 50) / 50",
-    "rsi_fast_centred": "(rsi_fast - 50) / 50",
-    "rsi_divergence": f"CASE WHEN sign({_RSI_MOVE}) <> sign(coalesce(close - c10, 0)) THEN sign({_RSI_MOVE}) ELSE 0 * {_RSI_MOVE} END",
-    "macd_scaled": "tanh(macd / (close * 0.001e0 + 1e-9))",
-    "hist_scaled": "tanh(macd_hist / (close * 0.0005e0 + 1e-9))",
-    "macd_cross": "coalesce(sign(macd - macd_signal) - sign(macd_prev - signal_prev), 0)",
-    "k_centred": "(k - 50) / 50",
-    "j_centred": "(j - 50) / 50",
-    "kd_cross": "coalesce(sign(k - d) - sign(k_prev - d_prev), 0)",
-    "roc_scaled": "tanh(roc / 5)",
+    "mom_rsi": "(rsi - 50) / 50",
+    "mom_rsi_fast": "(rsi_fast - 50) / 50",
+    "mom_rsi_divergence": f"CASE WHEN sign({_RSI_MOVE}) <> sign(coalesce(close - c10, 0)) THEN sign({_RSI_MOVE}) ELSE 0 * {_RSI_MOVE} END",
+    "mom_macd": "tanh(macd / (close * 0.001e0 + 1e-9))",
+    "mom_macd_hist": "tanh(macd_hist / (close * 0.0005e0 + 1e-9))",
+    "mom_macd_cross": "coalesce(sign(macd - macd_signal) - sign(macd_prev - signal_prev), 0)",
+    "mom_kdj_k": "(k - 50) / 50",
+    "mom_kdj_j": "(j - 50) / 50",
+    "mom_kdj_cross": "coalesce(sign(k - d) - sign(k_prev - d_prev), 0)",
+    "mom_roc": "tanh(roc / 5)",
 }
 VOLATILITY = {
-    "atr_vs_mean": f"tanh({_rel.format('atr', 'atr_ma')})",
-    "width_vs_mean": f"tanh({_rel.format('boll_width', 'boll_width_ma')})",
-    "band_position": "boll_position * 2 - 1",
-    "amplitude_vs_mean": f"tanh({_rel.format('amplitude', 'amp_ma')})",
-    "expansion": "CASE WHEN atr > atr_ma * 1.5e0 THEN 1 ELSE 0 END",
-    "squeeze": "vol_squeeze",
-    "atr_rank": "atr_rank50 * 2 - 1",
-    "range_vs_mean": "tanh((high - low - range_ma) / (range_ma + 1e-9))",
+    "vol_atr_ratio": f"tanh({_rel.format('atr', 'atr_ma')})",
+    "vol_boll_width": f"tanh({_rel.format('boll_width', 'boll_width_ma')})",
+    "vol_boll_position": "boll_position * 2 - 1",
+    "vol_amplitude": f"tanh({_rel.format('amplitude', 'amp_ma')})",
+    "vol_expansion": "CASE WHEN atr > atr_ma * 1.5e0 THEN 1 ELSE 0 END",
+    "vol_squeeze": "vol_squeeze",
+    "vol_atr_percentile": "atr_rank50 * 2 - 1",
+    "vol_range_ratio": "tanh((high - low - range_ma) / (range_ma + 1e-9))",
 }
 VOLUME = {
-    "volume_vs_ma5": "tanh((volume_ratio - 1) * 2)",
-    "volume_trend": f"tanh({_rel.format('volume_ma5', 'volume_ma20')})",
-    "obv_slope_scaled": "tanh(obv_slope)",
-    "volume_confirms": "CASE WHEN sign(coalesce(volume - pvolume, 0)) = sign(coalesce(close - pc, 0)) THEN 1 ELSE -1 END",
-    "spike": "volume_spike",
-    "dry_up": "CASE WHEN volume < volume_ma20 * 0.5e0 THEN 1 ELSE 0 END",
-    "vs_vwap": "tanh(close_vs_vwap / 2)",
-    "accumulation": "tanh((ad - ad_ma) / (abs(ad_ma) + 1e-9))",
+    "volm_ratio": "tanh((volume_ratio - 1) * 2)",
+    "volm_trend": f"tanh({_rel.format('volume_ma5', 'volume_ma20')})",
+    "volm_obv_slope": "tanh(obv_slope)",
+    "volm_price_confirm": "CASE WHEN sign(coalesce(volume - pvolume, 0)) = sign(coalesce(close - pc, 0)) THEN 1 ELSE -1 END",
+    "volm_climax": "volume_spike",
+    "volm_dry_up": "CASE WHEN volume < volume_ma20 * 0.5e0 THEN 1 ELSE 0 END",
+    "volm_vwap_position": "tanh(close_vs_vwap / 2)",
+    "volm_accumulation": "tanh((ad - ad_ma) / (abs(ad_ma) + 1e-9))",
 }
 PRICE_ACTION = {
-    "body_share": "body_ratio * 2 - 1",
-    "shadow_share": "(upper_shadow + lower_shadow) / (high - low + 1e-9) * 2 - 1",
-    "run_length": "tanh(trend_count / 5)",
-    "engulf": "engulfing",
-    "pin": "pin_bar",
-    "inside": "inside_bar",
-    "support_near": "1 - dist_to_support * 2",
-    "resistance_near": "dist_to_resistance * 2 - 1",
-    "higher_high": "CASE WHEN bar_idx >= 20 AND high > prev_high20 THEN 1 ELSE 0 END",
-    "lower_low": "CASE WHEN bar_idx >= 20 AND low < prev_low20 THEN 1 ELSE 0 END",
+    "pa_body_ratio": "body_ratio * 2 - 1",
+    "pa_shadow_ratio": "(upper_shadow + lower_shadow) / (high - low + 1e-9) * 2 - 1",
+    "pa_trend_count": "tanh(trend_count / 5)",
+    "pa_engulfing": "engulfing",
+    "pa_pin_bar": "pin_bar",
+    "pa_inside_bar": "inside_bar",
+    "pa_dist_support": "1 - dist_to_support * 2",
+    "pa_dist_resistance": "dist_to_resistance * 2 - 1",
+    "pa_higher_high": "CASE WHEN bar_idx >= 20 AND high > prev_high20 THEN 1 ELSE 0 END",
+    "pa_lower_low": "CASE WHEN bar_idx >= 20 AND low < prev_low20 THEN 1 ELSE 0 END",
 }
 GROUPS = {"trend": TREND, "momentum": MOMENTUM, "volatility": VOLATILITY, "volume": VOLUME, "price_action": PRICE_ACTION}
 
@@ -117,7 +118,7 @@ def features(table: DataFrame, groups=tuple(GROUPS)) -> DataFrame:
     return ranked.selectExpr("symbol", "bar_idx", *[f"{clipped(x)} AS {n}" for g in groups for n, x in GROUPS[g].items()])
 
 
-def multi_timeframe(bars: DataFrame, k: int, containing: bool = True) -> DataFrame:
+def group_trend(bars: DataFrame, k: int, containing: bool = True) -> DataFrame:
     """symbol, bar_idx, group trend of bars of k: a bar looks at the group that holds it, or, where
     containing is False, at the last closed one, which does not see the future."""
     groups = aggregate_bars(bars, k)
@@ -132,6 +133,46 @@ def multi_timeframe(bars: DataFrame, k: int, containing: bool = True) -> DataFra
     )
 
 
+#: Names of the features of two longer timeframes, and of their agreement.
+LONGER = ("mtf_1h_trend", "mtf_1h_rsi", "mtf_1h_ema_slope", "mtf_1h_volatility", "mtf_4h_trend", "mtf_4h_rsi", "mtf_trend_align", "mtf_momentum_align")
+
+
+def _longer(bars: DataFrame, table: DataFrame, k: int, names: dict[str, str], containing: bool) -> DataFrame:
+    """table with columns of the indicators over bars of k: of the group that holds a bar, or, where
+    containing is False, of the last closed one, which does not see the future."""
+    from tidemark.functions.windows import lag, only_own, roll, with_halo
+    from tidemark.operators.indicators import indicators
+
+    groups = only_own(with_halo(indicators(aggregate_bars(bars, k)), 32).selectExpr("*", f"{lag('ema12', 3)} AS ema12_3", f"{roll('avg', 'atr', 20, 13)} AS atr_ma20"))
+    last = groups.groupBy("symbol").agg(F.max("bar_idx").alias("__last"))
+    place = F.expr(f"bar_idx div {k}") - (0 if containing else 1)
+    placed = table.join(last, "symbol", "left").withColumn("__g", F.least(place, "__last"))
+    wide = groups.selectExpr("symbol", "bar_idx AS __g", *[f"{x} AS {n}" for n, x in names.items()])
+    return placed.join(wide, ["symbol", "__g"], "left").drop("__g", "__last")
+
+
+def multi_timeframe(bars: DataFrame, table: DataFrame, k: int = 60, longer_k: int = 240, containing: bool = True) -> DataFrame:
+    """symbol, bar_idx and LONGER, for the indicator table of bars and groups of k and longer_k bars."""
+    trend, force = "tanh((ema12 - ema26) / (ema26 + 1e-9) * 100)", "(rsi - 50) / 50"
+    first = {"__t1": trend, "__r1": force, "__s1": "tanh((ema12 - ema12_3) / (ema12_3 + 1e-9) * 100)", "__v1": "tanh((atr - atr_ma20) / (atr_ma20 + 1e-9))"}
+    t = table.selectExpr("symbol", "bar_idx", f"{trend} AS __t0", f"{force} AS __r0")
+    t = _longer(bars, _longer(bars, t, k, first, containing), longer_k, {"__t2": trend, "__r2": force}, containing)
+    t = t.selectExpr("symbol", "bar_idx", "__t0", "__r0", *[f"coalesce({c}, 0e0) AS {c}" for c in ("__t1", "__r1", "__s1", "__v1", "__t2", "__r2")])
+    align = lambda own, a, b: f"coalesce(IF(sign({own}) = sign({a}), 0.5e0, 0e0) + IF(sign({own}) = sign({b}), 0.5e0, 0e0), 0e0) * 2 - 1"
+    values = ("__t1", "__r1", "__s1", "__v1", "__t2", "__r2", align("__t0", "__t1", "__t2"), align("__r0", "__r1", "__r2"))
+    return t.selectExpr("symbol", "bar_idx", *[f"{clipped(x)} AS {n}" for n, x in zip(LONGER, values, strict=True)])
+
+
+def all_features(bars: DataFrame, table: DataFrame, k: int = 60, longer_k: int = 240, containing: bool = True) -> DataFrame:
+    """symbol, bar_idx and the 52 features in order, clipped and filled."""
+    return features(table).join(multi_timeframe(bars, table, k, longer_k, containing), ["symbol", "bar_idx"])
+
+
+def at_labels(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """The vectors of the bars with a label other than 0, and the label."""
+    return vectors.join(labels.where("label <> 0").select("symbol", "bar_idx", "label"), ["symbol", "bar_idx"])
+
+
 def layers(table: DataFrame) -> DataFrame:
     return table.selectExpr("symbol", "bar_idx", *[f"{x} AS {n}" for n, x in layer_columns().items()])
 

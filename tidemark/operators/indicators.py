@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from tidemark.functions.windows import ewm, frame, lag, only_own, roll, running, with_halo
 
 BARS = ["symbol", "bar_idx", "ts", "open", "high", "low", "close", "volume"]
+#: Bars that windows look back at most, and exponential averages of the first and second order.
+BACK, REACH = 160, (512, 256)
 #: name: (input, alpha, first bar).  Spans 12, 26 and 9; com 2.
 EWM_FIRST = {"ema12": ("close", 2 / 13, 0), "ema26": ("close", 2 / 27, 0), "k": ("rsv", 1 / 3, 8)}
 EWM_SECOND = {"macd_signal": ("macd", 0.2, 0), "d": ("k", 1 / 3, 8)}
@@ -20,7 +22,7 @@ RUNNING = {
     "__pv": ("sum", "(high + low + close) / 3 * volume"),
     "__v": ("sum", "volume"),
     "ad": ("sum", "((close - low) - (high - close)) / (high - low + 1e-9) * volume"),
-    "__turn": ("max", "CASE WHEN coalesce(sign(pc - po) <> sign(close - open), true) THEN bar_idx END"),
+    "__turn": ("max", "CASE WHEN bar_idx = 0 OR sign(pc - po) <> sign(close - open) THEN bar_idx END"),
 }
 
 
@@ -166,13 +168,19 @@ def _apply(df: DataFrame, steps: list[dict[str, str]]) -> DataFrame:
     return df
 
 
+def _in_pieces(bars: DataFrame, halo: int) -> DataFrame:
+    near = _apply(with_halo(bars.select(*BARS), halo), first_steps())
+    return _apply(running(near, RUNNING), window_steps())
+
+
 def window_indicators(bars: DataFrame) -> DataFrame:
     """All indicators but those from exponential averages."""
-    near = only_own(_apply(with_halo(bars.select(*BARS), 16), first_steps()))
-    return only_own(_apply(with_halo(running(near, RUNNING)), window_steps()))
+    return only_own(_in_pieces(bars, BACK))
 
 
 def indicators(bars: DataFrame) -> DataFrame:
-    """The whole indicator table, helper columns included."""
-    first = ewm(window_indicators(bars), EWM_FIRST).selectExpr("*", "ema12 - ema26 AS macd")
-    return only_own(_apply(with_halo(ewm(first, EWM_SECOND), 16), ewm_steps()))
+    """The whole indicator table, helper columns included: one exchange by symbol and piece, and one of
+    a row for each piece."""
+    first = _apply(_in_pieces(bars, BACK + sum(REACH)), [*ewm(EWM_FIRST, REACH[0]), {"macd": "ema12 - ema26"}])
+    table = _apply(first, [*ewm(EWM_SECOND, REACH[1]), *ewm_steps()])
+    return only_own(table.select([c for c in table.columns if not c[:3].strip("_").isdigit()]))

@@ -117,12 +117,12 @@ FROM p LEFT JOIN m ON m.symbol = p.symbol AND m.g = p.g"""
 
 @query(_mtf_sql(0))
 def multi_timeframe_features(spark, sf_dir):
-    return rounded(feat.multi_timeframe(bars(spark, sf_dir), 4), [*KEYS, "g"], ["g_trend", "g_range"])
+    return rounded(feat.group_trend(bars(spark, sf_dir), 4), [*KEYS, "g"], ["g_trend", "g_range"])
 
 
 @query(_mtf_sql(1))
 def multi_timeframe_features_closed(spark, sf_dir):
-    return rounded(feat.multi_timeframe(bars(spark, sf_dir), 4, containing=False), [*KEYS, "g"], ["g_trend", "g_range"])
+    return rounded(feat.group_trend(bars(spark, sf_dir), 4, containing=False), [*KEYS, "g"], ["g_trend", "g_range"])
 
 
 # --- reading bars
@@ -724,4 +724,4 @@ def position_scores(spark, sf_dir):
 
 
 # Modules that register further queries.
-from tidemark.plans import backtest_queries, order_queries, pool_queries, template_queries  # noqa: E402, F401
+from tidemark.plans import backtest_queries, mining_queries, order_queries, pool_queries, template_queries  # noqa: E402, F401
