@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import windows
-from tidemark.operators import backtests, features, indicators, recurrences, signals, similarity, store, swings, tracking
+from tidemark.operators import backtests, features, indicators, recurrences, signals, similarity, store, studies, swings, tracking
 from tidemark.sources import bars as src
 
 
@@ -261,6 +261,37 @@ def test_standardised_columns(spark):
     assert got == {"open": 1.0, "high": None, "timestamp": "3"}
 
 
+def test_latched_states_are_carried_over_pieces(spark):
+    r = np.random.default_rng(3)
+    states = r.choice(["BULL", "BEAR", "RANGE"], 200).tolist()
+    states[40:150] = ["BULL", "BEAR", "RANGE"] * 36 + ["BULL", "BEAR"]  # nothing twice for pieces on end
+    df = spark.createDataFrame([("a", i, s) for i, s in enumerate(states)], "symbol string, bar_idx long, state string")
+    got, now = {x["bar_idx"]: x["latched"] for x in studies.latched(df, chunk=16).collect()}, "RANGE"
+    for i, s in enumerate(states):
+        now = s if i and states[i - 1] == s else now
+        assert got[i] == now
+
+
+def test_open_bars_and_buffers(spark, tmp_path):
+    from tidemark.streaming import feed
+
+    t = "symbol string, ts timestamp, close double, seq long"
+    at = [pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i) for i in range(40)]
+    closed = spark.createDataFrame([("a", at[0], 1.0, 1), ("a", at[1], 2.0, 5)], t)
+    live = spark.createDataFrame([("a", at[1], 9.0, 9), ("a", at[2], 3.0, 1), ("a", at[2], 4.0, 2)], t)
+    assert [(r["close"], r["is_closed"]) for r in feed.overlaid(closed, live).orderBy("ts").collect()] == [(1.0, True), (2.0, True), (4.0, False)]
+    closes = np.random.default_rng(1).random(40) + 1
+    spark.createDataFrame([("a", at[i], float(closes[i])) for i in range(40)], "symbol string, ts timestamp, close double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    out = feed.buffered_features(spark.readStream.schema("symbol string, ts timestamp, close double").parquet(str(tmp_path / "in")), rows=25)
+    out.writeStream.format("memory").queryName("buffered").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    got, move = spark.table("buffered").first(), np.diff(closes)[-14:]
+    assert got["bars"] == 40 and got["ma5"] == pytest.approx(closes[-5:].mean()) and got["ma20"] == pytest.approx(closes[-20:].mean())
+    assert got["rsi"] == pytest.approx(100 - 100 / (1 + move.clip(0).mean() / (-move.clip(max=0).mean() + 1e-9)))
+    marked = spark.createDataFrame([("a", 0, 0b111), ("a", 1, 0b100)], "symbol string, bar_idx long, mask long")
+    pool = spark.createDataFrame([("x+y", 0b011, 3), ("z", 0b100, 2), ("new", 0b001, 1)], "combo string, bits long, rounds int")
+    assert sorted(map(tuple, feed.triggered(marked, pool).collect())) == [("a", 0, "x+y"), ("a", 0, "z"), ("a", 1, "z")]
+
+
 def test_closed_bars_once_in_a_stream(spark, tmp_path):
     from tidemark.streaming import feed
 

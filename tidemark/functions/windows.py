@@ -72,6 +72,18 @@ def running(pieces: DataFrame, columns: dict[str, tuple[str, str]]) -> DataFrame
     return out.withColumns(whole).drop(*[f"__{c}_{o}" for o in columns for c in "rc"])
 
 
+def last_known(bars: DataFrame, name: str, chunk: int = CHUNK) -> DataFrame:
+    """bars with name filled up by its last value before that is not null: within pieces, and from one
+    row a piece beyond."""
+    pieces = bars.withColumn("chunk", F.expr(f"bar_idx div {chunk}"))
+    here = Window.partitionBy("symbol", "chunk").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("symbol").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = pieces.groupBy("symbol", "chunk").agg(F.max_by(name, F.when(F.col(name).isNotNull(), F.col("bar_idx"))).alias("__end"))
+    carried = ends.select("symbol", "chunk", F.last("__end", ignorenulls=True).over(before).alias("__before"))
+    out = pieces.withColumn("__here", F.last(name, ignorenulls=True).over(here)).join(carried, ["symbol", "chunk"])
+    return out.withColumn(name, F.coalesce("__here", "__before")).drop("__here", "__before", "chunk")
+
+
 def ewm(columns: dict[str, tuple[str, float, int]], reach: int, by: str = "symbol, chunk") -> list[dict[str, str]]:
     """Steps for out = (x, alpha, start): y = x at bar `start`, where x begins, then
     alpha * x + (1 - alpha) * y.

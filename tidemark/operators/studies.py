@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import frame, lag, only_own, with_halo
+from tidemark.functions.windows import CHUNK, frame, lag, last_known, only_own, with_halo
 
 CONTRASTED = ("rsi", "boll_position", "roc", "volume_ratio", "ma5_slope")
 
@@ -56,11 +56,10 @@ def gate_sql() -> str:
     return "CASE WHEN slope > 0 AND macd_hist > 0 THEN 'long' WHEN slope < 0 AND macd_hist < 0 THEN 'short' ELSE 'none' END AS side"
 
 
-def latched(states: DataFrame) -> DataFrame:
+def latched(states: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """A state that changes only after two equal readings in a row; RANGE before the first."""
-    held = only_own(with_halo(states, 4).selectExpr("*", f"CASE WHEN state = {lag('state')} THEN state END AS twice"))
-    w = Window.partitionBy("symbol").orderBy("bar_idx").rowsBetween(Window.unboundedPreceding, 0)
-    return held.select("symbol", "bar_idx", "state", F.coalesce(F.last("twice", ignorenulls=True).over(w), F.lit("RANGE")).alias("latched"))
+    held = only_own(with_halo(states, 4).selectExpr("*", f"CASE WHEN state = {lag('state')} THEN state END AS latched"))
+    return last_known(held, "latched", chunk).select("symbol", "bar_idx", "state", F.coalesce("latched", F.lit("RANGE")).alias("latched"))
 
 
 def golden_cross(table: DataFrame, ahead: int = 30, goal: float = 1.0, stop: float = 0.5) -> DataFrame:

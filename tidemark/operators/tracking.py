@@ -11,24 +11,21 @@ HORIZON = 30
 GATES = ("SCORE", "MACD", "KDJ")
 
 
-def decisions(table: DataFrame, every: int = 7) -> DataFrame:
-    """Each seventh bar as a decision by the sign of ma5_slope, with its later bars' extremes."""
+def decisions(table: DataFrame, decided: DataFrame) -> DataFrame:
+    """decided(symbol, bar_idx, gate, direction) with the moves of the HORIZON bars after each, in
+    percent and in the direction of the decision: of the last one (move), and the best and the worst."""
     ahead = ("1 FOLLOWING", f"{HORIZON} FOLLOWING")
     held = with_halo(table, 0, HORIZON + 1).selectExpr(
-        "symbol", "bar_idx", "ma5_slope", "close", "own", "chunk", f"{lead('close', HORIZON)} AS later", f"{frame('max', 'high', *ahead)} AS top", f"{frame('min', 'low', *ahead)} AS bottom"
+        "symbol", "bar_idx", "close", "own", "chunk", f"{lead('close', HORIZON)} AS later", f"{frame('max', 'high', *ahead)} AS top", f"{frame('min', 'low', *ahead)} AS bottom"
     )
-    kept = only_own(held).where(f"bar_idx % {every} = 0 AND ma5_slope IS NOT NULL AND later IS NOT NULL")
-    return kept.selectExpr(*DECISION)
-
-
-#: Signed moves in percent, in the direction of the decision.
-DECISION = [
-    "symbol", "bar_idx", "CASE WHEN ma5_slope > 0 THEN 'long' ELSE 'short' END AS direction",
-    "CASE bar_idx % 3 WHEN 0 THEN 'SCORE' WHEN 1 THEN 'MACD' ELSE 'KDJ' END AS gate",
-    "(later / close - 1) * 100 * CASE WHEN ma5_slope > 0 THEN 1 ELSE -1 END AS move",
-    "CASE WHEN ma5_slope > 0 THEN top / close - 1 ELSE 1 - bottom / close END * 100 AS favourable",
-    "CASE WHEN ma5_slope > 0 THEN 1 - bottom / close ELSE top / close - 1 END * 100 AS adverse",
-]
+    known = decided.join(only_own(held).where("later IS NOT NULL"), ["symbol", "bar_idx"])
+    up, down = "(top / close - 1) * 100", "(1 - bottom / close) * 100"
+    return known.selectExpr(
+        "symbol", "bar_idx", "direction", "gate", "(later / close - 1) * 100 * IF(direction = 'long', 1, -1) AS move",
+        f"IF(direction = 'long', {up}, {down}) AS favourable", f"IF(direction = 'long', {down}, {up}) AS adverse",
+    )
+
+
 #: The rules that judge a decision from its later bars.
 JUDGEMENTS = {
     "rejection": "CASE WHEN move < 0.3e0 THEN 'correct' ELSE 'wrong' END",

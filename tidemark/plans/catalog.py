@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import scratch
 from tidemark.functions.windows import frame, only_own, with_halo
 from tidemark.operators import features as feat
 from tidemark.operators import indicators as ind
@@ -406,16 +407,20 @@ def swing_pairs(spark, sf_dir):
 
 # --- decisions and their judgements
 
-_DECISIONS = (
-    f"da AS (SELECT *, lead(close, {track.HORIZON}) OVER (PARTITION BY symbol ORDER BY bar_idx) AS later, max(high) OVER a AS top, min(low) OVER a AS bottom FROM w "
-    f"WINDOW a AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 1 FOLLOWING AND {track.HORIZON} FOLLOWING)), "
-    f"dd AS (SELECT {', '.join(track.DECISION)} FROM da WHERE bar_idx % 7 = 0 AND ma5_slope IS NOT NULL AND later IS NOT NULL), "
-    f"dj AS MATERIALIZED (SELECT *, {', '.join(f'{x} AS {n}' for n, x in track.JUDGEMENTS.items())} FROM dd)"
-)
+_DECISIONS = """da AS (SELECT *, lead(close, 30) OVER (PARTITION BY symbol ORDER BY bar_idx) AS later, max(high) OVER a AS top, min(low) OVER a AS bottom, CASE WHEN ma5_slope > 0 THEN 1 ELSE -1 END AS way FROM w
+  WINDOW a AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING)),
+dd AS (SELECT symbol, bar_idx, CASE way WHEN 1 THEN 'long' ELSE 'short' END AS direction, ['SCORE', 'MACD', 'KDJ'][1 + bar_idx % 3] AS gate, way * (later - close) / close * 100 AS move,
+  CASE way WHEN 1 THEN top - close ELSE close - bottom END / close * 100 AS favourable, CASE way WHEN 1 THEN close - bottom ELSE top - close END / close * 100 AS adverse
+  FROM da WHERE bar_idx % 7 = 0 AND ma5_slope IS NOT NULL AND later IS NOT NULL),
+dj AS MATERIALIZED (SELECT *, CASE WHEN move >= 0.3 THEN 'wrong' ELSE 'correct' END AS rejection, CASE WHEN favourable > 0.5 THEN 'premature' WHEN favourable < 0.25 AND adverse > 0.5 THEN 'late' ELSE 'correct' END AS exit_timing,
+  CASE WHEN move <= -0.5 THEN 'correct' WHEN move >= 0.5 THEN 'too_tight' ELSE 'neutral' END AS stop, CASE WHEN move < 0.3 THEN 'unprofitable' ELSE 'profitable' END AS near_miss FROM dd)"""
 
 
 def decided(spark, sf_dir) -> DataFrame:
-    return track.judged(track.decisions(ind.window_indicators(bars(spark, sf_dir))))
+    """The table of decisions stands for a log: bars with bar_idx % 7 = 0, by the sign of ma5_slope."""
+    table = ind.window_indicators(bars(spark, sf_dir))
+    log = table.where("bar_idx % 7 = 0 AND ma5_slope IS NOT NULL").selectExpr("symbol", "bar_idx", "array('SCORE', 'MACD', 'KDJ')[cast(bar_idx % 3 AS int)] AS gate", "IF(ma5_slope > 0, 'long', 'short') AS direction")
+    return track.judged(track.decisions(table, log))
 
 
 _MOVES = ["move", "favourable", "adverse"]
@@ -607,14 +612,18 @@ def trajectory_dtw(spark, sf_dir):
 @query("SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS ts, count(*)::DOUBLE AS volume, max(value) AS high, min(value) AS low FROM events GROUP BY ALL")
 def streamed_bars(spark, sf_dir):
     """Ticks read as a stream to the end of what is there, bars kept up to date in a table."""
-    import uuid
-
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     ticks = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not _is_folder(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
     made = feed.bars_from_ticks(ticks.selectExpr("event_type AS symbol", "cast(ts AS timestamp) AS ts", "event_id", "value AS price"))
-    name = f"streamed_{uuid.uuid4().hex}"
-    made.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "volume", "high", "low")
+    path, done = scratch(spark), []
+
+    def keep(batch: DataFrame, number: int) -> None:  # complete mode: the last batch has all bars
+        batch.write.parquet(f"{path}/{number}")
+        done.append(number)
+
+    made.writeStream.foreachBatch(keep).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.parquet(f"{path}/{max(done)}") if done else spark.createDataFrame([], made.schema)
+    return kept.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "volume", "high", "low")
 
 
 def _is_folder(spark, path: str) -> bool:

@@ -50,3 +50,39 @@ def run_lengths(bars: DataFrame) -> DataFrame:
         yield pd.DataFrame({"symbol": [key[0]], "run": [run], "seen": [seen]})
 
     return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, run long, seen long", "run long, seen long", "update", "NoTimeout")
+
+
+def overlaid(closed: DataFrame, open_bars: DataFrame) -> DataFrame:
+    """Closed bars and the latest state of the open one: of one symbol and time the last update stays,
+    a closed bar before any open one."""
+    both = closed.select("symbol", "ts", "close", "seq", F.lit(True).alias("is_closed")).unionByName(open_bars.select("symbol", "ts", "close", "seq", F.lit(False).alias("is_closed")))
+    best = F.max_by(F.struct("close", "is_closed"), F.struct("is_closed", "seq"))
+    return both.groupBy("symbol", "ts").agg(best.alias("b")).select("symbol", "ts", "b.*")
+
+
+def buffered_features(bars: DataFrame, rows: int = 1000) -> DataFrame:
+    """symbol, ts, bars, ma5, ma20 and rsi after each batch, from the last `rows` closes of a symbol,
+    which are all the state there is."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        closes, seen = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        last = None
+        for pdf in batches:
+            pdf = pdf.sort_values("ts")
+            closes, seen, last = (closes + pdf["close"].tolist())[-rows:], seen + len(pdf), pdf["ts"].iloc[-1]
+        state.update((closes, seen))
+        c = pd.Series(closes)
+        moves = c.diff().tail(14)
+        gain, loss = moves.clip(lower=0).mean(), -moves.clip(upper=0).mean()
+        rsi = 100 - 100 / (1 + gain / (loss + 1e-9)) if len(c) > 14 else None
+        yield pd.DataFrame({"symbol": [key[0]], "ts": [last], "bars": [seen], "ma5": [c.tail(5).mean() if len(c) >= 5 else None], "ma20": [c.tail(20).mean() if len(c) >= 20 else None], "rsi": [rsi]})
+
+    out = "symbol string, ts timestamp, bars long, ma5 double, ma20 double, rsi double"
+    return bars.groupBy("symbol").applyInPandasWithState(step, out, "closes array<double>, seen long", "update", "NoTimeout")
+
+
+def triggered(marked: DataFrame, pool: DataFrame, least_rounds: int = 2) -> DataFrame:
+    """Bars of a stream (or table) with a condition mask, joined to the combinations(combo, bits, rounds)
+    of a pool that hold on them; a pool is at most a few dozen rows and broadcast."""
+    known = F.broadcast(pool.where(F.col("rounds") >= least_rounds).select("combo", "bits"))
+    return marked.join(known, F.col("mask").bitwiseAND(F.col("bits")) == F.col("bits")).select("symbol", "bar_idx", "combo")
