@@ -1,5 +1,7 @@
 """Windows, indicators, outcomes and walks against plain pandas and Python."""
 
+import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -276,7 +278,7 @@ def test_open_bars_and_buffers(spark, tmp_path):
     from tidemark.streaming import feed
 
     t = "symbol string, ts timestamp, close double, seq long"
-    at = [pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i) for i in range(40)]
+    at = [datetime.datetime(2024, 1, 1, 0, i) for i in range(40)]
     closed = spark.createDataFrame([("a", at[0], 1.0, 1), ("a", at[1], 2.0, 5)], t)
     live = spark.createDataFrame([("a", at[1], 9.0, 9), ("a", at[2], 3.0, 1), ("a", at[2], 4.0, 2)], t)
     assert [(r["close"], r["is_closed"]) for r in feed.overlaid(closed, live).orderBy("ts").collect()] == [(1.0, True), (2.0, True), (4.0, False)]
