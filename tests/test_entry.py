@@ -10,7 +10,7 @@ from tidemark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHEAP = ["bars_from_ticks", "moving_averages", "outcomes_long", "signal_hit_rate", "swing_points", "trade_statistics", "regime_statistics", "gate_scores", "cosine_top_k", "fill_aggregation", "live_streaks"]
+CHEAP = ["bar_files", "exit_advice", "label_backtest", "pool_metrics", "premium_pool", "pruned_combos", "signal_backtest", "template_prototypes", "threshold_steps", "zigzag_points", "bars_from_ticks", "moving_averages", "outcomes_long", "signal_hit_rate", "swing_points", "trade_statistics", "regime_statistics", "gate_scores", "cosine_top_k", "fill_aggregation", "live_streaks"]
 
 
 def test_contract():

@@ -184,3 +184,13 @@ def indicators(bars: DataFrame) -> DataFrame:
     first = _apply(_in_pieces(bars, BACK + sum(REACH)), [*ewm(EWM_FIRST, REACH[0]), {"macd": "ema12 - ema26"}])
     table = _apply(first, [*ewm(EWM_SECOND, REACH[1]), *ewm_steps()])
     return only_own(table.select([c for c in table.columns if not c[:3].strip("_").isdigit()]))
+
+
+def kdj_variant(bars: DataFrame) -> DataFrame:
+    """symbol, bar_idx, k, d, j and crossed: the stochastic with spans of 3, 50 where it has no value,
+    and whether J rose through D."""
+    steps = [{"__lo": roll("min", "low", 9), "__hi": roll("max", "high", 9)}, {"__rsv": "coalesce(try_divide(close - __lo, __hi - __lo) * 100, 50e0)"}]
+    steps += [*ewm({"k": ("__rsv", 0.5, 0)}, 64), *ewm({"d": ("k", 0.5, 0)}, 64), {"j": "3 * k - 2 * d"}]
+    steps.append({"crossed": f"coalesce({lag('j')} < {lag('d')} AND j > d, false)"})
+    held = with_halo(bars.select("symbol", "bar_idx", "high", "low", "close"), 160)
+    return only_own(_apply(held, steps)).select("symbol", "bar_idx", "k", "d", "j", "crossed")

@@ -98,3 +98,14 @@ def position_score_sql(long: bool) -> str:
         "greatest(-10e0, least(10e0, (25 - coalesce(adx, 25)) * 0.5e0))",
     ]
     return "greatest(-100e0, least(100e0, " + " + ".join(f"({p})" for p in parts) + "))"
+
+
+def holdout_ranges(bars: DataFrame, last: int = 300_000, share: float = 0.3, folds: int = 3) -> DataFrame:
+    """symbol, part, first, last: of a symbol's last bars the closing share is held out, and what is
+    before is cut into equal inner folds (the last takes the rest)."""
+    ends = bars.groupBy("symbol").agg((F.max("bar_idx") + 1).alias("n"))
+    sized = ends.select("symbol", "n", F.greatest(F.col("n") - last, F.lit(0)).alias("start")).withColumn("cut", F.col("n") - F.floor((F.col("n") - F.col("start")) * share))
+    size = "((cut - start) div {})".format(folds)
+    rows = ", ".join(f"named_struct('part', 'fold {i + 1}', 'a', start + {i} * {size}, 'b', {'cut' if i == folds - 1 else f'start + {i + 1} * {size}'})" for i in range(folds))
+    each = F.explode(F.expr(f"array({rows}, named_struct('part', 'holdout', 'a', cut, 'b', n))")).alias("r")
+    return sized.select("symbol", each).selectExpr("symbol", "r.part AS part", "r.a AS first", "r.b - 1 AS last")

@@ -117,3 +117,9 @@ def swing_pairs(points: DataFrame, atrs: DataFrame, least: int = 30, most: int =
     profit = F.when(F.col("from_high"), F.col("entry_price") - F.col("exit_price")).otherwise(F.col("exit_price") - F.col("entry_price"))
     fit = joined.withColumn("profit", profit).where((F.col("profit") > 0) & (F.col("profit") / F.col("risk") >= ratio))
     return fit.select("symbol", F.when(F.col("from_high"), "short").otherwise("long").alias("side"), "entry_idx", "exit_idx", "entry_price", "exit_price", "profit")
+
+
+def first_of_runs(points: DataFrame) -> DataFrame:
+    """The first point of every run of highs or of lows."""
+    before = F.lag("is_high").over(Window.partitionBy("symbol").orderBy("bar_idx"))
+    return points.withColumn("__before", before).where("__before IS NULL OR __before <> is_high").drop("__before")

@@ -100,3 +100,30 @@ def parse_stream(lines: DataFrame) -> DataFrame:
         m["s"].alias("symbol"), F.timestamp_millis(k["t"]).alias("ts"), num("o").alias("open"), num("h").alias("high"), num("l").alias("low"), num("c").alias("close"), num("v").alias("volume"),
         k["x"].alias("is_closed"),
     )
+
+
+def scan(spark: SparkSession, *paths: str, symbol: str = "") -> DataFrame:
+    """Bars of the first of the given files or folders that is there, standardised, with symbol (where
+    the file has none) and bar_idx by time."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+            found = standardise(spark.read.parquet(path)).withColumnRenamed("timestamp", "ts")
+            named = found if "symbol" in found.columns else found.withColumn("symbol", F.lit(symbol))
+            return named if "bar_idx" in found.columns else numbered(named)
+    raise FileNotFoundError(f"none of {paths}")
+
+
+def numbered(bars: DataFrame, piece: str = "MONTH") -> DataFrame:
+    """bar_idx from 0 in order of time: places within pieces of time, plus the bars of the pieces before."""
+    cut = bars.withColumn("__p", F.date_trunc(piece, "ts"))
+    counts = cut.groupBy("symbol", "__p").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("symbol").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("symbol", "__p", F.coalesce(before, F.lit(0)).alias("__s"))
+    place = F.row_number().over(Window.partitionBy("symbol", "__p").orderBy("ts"))
+    return cut.withColumn("__r", place).join(starts, ["symbol", "__p"]).withColumn("bar_idx", (F.col("__s") + F.col("__r") - 1).cast("long")).drop("__p", "__r", "__s")
+
+
+def write(bars: DataFrame, path: str) -> None:
+    """A folder of Parquet, one sub-folder for each symbol."""
+    bars.write.partitionBy("symbol").parquet(path)
