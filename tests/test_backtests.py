@@ -106,6 +106,22 @@ def test_time_tightens_the_stop(spark):
     assert [(t["exit_idx"], t["reason"]) for t in early] == [(40, "stop")] and early[0]["exit_price"] == pytest.approx(100 * (1 - 0.04 / 20))
 
 
+def test_stop_orders_trigger_expire_and_cancel(spark):
+    # bar: high, low, long_stop, short_stop
+    rows = [
+        (100.1, 99.9, 101.0, 99.0),  # both placed
+        (101.5, 98.5, None, None),  # both hit: cancelled
+        (101.5, 98.5, 102.0, None),  # nothing pending; long placed
+        (100.5, 99.9, None, None), (100.5, 99.9, None, None), (100.5, 99.9, None, None),
+        (103.0, 99.9, 104.0, None),  # expired (4 bars > 3); a new one
+        (104.5, 103.5, None, None),  # opens at 104
+        (104.2, 103.9, None, None),
+    ]
+    b = spark.createDataFrame([("a", i, h, lo, (h + lo) / 2, x, y) for i, (h, lo, x, y) in enumerate(rows)], "symbol string, bar_idx long, high double, low double, close double, long_stop double, short_stop double")
+    got = bt.on_stop_orders(b, 3, bt.Rules(slippage=0.0)).collect()
+    assert [(t["entry_idx"], t["exit_idx"], t["side"], t["entry_price"], t["reason"]) for t in got] == [(7, 8, "long", 104.0, "end")]
+
+
 def test_covers_and_pruning(spark):
     names = {"a_loose": 1, "a_loose+b_loose": 2, "a_strict+b_loose": 2, "c_loose": 1}
     rows = [("pool1", "long", k, k.split("+"), n, 0.7, 80, 8) for k, n in names.items()]

@@ -58,6 +58,7 @@ class Account:
     lifted: bool = False
     avg_hold: int = 0
     trades: list[tuple] = field(default_factory=list)
+    pending: dict[int, tuple[float, int]] = field(default_factory=dict)  # side: (price, bar) of a stop order
 
     def __post_init__(self):
         self.capital = self.rules.capital
@@ -293,3 +294,27 @@ def scored_matrix(bars: DataFrame, scores: DataFrame, least: float, stop_atrs: f
                 side, entry, since, risk = (1 if d == "LONG" else -1), close, idx, atr
 
     return _walked(rows, ["bar_idx", "high", "low", "close", "atr", "d", "score"], walk, ["entry_idx", "exit_idx", "side", "profit_pct"], "entry_idx long, exit_idx long, side string, profit_pct double")
+
+
+def on_stop_orders(bars: DataFrame, expiry: int = 5, rules: Rules = Rules()) -> DataFrame:
+    """Trades of stop orders: long_stop and short_stop (null: none) are placed after a bar, replacing one
+    of their side, and are good for `expiry` bars.  A bar that triggers both cancels both; one that
+    triggers one opens at its price and cancels the other, and the exit ladder looks at later bars."""
+
+    def step(account: Account, row: tuple) -> None:
+        idx, high, low, _, long_stop, short_stop = row
+        pending = account.pending
+        for side in [s for s, (_, placed) in pending.items() if idx - placed > expiry]:
+            del pending[side]
+        if account.side:
+            account.guard(idx, high, low)
+        else:
+            hit = [s for s, (price, _) in pending.items() if (high >= price if s > 0 else low <= price)]
+            if len(hit) == 1:
+                account.open(idx, pending[hit[0]][0], hit[0])
+            if hit:
+                pending.clear()
+        if not account.side:
+            pending.update({s: (p, idx) for s, p in ((1, long_stop), (-1, short_stop)) if p is not None and p == p})
+
+    return _run(bars, ["long_stop", "short_stop"], rules, step, False)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import CHUNK, frame, lag, last_known, only_own, with_halo
@@ -109,3 +109,36 @@ def holdout_ranges(bars: DataFrame, last: int = 300_000, share: float = 0.3, fol
     rows = ", ".join(f"named_struct('part', 'fold {i + 1}', 'a', start + {i} * {size}, 'b', {'cut' if i == folds - 1 else f'start + {i + 1} * {size}'})" for i in range(folds))
     each = F.explode(F.expr(f"array({rows}, named_struct('part', 'holdout', 'a', cut, 'b', n))")).alias("r")
     return sized.select("symbol", each).selectExpr("symbol", "r.part AS part", "r.a AS first", "r.b - 1 AS last")
+
+
+#: The trend gate's least slope, its allowance about zero, what a strong and a weak trend
+#: may pull back, and the position score that rescues.
+SLOPE_MIN, ZERO_FLOOR, STRONG_PULL, WEAK_PULL, RESCUE_SCORE = 0.003, 3.0, 20.0, 10.0, 40.0
+
+
+def trend_gate(slope: str, hist: str, side: str, regime: str, score: str, window: int = 5) -> Column:
+    """ok, bypass, rescued, slope, zero_axis or missing: how the slope of the MACD histogram lets a side in.
+
+    With the regime's trend only a pull-back counts; else the slope must point along and the histogram
+    lie within its allowance about zero, which a sideways regime or a good position waives.
+    """
+    way = F.when(F.col(side) == "LONG", 1.0).otherwise(-1.0)
+    s, h, r = F.col(slope) * way, F.col(hist) * way, F.coalesce(F.col(regime), F.lit(""))
+    own = F.when(F.col(side) == "LONG", "BULL").otherwise("BEAR")
+    strong, weak = r == F.concat(F.lit("STRONG_"), own), r == F.concat(F.lit("WEAK_"), own)
+    within = h >= -F.greatest(F.abs(F.col(slope)) * window, F.lit(ZERO_FLOOR))
+    rescue = r.startswith("RANGE") | (F.coalesce(F.col(score), F.lit(0.0)) >= RESCUE_SCORE)
+    pull = F.when(strong, STRONG_PULL).otherwise(WEAK_PULL)
+    return (
+        F.when(s.isNull() | h.isNull(), "missing")
+        .when(strong | weak, F.when(h > -pull, "bypass").otherwise("slope"))
+        .when(s <= SLOPE_MIN, "slope")
+        .when(within, "ok")
+        .when(rescue, "rescued")
+        .otherwise("zero_axis")
+    )
+
+
+def first_failing(gates: dict[str, Column]) -> Column:
+    """The code of the first gate whose condition is not true; null where all are."""
+    return F.coalesce(*[F.when(~F.coalesce(c, F.lit(False)), code) for code, c in gates.items()])

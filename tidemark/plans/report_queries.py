@@ -119,3 +119,29 @@ def top_performers(spark, sf_dir):
 def capped_families(spark, sf_dir):
     t = pq.triggers(spark, sf_dir)
     return rep.capped_families(stored(pools.cumulative(t)), pools.breakdowns(t))
+
+
+_GATE = """gg AS (SELECT order_id, side, regime, similarity, hold, way * slope AS s, way * hist AS h, abs(slope) AS a, CASE side WHEN 'LONG' THEN 'BULL' ELSE 'BEAR' END AS own, score FROM
+  (SELECT *, CASE side WHEN 'LONG' THEN 1 ELSE -1 END AS way, (hold - 45) / 200 AS slope, profit_pct * 3 AS hist, similarity * 60 AS score FROM od)),
+gt AS (SELECT *, CASE WHEN regime = 'STRONG_' || own THEN CASE WHEN h > -20 THEN 'bypass' ELSE 'slope' END WHEN regime = 'WEAK_' || own THEN CASE WHEN h > -10 THEN 'bypass' ELSE 'slope' END WHEN s <= 0.003 THEN 'slope'
+  WHEN h >= -greatest(5 * a, 3) THEN 'ok' WHEN regime LIKE 'RANGE%' OR score >= 40 THEN 'rescued' ELSE 'zero_axis' END AS gate FROM gg)"""
+
+
+def _gated(spark, sf_dir):
+    from tidemark.operators import studies
+
+    c = oq.closed(spark, sf_dir).withColumns({"slope": (F.col("hold") - 45) / 200, "hist": F.col("profit_pct") * 3, "score": F.col("similarity") * 60})
+    return c.withColumn("gate", studies.trend_gate("slope", "hist", "side", "regime", "score"))
+
+
+@query(oq._sql("SELECT order_id, gate FROM gt", _GATE))
+def trend_gates(spark, sf_dir):
+    return _gated(spark, sf_dir).select("order_id", "gate")
+
+
+@query(oq._sql("SELECT order_id, CASE WHEN regime = 'UNKNOWN' THEN 'REGIME' WHEN similarity < 0.4 THEN 'MATCH' WHEN hold < 3 THEN 'COOL_DOWN' WHEN gate IN ('slope', 'zero_axis') THEN 'MACD' WHEN score < 30 THEN 'SCORE' END AS failed FROM gt", _GATE))
+def entry_cascade(spark, sf_dir):
+    from tidemark.operators import studies
+
+    gates = {"REGIME": F.col("regime") != "UNKNOWN", "MATCH": F.col("similarity") >= 0.4, "COOL_DOWN": F.col("hold") >= 3, "MACD": F.col("gate").isin("ok", "bypass", "rescued"), "SCORE": F.col("score") >= 30}
+    return _gated(spark, sf_dir).select("order_id", studies.first_failing(gates).alias("failed"))
