@@ -232,7 +232,10 @@ def statistics(trades: DataFrame, *keys: str) -> DataFrame:
     of = lambda s, x: F.sum(F.when(F.col("side") == s, x).otherwise(0))
     sums = trades.groupBy(*keys).agg(
         F.count("*").alias("n"), F.sum(won).alias("wins"), F.sum(p).alias("total_profit"), F.sum(F.when(p > 0, p).otherwise(0.0)).alias("gross_profit"), F.sum(F.when(p > 0, 0.0).otherwise(-p)).alias("gross_loss"),
-        F.avg(g).alias("avg_profit_pct"), F.stddev_pop(g).alias("sd"), F.avg("hold").alias("avg_hold"), of("long", F.lit(1)).alias("long_n"), of("short", F.lit(1)).alias("short_n"),
+        F.avg(g).alias("avg_profit_pct"), F.stddev_pop(g).alias("sd"), F.avg("hold").alias("avg_hold"), of("long", F.lit(1)).alias("long_n"), of(
+            "short",
+            F.lit(1),
+        ).alias("short_n"),
         of("long", won).alias("long_wins"), of("short", won).alias("short_wins"), of("long", p).alias("long_profit"), of("short", p).alias("short_profit"),
     )
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
@@ -240,7 +243,10 @@ def statistics(trades: DataFrame, *keys: str) -> DataFrame:
         {
             "win_rate": rate("wins", "n"), "long_win_rate": rate("long_wins", "long_n"), "short_win_rate": rate("short_wins", "short_n"),
             "profit_factor": F.when(F.col("gross_loss") > 0, F.col("gross_profit") / F.col("gross_loss")),
-            "avg_win": rate("gross_profit", "wins"), "avg_loss": F.when(F.col("n") > F.col("wins"), F.col("gross_loss") / (F.col("n") - F.col("wins"))).otherwise(0.0),
+            "avg_win": rate("gross_profit", "wins"), "avg_loss": F.when(
+                F.col("n") > F.col("wins"),
+                F.col("gross_loss") / (F.col("n") - F.col("wins")),
+            ).otherwise(0.0),
             "sharpe": F.when((F.col("n") > 1) & (F.col("sd") > 0), F.col("avg_profit_pct") / F.col("sd") * F.sqrt(F.lit(252.0))).otherwise(0.0),
         }
     ).drop("sd")
@@ -252,7 +258,13 @@ def simulated_statistics(trades: DataFrame, *keys: str) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     run = trades.withColumn("sum", F.sum("profit_pct").over(order)).withColumn("top", F.greatest(F.max("sum").over(order), F.lit(0.0)))
     g = F.col("profit_pct")
-    found = run.groupBy(*keys).agg(F.count(g).alias("n"), F.avg((g > 0).cast("int")).alias("win_rate"), F.avg(g).alias("mean"), F.stddev_pop(g).alias("sd"), F.max(F.col("top") - F.col("sum")).alias("drawdown"))
+    found = run.groupBy(*keys).agg(
+        F.count(g).alias("n"),
+        F.avg((g > 0).cast("int")).alias("win_rate"),
+        F.avg(g).alias("mean"),
+        F.stddev_pop(g).alias("sd"),
+        F.max(F.col("top") - F.col("sum")).alias("drawdown"),
+    )
     sharpe = F.when(F.col("n") == 0, -10.0).when(F.col("sd") > 1e-9, F.col("mean") / F.col("sd")).otherwise(F.col("mean") * 10)
     return found.withColumn("sharpe", sharpe).drop("sd")
 
@@ -269,10 +281,24 @@ def drawdowns(equity: DataFrame, capital: float) -> DataFrame:
             if last:
                 yield n, fall, value, (value / capital - 1) * 100
 
-    return _walked(equity, ["bar_idx", "equity"], walk, ["bars", "max_drawdown", "equity", "return_pct"], "bars long, max_drawdown double, equity double, return_pct double")
-
-
-def scored_matrix(bars: DataFrame, scores: DataFrame, least: float, stop_atrs: float = 2.0, target_atrs: float = 3.0, max_hold: int = 60, fee: float = 0.0004) -> DataFrame:
+    return _walked(
+        equity,
+        ["bar_idx", "equity"],
+        walk,
+        ["bars", "max_drawdown", "equity", "return_pct"],
+        "bars long, max_drawdown double, equity double, return_pct double",
+    )
+
+
+def scored_matrix(
+    bars: DataFrame,
+    scores: DataFrame,
+    least: float,
+    stop_atrs: float = 2.0,
+    target_atrs: float = 3.0,
+    max_hold: int = 60,
+    fee: float = 0.0004,
+) -> DataFrame:
     """Trades on scores(symbol, bar_idx, direction, score) against prototypes: at a bar with its best
     score at `least` or more a trade opens at the close, ends at ATR stops of that bar (stop first) or
     after max_hold bars, and the bars until then are skipped."""
@@ -293,7 +319,13 @@ def scored_matrix(bars: DataFrame, scores: DataFrame, least: float, stop_atrs: f
             if not side and score is not None and score >= least and atr and atr > 0 and not last:
                 side, entry, since, risk = (1 if d == "LONG" else -1), close, idx, atr
 
-    return _walked(rows, ["bar_idx", "high", "low", "close", "atr", "d", "score"], walk, ["entry_idx", "exit_idx", "side", "profit_pct"], "entry_idx long, exit_idx long, side string, profit_pct double")
+    return _walked(
+        rows,
+        ["bar_idx", "high", "low", "close", "atr", "d", "score"],
+        walk,
+        ["entry_idx", "exit_idx", "side", "profit_pct"],
+        "entry_idx long, exit_idx long, side string, profit_pct double",
+    )
 
 
 def on_stop_orders(bars: DataFrame, expiry: int = 5, rules: Rules = Rules()) -> DataFrame:

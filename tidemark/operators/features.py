@@ -83,7 +83,10 @@ LAYER_A = (
     ("(close - ema26) / (ema26 + 1e-9) * 100", 3), ("adx", 3), ("volume_ratio", 3), ("obv_slope", 3),
 )
 LAYER_B = (
-    ("rsi - rsi_3", 3), ("rsi - rsi_5", 3), ("macd_hist - macd_hist_3", 3), ("macd_hist - macd_hist_5", 3), ("atr / (atr_5 + 1e-9)", 3), ("boll_width - boll_width_3", 6),
+    ("rsi - rsi_3", 3), ("rsi - rsi_5", 3), ("macd_hist - macd_hist_3", 3), ("macd_hist - macd_hist_5", 3), ("atr / (atr_5 + 1e-9)", 3), (
+        "boll_width - boll_width_3",
+        6,
+    ),
     ("ema12_step - ema12_step_3", 3), ("ema26_step - ema26_step_3", 3), ("volume_ratio - volume_ratio_3", 3), ("adx - adx_5", 3),
 )
 _ATR = "CASE WHEN atr > 0 THEN atr ELSE 1 END"
@@ -125,7 +128,13 @@ def group_trend(bars: DataFrame, k: int, containing: bool = True) -> DataFrame:
     last = groups.groupBy("symbol").agg(F.max("bar_idx").alias("last"))
     w = Window.partitionBy("symbol").orderBy("bar_idx")
     ma = F.avg("close").over(w.rowsBetween(-4, 0))
-    wide = groups.select("symbol", F.col("bar_idx").alias("g"), F.col("close").alias("g_close"), F.when(F.row_number().over(w) >= 5, ma).alias("g_ma5"), (F.col("high") - F.col("low")).alias("g_range"))
+    wide = groups.select(
+        "symbol",
+        F.col("bar_idx").alias("g"),
+        F.col("close").alias("g_close"),
+        F.when(F.row_number().over(w) >= 5, ma).alias("g_ma5"),
+        (F.col("high") - F.col("low")).alias("g_range"),
+    )
     place = F.expr(f"bar_idx div {k}") - (0 if containing else 1)
     placed = bars.join(F.broadcast(last), "symbol").withColumn("g", F.least(place, "last"))  # a row for each symbol
     return placed.join(wide, ["symbol", "g"], "left").select(

@@ -32,7 +32,14 @@ def exit_scores(judged: DataFrame) -> DataFrame:
     was left on the table and what was given back, and what to do about it."""
     rate = lambda v: F.avg((F.col("verdict") == v).cast("int")).alias(f"{v}_rate")
     of = lambda v, x: F.sum(F.when(F.col("verdict") == v, F.abs(x)).otherwise(0.0))
-    found = judged.groupBy("reason").agg(F.count("*").alias("n"), rate("premature"), rate("correct"), rate("late"), of("premature", "favourable").alias("left"), of("late", "adverse").alias("given_back"))
+    found = judged.groupBy("reason").agg(
+        F.count("*").alias("n"),
+        rate("premature"),
+        rate("correct"),
+        rate("late"),
+        of("premature", "favourable").alias("left"),
+        of("late", "adverse").alias("given_back"),
+    )
     return found.withColumn("suggestion", F.when(F.col("premature_rate") > 0.5, "loosen").when(F.col("late_rate") > 0.3, "tighten").otherwise("keep"))
 
 
@@ -76,10 +83,19 @@ def posteriors(trades: DataFrame, prior: DataFrame) -> DataFrame:
     """
     shrink = F.least(F.lit(1.0), PRIOR_CAP / F.greatest(F.col("wins") + F.col("losses"), F.lit(1.0)))
     weight = F.pow(F.lit(DECAY), F.floor(F.col("hours") / 24)) * F.when(F.col("flipped"), F.when(F.col("won"), FLIP_WIN).otherwise(FLIP_LOSS)).otherwise(1.0)
-    seen = trades.groupBy("key").agg(F.sum(F.when(F.col("won"), weight).otherwise(0.0)).alias("a"), F.sum(F.when(F.col("won"), 0.0).otherwise(weight)).alias("b"), F.count("*").alias("n"))
+    seen = trades.groupBy("key").agg(
+        F.sum(F.when(F.col("won"), weight).otherwise(0.0)).alias("a"),
+        F.sum(F.when(F.col("won"), 0.0).otherwise(weight)).alias("b"),
+        F.count("*").alias("n"),
+    )
     start = prior.select("key", (F.col("wins") * shrink).alias("a0"), (F.col("losses") * shrink).alias("b0"))
     both = start.join(seen, "key", "full").fillna(0, ["a0", "b0", "a", "b", "n"])
-    table = both.select("key", "n", F.greatest(F.lit(1.0), F.col("a0") + F.col("a")).alias("alpha"), F.greatest(F.lit(1.0), F.col("b0") + F.col("b")).alias("beta"))
+    table = both.select(
+        "key",
+        "n",
+        F.greatest(F.lit(1.0), F.col("a0") + F.col("a")).alias("alpha"),
+        F.greatest(F.lit(1.0), F.col("b0") + F.col("b")).alias("beta"),
+    )
     mean = F.col("alpha") / (F.col("alpha") + F.col("beta"))
     return table.withColumn("mean", mean).withColumn("kelly", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * F.col("mean") - 1)))
 
@@ -95,7 +111,10 @@ def exit_learner(trades: DataFrame, recent: int = 100) -> DataFrame:
     last = trades.withColumn("r", rank)
     found = trades.groupBy("signal").agg(F.count("*").alias("n"), F.sum(F.col("good").cast("long")).alias("s"))
     peaks = last.where(F.col("r") <= recent).groupBy("signal").agg(F.count("*").alias("m"), F.percentile("peak", F.lit(0.75)).alias("p75"))
-    table = found.join(peaks, "signal").withColumn("estimate", (F.col("s") + 1) / (F.col("n") + 2)).withColumn("peak", F.when(F.col("m") >= 10, F.col("p75")).otherwise(1.0))
+    table = found.join(peaks, "signal").withColumn("estimate", (F.col("s") + 1) / (F.col("n") + 2)).withColumn(
+        "peak",
+        F.when(F.col("m") >= 10, F.col("p75")).otherwise(1.0),
+    )
     response = F.when(F.col("estimate") >= 0.8, "EXIT").when(F.col("estimate") >= 0.6, "PARTIAL").when(F.col("estimate") >= 0.4, "TIGHTEN").otherwise("IGNORE")
     return table.select("signal", "n", "estimate", "peak", response.alias("response"))
 
@@ -111,7 +130,12 @@ def cold_start(states: DataFrame) -> DataFrame:
 def walk_forward_summary(folds: DataFrame) -> DataFrame:
     """folds(key, sharpe, profit): means over folds, how many gain, and how even they are."""
     s = F.col("sharpe")
-    found = folds.groupBy("key").agg(F.count("*").alias("folds"), F.avg(s).alias("mean_sharpe"), F.stddev_pop(s).alias("std_sharpe"), F.sum((F.col("profit") > 0).cast("long")).alias("profitable"))
+    found = folds.groupBy("key").agg(
+        F.count("*").alias("folds"),
+        F.avg(s).alias("mean_sharpe"),
+        F.stddev_pop(s).alias("std_sharpe"),
+        F.sum((F.col("profit") > 0).cast("long")).alias("profitable"),
+    )
     return found.withColumn("consistency", F.col("profitable") / F.col("folds"))
 
 
@@ -130,5 +154,8 @@ def group_importance(weights: DataFrame, default: float = 1.0) -> DataFrame:
 def verified(protos: DataFrame, results: DataFrame) -> DataFrame:
     """protos(key) with the grade that results(key, matches, win_rate, avg_profit) give; PENDING where
     there are none."""
-    grade = F.when(F.col("matches").isNull(), "PENDING").when(F.col("matches") < 3, "WATCHED").when((F.col("win_rate") >= 0.6) & (F.col("avg_profit") > 0), "GOOD").when(F.col("avg_profit") > 0, "QUALIFIED").otherwise("ELIMINATED")
+    grade = F.when(F.col("matches").isNull(), "PENDING").when(F.col("matches") < 3, "WATCHED").when(
+        (F.col("win_rate") >= 0.6) & (F.col("avg_profit") > 0),
+        "GOOD",
+    ).when(F.col("avg_profit") > 0, "QUALIFIED").otherwise("ELIMINATED")
     return protos.join(results, "key", "left").withColumn("grade", grade)

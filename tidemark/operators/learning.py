@@ -15,7 +15,10 @@ def prototypes(vectors: DataFrame, k: int, vec_col: str = "embedding", least: in
     rows = vectors.withColumn("features", array_to_vector(F.col(vec_col).cast("array<double>")))
     model = KMeans(k=k, seed=seed, maxIter=20).fit(rows)
     counts = model.transform(rows).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    centres = rows.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centroid array<double>")
+    centres = rows.sparkSession.createDataFrame(
+        [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
+        "cluster int, centroid array<double>",
+    )
     return counts.join(F.broadcast(centres), "cluster")
 
 

@@ -15,7 +15,10 @@ STRONG, WEAK, SIDEWAYS = ("STRONG_BULL", "STRONG_BEAR"), ("WEAK_BULL", "WEAK_BEA
 DERAILED, SECOND_TARGET = 0.3, 10.0
 #: Words of a closing text and the reason they stand for, first match first.
 REASONS = (
-    ("take profit hit", "TAKE_PROFIT"), ("break even", "BREAK_EVEN"), ("locked", "LOCKED_GAIN"), ("trailing", "TRAILING"), ("staged", "STAGED"), ("partial", "PARTIAL"),
+    (
+        "take profit hit",
+        "TAKE_PROFIT",
+    ), ("break even", "BREAK_EVEN"), ("locked", "LOCKED_GAIN"), ("trailing", "TRAILING"), ("staged", "STAGED"), ("partial", "PARTIAL"),
     ("stop loss", "STOP_LOSS"), ("derailed", "DERAILED"), ("reversal", "REVERSAL"), ("timeout", "TIMEOUT"),
 )
 
@@ -107,7 +110,10 @@ def fan_place(price: str, low: str, high: str, median: str, recent_range: str) -
     """inside the quartiles, edge up to twice the effective range beyond them, else outside."""
     p, lo, hi = F.col(price), F.col(low), F.col(high)
     width = F.greatest(hi - lo, F.abs(median) * 0.0012, F.col(recent_range) * 0.08)
-    return F.when(lo.isNull() | hi.isNull() | F.col(median).isNull(), "unknown").when(p.between(lo, hi), "inside").when(p.between(lo - 2 * width, hi + 2 * width), "edge").otherwise("outside")
+    return F.when(
+        lo.isNull() | hi.isNull() | F.col(median).isNull(),
+        "unknown",
+    ).when(p.between(lo, hi), "inside").when(p.between(lo - 2 * width, hi + 2 * width), "edge").otherwise("outside")
 
 
 def fixed_exits(price: str, side: str, target: float = 0.006, stop: float = 0.008) -> list[Column]:
@@ -160,7 +166,10 @@ def regime_table(orders: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.sum(won.cast("long")).alias("wins"), F.sum(lost.cast("long")).alias("losses"), F.avg(F.when(won, p)).alias("avg_win"), F.avg(F.when(lost, p)).alias("avg_loss"), F.avg(p).alias("avg_all"), F.sum("pnl").alias("pnl")
     )
     names = ["n", "wins", "losses", "avg_win", "avg_loss", "avg_all", "pnl"]
-    return domain.join(counted, ["side", "regime"], "left").fillna(0, names).withColumn("win_rate", F.when(F.col("n") > 0, F.col("wins") / F.col("n")).otherwise(0.0))
+    return domain.join(counted, ["side", "regime"], "left").fillna(0, names).withColumn(
+        "win_rate",
+        F.when(F.col("n") > 0, F.col("wins") / F.col("n")).otherwise(0.0),
+    )
 
 
 def strategy_table(orders: DataFrame) -> DataFrame:

@@ -59,7 +59,11 @@ def round_results(triggers: DataFrame) -> DataFrame:
     """triggers, hits, hit_rate and median_hold of each combination in each round."""
     held = F.when(F.col("hold") >= 0, F.col("hold"))
     keyed = triggers.withColumn("combo", key_of())
-    counted = keyed.groupBy("pool", "direction", "combo", "round").agg(F.count("*").alias("triggers"), F.sum(F.col("hit").cast("long")).alias("hits"), F.median(held).alias("median_hold"))
+    counted = keyed.groupBy("pool", "direction", "combo", "round").agg(
+        F.count("*").alias("triggers"),
+        F.sum(F.col("hit").cast("long")).alias("hits"),
+        F.median(held).alias("median_hold"),
+    )
     return counted.withColumn("hit_rate", F.col("hits") / F.col("triggers"))
 
 
@@ -97,7 +101,10 @@ def cumulative(triggers: DataFrame) -> DataFrame:
     holds = triggers.where("hold >= 0").withColumn("combo", key_of()).groupBy(*keys).agg(F.median("hold").alias("m"), F.count("*").alias("hold_samples"))
     table = table.join(holds, keys, "left").withColumns({"avg_hold": F.coalesce(F.bround("m", 0).cast("long"), F.lit(0)), "hold_samples": F.coalesce("hold_samples", F.lit(0))})
     part = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(100.0), x))
-    low, high = F.when(F.col("direction") == "long", RATE_SPAN["long"][0]).otherwise(RATE_SPAN["short"][0]), F.when(F.col("direction") == "long", RATE_SPAN["long"][1]).otherwise(RATE_SPAN["short"][1])
+    low, high = F.when(
+        F.col("direction") == "long",
+        RATE_SPAN["long"][0],
+    ).otherwise(RATE_SPAN["short"][0]), F.when(F.col("direction") == "long", RATE_SPAN["long"][1]).otherwise(RATE_SPAN["short"][1])
     turns = part(F.log(F.col("rounds") + 1.0) / F.log(F.lit(21.0)) * 100)
     steady = part((1 - F.col("rate_std") / 0.08) * 100) * F.least(F.lit(1.0), F.col("rounds") / 5.0)
     composite = 0.3 * part((F.col("avg_rate") - low) / (high - low) * 100) + 0.4 * steady + 0.3 * turns
@@ -189,7 +196,11 @@ def pruned(entries: DataFrame) -> DataFrame:
     gone = edges.select(*keys, F.col("narrow").alias("combo")).limit(0)
     while True:
         # Wide ones that nothing replaces any more are kept, and what they cover is gone.
-        left = edges.join(gone.withColumnRenamed("combo", "wide"), [*keys, "wide"], "left_anti").join(gone.withColumnRenamed("combo", "narrow"), [*keys, "narrow"], "left_anti")
+        left = edges.join(gone.withColumnRenamed("combo", "wide"), [*keys, "wide"], "left_anti").join(
+            gone.withColumnRenamed("combo", "narrow"),
+            [*keys, "narrow"],
+            "left_anti",
+        )
         first = left.join(left.select(*keys, F.col("narrow").alias("wide")).distinct(), [*keys, "wide"], "left_anti")
         more = stored(first.select(*keys, F.col("narrow").alias("combo")).distinct())
         if not more.limit(1).count():
@@ -204,7 +215,11 @@ def anchors(entries: DataFrame) -> DataFrame:
     each = entries.select(*keys, "combo", F.explode("conditions").alias("condition"))
     often = each.groupBy(*keys, "condition").agg(F.count("*").alias("n"))
     best = F.min_by("condition", F.struct(-F.col("n"), F.length("condition"), "condition"))
-    return entries.join(each.join(often, [*keys, "condition"]).groupBy(*keys, "combo").agg(best.alias("anchor")), [*keys, "combo"], "left").fillna("", ["anchor"])
+    return entries.join(
+        each.join(often, [*keys, "condition"]).groupBy(*keys, "combo").agg(best.alias("anchor")),
+        [*keys, "combo"],
+        "left",
+    ).fillna("", ["anchor"])
 
 
 def main_states(breakdown: DataFrame) -> DataFrame:
@@ -243,7 +258,16 @@ def merged_families(candidates: DataFrame) -> DataFrame:
     grouped = candidates.withColumn("families", families()).groupBy("state", "direction", "families").agg(
         best.alias("b"), F.max("rounds").alias("rounds"), F.sum("triggers").alias("triggers"), F.sum("hits").alias("hits"), F.count("*").alias("merged")
     )
-    return grouped.select("state", "direction", "families", "b.*", "rounds", "triggers", "hits", "merged").withColumn("overall_rate", F.col("hits") / F.col("triggers"))
+    return grouped.select(
+        "state",
+        "direction",
+        "families",
+        "b.*",
+        "rounds",
+        "triggers",
+        "hits",
+        "merged",
+    ).withColumn("overall_rate", F.col("hits") / F.col("triggers"))
 
 
 def chosen_apart(ranked: DataFrame, order: list[Column], most: int, overlap: float) -> DataFrame:
@@ -253,7 +277,11 @@ def chosen_apart(ranked: DataFrame, order: list[Column], most: int, overlap: flo
     lists = ranked.groupBy("state", "direction").agg(F.array_sort(F.collect_list(item)).alias("l"))
     near = f"exists(a, y -> size(array_intersect(y.families, x.families)) >= {overlap}D * size(array_union(y.families, x.families)))"
     fold = f"aggregate(l, filter(l, x -> false), (a, x) -> IF(size(a) >= {most} OR {near}, a, concat(a, array(x))))"
-    return lists.select("state", "direction", F.posexplode(F.expr(fold)).alias("place", "x")).select("state", "direction", (F.col("place") + 1).alias("place"), "x.combo")
+    return lists.select(
+        "state",
+        "direction",
+        F.posexplode(F.expr(fold)).alias("place", "x"),
+    ).select("state", "direction", (F.col("place") + 1).alias("place"), "x.combo")
 
 
 def premium_pool(cumulated: DataFrame, breakdown: DataFrame, most: int = 6, least_triggers: int = 5) -> DataFrame:
@@ -299,11 +327,20 @@ def feedback(trades: DataFrame, cumulated: DataFrame) -> DataFrame:
     stopped out, or a combination that the history does not know.
     """
     each = trades.withColumn("combo", F.explode("keys"))
-    seen = each.groupBy("direction", "combo").agg(F.count("*").alias("trades"), F.avg(F.col("hit").cast("int")).alias("hit_rate"), F.avg(F.col("stopped").cast("int")).alias("stop_rate"), F.sum("profit").alias("profit"))
+    seen = each.groupBy("direction", "combo").agg(
+        F.count("*").alias("trades"),
+        F.avg(F.col("hit").cast("int")).alias("hit_rate"),
+        F.avg(F.col("stopped").cast("int")).alias("stop_rate"),
+        F.sum("profit").alias("profit"),
+    )
     known = cumulated.groupBy("direction", "combo").agg(F.max("overall_rate").alias("overall_rate"))
     joined = seen.join(known, ["direction", "combo"], "left")
     issues = F.array_compact(
-        F.array(F.when(F.col("overall_rate").isNull(), "UNKNOWN"), F.when(F.col("hit_rate") < F.col("overall_rate") - LIVE_DECAY, "BELOW_HISTORY"), F.when(F.col("stop_rate") >= 0.5, "STOPPED_OUT"))
+        F.array(
+            F.when(F.col("overall_rate").isNull(), "UNKNOWN"),
+            F.when(F.col("hit_rate") < F.col("overall_rate") - LIVE_DECAY, "BELOW_HISTORY"),
+            F.when(F.col("stop_rate") >= 0.5, "STOPPED_OUT"),
+        )
     )
     return joined.withColumn("issues", F.array_join(issues, ","))
 
@@ -314,7 +351,19 @@ def feedback(trades: DataFrame, cumulated: DataFrame) -> DataFrame:
 def exported(cumulated: DataFrame, path: str) -> None:
     """Tab-separated lines with a header: the columns that imported() reads, rates in percent."""
     percent = lambda c: F.format_string("%.4f%%", F.col(c) * 100).alias(c)
-    lines = cumulated.select("pool", "direction", "combo", "tier", "rounds", percent("avg_rate"), percent("rate_std"), "triggers", "hits", percent("overall_rate"), "avg_hold")
+    lines = cumulated.select(
+        "pool",
+        "direction",
+        "combo",
+        "tier",
+        "rounds",
+        percent("avg_rate"),
+        percent("rate_std"),
+        "triggers",
+        "hits",
+        percent("overall_rate"),
+        "avg_hold",
+    )
     lines.write.option("sep", "\t").option("header", True).csv(path)
 
 
@@ -325,10 +374,20 @@ def imported(spark, path: str) -> DataFrame:
     lines = spark.read.option("sep", "\t").option("header", True).schema(text).csv(path)
     number = lambda c: F.expr(f"coalesce(try_cast(regexp_replace({c}, '[^0-9]', '') as long), 0)")
     rate = F.expr("coalesce(try_cast(regexp_replace(overall_rate, '%', '') as double), 0e0) / 100")
-    parsed = lines.select("pool", "direction", "combo", F.greatest(number("rounds"), F.lit(1)).alias("rounds"), number("triggers").alias("total"), rate.alias("rate"))
+    parsed = lines.select(
+        "pool",
+        "direction",
+        "combo",
+        F.greatest(number("rounds"), F.lit(1)).alias("rounds"),
+        number("triggers").alias("total"),
+        rate.alias("rate"),
+    )
     spread = parsed.withColumn("round", F.explode(F.sequence(F.lit(1), F.col("rounds").cast("int")))).withColumn("share", F.expr("total div rounds"))
     last = F.when(F.col("round") == F.col("rounds"), F.col("total") - F.col("share") * (F.col("rounds") - 1)).otherwise(F.col("share"))
-    return spread.withColumn("triggers", last).withColumn("hits", F.bround(F.col("triggers") * F.col("rate"), 0).cast("long")).select("pool", "direction", "combo", "round", "triggers", "hits")
+    return spread.withColumn("triggers", last).withColumn(
+        "hits",
+        F.bround(F.col("triggers") * F.col("rate"), 0).cast("long"),
+    ).select("pool", "direction", "combo", "round", "triggers", "hits")
 
 
 def joined_histories(own: DataFrame, other: DataFrame) -> DataFrame:

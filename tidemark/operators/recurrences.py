@@ -149,6 +149,16 @@ def parameter_search(signals: DataFrame, grid: list[Rules], fold_length: int = 7
                     yield trial, t[0], t[7]
                 account.trades.clear()
 
-    trades = _walked(signals, ["bar_idx", "high", "low", "close", "signal"], walk, ["trial", "entry_idx", "profit_pct"], "trial int, entry_idx long, profit_pct double")
-    folds = trades.withColumn("fold", F.expr(f"entry_idx div {fold_length}")).groupBy("trial", "fold").agg(F.count("*").alias("n"), F.avg("profit_pct").alias("mean"), F.stddev_pop("profit_pct").alias("sd"))
+    trades = _walked(
+        signals,
+        ["bar_idx", "high", "low", "close", "signal"],
+        walk,
+        ["trial", "entry_idx", "profit_pct"],
+        "trial int, entry_idx long, profit_pct double",
+    )
+    folds = trades.withColumn("fold", F.expr(f"entry_idx div {fold_length}")).groupBy("trial", "fold").agg(
+        F.count("*").alias("n"),
+        F.avg("profit_pct").alias("mean"),
+        F.stddev_pop("profit_pct").alias("sd"),
+    )
     return folds.groupBy("trial").agg(F.sum("n").alias("n"), F.avg(F.when(F.col("sd") > 0, F.col("mean") / F.col("sd"))).alias("score"))

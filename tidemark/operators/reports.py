@@ -37,7 +37,12 @@ def regime_accuracy(trades: DataFrame, recent: int = 20) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("regime").orderBy(F.desc("closed"), F.desc("order_id")))
     known = trades.where("right is not null").withColumn("r", rank)
     right = F.col("right").cast("int")
-    return known.groupBy("regime").agg(F.count("*").alias("n"), F.sum(right.cast("long")).alias("correct"), F.avg(right).alias("accuracy"), F.avg(F.when(F.col("r") <= recent, right)).alias("recent"))
+    return known.groupBy("regime").agg(
+        F.count("*").alias("n"),
+        F.sum(right.cast("long")).alias("correct"),
+        F.avg(right).alias("accuracy"),
+        F.avg(F.when(F.col("r") <= recent, right)).alias("recent"),
+    )
 
 
 def learned_ranges(samples: DataFrame, least: int = 10, least_side: int = 5) -> DataFrame:
@@ -47,7 +52,10 @@ def learned_ranges(samples: DataFrame, least: int = 10, least_side: int = 5) ->
     won = F.when(F.col("won"), F.col("x"))
     lost = F.when(~F.col("won"), F.col("x"))
     found = samples.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.count(won).alias("wins"), F.count(lost).alias("losses"), F.percentile(won, F.lit(0.25)).alias("low"), F.percentile(won, F.lit(0.75)).alias("high"), F.percentile(lost, F.lit(0.5)).alias("median")
+        F.count("*").alias("n"), F.count(won).alias("wins"), F.count(lost).alias("losses"), F.percentile(
+            won,
+            F.lit(0.25),
+        ).alias("low"), F.percentile(won, F.lit(0.75)).alias("high"), F.percentile(lost, F.lit(0.5)).alias("median")
     )
     tells = (F.col("losses") < least_side) | (F.col("median") < F.col("low")) | (F.col("median") > F.col("high"))
     return found.where((F.col("n") >= least) & (F.col("wins") >= least_side) & tells).select(*keys, "low", "high")

@@ -65,7 +65,10 @@ def _top_k(vectors: DataFrame, held: pd.DataFrame, k: int, metric: str, id_col:
 
 def votes(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     """The label with the greatest sum of similarities among each query's neighbours."""
-    summed = neighbours.join(labels.select(F.col("vec_id").alias("id"), "label"), "id").groupBy("query_id", "label").agg(F.sum("score").alias("weight"), F.count("*").alias("n"))
+    summed = neighbours.join(
+        labels.select(F.col("vec_id").alias("id"), "label"),
+        "id",
+    ).groupBy("query_id", "label").agg(F.sum("score").alias("weight"), F.count("*").alias("n"))
     return summed.groupBy("query_id").agg(F.max_by("label", F.struct("weight", -F.col("label"))).alias("label"), F.max("weight").alias("weight"))
 
 

@@ -45,7 +45,11 @@ def diverse(ranked: DataFrame, group: str, most: int = 10, overlap: float = 0.3)
     The list of a group is folded in order; it holds the ranked candidates of one market state
     and direction, of which there are at most as many as combinations.
     """
-    item = F.struct((-F.col("composite")).alias("o"), "combo", F.transform(F.split("combo", r"\+"), lambda c: F.regexp_replace(c, "_(loose|strict)$", "")).alias("f"))
+    item = F.struct(
+        (-F.col("composite")).alias("o"),
+        "combo",
+        F.transform(F.split("combo", r"\+"), lambda c: F.regexp_replace(c, "_(loose|strict)$", "")).alias("f"),
+    )
     lists = ranked.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("l"))
     near = f"exists(acc, a -> size(array_intersect(a.f, x.f)) >= {overlap}D * size(array_union(a.f, x.f)))"
     fold = f"aggregate(l, cast(array() as array<struct<o:double,combo:string,f:array<string>>>), (acc, x) -> IF(size(acc) >= {most} OR {near}, acc, concat(acc, array(x))))"

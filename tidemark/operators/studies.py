@@ -13,10 +13,22 @@ CONTRASTED = ("rsi", "boll_position", "roc", "volume_ratio", "ma5_slope")
 def contrast(trades: DataFrame, table: DataFrame, names=CONTRASTED) -> DataFrame:
     """feature, means and deviations at the entries of long and short trades, effect size, midpoint."""
     at = trades.select("symbol", F.col("entry_idx").alias("bar_idx"), "side").join(table.select("symbol", "bar_idx", *names), ["symbol", "bar_idx"])
-    long_form = at.select("side", F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("x")) for n in names])).alias("e")).select("side", "e.feature", "e.x")
+    long_form = at.select(
+        "side",
+        F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("x")) for n in names])).alias("e"),
+    ).select("side", "e.feature", "e.x")
     s = lambda f, side, name: f(F.when(F.col("side") == side, F.col("x"))).alias(name)
-    stats = long_form.groupBy("feature").agg(s(F.avg, "long", "long_mean"), s(F.avg, "short", "short_mean"), s(F.stddev_pop, "long", "long_sd"), s(F.stddev_pop, "short", "short_sd"))
-    return stats.selectExpr("*", "(long_mean - short_mean) / (sqrt((long_sd * long_sd + short_sd * short_sd) / 2) + 1e-9) AS effect", "(long_mean + short_mean) / 2 AS midpoint")
+    stats = long_form.groupBy("feature").agg(
+        s(F.avg, "long", "long_mean"),
+        s(F.avg, "short", "short_mean"),
+        s(F.stddev_pop, "long", "long_sd"),
+        s(F.stddev_pop, "short", "short_sd"),
+    )
+    return stats.selectExpr(
+        "*",
+        "(long_mean - short_mean) / (sqrt((long_sd * long_sd + short_sd * short_sd) / 2) + 1e-9) AS effect",
+        "(long_mean + short_mean) / 2 AS midpoint",
+    )
 
 
 def hold_quantiles(trades: DataFrame) -> DataFrame:
@@ -32,7 +44,10 @@ def fan(points: DataFrame, bars: DataFrame, length: int = 20) -> DataFrame:
     start = points.where("NOT is_high").select("symbol", "bar_idx", "price", F.explode(F.sequence(F.lit(1), F.lit(length))).alias("offset"))
     to = start.withColumn("bar_idx", F.col("bar_idx") + F.col("offset")).join(bars.select("symbol", "bar_idx", "close"), ["symbol", "bar_idx"])
     change = (F.col("close") / F.col("price") - 1) * 100
-    return to.groupBy("offset").agg(F.count("*").alias("n"), *[F.percentile(change, F.lit(p)).alias(name) for p, name in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))])
+    return to.groupBy("offset").agg(
+        F.count("*").alias("n"),
+        *[F.percentile(change, F.lit(p)).alias(name) for p, name in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))],
+    )
 
 
 def walk_forward_folds(bars: DataFrame, length: int, step: int, shares=(0.6, 0.2)) -> DataFrame:
@@ -42,13 +57,22 @@ def walk_forward_folds(bars: DataFrame, length: int, step: int, shares=(0.6, 0.2
     starts = n.where(F.col("n") >= length).select("symbol", F.explode(F.expr(f"sequence(0L, (n - {length}) div {step})")).alias("fold"))
     ranges = [("train", 0, train), ("validate", train, validate), ("test", validate, length)]
     rows = F.array(*[F.struct(F.lit(p).alias("part"), F.lit(a).alias("a"), F.lit(b).alias("b")) for p, a, b in ranges])
-    return starts.select("symbol", "fold", F.explode(rows).alias("r")).selectExpr("symbol", "fold", "r.part AS part", f"fold * {step} + r.a AS first", f"fold * {step} + r.b - 1 AS last")
+    return starts.select("symbol", "fold", F.explode(rows).alias("r")).selectExpr(
+        "symbol",
+        "fold",
+        "r.part AS part",
+        f"fold * {step} + r.a AS first",
+        f"fold * {step} + r.b - 1 AS last",
+    )
 
 
 def histogram_gate(table: DataFrame, bars: int = 5) -> DataFrame:
     """Slope of the MACD histogram over the last bars, and the side that it lets through."""
     over = f"OVER (PARTITION BY symbol, chunk ORDER BY bar_idx ROWS BETWEEN {bars - 1} PRECEDING AND CURRENT ROW)"
-    held = with_halo(table.select("symbol", "bar_idx", "macd_hist"), 8).selectExpr("*", f"CASE WHEN bar_idx >= {bars - 1} THEN regr_slope(macd_hist, cast(bar_idx AS double)) {over} END AS slope")
+    held = with_halo(table.select("symbol", "bar_idx", "macd_hist"), 8).selectExpr(
+        "*",
+        f"CASE WHEN bar_idx >= {bars - 1} THEN regr_slope(macd_hist, cast(bar_idx AS double)) {over} END AS slope",
+    )
     return only_own(held).selectExpr("symbol", "bar_idx", "slope", gate_sql())  # no slope: none
 
 
@@ -66,7 +90,13 @@ def golden_cross(table: DataFrame, ahead: int = 30, goal: float = 1.0, stop: flo
     """Outcome in percent of each crossing of J over D: the goal is looked at before the stop."""
     after = ("1 FOLLOWING", f"{ahead} FOLLOWING")
     held = with_halo(table.select("symbol", "bar_idx", "close", "high", "low", "j", "d", "j_prev", "d_prev"), 0, ahead + 1)
-    wide = held.selectExpr("*", f"{frame('max', 'high', *after)} AS top", f"{frame('min', 'low', *after)} AS bottom", f"{frame('count', '*', *after)} AS n", f"lead(close, {ahead}) OVER (PARTITION BY symbol, chunk ORDER BY bar_idx) AS last")
+    wide = held.selectExpr(
+        "*",
+        f"{frame('max', 'high', *after)} AS top",
+        f"{frame('min', 'low', *after)} AS bottom",
+        f"{frame('count', '*', *after)} AS n",
+        f"lead(close, {ahead}) OVER (PARTITION BY symbol, chunk ORDER BY bar_idx) AS last",
+    )
     crossed = only_own(wide).where(f"n = {ahead} AND j > d AND j_prev <= d_prev")
     return crossed.selectExpr("symbol", "bar_idx", cross_sql(goal, stop))
 
@@ -79,8 +109,15 @@ def feature_trends(table: DataFrame, names: list[str], last: int = 60) -> DataFr
     """Slope of each feature over a symbol's last bars, in deviations a bar."""
     ends = table.groupBy("symbol").agg(F.max("bar_idx").alias("end"))
     tail = table.join(F.broadcast(ends), "symbol").where(F.col("bar_idx") > F.col("end") - last)  # a row for each symbol
-    long_form = tail.select("symbol", F.col("bar_idx").cast("double").alias("t"), F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("x")) for n in names])).alias("e"))
-    got = long_form.groupBy("symbol", F.col("e.feature").alias("feature")).agg(F.regr_slope(F.col("e.x"), F.col("t")).alias("slope"), F.stddev_pop("e.x").alias("sd"))
+    long_form = tail.select(
+        "symbol",
+        F.col("bar_idx").cast("double").alias("t"),
+        F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("x")) for n in names])).alias("e"),
+    )
+    got = long_form.groupBy("symbol", F.col("e.feature").alias("feature")).agg(
+        F.regr_slope(F.col("e.x"), F.col("t")).alias("slope"),
+        F.stddev_pop("e.x").alias("sd"),
+    )
     return got.select("symbol", "feature", (F.col("slope") / F.when(F.col("sd") > 1e-9, F.col("sd")).otherwise(1.0)).alias("trend"))
 
 
@@ -104,7 +141,11 @@ def holdout_ranges(bars: DataFrame, last: int = 300_000, share: float = 0.3, fol
     """symbol, part, first, last: of a symbol's last bars the closing share is held out, and what is
     before is cut into equal inner folds (the last takes the rest)."""
     ends = bars.groupBy("symbol").agg((F.max("bar_idx") + 1).alias("n"))
-    sized = ends.select("symbol", "n", F.greatest(F.col("n") - last, F.lit(0)).alias("start")).withColumn("cut", F.col("n") - F.floor((F.col("n") - F.col("start")) * share))
+    sized = ends.select(
+        "symbol",
+        "n",
+        F.greatest(F.col("n") - last, F.lit(0)).alias("start"),
+    ).withColumn("cut", F.col("n") - F.floor((F.col("n") - F.col("start")) * share))
     size = "((cut - start) div {})".format(folds)
     rows = ", ".join(f"named_struct('part', 'fold {i + 1}', 'a', start + {i} * {size}, 'b', {'cut' if i == folds - 1 else f'start + {i + 1} * {size}'})" for i in range(folds))
     each = F.explode(F.expr(f"array({rows}, named_struct('part', 'holdout', 'a', cut, 'b', n))")).alias("r")

@@ -36,10 +36,20 @@ def alternating(swings: DataFrame) -> DataFrame:
 def label_trades(points: DataFrame) -> DataFrame:
     """Trades that flip at each alternating point: long from a low, short from a high."""
     w = Window.partitionBy("symbol").orderBy("bar_idx")
-    exits = points.select("symbol", "bar_idx", "is_high", "price", F.lead("bar_idx").over(w).alias("exit_idx"), F.lead("price").over(w).alias("exit_price")).where("exit_idx is not null")
+    exits = points.select(
+        "symbol",
+        "bar_idx",
+        "is_high",
+        "price",
+        F.lead("bar_idx").over(w).alias("exit_idx"),
+        F.lead("price").over(w).alias("exit_price"),
+    ).where("exit_idx is not null")
     sign = F.when(F.col("is_high"), -1.0).otherwise(1.0)
     return exits.select(
-        "symbol", F.col("bar_idx").alias("entry_idx"), "exit_idx", F.when(F.col("is_high"), "short").otherwise("long").alias("side"), F.col("price").alias("entry_price"), "exit_price",
+        "symbol", F.col("bar_idx").alias("entry_idx"), "exit_idx", F.when(
+            F.col("is_high"),
+            "short",
+        ).otherwise("long").alias("side"), F.col("price").alias("entry_price"), "exit_price",
         (sign * (F.col("exit_price") - F.col("price")) / F.col("price") * 100).alias("profit_pct"), (F.col("exit_idx") - F.col("bar_idx")).alias("hold"),
     )
 
@@ -49,8 +59,14 @@ def trade_stats(trades: DataFrame, *keys: str) -> DataFrame:
     p = F.col("profit_pct")
     gain, loss = F.sum(F.when(p > 0, p).otherwise(0.0)), F.sum(F.when(p < 0, -p).otherwise(0.0))
     return trades.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.avg((p > 0).cast("int")).alias("win_rate"), gain.alias("gross_gain"), loss.alias("gross_loss"), F.when(loss > 0, gain / loss).alias("profit_factor"),
-        F.avg(F.when(p > 0, p)).alias("avg_win"), F.avg(F.when(p < 0, p)).alias("avg_loss"), F.when(F.stddev_pop(p) > 0, F.avg(p) / F.stddev_pop(p)).alias("sharpe"), F.avg("hold").alias("avg_hold"),
+        F.count("*").alias("n"), F.avg((p > 0).cast("int")).alias("win_rate"), gain.alias("gross_gain"), loss.alias("gross_loss"), F.when(
+            loss > 0,
+            gain / loss,
+        ).alias("profit_factor"),
+        F.avg(F.when(p > 0, p)).alias("avg_win"), F.avg(F.when(p < 0, p)).alias("avg_loss"), F.when(
+            F.stddev_pop(p) > 0,
+            F.avg(p) / F.stddev_pop(p),
+        ).alias("sharpe"), F.avg("hold").alias("avg_hold"),
     )
 
 
@@ -77,13 +93,23 @@ def regimes(points: DataFrame, at: DataFrame) -> DataFrame:
     enough = f"size(l) >= {MIN_SWINGS} AND size(filter(l, x -> x.is_high)) >= 2 AND size(filter(l, x -> NOT x.is_high)) >= 2"
     moves = "aggregate(sequence(1, size(l) - 1), 0e0, (a, i) -> a + abs(l[i].price - l[i - 1].price)) / (size(l) - 1)"
     mean = "aggregate(l, 0e0, (a, x) -> a + x.price) / size(l)"
-    told = held.selectExpr("symbol", "bar_idx AS since", "until", f"IF({enough}, ({trend('true')} + {trend('false')}) / 2, null) AS direction", f"IF({enough}, ({moves}) / ({mean}), null) AS strength")
+    told = held.selectExpr(
+        "symbol",
+        "bar_idx AS since",
+        "until",
+        f"IF({enough}, ({trend('true')} + {trend('false')}) / 2, null) AS direction",
+        f"IF({enough}, ({moves}) / ({mean}), null) AS strength",
+    )
     piece = 4096
     ends = at.groupBy("symbol").agg(F.max("bar_idx").alias("end"))
     told = told.join(ends, "symbol").withColumn("to", F.least(F.coalesce("until", "end"), F.col("end"))).where("to > since")
     spans = told.withColumn("piece", F.explode(F.expr(f"sequence((since + 1) div {piece}, to div {piece})")))
     bars = at.withColumn("piece", F.expr(f"bar_idx div {piece}"))
-    joined = bars.alias("b").join(spans.alias("s"), (F.col("b.symbol") == F.col("s.symbol")) & (F.col("b.piece") == F.col("s.piece")) & (F.col("bar_idx") > F.col("since")) & (F.col("bar_idx") <= F.coalesce("until", F.lit(2**62))), "left")
+    joined = bars.alias("b").join(
+        spans.alias("s"),
+        (F.col("b.symbol") == F.col("s.symbol")) & (F.col("b.piece") == F.col("s.piece")) & (F.col("bar_idx") > F.col("since")) & (F.col("bar_idx") <= F.coalesce("until", F.lit(2**62))),
+        "left",
+    )
     return joined.selectExpr("b.symbol", "bar_idx", "direction", "strength", f"{regime_sql()} AS regime")
 
 
@@ -99,7 +125,11 @@ def regime_stats(trades: DataFrame) -> DataFrame:
     """Counts and rates for every direction and regime, zeros kept."""
     spark = trades.sparkSession
     domain = F.broadcast(spark.createDataFrame([(s, r) for s in ("long", "short") for r in REGIMES], "side string, regime string"))
-    counted = trades.groupBy("side", "regime").agg(F.count("*").alias("n"), F.sum((F.col("profit_pct") > 0).cast("long")).alias("wins"), F.avg("profit_pct").alias("avg_profit"))
+    counted = trades.groupBy("side", "regime").agg(
+        F.count("*").alias("n"),
+        F.sum((F.col("profit_pct") > 0).cast("long")).alias("wins"),
+        F.avg("profit_pct").alias("avg_profit"),
+    )
     out = domain.join(counted, ["side", "regime"], "left").fillna(0, ["n", "wins", "avg_profit"])
     return out.withColumn("win_rate", F.when(F.col("n") > 0, F.col("wins") / F.col("n")).otherwise(0.0))
 
@@ -110,13 +140,33 @@ def swing_pairs(points: DataFrame, atrs: DataFrame, least: int = 30, most: int =
     the ATR at the entry or more (1 % of the price without one): a range join on pieces of `most` bars."""
     risk = F.when(F.col("atr") > 0, F.col("atr")).otherwise(F.col("price") * 0.01)
     known = points.join(atrs.select("symbol", "bar_idx", "atr"), ["symbol", "bar_idx"], "left")
-    start = known.select("symbol", F.col("is_high").alias("from_high"), F.col("bar_idx").alias("entry_idx"), F.col("price").alias("entry_price"), risk.alias("risk"))
+    start = known.select(
+        "symbol",
+        F.col("is_high").alias("from_high"),
+        F.col("bar_idx").alias("entry_idx"),
+        F.col("price").alias("entry_price"),
+        risk.alias("risk"),
+    )
     dealt = start.withColumn("piece", F.explode(F.expr(f"sequence((entry_idx + {least}) div {most}, (entry_idx + {most}) div {most})")))
-    end = points.select("symbol", (~F.col("is_high")).alias("from_high"), F.col("bar_idx").alias("exit_idx"), F.col("price").alias("exit_price"), F.expr(f"bar_idx div {most}").alias("piece"))
+    end = points.select(
+        "symbol",
+        (~F.col("is_high")).alias("from_high"),
+        F.col("bar_idx").alias("exit_idx"),
+        F.col("price").alias("exit_price"),
+        F.expr(f"bar_idx div {most}").alias("piece"),
+    )
     joined = dealt.join(end, ["symbol", "from_high", "piece"]).where(F.col("exit_idx").between(F.col("entry_idx") + least, F.col("entry_idx") + most))
     profit = F.when(F.col("from_high"), F.col("entry_price") - F.col("exit_price")).otherwise(F.col("exit_price") - F.col("entry_price"))
     fit = joined.withColumn("profit", profit).where((F.col("profit") > 0) & (F.col("profit") / F.col("risk") >= ratio))
-    return fit.select("symbol", F.when(F.col("from_high"), "short").otherwise("long").alias("side"), "entry_idx", "exit_idx", "entry_price", "exit_price", "profit")
+    return fit.select(
+        "symbol",
+        F.when(F.col("from_high"), "short").otherwise("long").alias("side"),
+        "entry_idx",
+        "exit_idx",
+        "entry_price",
+        "exit_price",
+        "profit",
+    )
 
 
 def first_of_runs(points: DataFrame) -> DataFrame:

@@ -38,11 +38,24 @@ def extract(trades: DataFrame, vectors: DataFrame, pre: int = PRE, post: int = P
     named = F.when(F.coalesce("regime", F.lit("UNKNOWN")) != "UNKNOWN", F.col("regime")).when(side == "LONG", "RANGE_BULL").otherwise("RANGE_BEAR")
     fit = trades.where((F.col("profit_pct") >= least) & (F.col("entry_idx") >= pre))
     keys = ["symbol", "entry_idx", "exit_idx", "direction", "regime", "profit_pct"]
-    asked = fit.select("symbol", "entry_idx", "exit_idx", side.alias("direction"), named.alias("regime"), "profit_pct", F.explode(F.sequence(F.col("entry_idx") - pre, F.col("exit_idx"))).alias("bar_idx"))
+    asked = fit.select(
+        "symbol",
+        "entry_idx",
+        "exit_idx",
+        side.alias("direction"),
+        named.alias("regime"),
+        "profit_pct",
+        F.explode(F.sequence(F.col("entry_idx") - pre, F.col("exit_idx"))).alias("bar_idx"),
+    )
     whole = asked.join(vectors.select("symbol", "bar_idx", "v"), ["symbol", "bar_idx"]).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bar_idx", "v"))).alias("l"))
     part = lambda begin, end: F.transform(F.filter("l", lambda x: (x["bar_idx"] >= begin) & (x["bar_idx"] < end)), lambda x: x["v"])
     entry, exit_ = F.col("entry_idx"), F.col("exit_idx")
-    return whole.select(*keys, part(entry - pre, entry).alias("pre"), part(entry, exit_ + 1).alias("held"), part(F.greatest(entry, exit_ - post + 1), exit_ + 1).alias("post"))
+    return whole.select(
+        *keys,
+        part(entry - pre, entry).alias("pre"),
+        part(entry, exit_ + 1).alias("held"),
+        part(F.greatest(entry, exit_ - post + 1), exit_ + 1).alias("post"),
+    )
 
 
 def windows(vectors: DataFrame, spans: DataFrame) -> DataFrame:
@@ -119,7 +132,10 @@ def summaries(templates: DataFrame) -> DataFrame:
     t = templates.withColumns({"m_pre": _mean("pre"), "m_held": _mean("held"), "m_post": _mean("post")})
     std = "transform(m_held, (m, i) -> sqrt(aggregate(held, 0e0, (a, v) -> a + (v[i] - m) * (v[i] - m)) / size(held)))"
     t = t.withColumn("s_held", F.expr(std))
-    return t.withColumn("summary", F.concat("m_pre", "m_held", "s_held", "m_post", F.array(F.size("held") / 200.0, F.col("profit_pct") / 10.0))).drop("m_pre", "m_held", "s_held", "m_post")
+    return t.withColumn(
+        "summary",
+        F.concat("m_pre", "m_held", "s_held", "m_post", F.array(F.size("held") / 200.0, F.col("profit_pct") / 10.0)),
+    ).drop("m_pre", "m_held", "s_held", "m_post")
 
 
 # --- prototypes
@@ -158,7 +174,10 @@ def prototypes(members: DataFrame, least: int = 3) -> DataFrame:
     p = F.col("profit_pct")
     found = table.groupBy(*keys).agg(
         F.first("centroid").alias("centroid"), F.count("*").alias("members"), F.sum((p > 0).cast("long")).alias("wins"), F.sum(p).alias("total_profit"), F.avg(p).alias("avg_profit"),
-        F.coalesce(F.stddev_pop(p), F.lit(0.0)).alias("profit_std"), F.avg("held_bars").alias("avg_hold"), F.min_by("fingerprint", F.struct("apart", "fingerprint")).alias("representative"),
+        F.coalesce(F.stddev_pop(p), F.lit(0.0)).alias("profit_std"), F.avg("held_bars").alias("avg_hold"), F.min_by(
+            "fingerprint",
+            F.struct("apart", "fingerprint"),
+        ).alias("representative"),
     )
     found = found.where(F.col("members") >= least).join(purity, keys).withColumn("win_rate", F.col("wins") / F.col("members"))
     return found.withColumn("confidence", confidence()).withColumn("level", level("confidence"))
@@ -191,7 +210,13 @@ def apart_prototypes(protos: DataFrame, key: str, vector: str, least: float = 0.
 
     A fold over the prototypes of a group, of which there are at most as many as clusters.
     """
-    item = F.struct((-F.col("confidence")).alias("a"), (-F.col("members")).alias("b"), (-F.col("avg_profit")).alias("c"), F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    item = F.struct(
+        (-F.col("confidence")).alias("a"),
+        (-F.col("members")).alias("b"),
+        (-F.col("avg_profit")).alias("c"),
+        F.col(key).alias("key"),
+        F.col(vector).cast("array<double>").alias("v"),
+    )
     dot = lambda x, y: f"aggregate(zip_with({x}, {y}, (p, q) -> p * q), 0e0, (s, z) -> s + z)"
     near = f"{dot('o.v', 'x.v')} >= {least}D * sqrt({dot('o.v', 'o.v')}) * sqrt({dot('x.v', 'x.v')})"
     kind = dict(protos.dtypes)[key]
@@ -199,7 +224,12 @@ def apart_prototypes(protos: DataFrame, key: str, vector: str, least: float = 0.
     taken = f"transform(s, (o, i) -> IF(i = get(transform(filter(transform(s, (o, i) -> IF({near}, i, -1)), j -> j >= 0), j -> j), 0), named_struct('key', o.key, 'v', o.v, 'n', o.n + 1), o))"
     fold = f"aggregate(l, {start}, (s, x) -> IF(exists(s, o -> {near}), {taken}, concat(s, array(named_struct('key', x.key, 'v', x.v, 'n', 0)))))"
     lists = protos.groupBy("direction", "regime").agg(F.array_sort(F.collect_list(item)).alias("l"))
-    return lists.select("direction", "regime", F.explode(F.expr(fold)).alias("x")).select("direction", "regime", F.col("x.key").alias(key), F.col("x.n").alias("absorbed"))
+    return lists.select("direction", "regime", F.explode(F.expr(fold)).alias("x")).select(
+        "direction",
+        "regime",
+        F.col("x.key").alias(key),
+        F.col("x.n").alias("absorbed"),
+    )
 
 
 # --- matching
@@ -208,7 +238,12 @@ def apart_prototypes(protos: DataFrame, key: str, vector: str, least: float = 0.
 def similarities(pairs: DataFrame, x: str, y: str, warping: Column | None = None) -> DataFrame:
     """pairs with cosine, distance and fused: the similarity of two vectors, each 0 to 1; without a
     warping similarity the other two weigh in proportion."""
-    dot = lambda a, b: F.aggregate(F.zip_with(F.col(a), F.col(b), lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, z: s + z)
+    dot = lambda a, b: F.aggregate(
+        F.zip_with(F.col(a), F.col(b), lambda p, q: p.cast("double") * q.cast("double")),
+        F.lit(0.0),
+        lambda s,
+        z: s + z,
+    )
     norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
     cosine = F.when(norm < 1e-9, 0.0).otherwise(F.greatest(F.lit(0.0), dot(x, y) / norm))
     apart = F.sqrt(F.aggregate(F.zip_with(F.col(x), F.col(y), lambda p, q: (p.cast("double") - q) * (p.cast("double") - q)), F.lit(0.0), lambda s, z: s + z))
@@ -268,13 +303,29 @@ def performances(templates: DataFrame, results: DataFrame, least: int = 3) -> Da
     of 80 on; all else is ELIMINATED.  A template without results is PENDING.
     """
     p = F.col("profit_pct")
-    seen = results.groupBy("fingerprint").agg(F.count("*").alias("matches"), F.sum((p > 0).cast("long")).alias("wins"), F.avg(p).alias("avg_profit"), F.max(p).alias("max_profit"), F.min(p).alias("max_loss"), F.sum(p).alias("total_profit"))
-    joined = templates.select("fingerprint").distinct().join(seen, "fingerprint", "left").fillna(0, ["matches", "wins", "avg_profit", "max_profit", "max_loss", "total_profit"])
+    seen = results.groupBy("fingerprint").agg(
+        F.count("*").alias("matches"),
+        F.sum((p > 0).cast("long")).alias("wins"),
+        F.avg(p).alias("avg_profit"),
+        F.max(p).alias("max_profit"),
+        F.min(p).alias("max_loss"),
+        F.sum(p).alias("total_profit"),
+    )
+    joined = templates.select("fingerprint").distinct().join(seen, "fingerprint", "left").fillna(
+        0,
+        ["matches", "wins", "avg_profit", "max_profit", "max_loss", "total_profit"],
+    )
     rate = F.when(F.col("matches") > 0, F.col("wins") / F.col("matches")).otherwise(0.0)
     few, good = F.col("matches") < least, F.col("avg_profit") > 0
-    bonus = F.least(F.lit(25.0), F.col("avg_profit") * 10) + F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.col("win_rate") - 0.4) * 50) + F.least(F.lit(10.0), (F.col("matches") - least) * 2.0)
+    bonus = F.least(F.lit(25.0), F.col("avg_profit") * 10) + F.least(
+        F.lit(10.0),
+        F.greatest(F.lit(0.0), F.col("win_rate") - 0.4) * 50,
+    ) + F.least(F.lit(10.0), (F.col("matches") - least) * 2.0)
     low = F.greatest(F.lit(0.0), F.col("win_rate") * 30 + F.greatest(F.lit(0.0), F.col("avg_profit")) * 10)
     score = F.when(few, 20.0 + F.col("matches") * 5).when(good, F.least(F.lit(100.0), 60.0 + bonus)).otherwise(low)
     graded = joined.withColumn("win_rate", rate).withColumn("score", score)
-    grade = F.when(F.col("matches") == 0, "PENDING").when(few, "WATCHED").when(good & (F.col("score") >= 80), "GOOD").when(good, "QUALIFIED").otherwise("ELIMINATED")
+    grade = F.when(F.col("matches") == 0, "PENDING").when(few, "WATCHED").when(
+        good & (F.col("score") >= 80),
+        "GOOD",
+    ).when(good, "QUALIFIED").otherwise("ELIMINATED")
     return graded.withColumn("grade", grade)

@@ -47,12 +47,19 @@ def gate_scores(found: DataFrame) -> DataFrame:
     scored = found.groupBy("gate").agg(
         F.count("*").alias("n"), F.sum(correct.cast("long")).alias("correct"), F.sum(F.when(F.col("move") < 0, -F.col("move")).otherwise(0.0)).alias("saved"), F.sum(F.when(F.col("move") > 0, F.col("move")).otherwise(0.0)).alias("missed")
     )
-    return scored.selectExpr("*", "correct / n AS accuracy", f"CASE WHEN correct / n < {LOOSEN} THEN 'loosen' WHEN correct / n > {TIGHTEN} THEN 'tighten' ELSE 'keep' END AS suggestion")
+    return scored.selectExpr(
+        "*",
+        "correct / n AS accuracy",
+        f"CASE WHEN correct / n < {LOOSEN} THEN 'loosen' WHEN correct / n > {TIGHTEN} THEN 'tighten' ELSE 'keep' END AS suggestion",
+    )
 
 
 def bounded_step(df: DataFrame, value: str, action: str, step: float, low: float, high: float) -> DataFrame:
     """next: value moved by step as the action says, inside its bounds; null where nothing changes."""
-    moved = F.when(F.col(action) == "loosen", F.greatest(F.col(value) - step, F.lit(low))).when(F.col(action) == "tighten", F.least(F.col(value) + step, F.lit(high)))
+    moved = F.when(
+        F.col(action) == "loosen",
+        F.greatest(F.col(value) - step, F.lit(low)),
+    ).when(F.col(action) == "tighten", F.least(F.col(value) + step, F.lit(high)))
     return df.withColumn("next", F.when(moved != F.col(value), moved))
 
 

@@ -99,10 +99,31 @@ def signal_equity(spark, sf_dir):
 def equity_metrics(spark, sf_dir):
     e = bt.on_signals(signalled(spark, sf_dir), equity=True)
     d = bt.drawdowns(e, 5000.0)
-    return d.select("symbol", "bars", F.round("max_drawdown", 6).alias("max_drawdown"), F.round("equity", 5).alias("equity"), (F.round("return_pct", 6) + F.lit(0.0)).alias("return_pct"))
+    return d.select(
+        "symbol",
+        "bars",
+        F.round("max_drawdown", 6).alias("max_drawdown"),
+        F.round("equity", 5).alias("equity"),
+        (F.round("return_pct", 6) + F.lit(0.0)).alias("return_pct"),
+    )
 
 
-_STATS = ["total_profit", "gross_profit", "gross_loss", "avg_profit_pct", "avg_hold", "long_profit", "short_profit", "win_rate", "long_win_rate", "short_win_rate", "profit_factor", "avg_win", "avg_loss", "sharpe"]
+_STATS = [
+    "total_profit",
+    "gross_profit",
+    "gross_loss",
+    "avg_profit_pct",
+    "avg_hold",
+    "long_profit",
+    "short_profit",
+    "win_rate",
+    "long_win_rate",
+    "short_win_rate",
+    "profit_factor",
+    "avg_win",
+    "avg_loss",
+    "sharpe",
+]
 
 
 @query(
@@ -128,7 +149,13 @@ def backtest_statistics(spark, sf_dir):
 def simulated_statistics(spark, sf_dir):
     t = bt.on_signals(signalled(spark, sf_dir)).withColumn("t", F.col("exit_idx"))
     s = bt.simulated_statistics(t, "symbol", "reason")
-    return s.select("symbol", "reason", "n", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("win_rate", "mean", "drawdown")], (F.round("sharpe", 5) + F.lit(0.0)).alias("sharpe"))
+    return s.select(
+        "symbol",
+        "reason",
+        "n",
+        *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("win_rate", "mean", "drawdown")],
+        (F.round("sharpe", 5) + F.lit(0.0)).alias("sharpe"),
+    )
 
 
 @query(
@@ -151,7 +178,15 @@ UNION ALL SELECT w.symbol, since, w.bar_idx, CASE WHEN side > 0 THEN 'long' ELSE
 )
 def label_backtest(spark, sf_dir):
     t = bt.on_labels(labelled(spark, sf_dir))
-    return t.select("symbol", "entry_idx", "exit_idx", "side", "reason", (F.round("profit", 4) + F.lit(0.0)).alias("profit"), (F.round("profit_pct", 6) + F.lit(0.0)).alias("profit_pct"))
+    return t.select(
+        "symbol",
+        "entry_idx",
+        "exit_idx",
+        "side",
+        "reason",
+        (F.round("profit", 4) + F.lit(0.0)).alias("profit"),
+        (F.round("profit_pct", 6) + F.lit(0.0)).alias("profit_pct"),
+    )
 
 
 @query()
@@ -170,5 +205,10 @@ def matrix_backtest(spark, sf_dir):
     """Trades on the scores of six made-up prototypes, four long and two short, of every tenth bar."""
     table = stored(ind.window_indicators(bars(spark, sf_dir)).select("symbol", "bar_idx", "high", "low", "close", "atr"))
     each = table.where("bar_idx % 10 = 0").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(5))))
-    scores = each.select("symbol", "bar_idx", F.when(F.col("p") < 4, "LONG").otherwise("SHORT").alias("direction"), (F.pmod(F.xxhash64("bar_idx", "p"), F.lit(1000)) / 1000).alias("score"))
+    scores = each.select(
+        "symbol",
+        "bar_idx",
+        F.when(F.col("p") < 4, "LONG").otherwise("SHORT").alias("direction"),
+        (F.pmod(F.xxhash64("bar_idx", "p"), F.lit(1000)) / 1000).alias("score"),
+    )
     return bt.scored_matrix(table, scores, 0.6)

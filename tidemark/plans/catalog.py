@@ -143,7 +143,15 @@ def contiguous_sample(spark, sf_dir):
 def feed_messages(spark, sf_dir):
     b = bars(spark, sf_dir)
     num = lambda c: F.round(c, 6).cast("string").alias(c[0])
-    k = F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("t"), num("open"), num("high"), num("low"), num("close"), num("volume"), (F.col("bar_idx") % 2 == 0).alias("x"))
+    k = F.struct(
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("t"),
+        num("open"),
+        num("high"),
+        num("low"),
+        num("close"),
+        num("volume"),
+        (F.col("bar_idx") % 2 == 0).alias("x"),
+    )
     lines = b.select(F.to_json(F.struct(F.col("symbol").alias("s"), k.alias("k"))).alias("value"))
     return src.parse_stream(lines).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "open", "close", "volume", "is_closed")
 
@@ -193,10 +201,17 @@ def _direction_queries(direction: str) -> None:
     def _(spark, sf_dir):
         return sig.outcomes(ind.window_indicators(bars(spark, sf_dir)), direction).select(*KEYS, "outcome", F.col("hold").cast("int").alias("hold"))
 
-    @add("random_baseline", sql.with_windows("SELECT symbol, count(*) AS resolved, sum(outcome::INT)::BIGINT AS hits, avg(outcome::INT) AS baseline FROM o WHERE hold >= 0 GROUP BY symbol", _outcome_sql(direction, "w")))
+    @add(
+        "random_baseline",
+        sql.with_windows("SELECT symbol, count(*) AS resolved, sum(outcome::INT)::BIGINT AS hits, avg(outcome::INT) AS baseline FROM o WHERE hold >= 0 GROUP BY symbol", _outcome_sql(direction, "w")),
+    )
     def _(spark, sf_dir):
         o = sig.outcomes(ind.window_indicators(bars(spark, sf_dir)), direction).where("hold >= 0")
-        return o.groupBy("symbol").agg(F.count("*").alias("resolved"), F.sum(F.col("outcome").cast("long")).alias("hits"), F.avg(F.col("outcome").cast("int")).alias("baseline"))
+        return o.groupBy("symbol").agg(
+            F.count("*").alias("resolved"),
+            F.sum(F.col("outcome").cast("long")).alias("hits"),
+            F.avg(F.col("outcome").cast("int")).alias("baseline"),
+        )
 
     for size in (1, 2, 3):
         # Each combination counts the bars on which all its conditions hold.
@@ -252,7 +267,10 @@ def _history_part(direction: str = "long") -> tuple[str, ...]:
     listed = ", ".join(f"('{'+'.join(sorted(c))}', {sum(bits[n] for n in c)})" for c in sig.combos(direction, 2))
     masks = "m AS (SELECT bar_idx * 5 // (max(bar_idx) OVER (PARTITION BY symbol) + 1) AS round, " + " + ".join(f"({n}::BIGINT << {i})" for i, n in enumerate(names)) + " AS mask, outcome FROM o)"
     return (
-        _condition_part(direction), _outcome_sql(direction, "cond"), masks, "mc AS (SELECT round, mask, count(*) AS n, sum(outcome::INT) AS h FROM m GROUP BY ALL)", f"c(combo, bits) AS (VALUES {listed})",
+        _condition_part(direction), _outcome_sql(
+            direction,
+            "cond",
+        ), masks, "mc AS (SELECT round, mask, count(*) AS n, sum(outcome::INT) AS h FROM m GROUP BY ALL)", f"c(combo, bits) AS (VALUES {listed})",
         f"hist AS MATERIALIZED (SELECT combo, round, sum(n)::BIGINT AS triggers, sum(h)::BIGINT AS hits FROM c JOIN mc ON mc.mask & c.bits = c.bits GROUP BY ALL HAVING sum(n) >= {sig.MIN_TRIGGERS})",
         "cm AS (SELECT combo, count(*) AS rounds, avg(hits / triggers) AS avg_rate, stddev_pop(hits / triggers) AS rate_std, sum(triggers)::BIGINT AS triggers, sum(hits)::BIGINT AS hits, "
         "median(triggers) AS median_triggers, len(string_split(combo, '+')) AS n_conditions FROM hist GROUP BY combo)",
@@ -419,7 +437,12 @@ dj AS MATERIALIZED (SELECT *, CASE WHEN move >= 0.3 THEN 'wrong' ELSE 'correct'
 def decided(spark, sf_dir) -> DataFrame:
     """The table of decisions stands for a log: bars with bar_idx % 7 = 0, by the sign of ma5_slope."""
     table = ind.window_indicators(bars(spark, sf_dir))
-    log = table.where("bar_idx % 7 = 0 AND ma5_slope IS NOT NULL").selectExpr("symbol", "bar_idx", "array('SCORE', 'MACD', 'KDJ')[cast(bar_idx % 3 AS int)] AS gate", "IF(ma5_slope > 0, 'long', 'short') AS direction")
+    log = table.where("bar_idx % 7 = 0 AND ma5_slope IS NOT NULL").selectExpr(
+        "symbol",
+        "bar_idx",
+        "array('SCORE', 'MACD', 'KDJ')[cast(bar_idx % 3 AS int)] AS gate",
+        "IF(ma5_slope > 0, 'long', 'short') AS direction",
+    )
     return track.judged(track.decisions(table, log))
 
 
@@ -468,7 +491,12 @@ def recent_gate_accuracy(spark, sf_dir):
     )
 )
 def hit_rate_posteriors(spark, sf_dir):
-    o = sig.outcomes(ind.window_indicators(bars(spark, sf_dir)), "long").where("hold >= 0").selectExpr("symbol", f"{sig.MARKET_STATE} AS state", "outcome", "0.75D AS ratio")
+    o = sig.outcomes(ind.window_indicators(bars(spark, sf_dir)), "long").where("hold >= 0").selectExpr(
+        "symbol",
+        f"{sig.MARKET_STATE} AS state",
+        "outcome",
+        "0.75D AS ratio",
+    )
     return rounded(track.posteriors(o, "symbol", "state"), ["symbol", "state", "alpha", "beta"], ["mean", "kelly"])
 
 
@@ -495,7 +523,12 @@ def cosine_top_k(spark, sf_dir):
 @query(f"SELECT query_id, id, round(score, 5) AS score, rank FROM ({_nearest_sql('-list_distance(qe, ve)', 5)})")
 def euclidean_top_k(spark, sf_dir):
     e = embeddings(spark, sf_dir)
-    return sim.top_k(e, e.where("vec_id % 50 = 0"), 5, "euclidean").select("query_id", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return sim.top_k(e, e.where("vec_id % 50 = 0"), 5, "euclidean").select(
+        "query_id",
+        "id",
+        F.round("score", 5).alias("score"),
+        F.col("rank").cast("long").alias("rank"),
+    )
 
 
 @query(
@@ -526,7 +559,11 @@ def nearest_prototype(spark, sf_dir):
 @query("SELECT l_returnflag AS side, count(*) AS fills, round(sum(l_extendedprice) / sum(l_quantity), 6) AS vwap, round(sum(l_extendedprice * l_tax), 2) AS fees FROM lineitem GROUP BY l_returnflag")
 def fill_aggregation(spark, sf_dir):
     fills = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return fills.groupBy(F.col("l_returnflag").alias("side")).agg(F.count("*").alias("fills"), F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("vwap"), F.round(F.sum(F.col("l_extendedprice") * F.col("l_tax")), 2).alias("fees"))
+    return fills.groupBy(F.col("l_returnflag").alias("side")).agg(
+        F.count("*").alias("fills"),
+        F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("vwap"),
+        F.round(F.sum(F.col("l_extendedprice") * F.col("l_tax")), 2).alias("fees"),
+    )
 
 
 @query(
@@ -536,7 +573,12 @@ SELECT o_orderpriority AS reason, count(*) AS n, sum((o_totalprice > 150000)::IN
 def last_orders_by_reason(spark, sf_dir):
     last = spark.read.parquet(f"{sf_dir}/orders.parquet").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(500)
     p = F.col("o_totalprice")
-    return last.groupBy(F.col("o_orderpriority").alias("reason")).agg(F.count("*").alias("n"), F.sum((p > 150000).cast("long")).alias("wins"), F.round(F.sum(p), 2).alias("total"), F.round(F.avg(p), 4).alias("average"))
+    return last.groupBy(F.col("o_orderpriority").alias("reason")).agg(
+        F.count("*").alias("n"),
+        F.sum((p > 150000).cast("long")).alias("wins"),
+        F.round(F.sum(p), 2).alias("total"),
+        F.round(F.avg(p), 4).alias("average"),
+    )
 
 
 @query(
@@ -606,14 +648,20 @@ def trajectory_dtw(spark, sf_dir):
     t = only_own(held).where("size(y) = 20")
     first = t.groupBy("symbol").agg(F.min_by("y", "bar_idx").alias("x"), F.min("bar_idx").alias("first_idx"))
     scored = sim.dtw_pairs(t.join(F.broadcast(first), "symbol").where("bar_idx > first_idx"))
-    return scored.withColumn("rank", F.expr("row_number() OVER (PARTITION BY symbol ORDER BY dtw, bar_idx)")).where("rank <= 10").select("symbol", "bar_idx", "dtw", "rank")
+    return scored.withColumn(
+        "rank",
+        F.expr("row_number() OVER (PARTITION BY symbol ORDER BY dtw, bar_idx)"),
+    ).where("rank <= 10").select("symbol", "bar_idx", "dtw", "rank")
 
 
 @query("SELECT event_type AS symbol, date_trunc('hour', ts)::TIMESTAMP AS ts, count(*)::DOUBLE AS volume, max(value) AS high, min(value) AS low FROM events GROUP BY ALL")
 def streamed_bars(spark, sf_dir):
     """Ticks read as a stream to the end of what is there, bars kept up to date in a table."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    ticks = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir) if not _is_folder(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
+    ticks = spark.readStream.schema(schema).option(
+        "pathGlobFilter",
+        "events.parquet",
+    ).parquet(sf_dir) if not _is_folder(spark, f"{sf_dir}/events.parquet") else spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
     made = feed.bars_from_ticks(ticks.selectExpr("event_type AS symbol", "cast(ts AS timestamp) AS ts", "event_id", "value AS price"))
     path, done = scratch(spark), []
 

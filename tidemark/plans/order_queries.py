@@ -15,7 +15,17 @@ from tidemark.plans.registry import query, rounded, table
 from tidemark.sources import bars as src
 
 _REGIMES = ("STRONG_BULL", "WEAK_BULL", "RANGE_BULL", "RANGE_BEAR", "WEAK_BEAR", "STRONG_BEAR", "UNKNOWN")
-_TEXTS = ("Take profit hit at 1.2", "moved to break even", "gain LOCKED", "trailing stop", "staged exit 2", "partial close", "stop loss hit", "pattern derailed", "nothing known")
+_TEXTS = (
+    "Take profit hit at 1.2",
+    "moved to break even",
+    "gain LOCKED",
+    "trailing stop",
+    "staged exit 2",
+    "partial close",
+    "stop loss hit",
+    "pattern derailed",
+    "nothing known",
+)
 
 
 def closed(spark, sf_dir) -> DataFrame:
@@ -23,9 +33,18 @@ def closed(spark, sf_dir) -> DataFrame:
     at = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
     p = F.round((F.col("o_totalprice") - 150000) / 20000, 4)
     return o.select(
-        F.col("o_orderkey").alias("order_id"), F.concat(F.lit("account "), F.col("o_custkey") % 7).alias("symbol"), F.when(F.col("o_orderkey") % 2 == 0, "LONG").otherwise("SHORT").alias("side"),
-        p.alias("profit_pct"), F.round(F.col("o_totalprice") - 150000, 2).alias("pnl"), F.round(p + (F.col("o_custkey") % 5) / 2, 4).alias("peak_pct"), (F.col("o_orderkey") % 90).alias("hold"),
-        at(_REGIMES, F.col("o_custkey") % 7).alias("regime"), at(_REGIMES, F.col("o_orderkey") % 7).alias("now"), (F.col("o_orderkey") % 100 / 100).alias("similarity"), at(_TEXTS, F.col("o_custkey") % 9).alias("text"),
+        F.col("o_orderkey").alias("order_id"), F.concat(
+            F.lit("account "),
+            F.col("o_custkey") % 7,
+        ).alias("symbol"), F.when(F.col("o_orderkey") % 2 == 0, "LONG").otherwise("SHORT").alias("side"),
+        p.alias("profit_pct"), F.round(F.col("o_totalprice") - 150000, 2).alias("pnl"), F.round(
+            p + (F.col("o_custkey") % 5) / 2,
+            4,
+        ).alias("peak_pct"), (F.col("o_orderkey") % 90).alias("hold"),
+        at(_REGIMES, F.col("o_custkey") % 7).alias("regime"), at(
+            _REGIMES,
+            F.col("o_orderkey") % 7,
+        ).alias("now"), (F.col("o_orderkey") % 100 / 100).alias("similarity"), at(_TEXTS, F.col("o_custkey") % 9).alias("text"),
         (F.col("o_custkey") % 50).alias("strategy"), F.col("o_orderdate").alias("closed"), F.col("o_orderdate").alias("opened"), F.col("o_totalprice").alias("entry"),
     )
 
@@ -84,7 +103,16 @@ def exit_advice(spark, sf_dir):
 )
 def profit_by_reason(spark, sf_dir):
     r = od.by_reason(reasoned(spark, sf_dir))
-    return r.select("reason", "n", "wins", F.round("pnl", 2).alias("pnl"), F.round("profit_pct", 4).alias("profit_pct"), F.round("avg_hold", 6).alias("avg_hold"), F.round("avg_peak_loss", 6).alias("avg_peak_loss"), "turned")
+    return r.select(
+        "reason",
+        "n",
+        "wins",
+        F.round("pnl", 2).alias("pnl"),
+        F.round("profit_pct", 4).alias("profit_pct"),
+        F.round("avg_hold", 6).alias("avg_hold"),
+        F.round("avg_peak_loss", 6).alias("avg_peak_loss"),
+        "turned",
+    )
 
 
 @query(
@@ -96,7 +124,16 @@ FROM (SELECT s AS side, r AS regime FROM (SELECT unnest(['LONG', 'SHORT']) AS s)
 )
 def regime_table(spark, sf_dir):
     r = od.regime_table(closed(spark, sf_dir).where("strategy <> 3"))
-    return r.select("side", "regime", "n", "wins", "losses", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("avg_win", "avg_loss", "avg_all")], F.round("pnl", 2).alias("pnl"), F.round("win_rate", 6).alias("win_rate"))
+    return r.select(
+        "side",
+        "regime",
+        "n",
+        "wins",
+        "losses",
+        *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("avg_win", "avg_loss", "avg_all")],
+        F.round("pnl", 2).alias("pnl"),
+        F.round("win_rate", 6).alias("win_rate"),
+    )
 
 
 @query(
@@ -136,8 +173,17 @@ FROM e JOIN bars b ON b.symbol = e.symbol AND b.ts BETWEEN e.at_ts - INTERVAL 30
     )
 )
 def nearest_bars(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id % 5 = 0").select("event_id", F.col("event_type").alias("symbol"), F.expr("ts + interval 17 minutes").alias("at"))
-    return od.nearest_bars(e, src.bars_from_ticks(spark, sf_dir), "event_id").select("event_id", "symbol", "bar_idx", F.round(F.col("seconds") / 10).alias("seconds"))
+    e = table(spark, sf_dir, "events").where("user_id % 5 = 0").select(
+        "event_id",
+        F.col("event_type").alias("symbol"),
+        F.expr("ts + interval 17 minutes").alias("at"),
+    )
+    return od.nearest_bars(e, src.bars_from_ticks(spark, sf_dir), "event_id").select(
+        "event_id",
+        "symbol",
+        "bar_idx",
+        F.round(F.col("seconds") / 10).alias("seconds"),
+    )
 
 
 _GATED = "g AS (SELECT *, lag(macd_hist) OVER w AS hb, lag(j) OVER w AS jb, CASE WHEN bar_idx % 2 = 0 THEN 'LONG' ELSE 'SHORT' END AS side, list_value('STRONG_BULL', 'RANGE_BEAR', 'UNKNOWN')[1 + bar_idx % 3] AS regime FROM i WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx))"
@@ -156,7 +202,12 @@ def exit_gates(spark, sf_dir):
     before = lambda c: f"lag({c}) OVER (PARTITION BY symbol, chunk ORDER BY bar_idx)"
     t = only_own(with_halo(ind.indicators(src.bars_from_ticks(spark, sf_dir)), 2).selectExpr("symbol", "bar_idx", "macd_hist", "j", "own", "chunk", f"{before('macd_hist')} AS hb", f"{before('j')} AS jb"))
     t = t.selectExpr("*", "IF(bar_idx % 2 = 0, 'LONG', 'SHORT') AS side", "array('STRONG_BULL', 'RANGE_BEAR', 'UNKNOWN')[cast(bar_idx % 3 as int)] AS regime")
-    return t.select("symbol", "bar_idx", od.exit_confirmed("macd_hist", "hb", "j", "jb", "side").alias("confirmed"), od.reversal_votes("regime", "macd_hist", "hb", "j", "jb", "side").cast("int").alias("votes"))
+    return t.select(
+        "symbol",
+        "bar_idx",
+        od.exit_confirmed("macd_hist", "hb", "j", "jb", "side").alias("confirmed"),
+        od.reversal_votes("regime", "macd_hist", "hb", "j", "jb", "side").cast("int").alias("votes"),
+    )
 
 
 @query(
@@ -168,7 +219,12 @@ def exit_gates(spark, sf_dir):
 )
 def entry_gates(spark, sf_dir):
     o = closed(spark, sf_dir).withColumns({"state": F.when(F.col("regime").endswith("BULL"), "BULL").when(F.col("regime").endswith("BEAR"), "BEAR").otherwise("RANGE"), "way": F.lower("side"), "lo": F.lit(-1.0), "hi": F.lit(1.0), "mid": F.lit(0.0), "range": F.col("hold").cast("double")})
-    found = o.select("order_id", od.counter_trend_allowed("state", "way", "similarity", "hold").alias("allowed"), od.fan_place("profit_pct", "lo", "hi", "mid", "range").alias("place"), *od.fixed_exits("entry", "side"))
+    found = o.select(
+        "order_id",
+        od.counter_trend_allowed("state", "way", "similarity", "hold").alias("allowed"),
+        od.fan_place("profit_pct", "lo", "hi", "mid", "range").alias("place"),
+        *od.fixed_exits("entry", "side"),
+    )
     return found.withColumns({c: F.round(c, 4) for c in ("take_profit", "stop_loss")})
 
 
@@ -181,8 +237,14 @@ _JUDGED = """jd AS MATERIALIZED (SELECT l_orderkey, l_linenumber, l_returnflag |
 def judged(spark, sf_dir) -> DataFrame:
     q = F.col("l_quantity")
     return table(spark, sf_dir, "lineitem").select(
-        F.concat("l_returnflag", F.col("l_suppkey") % 4).alias("reason"), F.col("l_returnflag").alias("kind"), (q / 50 - 0.02).alias("similarity"), F.lit(0.6).alias("threshold"), ((q - 25) / 10).alias("move"), (F.col("l_discount") * 10).alias("favourable"), (F.col("l_tax") * 10).alias("adverse"),
-        F.when(F.col("l_discount") > 0.05, "premature").when(F.col("l_tax") > 0.06, "late").otherwise("correct").alias("verdict"), F.when(q < 15, "too_tight").when(q > 35, "neutral").otherwise("correct").alias("stop_verdict"),
+        F.concat(
+            "l_returnflag",
+            F.col("l_suppkey") % 4,
+        ).alias("reason"), F.col("l_returnflag").alias("kind"), (q / 50 - 0.02).alias("similarity"), F.lit(0.6).alias("threshold"), ((q - 25) / 10).alias("move"), (F.col("l_discount") * 10).alias("favourable"), (F.col("l_tax") * 10).alias("adverse"),
+        F.when(
+            F.col("l_discount") > 0.05,
+            "premature",
+        ).when(F.col("l_tax") > 0.06, "late").otherwise("correct").alias("verdict"), F.when(q < 15, "too_tight").when(q > 35, "neutral").otherwise("correct").alias("stop_verdict"),
     )
 
 
@@ -192,7 +254,13 @@ def judged(spark, sf_dir) -> DataFrame:
 )
 def near_miss_bands(spark, sf_dir):
     j = judged(spark, sf_dir).withColumns({"band": learn.near_miss_band("similarity", "threshold"), "profitable": F.col("move") > 0.3})
-    return learn.near_miss_scores(j).select("band", "n", F.round("profitable_rate", 6).alias("profitable_rate"), F.round("gain", 4).alias("gain"), F.round("loss", 4).alias("loss"))
+    return learn.near_miss_scores(j).select(
+        "band",
+        "n",
+        F.round("profitable_rate", 6).alias("profitable_rate"),
+        F.round("gain", 4).alias("gain"),
+        F.round("loss", 4).alias("loss"),
+    )
 
 
 @query(
@@ -226,7 +294,14 @@ def threshold_steps(spark, sf_dir):
 
 def _gates(spark, sf_dir) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
-    g = s.select(F.col("s_suppkey").alias("gate"), (F.col("s_nationkey") % 10 / 10).alias("rate"), (-40.0 + F.col("s_suppkey") % 7 * 5).alias("value"), F.lit(5.0).alias("step"), F.lit(-40.0).alias("low"), F.lit(-10.0).alias("high"))
+    g = s.select(
+        F.col("s_suppkey").alias("gate"),
+        (F.col("s_nationkey") % 10 / 10).alias("rate"),
+        (-40.0 + F.col("s_suppkey") % 7 * 5).alias("value"),
+        F.lit(5.0).alias("step"),
+        F.lit(-40.0).alias("low"),
+        F.lit(-10.0).alias("high"),
+    )
     return g.withColumn("suggestion", learn.suggestion("rate"))
 
 
@@ -244,8 +319,17 @@ SELECT key, coalesce(n, 0) AS n, greatest(1, coalesce(wins * least(1, 10 / great
     )
 )
 def weighted_posteriors(spark, sf_dir):
-    trades = closed(spark, sf_dir).select(F.col("strategy").alias("key"), (F.col("pnl") > 0).alias("won"), (F.col("order_id") % 11 == 0).alias("flipped"), F.col("hold").alias("hours"))
-    prior = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_nationkey").alias("wins"), F.col("n_regionkey").alias("losses"))
+    trades = closed(spark, sf_dir).select(
+        F.col("strategy").alias("key"),
+        (F.col("pnl") > 0).alias("won"),
+        (F.col("order_id") % 11 == 0).alias("flipped"),
+        F.col("hold").alias("hours"),
+    )
+    prior = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("long").alias("key"),
+        F.col("n_nationkey").alias("wins"),
+        F.col("n_regionkey").alias("losses"),
+    )
     return rounded(learn.posteriors(trades, prior), ["key", "n"], ["alpha", "beta", "mean", "kelly"])
 
 
@@ -256,7 +340,12 @@ def weighted_posteriors(spark, sf_dir):
     )
 )
 def exit_responses(spark, sf_dir):
-    t = closed(spark, sf_dir).select(F.col("strategy").alias("signal"), F.col("order_id").alias("t"), (F.col("pnl") > 0).alias("good"), F.col("peak_pct").alias("peak"))
+    t = closed(spark, sf_dir).select(
+        F.col("strategy").alias("signal"),
+        F.col("order_id").alias("t"),
+        (F.col("pnl") > 0).alias("good"),
+        F.col("peak_pct").alias("peak"),
+    )
     return learn.exit_learner(t).withColumns({"estimate": F.round("estimate", 6), "peak": F.round("peak", 6)})
 
 
@@ -279,7 +368,11 @@ SELECT strategy AS key, count(*) AS folds, avg(s) AS mean_sharpe, stddev_pop(s)
     )
 )
 def walk_forward_summaries(spark, sf_dir):
-    o = closed(spark, sf_dir).groupBy(F.col("strategy").alias("key"), (F.col("order_id") % 6).alias("fold")).agg(F.count("*").alias("n"), (F.avg("profit_pct") / F.stddev_pop("profit_pct")).alias("sharpe"), F.sum("pnl").alias("profit"))
+    o = closed(spark, sf_dir).groupBy(F.col("strategy").alias("key"), (F.col("order_id") % 6).alias("fold")).agg(
+        F.count("*").alias("n"),
+        (F.avg("profit_pct") / F.stddev_pop("profit_pct")).alias("sharpe"),
+        F.sum("pnl").alias("profit"),
+    )
     s = learn.walk_forward_summary(o.where("n > 1"))
     passed = learn.holdout_passed("mean_sharpe", "folds", "consistency", "std_sharpe", (0.02, 5, 0.4, 0.2))
     return rounded(s.withColumn("passed", passed), ["key", "folds", "profitable", "passed"], ["mean_sharpe", "std_sharpe", "consistency"])
@@ -287,7 +380,11 @@ def walk_forward_summaries(spark, sf_dir):
 
 @query("WITH w AS (SELECT s_nationkey AS key, s_suppkey AS grp, s_suppkey % 9 / 4 AS weight FROM supplier) SELECT key, grp, round(CASE WHEN t > 1e-12 THEN abs(weight - 1) / t ELSE 0 END, 6) AS importance FROM (SELECT *, sum(abs(weight - 1)) OVER (PARTITION BY key) AS t FROM w)")
 def group_importances(spark, sf_dir):
-    w = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("grp"), (F.col("s_suppkey") % 9 / 4).alias("weight"))
+    w = table(spark, sf_dir, "supplier").select(
+        F.col("s_nationkey").alias("key"),
+        F.col("s_suppkey").alias("grp"),
+        (F.col("s_suppkey") % 9 / 4).alias("weight"),
+    )
     return learn.group_importance(w).select("key", "grp", F.round("importance", 6).alias("importance"))
 
 
@@ -297,5 +394,9 @@ def group_importances(spark, sf_dir):
     )
 )
 def verified_prototypes(spark, sf_dir):
-    r = closed(spark, sf_dir).where("strategy < 20").groupBy(F.col("strategy").alias("key")).agg(F.count("*").alias("matches"), F.avg((F.col("pnl") > 0).cast("int")).alias("win_rate"), F.avg("pnl").alias("avg_profit"))
+    r = closed(spark, sf_dir).where("strategy < 20").groupBy(F.col("strategy").alias("key")).agg(
+        F.count("*").alias("matches"),
+        F.avg((F.col("pnl") > 0).cast("int")).alias("win_rate"),
+        F.avg("pnl").alias("avg_profit"),
+    )
     return learn.verified(table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key")), r).select("key", "grade")

@@ -198,8 +198,18 @@ _FREQUENT = "state_rate DESC, state_triggers DESC, combo"
 _PREMIUM = (
     *_POOL,
     _apart("pm", "(SELECT * FROM mg WHERE composite >= 80)", 6, 0.3).format("composite DESC, state_rate DESC, combo"),
-    _apart("tn", "(SELECT mg.* FROM mg ANTI JOIN pm USING (state, direction, combo) WHERE nc BETWEEN 2 AND 3 AND state <> 'RANGE' AND triggers >= 10 AND composite >= 70)", 6, 0.5).format(_FREQUENT),
-    _apart("sw", "(SELECT * FROM mg WHERE nc BETWEEN 2 AND 3 AND state = 'RANGE' AND state_triggers >= 5 AND state_rate >= CASE direction WHEN 'long' THEN 0.64 ELSE 0.52 END)", 10, 0.5).format(_FREQUENT),
+    _apart(
+        "tn",
+        "(SELECT mg.* FROM mg ANTI JOIN pm USING (state, direction, combo) WHERE nc BETWEEN 2 AND 3 AND state <> 'RANGE' AND triggers >= 10 AND composite >= 70)",
+        6,
+        0.5,
+    ).format(_FREQUENT),
+    _apart(
+        "sw",
+        "(SELECT * FROM mg WHERE nc BETWEEN 2 AND 3 AND state = 'RANGE' AND state_triggers >= 5 AND state_rate >= CASE direction WHEN 'long' THEN 0.64 ELSE 0.52 END)",
+        10,
+        0.5,
+    ).format(_FREQUENT),
     "pp AS MATERIALIZED (SELECT *, 'PREMIUM' AS tier FROM pm UNION ALL SELECT *, 'FREQUENT' FROM tn UNION ALL SELECT *, 'FREQUENT' FROM sw)",
 )
 
@@ -263,7 +273,13 @@ FROM fb LEFT JOIN (SELECT direction, combo, max(overall_rate) AS known FROM kp G
 )
 def combo_feedback(spark, sf_dir):
     t = triggers(spark, sf_dir)
-    trades = t.select("direction", F.array(pools.key_of(), F.col("conditions")[0]).alias("keys"), "hit", (F.col("hold") > 8).alias("stopped"), F.col("hold").alias("profit"))
+    trades = t.select(
+        "direction",
+        F.array(pools.key_of(), F.col("conditions")[0]).alias("keys"),
+        "hit",
+        (F.col("hold") > 8).alias("stopped"),
+        F.col("hold").alias("profit"),
+    )
     found = pools.feedback(trades, pools.kept(pools.cumulative(t)))
     return found.withColumns({c: F.round(c, 6) for c in ("hit_rate", "stop_rate", "overall_rate")})
 

@@ -40,7 +40,13 @@ _RANGES = """lr AS MATERIALIZED (SELECT regime, direction, feature, low, high FR
 
 def _samples(spark, sf_dir):
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(c).cast("double").alias("x")) for n, c in (("peak", "peak_pct"), ("hold", "hold"), ("similarity", "similarity"))])).alias("e")
-    return oq.closed(spark, sf_dir).select(F.col("order_id").alias("key"), "regime", F.col("side").alias("direction"), (F.col("pnl") > 0).alias("won"), each).select("key", "regime", "direction", "won", "e.*")
+    return oq.closed(spark, sf_dir).select(
+        F.col("order_id").alias("key"),
+        "regime",
+        F.col("side").alias("direction"),
+        (F.col("pnl") > 0).alias("won"),
+        each,
+    ).select("key", "regime", "direction", "won", "e.*")
 
 
 @query(oq._sql("SELECT regime, direction, feature, round(low, 6) AS low, round(high, 6) AS high FROM lr", _SAMPLES, _RANGES))
@@ -64,7 +70,14 @@ JOIN (SELECT l.regime, sqrt((l.a - s.a) ** 2 + (l.b - s.b) ** 2 + (l.c - s.c) **
     )
 )
 def weight_fitness(spark, sf_dir):
-    p = oq.closed(spark, sf_dir).select("regime", "side", F.col("peak_pct").alias("a"), (F.col("hold") / 10).alias("b"), (F.col("similarity") * 5).alias("c"), F.col("pnl").alias("profit"))
+    p = oq.closed(spark, sf_dir).select(
+        "regime",
+        "side",
+        F.col("peak_pct").alias("a"),
+        (F.col("hold") / 10).alias("b"),
+        (F.col("similarity") * 5).alias("c"),
+        F.col("pnl").alias("profit"),
+    )
     return rounded(rep.weight_fitness(p), ["regime", "n"], ["compactness", "separation", "nearness", "fitness"], 5)
 
 
@@ -100,8 +113,17 @@ def risk_limits(spark, sf_dir):
     )
 )
 def top_performers(spark, sf_dir):
-    trades = oq.closed(spark, sf_dir).select(F.col("strategy").alias("key"), (F.col("pnl") > 0).alias("won"), F.lit(False).alias("flipped"), F.lit(0).alias("hours"))
-    none = table(spark, sf_dir, "nation").where("false").select(F.col("n_nationkey").cast("long").alias("key"), F.lit(0).alias("wins"), F.lit(0).alias("losses"))
+    trades = oq.closed(spark, sf_dir).select(
+        F.col("strategy").alias("key"),
+        (F.col("pnl") > 0).alias("won"),
+        F.lit(False).alias("flipped"),
+        F.lit(0).alias("hours"),
+    )
+    none = table(spark, sf_dir, "nation").where("false").select(
+        F.col("n_nationkey").cast("long").alias("key"),
+        F.lit(0).alias("wins"),
+        F.lit(0).alias("losses"),
+    )
     return learn.top_performers(learn.posteriors(trades, none)).select("key", "n", F.round("mean", 6).alias("mean"))
 
 
@@ -143,5 +165,11 @@ def trend_gates(spark, sf_dir):
 def entry_cascade(spark, sf_dir):
     from tidemark.operators import studies
 
-    gates = {"REGIME": F.col("regime") != "UNKNOWN", "MATCH": F.col("similarity") >= 0.4, "COOL_DOWN": F.col("hold") >= 3, "MACD": F.col("gate").isin("ok", "bypass", "rescued"), "SCORE": F.col("score") >= 30}
+    gates = {
+        "REGIME": F.col("regime") != "UNKNOWN",
+        "MATCH": F.col("similarity") >= 0.4,
+        "COOL_DOWN": F.col("hold") >= 3,
+        "MACD": F.col("gate").isin("ok", "bypass", "rescued"),
+        "SCORE": F.col("score") >= 30,
+    }
     return _gated(spark, sf_dir).select("order_id", studies.first_failing(gates).alias("failed"))

@@ -21,7 +21,10 @@ def bar_files(spark, sf_dir):
     """Bars written by symbol, under other spellings of their columns, found behind a missing path, and
     numbered anew."""
     b, path = src.bars_from_ticks(spark, sf_dir), scratch(spark)
-    src.write(b.select("symbol", F.col("ts").alias("Open_Time"), F.col("open").cast("string").alias("O"), F.col("high").alias("High"), F.col("low").alias("L"), F.col("close").alias("CLOSE"), F.col("volume").alias("vol")), path)
+    src.write(
+        b.select("symbol", F.col("ts").alias("Open_Time"), F.col("open").cast("string").alias("O"), F.col("high").alias("High"), F.col("low").alias("L"), F.col("close").alias("CLOSE"), F.col("volume").alias("vol")),
+        path,
+    )
     return rounded(src.scan(spark, f"{path}-missing", path), ["symbol", "bar_idx", "ts"], _OHLCV)
 
 
@@ -38,7 +41,11 @@ def library_versions(spark, sf_dir):
     """A library saved by an old and a new version of its columns; the newest is read by today's."""
     s, path = table(spark, sf_dir, "supplier"), scratch(spark)
     tables.save(s.select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("label")), path, 1)
-    tables.save(s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("members"), F.lit(0.5).alias("confidence")), path, 2)
+    tables.save(
+        s.where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("members"), F.lit(0.5).alias("confidence")),
+        path,
+        2,
+    )
     return tables.load(spark, path, "key bigint, members bigint, confidence double")
 
 

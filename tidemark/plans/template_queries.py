@@ -22,13 +22,21 @@ PRE = 20
 def vectors(spark, sf_dir) -> DataFrame:
     """Change, range, volume and place of the close of each bar."""
     b = src.bars_from_ticks(spark, sf_dir)
-    v = F.array((F.col("close") / F.col("open") - 1) * 100, (F.col("high") - F.col("low")) / F.col("close") * 100, F.log(F.col("volume") + 1), (F.col("close") - F.col("low")) / (F.col("high") - F.col("low") + 1e-9))
+    v = F.array(
+        (F.col("close") / F.col("open") - 1) * 100,
+        (F.col("high") - F.col("low")) / F.col("close") * 100,
+        F.log(F.col("volume") + 1),
+        (F.col("close") - F.col("low")) / (F.col("high") - F.col("low") + 1e-9),
+    )
     return b.select("symbol", "bar_idx", v.alias("v"))
 
 
 def templates(spark, sf_dir) -> DataFrame:
     points = swing.alternating(swing.swing_points(src.bars_from_ticks(spark, sf_dir)))
-    trades = swing.label_trades(points).withColumn("regime", F.when(F.col("entry_idx") % 3 == 0, F.lit(None)).when(F.col("entry_idx") % 3 == 1, "UNKNOWN").otherwise("STRONG_BULL"))
+    trades = swing.label_trades(points).withColumn(
+        "regime",
+        F.when(F.col("entry_idx") % 3 == 0, F.lit(None)).when(F.col("entry_idx") % 3 == 1, "UNKNOWN").otherwise("STRONG_BULL"),
+    )
     return tpl.extract(trades, vectors(spark, sf_dir), PRE)
 
 
@@ -54,7 +62,15 @@ KEYS = ["symbol", "entry_idx", "exit_idx"]
 @query(_sql("SELECT symbol, entry_idx, exit_idx, direction, regime, round(profit_pct, 6) AS profit_pct, sum(pre::INT)::INT AS n_pre, sum((NOT pre)::INT)::INT AS n_held, sum(post::INT)::INT AS n_post FROM tl GROUP BY ALL"))
 def trade_templates(spark, sf_dir):
     t = templates(spark, sf_dir)
-    return t.select(*KEYS, "direction", "regime", F.round("profit_pct", 6).alias("profit_pct"), F.size("pre").alias("n_pre"), F.size("held").alias("n_held"), F.size("post").alias("n_post"))
+    return t.select(
+        *KEYS,
+        "direction",
+        "regime",
+        F.round("profit_pct", 6).alias("profit_pct"),
+        F.size("pre").alias("n_pre"),
+        F.size("held").alias("n_held"),
+        F.size("post").alias("n_post"),
+    )
 
 
 _STATS = ["mean", "std", "min", "max", "first", "last", "range", "trend", "early", "middle", "late"]
@@ -89,7 +105,17 @@ def template_summaries(spark, sf_dir):
 def members(spark, sf_dir) -> DataFrame:
     """Templates dealt to four clusters of each direction by their entry, whatever their regime."""
     s = tpl.with_fingerprint(tpl.summaries(templates(spark, sf_dir))).withColumn("held_bars", F.size("held"))
-    return s.select("direction", F.lit("ANY").alias("regime"), F.col("regime").alias("member_regime"), (F.col("entry_idx") % 4).alias("cluster"), "summary", "profit_pct", "held_bars", "fingerprint", *KEYS)
+    return s.select(
+        "direction",
+        F.lit("ANY").alias("regime"),
+        F.col("regime").alias("member_regime"),
+        (F.col("entry_idx") % 4).alias("cluster"),
+        "summary",
+        "profit_pct",
+        "held_bars",
+        "fingerprint",
+        *KEYS,
+    )
 
 
 _PROTOS = (
@@ -193,7 +219,13 @@ sc AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 def _vectors_as(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"), "label")
     regime = F.when(F.col("label") % 3 == 0, "STRONG_BULL").when(F.col("label") % 3 == 1, "WEAK_BEAR").otherwise("UNKNOWN")
-    protos = e.where("vec_id % 50 = 7").select(F.col("vec_id").alias("proto_id"), F.when(F.col("label") % 2 == 0, "LONG").otherwise("SHORT").alias("direction"), regime.alias("regime"), F.col("e").alias("v"), (0.5 + F.col("label") / 20).alias("confidence"))
+    protos = e.where("vec_id % 50 = 7").select(
+        F.col("vec_id").alias("proto_id"),
+        F.when(F.col("label") % 2 == 0, "LONG").otherwise("SHORT").alias("direction"),
+        regime.alias("regime"),
+        F.col("e").alias("v"),
+        (0.5 + F.col("label") / 20).alias("confidence"),
+    )
     state = F.when(F.col("label") % 4 == 0, "STRONG_BULL").when(F.col("label") % 4 == 1, "WEAK_BEAR").when(F.col("label") % 4 == 2, "UNKNOWN")
     return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), state.alias("regime"), F.col("e").alias("q")), protos
 
@@ -204,7 +236,17 @@ FROM sc JOIN (SELECT query_id, sum((direction = 'LONG' AND score >= 0.5)::INT)::
 )
 def prototype_matches(spark, sf_dir):
     m = tpl.matches(*_vectors_as(spark, sf_dir))
-    return m.select("query_id", "proto_id", "direction", F.round("score", 6).alias("score"), "vote_long", "vote_short", F.round("vote_ratio", 6).alias("vote_ratio"), "matched", F.array_join(F.transform("top", lambda x: x.cast("string")), ",").alias("top"))
+    return m.select(
+        "query_id",
+        "proto_id",
+        "direction",
+        F.round("score", 6).alias("score"),
+        "vote_long",
+        "vote_short",
+        F.round("vote_ratio", 6).alias("vote_ratio"),
+        "matched",
+        F.array_join(F.transform("top", lambda x: x.cast("string")), ",").alias("top"),
+    )
 
 
 @query(
@@ -215,7 +257,11 @@ def held_rematches(spark, sf_dir):
     """Positions on the worst prototype that their regime admits: do they move to the best?"""
     q, p = _vectors_as(spark, sf_dir)
     m = tpl.matches(q, p, details=1 << 20).withColumn("own_id", F.element_at("top", -1))
-    own = tpl.similarities(m.join(q.select("query_id", "q"), "query_id").join(F.broadcast(p.select(F.col("proto_id").alias("own_id"), "v", "confidence")), "own_id"), "q", "v")
+    own = tpl.similarities(
+        m.join(q.select("query_id", "q"), "query_id").join(F.broadcast(p.select(F.col("proto_id").alias("own_id"), "v", "confidence")), "own_id"),
+        "q",
+        "v",
+    )
     held = tpl.rematches(own.select("query_id", "own_id", (F.col("fused") * F.col("confidence")).alias("own_score"), F.col("proto_id").alias("best_id"), "score"))
     return held.select("query_id", "kept_id", "switched", tpl.health("own_score").alias("status"))
 
@@ -230,7 +276,15 @@ SELECT d::INT AS direction, unnest(k) AS vec_id FROM (SELECT d, arg_max(kept, po
 )
 def apart_prototypes(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").where("vec_id % 10 = 1")
-    p = e.select("vec_id", (F.col("label") % 2).cast("int").alias("direction"), F.lit("ANY").alias("regime"), "embedding", (0.5 + F.col("label") / 20).alias("confidence"), (F.col("vec_id") % 9).alias("members"), F.lit(1.0).alias("avg_profit"))
+    p = e.select(
+        "vec_id",
+        (F.col("label") % 2).cast("int").alias("direction"),
+        F.lit("ANY").alias("regime"),
+        "embedding",
+        (0.5 + F.col("label") / 20).alias("confidence"),
+        (F.col("vec_id") % 9).alias("members"),
+        F.lit(1.0).alias("avg_profit"),
+    )
     return tpl.apart_prototypes(p, "vec_id", "embedding", 0.2).select("direction", "vec_id")
 
 
@@ -241,7 +295,10 @@ def cosine_then_warping(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     near = sim.top_k(e, e.where("vec_id % 50 = 0"), 10)
     steps = e.select("vec_id", F.expr("transform(sequence(0, 7), i -> transform(slice(embedding, 8 * i + 1, 8), x -> cast(x as double)))").alias("s"))
-    pairs = near.join(steps.select(F.col("vec_id").alias("query_id"), F.col("s").alias("x")), "query_id").join(steps.select(F.col("vec_id").alias("id"), F.col("s").alias("y")), "id")
+    pairs = near.join(
+        steps.select(F.col("vec_id").alias("query_id"), F.col("s").alias("x")),
+        "query_id",
+    ).join(steps.select(F.col("vec_id").alias("id"), F.col("s").alias("y")), "id")
     ranked = sim.dtw_pairs(pairs.select("query_id", "id", "x", "y")).withColumn("place", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY dtw, id)"))
     return ranked.where("place <= 3").select("query_id", "id", "dtw", "place")
 

@@ -35,7 +35,12 @@ def bars_from_ticks(spark: SparkSession, sf_dir: str, grain: str = "hour") -> Da
     before = Window.partitionBy("symbol").orderBy("bts").rowsBetween(Window.unboundedPreceding, -1)
     order = Window.partitionBy("symbol").orderBy("bts")
     starts = ticks.groupBy("symbol", "bts").agg(F.sum("r").alias("t"))
-    starts = starts.select("symbol", "bts", F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("base"), (F.row_number().over(order) - 1).cast("long").alias("bar_idx"))
+    starts = starts.select(
+        "symbol",
+        "bts",
+        F.coalesce(F.sum("t").over(before), F.lit(0.0)).alias("base"),
+        (F.row_number().over(order) - 1).cast("long").alias("bar_idx"),
+    )
     inside = Window.partitionBy("symbol", "bts").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     priced = ticks.withColumn("s", F.sum("r").over(inside)).join(starts, ["symbol", "bts"]).withColumn("p", 100.0 * F.exp(F.col("base") + F.col("s")))
     at = F.struct("ts", "event_id")
@@ -121,7 +126,10 @@ def numbered(bars: DataFrame, piece: str = "MONTH") -> DataFrame:
     before = F.sum("__n").over(Window.partitionBy("symbol").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("symbol", "__p", F.coalesce(before, F.lit(0)).alias("__s"))
     place = F.row_number().over(Window.partitionBy("symbol", "__p").orderBy("ts"))
-    return cut.withColumn("__r", place).join(starts, ["symbol", "__p"]).withColumn("bar_idx", (F.col("__s") + F.col("__r") - 1).cast("long")).drop("__p", "__r", "__s")
+    return cut.withColumn("__r", place).join(starts, ["symbol", "__p"]).withColumn(
+        "bar_idx",
+        (F.col("__s") + F.col("__r") - 1).cast("long"),
+    ).drop("__p", "__r", "__s")
 
 
 def write(bars: DataFrame, path: str) -> None:

@@ -22,7 +22,13 @@ def bars_from_ticks(ticks: DataFrame, width: str = "1 hour", delay: str = "2 hou
     return (
         ticks.withWatermark("ts", delay)
         .groupBy("symbol", F.window("ts", width).alias("w"))
-        .agg(F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.count("*").cast("double").alias("volume"))
+        .agg(
+            F.min_by("price", at).alias("open"),
+            F.max("price").alias("high"),
+            F.min("price").alias("low"),
+            F.max_by("price", at).alias("close"),
+            F.count("*").cast("double").alias("volume"),
+        )
         .select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
     )
 
