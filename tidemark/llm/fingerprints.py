@@ -145,7 +145,14 @@ def edited_pairs(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         F.max(F.when(F.col("kind") == 1, F.col("v"))).alias("edited"),
     )
     order = Window.partitionBy("b").orderBy("rn")
-    return both.withColumn("next", F.lead("own").over(order)).where("halo = 0").select("doc_id", "n_chars", F.col("sha").alias("edited_sha256"), "own", "edited", "next")
+    return both.withColumn("next", F.lead("own").over(order)).where("halo = 0").select(
+        "doc_id",
+        "n_chars",
+        F.col("sha").alias("edited_sha256"),
+        "own",
+        "edited",
+        "next",
+    )
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:

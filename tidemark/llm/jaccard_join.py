@@ -127,7 +127,15 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percen
                 offsets.append(offsets[-1] + (len(values[-1]) if len(s) else 0))
             flat = pa.array(np.concatenate(values) if values else np.zeros(0, np.int64), pa.int64())
             window = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
-            columns = [batch.column("doc_id"), batch.column("k"), batch.column("t"), pa.array(n, pa.int32()), pa.array(fps, pa.binary()), pa.array(counts, pa.binary()), window]
+            columns = [
+                batch.column("doc_id"),
+                batch.column("k"),
+                batch.column("t"),
+                pa.array(n, pa.int32()),
+                pa.array(fps, pa.binary()),
+                pa.array(counts, pa.binary()),
+                window,
+            ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "t", "n", "fp", "counts", "window"])
 
     keyed = texts(docs).select("doc_id", id_key().alias("k"), text_key().alias("t"), "text")
@@ -316,7 +324,10 @@ class _Groups:
         else:
             inner = F.coalesce(F.col("label") == F.col("main"), F.lit(False))
             weight = lambda x: F.greatest(F.ceil(F.sum(x) / self.leaf), F.ceil(F.sum(x * F.col("n")) / SET_SHINGLES), F.lit(1))
-            sizes = groups.withColumn("out", (~inner).cast("int")).groupBy("cell").agg(weight(F.col("out")).cast("int").alias("outs"), weight(F.lit(1)).cast("int").alias("alls"))
+            sizes = groups.withColumn("out", (~inner).cast("int")).groupBy("cell").agg(
+                weight(F.col("out")).cast("int").alias("outs"),
+                weight(F.lit(1)).cast("int").alias("alls"),
+            )
             cut = groups.join(sizes, "cell").withColumn("h", F.xxhash64("u"))
             sides = F.array(
                 F.struct(F.lit(OUTSIDE).alias("role"), F.pmod("h", "outs").cast("int").alias("own"), F.col("alls").alias("times")),
@@ -324,7 +335,10 @@ class _Groups:
             )
             sides = F.filter(sides, lambda x: (x["role"] == INSIDE) | ~inner)
             each = cut.withColumn("side", F.explode(sides)).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("side.times") - 1)))
-            first, second = F.when(F.col("side.role") == OUTSIDE, F.col("side.own")).otherwise(F.col("with")), F.when(F.col("side.role") == OUTSIDE, F.col("with")).otherwise(F.col("side.own"))
+            first, second = F.when(
+                F.col("side.role") == OUTSIDE,
+                F.col("side.own"),
+            ).otherwise(F.col("with")), F.when(F.col("side.role") == OUTSIDE, F.col("with")).otherwise(F.col("side.own"))
             dealt = each.select("cell", "u", "n", "label", F.xxhash64("cell", first, second).alias("g"), F.col("side.role").alias("role"))
         kept = "g long, u long, n int, label long, role int, cells array<bigint>, counts binary"
         cells = F.col("cells") if "cells" in groups.columns else F.array().cast("array<bigint>").alias("cells")

@@ -41,7 +41,14 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.dedup_bytes(read(spark, sf_dir, "documents"))
-    return found.select(F.when(F.col("k") != NULL_ID, F.col("k")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", (F.col("n_removed") > 0).alias("lost_bytes"))
+    return found.select(
+        F.when(F.col("k") != NULL_ID, F.col("k")).alias("doc_id"),
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        "kept_sha256",
+        (F.col("n_removed") > 0).alias("lost_bytes"),
+    )
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,7 +146,11 @@ def repeated_ranges(docs: DataFrame, length: int = MIN_BYTES, step: int = STEP,
             for t1, t2, text in zip(*[batch.column(c).to_pylist() for c in ("t1", "t2", "text")], strict=True):
                 kh, a, first, last = text_runs(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), length)
                 if len(kh):
-                    for c, x in zip(cols, (np.full(len(kh), t1, np.int64), np.full(len(kh), t2, np.int64), kh.view(np.int64), a, a - last, a - first), strict=True):
+                    for c, x in zip(
+                        cols,
+                        (np.full(len(kh), t1, np.int64), np.full(len(kh), t2, np.int64), kh.view(np.int64), a, a - last, a - first),
+                        strict=True,
+                    ):
                         c.append(x)
             arrays = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
@@ -164,7 +168,15 @@ def repeated_ranges(docs: DataFrame, length: int = MIN_BYTES, step: int = STEP,
             for t1, t2, data, kh, r in _run_rows(batch):
                 outer = range_hashes(prefix_sums(data), r[:, 0] - r[:, 2], r[:, 0] - r[:, 1] + length)
                 out.append(pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(kh), t1)), pa.array(np.full(len(kh), t2)), pa.array(kh), pa.array(r[:, 0]), pa.array(r[:, 1].astype(np.int32)), pa.array(r[:, 2].astype(np.int32)), pa.array(outer.view(np.int64))],
+                    [
+                        pa.array(np.full(len(kh), t1)),
+                        pa.array(np.full(len(kh), t2)),
+                        pa.array(kh),
+                        pa.array(r[:, 0]),
+                        pa.array(r[:, 1].astype(np.int32)),
+                        pa.array(r[:, 2].astype(np.int32)),
+                        pa.array(outer.view(np.int64)),
+                    ],
                     ["t1", "t2", "kh", "a", "lo", "hi", "outer"],
                 ))
             yield from out
@@ -172,7 +184,12 @@ def repeated_ranges(docs: DataFrame, length: int = MIN_BYTES, step: int = STEP,
     whole = stored(_with_lists(docs, stored(runs.join(shared, "kh")), firsts).mapInArrow(contents, "t1 long, t2 long, kh long, a long, lo int, hi int, outer long"))
     same = ["kh", "lo", "hi", "outer"]
     kinds = stored(whole.groupBy(*same).agg(_distinct_two().alias("two"), F.min(F.struct("t1", "a", "t2")).alias("one")))
-    settled = whole.join(kinds.where("two").select(*same), same).select("t1", "t2", (F.col("a") - F.col("hi")).alias("first"), (F.col("a") - F.col("lo")).alias("last"))
+    settled = whole.join(kinds.where("two").select(*same), same).select(
+        "t1",
+        "t2",
+        (F.col("a") - F.col("hi")).alias("first"),
+        (F.col("a") - F.col("lo")).alias("last"),
+    )
 
     open_anchors = stored(kinds.groupBy("kh").agg(F.count("*").alias("kinds"), F.max(~F.col("two")).alias("open")).where("open and kinds > 1").select("kh"))
     left = stored(kinds.join(open_anchors, "kh").select("kh", "lo", "hi", "one.t1", "one.t2", "one.a", "two"))
@@ -204,7 +221,12 @@ def repeated_ranges(docs: DataFrame, length: int = MIN_BYTES, step: int = STEP,
     made = stored(made.join(flags, ["t1", "a", "lo", "hi"]).drop("lo", "hi"))
     same = ["kh", "x", "y", "outer"]
     kinds = stored(made.groupBy(*same, "b", "core").agg(F.count("*").alias("c"), F.max("two").alias("two"), F.min(F.struct("t1", "a", "t2", "left", "right")).alias("one")))
-    equal = made.where("not two").join(kinds.where("c > 1").select(*same), same).select("t1", "t2", (F.col("a") - F.col("y")).alias("first"), (F.col("a") - F.col("x")).alias("last"))
+    equal = made.where("not two").join(kinds.where("c > 1").select(*same), same).select(
+        "t1",
+        "t2",
+        (F.col("a") - F.col("y")).alias("first"),
+        (F.col("a") - F.col("x")).alias("last"),
+    )
 
     undecided = (~F.col("two")) & (F.col("c") == 1)
     cores = stored(kinds.groupBy("core").agg(F.count("*").alias("m"), F.max(undecided).alias("open")).where("open and m > 1").select("core", "m"))
@@ -257,10 +279,16 @@ def repeated_ranges(docs: DataFrame, length: int = MIN_BYTES, step: int = STEP,
             break
         # Offsets i from low to high of a core all read the last `low` bytes of left and the first
         # step - 1 - high of right.  Half of them share more, which tells the texts apart.
-        halves = F.array(F.struct(F.col("low"), ((F.col("low") + F.col("high") - 1) / 2).cast("int").alias("high")), F.struct(((F.col("low") + F.col("high") + 1) / 2).cast("int").alias("low"), F.col("high")))
+        halves = F.array(
+            F.struct(F.col("low"), ((F.col("low") + F.col("high") - 1) / 2).cast("int").alias("high")),
+            F.struct(((F.col("low") + F.col("high") + 1) / 2).cast("int").alias("low"), F.col("high")),
+        )
         cut = large.where("low < high").withColumn("half", F.explode(halves)).withColumns({"low": F.col("half.low"), "high": F.col("half.high")})
         cut = cut.withColumns({"x": F.greatest("x", step * F.col("b") + F.col("low")), "y": F.least("y", step * F.col("b") + F.col("high"))}).where("x <= y")
-        cut = cut.withColumn("core", F.xxhash64("core", "low", F.expr("substring(left, length(left) - low + 1)"), F.expr(f"substring(right, 1, {step - 1} - high)")))
+        cut = cut.withColumn(
+            "core",
+            F.xxhash64("core", "low", F.expr("substring(left, length(left) - low + 1)"), F.expr(f"substring(right, 1, {step - 1} - high)")),
+        )
         one = large.where("low = high and open")  # with a single offset, all texts of a core are equal
         found.append(one.select("t1", "t2", (F.col("a") - F.col("x")).alias("first"), (F.col("a") - F.col("x")).alias("last")))
         sizes = cut.groupBy("core").agg(F.count("*").alias("m"), F.max("open").alias("some")).where("some and m > 1").select("core", "m")
