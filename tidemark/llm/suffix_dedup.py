@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import id_key, stored
+from tidemark.llm.common import id_key, in_small_batches, stored
 from tidemark.llm.texthash import prefix_sums, range_hashes, window_hashes, window_minima
 
 MIN_BYTES = 400
@@ -117,7 +117,7 @@ def _distinct_two():
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(id_key().alias("k"), text.alias("text")).select("k", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
+    return in_small_batches(docs).select(id_key().alias("k"), text.alias("text")).select("k", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"))
 
 
 def _with_lists(docs: DataFrame, runs: DataFrame, firsts: DataFrame) -> DataFrame:

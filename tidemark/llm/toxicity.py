@@ -35,7 +35,7 @@ SAMPLE_ROWS = 20_000
 INDEX_ROWS = 2_048
 CALIBRATION_ROWS = 4_096
 EXAMPLE_CHARS = 100_000  # labelled texts beyond it are no examples, so that the index is bounded
-CACHE_WORDS = 100_000
+CACHE_WORDS = 50_000
 BLOCK = 64
 K = 15
 PREFIXES = (4, 5, 6)
