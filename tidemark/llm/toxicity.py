@@ -1,15 +1,14 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 fit() takes a bounded sample of the labelled rows outside the held-out fold.  INDEX_ROWS of them, as
-many of either label as there are, become examples; every word of theirs is a term, and so are the
-beginnings of words that go with a label in the sample.  Document frequencies are counted over all
-documents.  A term's weight is its TF-IDF, times FAINT unless it leans to a label by MIN_Z standard
-deviations: no term is left out, but among some hundred words of a text the one that matters counts.
-Norms are over all words of a text, those that no example holds included.
+many of either label as there are, become examples.  All their words are terms, and so are those
+beginnings of words that go with a label in the sample by MIN_Z standard deviations; labels choose
+these further terms, but weigh none.  Document frequencies are counted over all documents, and
+norms are over all words of a text, those that no example holds included.
 
 The examples are an inverted index: postings by term, in blocks of BLOCK examples, with the greatest
 weight of each term in each block.  A query adds up the block maxima of its own terms, and reads
-blocks in falling order of that bound until no block left can hold a nearer example than the K found,
+blocks in falling order of that bound until no block left can hold a nearer example than the k found,
 so that the neighbours are exact.  Neighbours vote by the square of their cosine relative to the
 nearest one's, against a constant weight of the base rate, and the votes are calibrated by a logistic
 curve on sampled rows outside the index.  Sample and examples are bounded by parameters, so the
@@ -34,13 +33,12 @@ from tidemark.llm.common import stored, texts
 SAMPLE_ROWS = 20_000
 INDEX_ROWS = 2_048
 CALIBRATION_ROWS = 4_096
-EXAMPLE_CHARS = 100_000  # labelled texts beyond it are no examples, so that the index is bounded
 CACHE_WORDS = 50_000
 BLOCK = 64
-K = 15
+K, K_SHARE = 15, 7  # neighbours: a seventh of the examples of the rarer label, K at least
+EVIDENCE = 15
 PREFIXES = (4, 5, 6)
 MIN_ROWS, MIN_Z = 4, 5.0
-FAINT = 0.03
 PRIOR_WEIGHT = 1.0
 FOLDS = 5
 _CHUNK = 1 << 14
@@ -67,19 +65,22 @@ def _spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Terms:
-    """Numbers, document frequencies and leanings of terms; vectors of texts."""
+    """Numbers and document frequencies of terms; vectors of texts."""
 
-    def __init__(self, names: list[str], leaning: np.ndarray, df: np.ndarray, documents: int):
+    def __init__(self, names: list[str], df: np.ndarray, documents: int):
         self.names = {t: i for i, t in enumerate(names)}
         idf = lambda d: np.log((1 + documents) / (1 + d)) + 0.01
-        self.weight = np.where(leaning, 1.0, FAINT) * idf(df.astype(np.float64))
-        self.unseen = FAINT * float(idf(0.0))
+        self.weight = idf(df.astype(np.float64))
+        self.unseen = float(idf(0.0))
         self.known: dict[str, int | tuple[int, ...]] = {}
-        self.words, self.starts = frozenset(names), {t[: PREFIXES[0]] for t in names if t.endswith("~")}
+        self.words = frozenset(names)
+        self.starts = {t[: PREFIXES[0]] for t in names if t.endswith("~")}
 
     def more(self, word: str) -> list[int]:
         """The terms that are beginnings of a word."""
-        return [self.names[t] for t in beginnings(word) if t in self.names] if word[: PREFIXES[0]] in self.starts else []
+        if word[: PREFIXES[0]] not in self.starts:
+            return []
+        return [self.names[t] for t in beginnings(word) if t in self.names]
 
     def present(self, text: str) -> list[int]:
         """The terms of a text, each once."""
@@ -96,9 +97,12 @@ class Terms:
 
     def counts(self, text: str) -> tuple[dict[int, int], int]:
         """Occurrences of each term, and the number of distinct words that are none."""
+        return self.counted(Counter(words_of(text)))
+
+    def counted(self, bag: dict[str, int]) -> tuple[dict[int, int], int]:
         out: dict[int, int] = {}
         unseen, known = 0, self.known
-        for word, n in Counter(words_of(text)).items():
+        for word, n in bag.items():
             t = known.get(word)
             if t is None:
                 t = self.numbers(word)
@@ -130,6 +134,7 @@ class BlockMaxIndex:
         self.ids = np.array([ids[j] for j in order], np.int64)
         self.labels = np.array([labels[j] for j in order], np.float64)
         self.blocks = max(1, -(-len(order) // BLOCK))
+        self.k = max(K, int(min(self.labels.sum(), len(order) - self.labels.sum())) // K_SHARE)
         term = np.concatenate([units[j][0] for j in order] or [np.zeros(0, np.int64)])
         weight = np.concatenate([units[j][1] for j in order] or [np.zeros(0)])
         place = np.repeat(np.arange(len(order)), [len(units[j][0]) for j in order]) if order else np.zeros(0, np.int64)
@@ -143,10 +148,11 @@ class BlockMaxIndex:
         self.of_term = np.searchsorted(term[edge], np.arange(len(terms.names) + 1))
         self.slope, self.shift, self.empty = 1.0, 0.0, base_rate
 
-    def nearest(self, at: np.ndarray, weights: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray, int]:
+    def nearest(self, at: np.ndarray, weights: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """Places and cosines of the k nearest examples (cosine above 0), and the blocks read.
 
         Equal cosines are ordered by place."""
+        k = k or self.k
         lists, which = _spans(self.of_term[at], self.of_term[at + 1])
         mine, blocks = weights[which], self.list_block[lists]
         bounds = np.bincount(blocks, mine * self.list_most[lists], self.blocks)
@@ -192,7 +198,7 @@ class BlockMaxIndex:
         if found is None or not len(self.ids):
             return self.empty, [], []
         vote, at, cosines = found
-        return self.calibrated(vote), self.ids[at].tolist(), cosines.tolist()
+        return self.calibrated(vote), self.ids[at[:EVIDENCE]].tolist(), cosines[:EVIDENCE].tolist()
 
 
 def _logistic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -240,20 +246,30 @@ def _frequencies(docs: DataFrame, terms: Terms) -> np.ndarray:
     return out
 
 
-def _leaning(rows: DataFrame, n: int, positive: int) -> set[str]:
-    """Words and beginnings of words that occur with one label more often than chance allows."""
+def _bags(rows: DataFrame) -> DataFrame:
+    """doc_id, y, words and counts: the distinct words of each text."""
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bags = [Counter(words_of(t)) for t in pdf["text"]]
+            yield pdf[["doc_id", "y"]].assign(words=[list(b) for b in bags], counts=[list(b.values()) for b in bags])
+
+    return rows.select("doc_id", "y", "text").mapInPandas(counted, "doc_id long, y int, words array<string>, counts array<int>")
+
+
+def _telling_beginnings(rows: DataFrame, n: int, positive: int) -> set[str]:
+    """Beginnings of words that occur with one label more often than chance allows."""
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen, with_label = Counter(), Counter()
         for pdf in batches:
-            for text, y in zip(pdf["text"], pdf["y"], strict=True):
-                words = set(words_of(text))
-                found = words | {t for w in words for t in beginnings(w)}
-                seen.update(found)
-                if y:
-                    with_label.update(found)
-            yield pd.DataFrame({"term": list(seen), "df": list(seen.values()), "dt": [with_label[t] for t in seen]})
-            seen.clear(), with_label.clear()
+            for at in range(0, len(pdf), 256):
+                seen, with_label = Counter(), Counter()
+                for text, y in zip(pdf["text"].iloc[at : at + 256], pdf["y"].iloc[at : at + 256], strict=True):
+                    found = {t for w in set(words_of(text)) for t in beginnings(w)}
+                    seen.update(found)
+                    if y:
+                        with_label.update(found)
+                yield pd.DataFrame({"term": list(seen), "df": list(seen.values()), "dt": [with_label[t] for t in seen]})
 
     expected = F.col("df") * positive / n
     spread = F.sqrt(expected * (1 - F.col("df") / n) * (1 - positive / n) + 1e-9)
@@ -274,20 +290,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, inde
     rows = stored(texts(docs).join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")))
     n, positive = rows.agg(F.count("*"), F.sum("y")).first()
     if not n:
-        return BlockMaxIndex(Terms([], np.zeros(0, bool), np.zeros(0), 0), [], [], [], 0.0)
-    leaning = _leaning(rows, n, positive)
-    worded = rows.where(F.col("text").rlike("\\p{L}") & (F.char_length("text") <= EXAMPLE_CHARS))
+        return BlockMaxIndex(Terms([], np.zeros(0), 0), [], [], [], 0.0)
+    worded = rows.where(F.col("text").rlike("\\p{L}"))
     ranked = worded.select("doc_id", "text", "y", F.xxhash64("doc_id").alias("h"))
     # At least a quarter of either label stays for the calibration, which weighs it up again.
     of_label = {1: positive, 0: n - positive}
     share = {y: min(index_rows // 2, -(-3 * c // 4)) for y, c in of_label.items()}
-    examples = [r for y in (1, 0) for r in ranked.where(F.col("y") == y).orderBy("h", "doc_id").limit(share[y]).collect()]  # at most index_rows
-    names = sorted({w for r in examples for w in words_of(r["text"])} | leaning)
-    marks = np.array([t in leaning for t in names], bool)
-    blank = Terms(names, marks, np.zeros(len(names)), 0)
-    terms = Terms(names, marks, _frequencies(docs, blank), docs.count())
+    # At most index_rows, each as its distinct words.
+    examples = [r for y in (1, 0) for r in _bags(ranked.where(F.col("y") == y).orderBy("h", "doc_id").limit(share[y])).collect()]
+    names = sorted({w for r in examples for w in r["words"]} | _telling_beginnings(rows, n, positive))
+    terms = Terms(names, _frequencies(docs, Terms(names, np.zeros(len(names)), 0)), docs.count())
     base_rate = positive / n
-    index = BlockMaxIndex(terms, [r["doc_id"] for r in examples], [r["y"] for r in examples], [terms.counts(r["text"]) for r in examples], base_rate)
+    vectors = [terms.counted(dict(zip(r["words"], r["counts"], strict=True))) for r in examples]
+    index = BlockMaxIndex(terms, [r["doc_id"] for r in examples], [r["y"] for r in examples], vectors, base_rate)
     bare, bare_positive = rows.where(~F.col("text").rlike("\\p{L}")).agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     index.empty = (bare_positive + base_rate) / (bare + 1)
 
