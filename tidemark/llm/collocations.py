@@ -27,7 +27,7 @@ from tidemark.llm.common import stored
 from tidemark.llm.texthash import _LOWER, mix, prefix_sums, range_hashes
 
 MIN_COUNT, MAX_WORDS, TOP, CONTAINED_PERCENT = 30, 4, 2000, 80
-BUFFER = 6 << 20
+BUFFER = 2 << 20
 #: The bitmap has 16 bits for each phrase, from 2**MIN_BITS to 2**MAX_BITS bits (32 MB).
 MIN_BITS, MAX_BITS, BLOCK_BITS = 16, 28, 16
 
