@@ -781,4 +781,13 @@ def position_scores(spark, sf_dir):
 
 
 # Modules that register further queries.
-from tidemark.plans import backtest_queries, mining_queries, order_queries, pool_queries, report_queries, source_queries, template_queries  # noqa: E402, F401
+from tidemark.plans import (  # noqa: E402, F401
+    backtest_queries,
+    mining_queries,
+    order_queries,
+    pool_queries,
+    report_queries,
+    source_queries,
+    stream_queries,
+    template_queries,
+)
