@@ -11,7 +11,7 @@ from tidemark.operators import swings as swing
 from tidemark.plans import sql
 from tidemark.plans.registry import query, rounded, table
 from tidemark.sources import bars as src
-from tidemark.sources import tables
+from tidemark.sources import documents, paged, tables
 
 _OHLCV = ["open", "high", "low", "close", "volume"]
 
@@ -77,3 +77,68 @@ SELECT symbol, 'fold ' || i AS part, a + (i - 1) * ((c - a) // 3) AS first, CASE
 )
 def holdout_ranges(spark, sf_dir):
     return studies.holdout_ranges(src.bars_from_ticks(spark, sf_dir), 500)
+
+
+HOUR_MS, PAGE_MS = 3_600_000, 48 * 3_600_000
+
+
+@query(sql.with_bars(f"SELECT symbol, ts, {sql.rounded(_OHLCV)} FROM bars"))
+def paged_bars(spark, sf_dir):
+    """Bars recorded as pages, some of which answer only at the third attempt, and read back."""
+    path = scratch(spark)
+    paged.record(src.bars_from_ticks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp")), path, PAGE_MS, HOUR_MS, fails=5)
+    paged.register(spark)
+    found = paged.standard(spark.read.format("paged_bars").option("path", path).load())
+    return rounded(found.withColumn("ts", F.col("ts").cast("timestamp_ntz")), ["symbol", "ts"], _OHLCV)
+
+
+@query(sql.with_bars(f"SELECT symbol, ts, {sql.rounded(_OHLCV)} FROM bars"))
+def paged_stream(spark, sf_dir):
+    """The same pages as a stream: every third page comes late, when the stream has read those around
+    it, and the stream goes on from its checkpoint."""
+    path, out, checkpoint = scratch(spark), scratch(spark), scratch(spark)
+    bars = src.bars_from_ticks(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    paged.register(spark)
+    late = F.expr(f"unix_millis(ts) div {PAGE_MS} % 3 = 0")
+    for part in (bars.where(~late), bars.where(late)):
+        paged.record(part, path, PAGE_MS, HOUR_MS, fails=4)
+        stream = spark.readStream.format("paged_bars").options(path=path, pageMillis=PAGE_MS).load()
+        run = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        run.trigger(availableNow=True).start().awaitTermination()
+    found = paged.standard(spark.read.schema(paged.SCHEMA).parquet(out))
+    return rounded(found.withColumn("ts", F.col("ts").cast("timestamp_ntz")), ["symbol", "ts"], _OHLCV)
+
+
+_ENCODINGS = ("utf-8", "utf-8-sig", "utf-16", "utf-16-be")
+
+
+@query(
+    """SELECT n_nationkey::BIGINT AS nation, n_name AS name, coalesce(suppliers, 0) AS suppliers, balance,
+['UTF-8', 'UTF-8', 'UTF-16LE', 'UTF-16BE'][1 + n_nationkey % 4] AS encoding FROM nation LEFT JOIN
+(SELECT s_nationkey, count(*) AS suppliers, round(sum(s_acctbal), 2) AS balance FROM supplier GROUP BY ALL) ON s_nationkey = n_nationkey"""
+)
+def encoded_documents(spark, sf_dir):
+    """A JSON document a nation with its suppliers, in four encodings, read as one table."""
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", F.struct(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance")).alias("s"))
+    nations = table(spark, sf_dir, "nation").join(s, F.col("n_nationkey") == F.col("s_nationkey"), "left").groupBy("n_nationkey", "n_name").agg(F.collect_list("s").alias("suppliers"))
+    texts, path = nations.select("n_nationkey", F.to_json(F.struct(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name"), "suppliers")).alias("text")), scratch(spark)
+
+    def write(rows) -> None:
+        from pyarrow import fs
+
+        for r in rows:
+            where, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+            where.create_dir(root, recursive=True)
+            with where.open_output_stream(f"{root}/{r['n_nationkey']}.json") as f:
+                f.write(r["text"].encode(_ENCODINGS[r["n_nationkey"] % 4]))
+
+    texts.foreachPartition(write)
+    found = documents.json_documents(spark, path, "nation bigint, name string, suppliers array<struct<name: string, balance: double>>")
+    sums = F.expr("aggregate(document.suppliers, 0D, (a, x) -> a + x.balance)")
+    return found.select(
+        "document.nation",
+        "document.name",
+        F.size("document.suppliers").cast("long").alias("suppliers"),
+        F.when(F.size("document.suppliers") > 0, F.round(sums, 2)).alias("balance"),
+        "encoding",
+    )
