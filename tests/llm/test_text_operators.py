@@ -469,12 +469,18 @@ def test_toxicity_on_held_out_rows(spark, empty, monkeypatch):
     assert np.mean([again[i] == labels[i][2] for i in held]) > 0.95 and small.labels.sum() == 50
     # Neighbours by blocks are those of a full scan over all words, and every text with words has some.
     dense = np.zeros((len(index.ids), len(index.terms.names)))
-    lists = np.repeat(np.arange(len(index.list_block)), np.diff(index.lists))
-    dense[index.place, np.searchsorted(index.of_term, lists, side="right") - 1] = index.weight
+    for j, i in enumerate(index.ids):  # from the examples' texts, whatever the index makes of them
+        at, dense_row = index.terms.unit(*index.terms.counts(rows[i][1]))
+        dense[j, at] = dense_row
+    monkeypatch.setattr(toxicity, "OFTEN", 1)  # the same examples with all terms in postings
+    bags = [index.terms.counts(rows[i][1]) for i in index.ids]
+    sparse = toxicity.BlockMaxIndex(index.terms, index.ids.tolist(), index.labels.tolist(), bags, index.base_rate)
+    assert len(index.matrix) and len(sparse.place) and not len(sparse.matrix)
     np.testing.assert_allclose((dense**2).sum(axis=1), 1)
     for i, text in rows[:50]:
         at, w = index.terms.unit(*index.terms.counts(text + " Unseen word"))
         places, cosines, _ = index.nearest(at, w)
+        np.testing.assert_allclose(sparse.nearest(at, w)[1], cosines)
         full = dense[:, at] @ w
         assert places.tolist() == np.lexsort((np.arange(len(full)), -full.round(12)))[: len(places)].tolist() or np.allclose(full[places], np.sort(full)[::-1][: len(places)])
         assert 0 < (w**2).sum() < 1 and len(got[i]["evidence"]) == toxicity.K

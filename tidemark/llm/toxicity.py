@@ -7,8 +7,8 @@ these further terms, but weigh none.  Document frequencies are counted over all
 norms are over all words of a text, those that no example holds included.
 
 The examples are an inverted index: postings by term, in blocks of BLOCK examples, with the greatest
-weight of each term in each block.  A query adds up the block maxima of its own terms, and reads
-blocks in falling order of that bound until no block left can hold a nearer example than the k found,
+weight of each term in each block; the terms of many examples are rows of a matrix instead.  A query
+multiplies those, adds up the block maxima of its other terms, and reads blocks in falling order of that bound until no block left can hold a nearer example than the k found,
 so that the neighbours are exact.  Neighbours vote by the square of their cosine relative to the
 nearest one's, against a constant weight of the base rate, and the votes are calibrated by a logistic
 curve on sampled rows outside the index.  Sample and examples are bounded by parameters, so the
@@ -37,6 +37,7 @@ CACHE_WORDS = 50_000
 BLOCK = 64
 K, K_SHARE = 15, 7  # neighbours: a seventh of the examples of the rarer label, K at least
 EVIDENCE = 15
+OFTEN = 16  # a term of more than one in OFTEN examples is kept as a row of a matrix
 PREFIXES = (4, 5, 6)
 MIN_ROWS, MIN_Z = 4, 5.0
 PRIOR_WEIGHT = 1.0
@@ -84,8 +85,8 @@ class Terms:
 
     def present(self, text: str) -> list[int]:
         """The terms of a text, each once."""
-        words = set(words_of(text))
-        return [self.names[w] for w in words & self.words] + list({t for w in words for t in self.more(w)})
+        words, starts, n = set(words_of(text)), self.starts, PREFIXES[0]
+        return [self.names[w] for w in words & self.words] + list({t for w in words if w[:n] in starts for t in self.more(w)})
 
     def numbers(self, word: str) -> int | tuple[int, ...]:
         """The word's own term (-1: none), followed by its beginnings' if there are any."""
@@ -139,7 +140,15 @@ class BlockMaxIndex:
         weight = np.concatenate([units[j][1] for j in order] or [np.zeros(0)])
         place = np.repeat(np.arange(len(order)), [len(units[j][0]) for j in order]) if order else np.zeros(0, np.int64)
         by = np.lexsort((place, term))
-        term, self.weight, self.place = term[by], weight[by], place[by]
+        term, weight, place = term[by], weight[by], place[by]
+        # Terms of many examples are rows of a matrix, which one product adds up for all examples.
+        often = np.flatnonzero(np.bincount(term, minlength=len(terms.names)) * OFTEN > len(order))
+        self.row = np.full(len(terms.names), -1, np.int64)
+        self.row[often] = np.arange(len(often))
+        frequent = self.row[term] >= 0
+        self.matrix = np.zeros((len(often), self.blocks * BLOCK))
+        self.matrix[self.row[term[frequent]], place[frequent]] = weight[frequent]
+        term, self.weight, self.place = term[~frequent], weight[~frequent], place[~frequent]
         block = self.place // BLOCK
         edge = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
         #: A list is the postings of one term in one block: lists[i] to lists[i + 1].
@@ -153,9 +162,13 @@ class BlockMaxIndex:
 
         Equal cosines are ordered by place."""
         k = k or self.k
+        row = self.row[at]
+        own = np.zeros(len(self.matrix))
+        own[row[row >= 0]] = weights[row >= 0]
+        begun = own @ self.matrix
         lists, which = _spans(self.of_term[at], self.of_term[at + 1])
         mine, blocks = weights[which], self.list_block[lists]
-        bounds = np.bincount(blocks, mine * self.list_most[lists], self.blocks)
+        bounds = np.bincount(blocks, mine * self.list_most[lists], self.blocks) + begun.reshape(self.blocks, BLOCK).max(axis=1)
         order = np.argsort(-bounds, kind="stable")
         best_at, best, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 8
         while done < len(order) and bounds[order[done]] > 0:
@@ -168,8 +181,9 @@ class BlockMaxIndex:
             wanted[chosen] = True
             some = np.flatnonzero(wanted[blocks])
             postings, of = _spans(self.lists[lists[some]], self.lists[lists[some] + 1])
-            scores = np.bincount(self.place[postings], self.weight[postings] * mine[some][of], len(self.ids))
-            places = np.flatnonzero(scores)
+            scores = np.bincount(self.place[postings], self.weight[postings] * mine[some][of], len(begun)) + begun
+            places = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            places = places[scores[places] > 0]
             best_at, best = np.concatenate([best_at, places]), np.concatenate([best, scores[places]])
             top = np.lexsort((best_at, -best))[:k]
             best_at, best = best_at[top], best[top]
