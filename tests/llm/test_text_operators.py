@@ -277,6 +277,21 @@ def test_fingerprints(docs, rows, odd, empty):
     assert fingerprints.compare(odd, 4).count() == 5 and fingerprints.compare(empty, 4).count() == 0
 
 
+def test_fingerprint_likeness_with_repeated_paragraphs(spark):
+    """Against the true share of the multisets, where lines stand up to fifty times."""
+    r = np.random.default_rng(11)
+    texts = ["\n".join(f"line {j}" for j in r.integers(0, 40, int(r.integers(1, 30))) for _ in range(int(r.choice([1, 2, 50])))) for _ in range(150)]
+    got = {x["doc_id"]: x for x in fingerprints.compare(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4).collect()}
+    cut = lambda text: collections.Counter(p for p in re.split(fingerprints.PARAGRAPH_END, text) if p)
+    errors = []
+    for i, own in enumerate(texts):
+        follows, n = texts[(i + 1) % len(texts)], len(own) // 4
+        for column, other in (("near_edited", own[: len(own) - n] + follows[:n]), ("near_next", follows)):
+            a, b = cut(own), cut(other)
+            errors.append(got[i][column] - sum((a & b).values()) / sum((a | b).values()))
+    assert np.sqrt(np.mean(np.square(errors))) < 0.05 and np.abs(errors).max() < 0.2
+
+
 def test_fingerprints_are_homomorphic(spark):
     rows = [(1, "first line\nsecond line"), (2, "second line\nfirst line"), (3, "first line"), (4, "second line")]
     got = {r["doc_id"]: r["v"] for r in fingerprints.fingerprint(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

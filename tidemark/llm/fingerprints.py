@@ -6,8 +6,13 @@ ones, and a fingerprint is the sum of its paragraphs' vectors modulo powers of t
 bits share one long, kept modulo 2**60, so that a paragraph costs 20 shifts and masks a hash.  The
 sum does not depend on the order, and adding or taking away paragraphs adds or subtracts their
 vectors (insert(), delete()), however many there are.  Each lane reads a hash bit of its own, so that
-lanes are independent fair signs and the mean squared difference of two fingerprints' signed sums
-estimates the size of the multisets' symmetric difference, and with it their likeness.
+lanes are independent fair signs.
+
+Likeness has a vector of its own, as squared differences of sums would count a line that stands
+fifty times 2,500-fold: it sums the first occurrences as above, and the k-th occurrence of a
+paragraph under a hash of (paragraph, k).  So a multiset is a set of occurrences, and the mean squared
+difference of two signed sums estimates the size of the multisets' symmetric difference.  Both vectors
+share the sum of first occurrences, so that texts without repeats are summed once.
 """
 
 from __future__ import annotations
@@ -29,15 +34,15 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, PARAGRAPH_END, -1), lambda p: p != "")
 
 
-def vector_sums(paragraph: str = "p") -> list[Column]:
-    """Aggregates for groupBy(): the number of paragraphs, then the packed lanes.
+def vector_sums() -> list[Column]:
+    """Aggregates for groupBy() over hashes h0, h1: the number of paragraphs, then the packed lanes.
 
     A null paragraph counts as none.  The top lane is summed apart, so that no sum leaves a long.
     """
-    sums = [F.count(paragraph).alias("v0")]
+    sums = [F.count("h0").alias("v0")]
     number = lambda x: F.lit(x).cast("long")
     for h in range(HASHES):
-        hashed = F.when(F.col(paragraph).isNotNull(), F.xxhash64(F.lit(h), paragraph)).otherwise(number(0))
+        hashed = F.coalesce(f"h{h}", number(0))
         for i in range(SHIFTS):
             bits = F.shiftrightunsigned(hashed, i)
             low, top = F.sum(bits.bitwiseAND(number(_LOW))), F.sum(F.shiftrightunsigned(bits, 2 * WIDTH).bitwiseAND(number(1)))
@@ -46,6 +51,31 @@ def vector_sums(paragraph: str = "p") -> list[Column]:
     return sums
 
 
+def _parts(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, part, v: sums of each text's paragraphs p by part.
+
+    Part 0 is the first occurrence of each paragraph, part 1 the further ones under the same hash, and
+    part 2 the further ones under a hash of their own.  A null p counts as no paragraph.
+    """
+    hashes = [F.when(F.col("p").isNotNull(), F.xxhash64(F.lit(h), "p")).alias(f"h{h}") for h in range(HASHES)]
+    counted = pieces.select(*keys, *hashes).groupBy(*keys, *[f"h{h}" for h in range(HASHES)]).agg(F.count("*").alias("m"))
+    # m occurrences: 1 is the first, 2 to m are the others, and 2 - m to 0 the others once more
+    each = counted.withColumn("t", F.explode(F.expr("sequence(2 - m, m)")))
+    part = F.expr("if(t = 1, 0, if(t < 1, 1, 2))")
+    own = [F.when(F.col("t") > 1, F.xxhash64(f"h{h}", "t")).otherwise(F.col(f"h{h}")).alias(f"h{h}") for h in range(HASHES)]
+    return each.select(*keys, part.alias("part"), *own).groupBy(*keys, "part").agg(*vector_sums()).select(*keys, "part", packed().alias("v"))
+
+
+def _of_part(part: int, where: str = "true") -> Column:
+    none = F.array_repeat(F.lit(0).cast("long"), 1 + HASHES * SHIFTS)
+    return F.coalesce(F.max(F.when(F.expr(where) & (F.col("part") == part), F.col("v"))), none)
+
+
+def _vectors(where: str = "true") -> Column:
+    """Aggregate over _parts(): v, the fingerprint, and o, the vector of occurrences."""
+    return F.struct(insert(_of_part(0, where), _of_part(1, where)).alias("v"), insert(_of_part(0, where), _of_part(2, where)).alias("o"))
+
+
 def packed(prefix: str = "v") -> Column:
     return F.array(*[F.col(f"{prefix}{i}") for i in range(1 + HASHES * SHIFTS)])
 
@@ -65,8 +95,8 @@ def as_text(fingerprint: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated share of common paragraphs (of both multisets' union), from 0 to 1; equal
-    fingerprints give 1 exactly.  From 2**20 paragraphs on lanes carry, and only equality tells."""
+    """Estimated share of common paragraphs (of both multisets' union) from vectors of occurrences, from
+    0 to 1; equal vectors give 1 exactly.  From 2**20 paragraphs on lanes carry, and only equality tells."""
     na, nb = F.element_at(a, 1), F.element_at(b, 1)
 
     def squared(x: Column, y: Column) -> Column:
@@ -79,7 +109,9 @@ def likeness(a: Column, b: Column) -> Column:
 
     longs = 1 + HASHES * SHIFTS
     squares = F.zip_with(F.slice(a, 2, longs - 1), F.slice(b, 2, longs - 1), squared)
-    apart = F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / LANES
+    mean = F.aggregate(squares, F.lit(0.0), lambda s, x: s + x) / LANES
+    # Multisets differ by their sizes' difference at least, and by an even number more.
+    apart = F.abs(na - nb) + 2 * F.greatest(F.lit(0.0), F.round((mean - F.abs(na - nb)) / 2))
     both = (na + nb).cast("double")
     return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (both - apart) / (both + apart))))
 
@@ -136,14 +168,17 @@ def edited_pairs(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         "b", "rn", "halo", "doc_id", "n_chars", F.sha2("edited", 256).alias("sha"),
         F.explode(F.expr("if(halo = 1, array(named_struct('kind', 0, 'x', text)), array(named_struct('kind', 0, 'x', text), named_struct('kind', 1, 'x', edited)))")).alias("e"),
     )
-    pieces = kinds.select("b", "rn", "halo", "doc_id", "n_chars", "sha", "e.kind", F.explode_outer(paragraphs(F.col("e.x"))).alias("p"))
-    sums = pieces.groupBy("b", "rn", "kind").agg(*[F.first(c).alias(c) for c in ("halo", "doc_id", "n_chars", "sha")], *vector_sums())
-    one = sums.select("b", "rn", "kind", "halo", "doc_id", "n_chars", "sha", packed().alias("v"))
-    both = one.groupBy("b", "rn").agg(
-        *[F.first(c).alias(c) for c in ("halo", "doc_id", "n_chars", "sha")],
-        F.max(F.when(F.col("kind") == 0, F.col("v"))).alias("own"),
-        F.max(F.when(F.col("kind") == 1, F.col("v"))).alias("edited"),
-    )
+    # A null paragraph before each text's own carries what is not summed, which the others lack.
+    told = ["halo", "doc_id", "n_chars", "sha"]
+    first = F.array(F.lit(None).cast("string"))
+    pieces = kinds.select("b", "rn", *told, "e.kind", F.explode(F.concat(first, paragraphs(F.col("e.x")))).alias("p"))
+    pieces = pieces.select("b", "rn", "kind", *[F.when(F.col("p").isNull(), F.col(c)).alias(c) for c in told], "p")
+    # Buckets stay where they are: all groups below are within a b.
+    both = _parts(pieces, ["b", "rn", "kind", *told]).groupBy("b", "rn").agg(
+        *[F.max(c).alias(c) for c in told],
+        _vectors("halo IS NULL AND kind = 0").alias("own"),
+        _vectors("halo IS NULL AND kind = 1").alias("edited"),
+    )
     order = Window.partitionBy("b").orderBy("rn")
     return both.withColumn("next", F.lead("own").over(order)).where("halo = 0").select(
         "doc_id",
@@ -156,23 +191,31 @@ def edited_pairs(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id and the packed vector of each row's text."""
+    """doc_id, v and o (the fingerprint and the vector of occurrences) of each row's text.
+
+    Null is empty, and an empty text has only zeros.  Repeated rows each give a row.
+    """
     keyed = texts(docs).select("doc_id", F.xxhash64("text").alias("t"), "text")
     once = keyed.groupBy("doc_id", "t").agg(F.first("text").alias("text"), F.count("*").alias("n"))
     pieces = once.select("doc_id", "t", "n", F.explode_outer(paragraphs(F.col("text"))).alias("p"))
-    sums = pieces.groupBy("doc_id", "t", "n").agg(*vector_sums())
-    repeated = sums.select("doc_id", packed().alias("v"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    return repeated.select("doc_id", "v")
+    sums = _parts(pieces, ["doc_id", "t", "n"]).groupBy("doc_id", "t", "n").agg(_vectors().alias("x"))
+    repeated = sums.select("doc_id", "x.v", "x.o", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    return repeated.select("doc_id", "v", "o")
 
 
 def compare(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Fingerprints of each text, its edited text, and the likeness of both and of the next text.
+
+    Null is empty; two empty texts are alike (1).  Rows that repeat an id are each judged; a table of
+    one row is its own successor, and an empty table gives no row.
+    """
     pairs = edited_pairs(docs, buckets)
     return pairs.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        as_text(F.col("own")).alias("fingerprint"),
-        as_text(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited")).alias("near_edited"),
-        likeness(F.col("own"), F.col("next")).alias("near_next"),
+        as_text(F.col("own.v")).alias("fingerprint"),
+        as_text(F.col("edited.v")).alias("edited_fingerprint"),
+        likeness(F.col("own.o"), F.col("edited.o")).alias("near_edited"),
+        likeness(F.col("own.o"), F.col("next.o")).alias("near_next"),
     )
