@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import CHUNK, frame, lag, last_known, only_own, with_halo
+from tidemark.operators.distributions import quantiles
 
 CONTRASTED = ("rsi", "boll_position", "roc", "volume_ratio", "ma5_slope")
 
@@ -33,21 +34,22 @@ def contrast(trades: DataFrame, table: DataFrame, names=CONTRASTED) -> DataFrame
 
 def hold_quantiles(trades: DataFrame) -> DataFrame:
     """Exact, interpolated quantiles of holding times and profits by side."""
-    q = "array(0.1D, 0.25D, 0.5D, 0.75D, 0.9D)"
-    parts = [F.expr(f"percentile({c}, {q})").alias(c) for c in ("hold", "profit_pct")]
-    got = trades.groupBy("side").agg(*parts)
-    return got.select("side", *[F.col(c)[i].alias(f"{c}_q{n}") for c in ("hold", "profit_pct") for i, n in enumerate((10, 25, 50, 75, 90))])
+    shares, names = (0.1, 0.25, 0.5, 0.75, 0.9), ("hold", "profit_pct")
+    measures = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("x")) for c in names])
+    got = quantiles(trades.select("side", F.explode(measures).alias("m")).select("side", "m.*"), ["side", "measure"], "x", list(shares))
+    one = lambda c, q: F.max(F.when((F.col("measure") == c) & (F.col("share") == q), F.col("value")))
+    return got.groupBy("side").agg(*[one(c, q).alias(f"{c}_q{round(q * 100)}") for c in names for q in shares])
 
 
 def fan(points: DataFrame, bars: DataFrame, length: int = 20) -> DataFrame:
     """offset, n, p25, median, p75 of the change in percent after swing lows."""
     start = points.where("NOT is_high").select("symbol", "bar_idx", "price", F.explode(F.sequence(F.lit(1), F.lit(length))).alias("offset"))
     to = start.withColumn("bar_idx", F.col("bar_idx") + F.col("offset")).join(bars.select("symbol", "bar_idx", "close"), ["symbol", "bar_idx"])
-    change = (F.col("close") / F.col("price") - 1) * 100
-    return to.groupBy("offset").agg(
-        F.count("*").alias("n"),
-        *[F.percentile(change, F.lit(p)).alias(name) for p, name in ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))],
-    )
+    changes = to.select("offset", ((F.col("close") / F.col("price") - 1) * 100).alias("change"))
+    named = ((0.25, "p25"), (0.5, "median"), (0.75, "p75"))
+    got = quantiles(changes, ["offset"], "change", [q for q, _ in named])
+    wide = got.groupBy("offset").agg(*[F.max(F.when(F.col("share") == q, F.col("value"))).alias(name) for q, name in named])
+    return changes.groupBy("offset").agg(F.count("*").alias("n")).join(wide, "offset")
 
 
 def walk_forward_folds(bars: DataFrame, length: int, step: int, shares=(0.6, 0.2)) -> DataFrame:

@@ -783,6 +783,7 @@ def position_scores(spark, sf_dir):
 # Modules that register further queries.
 from tidemark.plans import (  # noqa: E402, F401
     backtest_queries,
+    hindsight_queries,
     mining_queries,
     order_queries,
     pool_queries,
