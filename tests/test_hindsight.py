@@ -1,12 +1,13 @@
 """Quantiles and histograms against numpy, exits in hindsight against plain loops, dated weights."""
 
+import hashlib
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import distributions, hindsight, weights
+from tidemark.operators import distributions, hindsight, outlook, weights
 
 SHARES = [0.0, 0.1, 0.5, 0.9, 0.999, 1.0]
 
@@ -123,3 +124,65 @@ def test_dated_weights(spark):
     assert scored[0, "long"] == pytest.approx(v[0] @ stated() / 32) and scored[1, "short"] == pytest.approx(v[1] @ stated(rsi=2.0) / 32)
     assert scored[1, "long"] == pytest.approx(v[1] @ stated(rsi=3.0, adx=0.01) / 32) and scored[2, "long"] == pytest.approx(v[2] @ stated() / 32)
     assert weights.valid_versions(times.where(F.lit(False)), versions).count() == 0
+
+
+def plain_prices(close, highs, lows, atrs, rows):
+    """One step after another, in plain numbers."""
+    known = [x for x in atrs if x is not None and math.isfinite(x)]
+    atr = float(np.median(known)) if known else 0.0
+    if atr <= 0:
+        atr = max((max(highs) - min(lows)) / len(highs), close * 0.001)
+    out, highs, lows = [], list(highs), list(lows)
+    for c0, c1, c2, c4, c5 in [[x or 0.0 for x in r] for r in rows]:
+        hi, lo = max(highs), min(lows)
+        width = max(hi - lo, close * 0.0005, 1e-6)
+        unit = [min(1.0, max(0.0, c)) for c in (c0, c4, c5)]
+        goal = np.dot([0.42, 0.22, 0.22, 0.07, 0.07], [lo + unit[0] * width, hi - max(0, c1) * atr, lo + max(0, c2) * atr, hi - (1 - unit[1]) * width, lo + (1 - unit[2]) * width])
+        most = max(close * 0.01, 2.5 * atr)
+        close += 0.65 * min(most, max(-most, goal - close))
+        out.append(close)
+        highs, lows = (highs + [close])[-20:], (lows + [close])[-20:]
+    return out
+
+
+def test_prices_ahead_equal_plain_loops(spark):
+    r = np.random.default_rng(3)
+    cases = []
+    for n, steps in ((20, 5), (20, 30), (3, 5), (1, 2), (20, 0)):
+        lows = (100 + r.random(n)).tolist()
+        atrs = [None if x < 0.2 else math.nan if x < 0.3 else float(x) for x in r.random(n)]
+        cases.append((float(lows[-1]), [x + 1 for x in lows], lows, atrs, [tuple(map(float, r.normal(0.5, 1, 5))) for _ in range(steps)]))
+    cases.append((50.0, [50.0], [50.0], [None], [(None, 0.0, 9.0, None, 2.0)] * 3))
+    row = "array<struct<c0: double, c1: double, c2: double, c4: double, c5: double>>"
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], f"i int, close double, highs array<double>, lows array<double>, atrs array<double>, rows {row}")
+    got = {x["i"]: x["p"] for x in df.select("i", outlook.prices_ahead("close", "highs", "lows", "atrs", "rows").alias("p")).collect()}
+    for i, c in enumerate(cases):
+        assert got[i] == pytest.approx(plain_prices(*c), rel=1e-12)
+
+
+def test_future_prices_over_the_seam_of_two_pieces(spark):
+    r = np.random.default_rng(6)
+    close = 100 + np.cumsum(r.normal(0, 0.2, 4200))
+    rows = [("s", i, float(c + 0.3), float(c - 0.3), float(c), None if i < 13 else 0.4, *map(float, r.random(5))) for i, c in enumerate(close)]
+    table = spark.createDataFrame(rows, "symbol string, bar_idx long, high double, low double, close double, atr double, c0 double, c1 double, c2 double, c4 double, c5 double")
+    got = {(x["bar_idx"], x["step"]): x["price"] for x in outlook.future_prices(table).collect()}
+    assert len(got) == 5 * 4200 - 15
+    for i in (0, 5, 4090, 4093, 4095, 4096, 4110, 4197):
+        past = rows[max(0, i - 19) : i + 1]
+        want = plain_prices(rows[i][4], [x[2] for x in past], [x[3] for x in past], [x[5] for x in past], [x[6:] for x in rows[i + 1 : i + 6]])
+        assert [got[i, s + 1] for s in range(len(want))] == pytest.approx(want)
+    assert outlook.future_prices(table.limit(0)).count() == 0
+
+
+def test_members_depend_on_seed_key_and_draw_alone(spark):
+    rows = [("a", 12, 0.5, 2.0, 10.0), ("b", 90, 1.0, -1.0, 1.0), ("c", 2, 0.5, 1.0, 5.0), ("d", 3, 0.0, 1.5, 8.0), ("e", 9, None, 1.0, 4.0), (None, 9, 0.5, 1.0, 4.0)]
+    df = spark.createDataFrame(rows, "key string, member_count long, win_rate double, avg_profit_pct double, avg_hold double")
+    got = sorted(map(tuple, outlook.synthesised_members(df, 3).collect()))
+    assert got == sorted(map(tuple, outlook.synthesised_members(df.repartition(7), 3).collect())) and got != sorted(map(tuple, outlook.synthesised_members(df, 4).collect()))
+    drawn = lambda key, i: int(hashlib.md5(f"3:{key}:{i}".encode()).hexdigest()[:13], 16) / 2**52
+    want = []
+    for key, count, rate, profit, hold in (rows[0], rows[1], rows[3]):
+        for m in range(min(30, max(5, count))):
+            t, u, v = (drawn(key, 3 * m + i) for i in range(3))
+            want.append((key, m, t < rate, profit * (0.5 + u) if t < rate else -abs(profit) * (0.2 + u * 0.5), max(2, int(hold * (0.4 + v * 1.2)))))
+    assert [x[:3] + x[4:] for x in got] == [x[:3] + x[4:] for x in want] and np.allclose([x[3] for x in got], [x[3] for x in want])

@@ -1,4 +1,4 @@
-"""Exits in hindsight, exact quantiles and histograms, and scores under weights with dates."""
+"""Exits in hindsight, exact quantiles and histograms, scores under weights with dates, paths ahead."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scratch import stored
-from tidemark.operators import distributions, hindsight, weights
+from tidemark.functions.windows import only_own, with_halo
+from tidemark.operators import distributions, hindsight, outlook, weights
 from tidemark.operators import features as feat
 from tidemark.operators import indicators as ind
 from tidemark.operators import swings as swing
@@ -133,3 +134,64 @@ def dated_scores(spark, sf_dir):
     vectors = layered.select("symbol", "bar_idx", F.array(*[F.col(c).cast("double") for c in feat.layer_columns()]).alias("v"))
     found = weights.scores(vectors.join(bars.select("symbol", "bar_idx", "at"), ["symbol", "bar_idx"]), versions(bars))
     return rounded(found.groupBy("direction", "valid_from").agg(F.count("*").alias("n"), F.avg("score").alias("score")), ["direction", "valid_from", "n"], ["score"], 2)
+
+
+# --- paths ahead
+
+# Places in the range of twenty bars and distances from its ends, not rounded.
+_RANGE = {
+    "c0": "(close - low20) / (high20 - low20 + 1e-9)",
+    "c1": "(high20 - close) / (CASE WHEN atr > 0 THEN atr ELSE 1 END)",
+    "c2": "(close - low20) / (CASE WHEN atr > 0 THEN atr ELSE 1 END)",
+    "c4": "1 - (high20 - close) / (high20 - low20 + 1e-9)",
+    "c5": "1 - (close - low20) / (high20 - low20 + 1e-9)",
+}
+
+
+@query(
+    f"""WITH RECURSIVE {sql.TICK_BARS}, {{atr}},
+rg AS MATERIALIZED (SELECT b.*, a.atr, max(high) OVER w AS high20, min(low) OVER w AS low20 FROM bars b JOIN av a USING (symbol, bar_idx) WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+fe AS MATERIALIZED (SELECT symbol, bar_idx, {", ".join(f"coalesce({x}, 0) AS {c}" for c, x in _RANGE.items())} FROM rg),
+hs AS (SELECT symbol, bar_idx, close, list(high) OVER w AS highs, list(low) OVER w AS lows, median(atr) OVER w AS m FROM rg WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+st AS (SELECT *, CASE WHEN m > 0 THEN m ELSE greatest((list_max(highs) - list_min(lows)) / len(highs), close * 0.001) END AS atr FROM hs),
+fp AS (
+  SELECT symbol, bar_idx, 0 AS step, close AS price, highs, lows, atr FROM st
+  UNION ALL
+  SELECT symbol, bar_idx, step + 1, p, list_append(CASE WHEN len(highs) < 20 THEN highs ELSE highs[2:] END, p), list_append(CASE WHEN len(lows) < 20 THEN lows ELSE lows[2:] END, p), atr FROM (
+    SELECT *, price + 0.65 * greatest(-most, least(most, target - price)) AS p FROM (
+      SELECT z.*, greatest(price * 0.01, 2.5 * atr) AS most, 0.42 * (lo + least(1, greatest(0, c0)) * width) + 0.22 * (hi - greatest(0, c1) * atr) + 0.22 * (lo + greatest(0, c2) * atr)
+        + 0.07 * (hi - (1 - least(1, greatest(0, c4))) * width) + 0.07 * (lo + (1 - least(1, greatest(0, c5))) * width) AS target
+      FROM (SELECT *, greatest(hi - lo, price * 0.0005, 1e-6) AS width FROM (SELECT *, list_max(highs) AS hi, list_min(lows) AS lo FROM fp)) z JOIN fe ON fe.symbol = z.symbol AND fe.bar_idx = z.bar_idx + step + 1 WHERE step < 5)))
+SELECT symbol, bar_idx, step, round(price, 6) + 0.0 AS price FROM fp WHERE step > 0""".replace(
+        "{atr}",
+        "tq AS (SELECT symbol, bar_idx, greatest(high - low, coalesce(abs(high - lag(close) OVER o), 0), coalesce(abs(low - lag(close) OVER o), 0)) AS t FROM bars WINDOW o AS (PARTITION BY symbol ORDER BY bar_idx)), "
+        "av AS MATERIALIZED (SELECT symbol, bar_idx, CASE WHEN bar_idx >= 13 THEN avg(t) OVER (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) END AS atr FROM tq)",
+    )
+)
+def future_prices(spark, sf_dir):
+    table_ = ind.window_indicators(src.bars_from_ticks(spark, sf_dir)).selectExpr("symbol", "bar_idx", "high", "low", "close", "atr")
+    window = "OVER (PARTITION BY symbol, chunk ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+    ranged = only_own(with_halo(table_, 19).selectExpr("*", f"max(high) {window} AS high20", f"min(low) {window} AS low20"))
+    featured = ranged.selectExpr("symbol", "bar_idx", "high", "low", "close", "atr", *[f"coalesce({x}, 0) AS {c}" for c, x in _RANGE.items()])
+    return rounded(outlook.future_prices(featured), ["symbol", "bar_idx", "step"], ["price"])
+
+
+_DRAW = "('0x' || substr(md5('7:' || key || ':' || (member * 3 + {})::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0"
+
+
+@query(
+    f"""WITH {sql.TICK_BARS}, {_TRADES},
+pt AS (SELECT symbol || '/' || side AS key, count(*) AS member_count, avg((profit_pct > 0)::INT) AS win_rate, avg(profit_pct) AS avg_profit_pct, avg(exit_idx - entry_idx) AS avg_hold FROM tt GROUP BY ALL),
+dr AS (SELECT *, {_DRAW.format(0)} AS t, {_DRAW.format(1)} AS u, {_DRAW.format(2)} AS v FROM (SELECT *, unnest(range(0, least(30, greatest(5, member_count))))::INT AS member FROM pt WHERE member_count >= 3))
+SELECT key, member, t < win_rate AS won, round(CASE WHEN t < win_rate THEN avg_profit_pct * (0.5 + u) ELSE -abs(avg_profit_pct) * (0.2 + u * 0.5) END, 6) + 0.0 AS profit_pct,
+  greatest(2, floor(avg_hold * (0.4 + v * 1.2))::BIGINT) AS hold FROM dr"""
+)
+def synthesised_members(spark, sf_dir):
+    trades, _ = trades_and_bars(spark, sf_dir)
+    means = trades.groupBy(F.concat_ws("/", "symbol", "side").alias("key")).agg(
+        F.count("*").alias("member_count"),
+        F.avg((F.col("profit_pct") > 0).cast("int")).alias("win_rate"),
+        F.avg("profit_pct").alias("avg_profit_pct"),
+        F.avg("hold").alias("avg_hold"),
+    )
+    return rounded(outlook.synthesised_members(means, 7), ["key", "member", "won", "hold"], ["profit_pct"])
