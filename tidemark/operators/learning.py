@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.scratch import stored
+
 
 def prototypes(vectors: DataFrame, k: int, vec_col: str = "embedding", least: int = 3, seed: int = 42) -> DataFrame:
     """cluster, n, centroid of the k-means clusters with at least `least` members."""
@@ -24,7 +26,8 @@ def prototypes(vectors: DataFrame, k: int, vec_col: str = "embedding", least: in
 
 def importances(table: DataFrame, names: list[str], label: str, trees: int = 100, depth: int = 10, seed: int = 42) -> DataFrame:
     """feature and importance of a random forest on standardised features, greatest first."""
-    rows = VectorAssembler(inputCols=names, outputCol="raw", handleInvalid="skip").transform(table.select(*names, F.col(label).cast("double").alias("label")))
+    # Each job of the training reads the rows again: from a table, and not through the plan behind it.
+    rows = VectorAssembler(inputCols=names, outputCol="raw", handleInvalid="skip").transform(stored(table.select(*names, F.col(label).cast("double").alias("label"))))
     scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(rows).transform(rows)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(scaled)
     found = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray(), strict=True)]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scratch import scratch
+from tidemark.functions.scratch import stored
 from tidemark.functions.windows import frame, only_own, with_halo
 from tidemark.operators import features as feat
 from tidemark.operators import indicators as ind
@@ -634,7 +635,7 @@ def embedding_prototypes(spark, sf_dir):
 @query()
 def feature_importance(spark, sf_dir):
     names = [n for group in feat.GROUPS.values() for n in group]
-    table = ind.indicators(bars(spark, sf_dir))
+    table = stored(ind.indicators(bars(spark, sf_dir)))
     judged = sig.outcomes(table, "long").where("hold >= 0 AND adx IS NOT NULL").select(*KEYS, F.col("outcome").cast("int").alias("y"))
     return learn.importances(feat.features(table).join(judged, KEYS), names, "y")
 
