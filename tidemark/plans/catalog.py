@@ -791,4 +791,5 @@ from tidemark.plans import (  # noqa: E402, F401
     source_queries,
     stream_queries,
     template_queries,
+    warping_queries,
 )

@@ -8,6 +8,7 @@ event-time timer settles it when no further row of the key comes.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,6 +24,12 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 _TYPES = {"long": int, "int": int, "double": float, "boolean": bool, "string": str}
 
 
+def _value(v, kind: str):
+    if kind == "array<double>":
+        return None if v is None else [math.nan if x is None else float(x) for x in v]
+    return None if pd.isna(v) else _TYPES[kind](v)
+
+
 class InOrder(StatefulProcessor):
     """Holds rows (their first column: event time in ms, their second: the order within it) until the
     watermark is behind them; step() then sees them one by one."""
@@ -40,7 +47,7 @@ class InOrder(StatefulProcessor):
         marked = (pdf.loc[pdf["bar_idx"].notna(), [name for name, _ in fields]] for pdf in rows)
         # A column with a null somewhere in the batch comes as floats, which the state would not take.
         fresh = [
-            tuple(None if pd.isna(v) else _TYPES[kind](v) for v, (_, kind) in zip(r, fields, strict=True))
+            tuple(_value(v, kind) for v, (_, kind) in zip(r, fields, strict=True))
             for pdf in marked
             for r in pdf.itertuples(index=False)
         ]
