@@ -139,3 +139,65 @@ def test_too_narrow_lots_are_widened(spark, monkeypatch):
     monkeypatch.setattr(warping, "_drawn", narrower)
     again = warping.sampled_pairs(df, 500, 1).collect()
     assert len(seen) > 1 and sorted(again) == sorted(whole) and len(again) == 500
+
+
+def prototypes(spark, rows):
+    kinds = "proto_id long, direction string, regime string, v array<double>, members long, wins long, total_profit double, confidence double, extra string"
+    return spark.createDataFrame([(*r, "x") for r in rows], kinds)
+
+
+def test_merged_prototypes(spark):
+    from tidemark.operators import templates as tpl
+
+    east, near, north = [1.0, 0.0], [1.0, 0.01], [0.0, 1.0]
+    rows = [
+        # Confidences within .1: the larger stays; its mean profit is taken anew.
+        (1, "LONG", "A", east, 3, 1, 3.0, 0.55, ),
+        (2, "LONG", "A", near, 5, 4, 10.0, 0.50),
+        (3, "LONG", "A", north, 9, 9, 9.0, 0.9),
+        # Another regime, though the same place.
+        (4, "LONG", "B", east, 1, 1, 1.0, 0.1),
+        # Apart in confidence: the surer stays, however small.
+        (5, "SHORT", "A", east, 50, 10, 5.0, 0.3),
+        (6, "SHORT", "A", near, 2, 1, 1.0, 0.6),
+        # Equal members: the more profitable, the earlier one at a tie.
+        (7, "SHORT", "B", east, 4, 2, 4.0, 0.5),
+        (8, "SHORT", "B", near, 4, 2, 8.0, 0.5),
+        (9, "SHORT", "C", east, 4, 2, 4.0, 0.5),
+        (10, "SHORT", "C", east, 4, 2, 4.0, 0.5),
+        # Goes into 12, which then meets 13 with all it has.
+        (11, "LONG", "D", east, 2, 1, 2.0, 0.5),
+        (12, "LONG", "D", near, 3, 1, 3.0, 0.5),
+        (13, "LONG", "D", east, 1, 1, 1.0, 0.5),
+        # Nothing to compare.
+        (14, "LONG", "E", None, 1, 0, 1.0, None),
+        (15, "LONG", "E", [], None, None, None, 0.5),
+        (16, "LONG", "E", [0.0, 0.0], 0, 0, 0.0, 0.5),
+        (17, "LONG", "E", [1.0], 1, 1, 1.0, 0.5),
+    ]
+    got = {r["proto_id"]: (r["members"], r["wins"], r["total_profit"], r["avg_profit"], r["merged"]) for r in tpl.merged_prototypes(prototypes(spark, rows)).collect()}
+    assert got == {
+        2: (8, 5, 13.0, 1.625, [1]),
+        3: (9, 9, 9.0, 1.0, []),
+        4: (1, 1, 1.0, 1.0, []),
+        6: (52, 11, 6.0, 6 / 52, [5]),
+        8: (8, 4, 12.0, 1.5, [7]),
+        9: (8, 4, 8.0, 1.0, [10]),
+        12: (6, 3, 6.0, 1.0, [11, 13]),
+        14: (1, 0, 1.0, 1.0, []),
+        15: (0, 0, 0.0, 0.0, []),
+        16: (0, 0, 0.0, 0.0, []),
+        17: (1, 1, 1.0, 1.0, []),
+    }
+    assert tpl.merged_prototypes(prototypes(spark, [])).count() == 0
+    through = {r["proto_id"]: r["members"] for r in tpl.merged_prototypes(prototypes(spark, rows), finish_turn=True).where("regime = 'D'").collect()}
+    assert through == {12: 5}  # 11 took 13 after it had gone itself
+
+
+def test_keep_and_remove(spark):
+    from tidemark.operators import templates as tpl
+
+    t = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "fingerprint string, n int")
+    f = spark.createDataFrame([("a", 9), ("a", 9), ("c", 9), (None, 9)], "fingerprint string, n int")
+    assert sorted(r["n"] for r in tpl.keep(t, f).collect()) == [1, 2]
+    assert sorted(r["n"] for r in tpl.remove(t, f).collect()) == [3, 4]

@@ -90,8 +90,14 @@ def latched(states: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 def golden_cross(table: DataFrame, ahead: int = 30, goal: float = 1.0, stop: float = 0.5) -> DataFrame:
     """Outcome in percent of each crossing of J over D: the goal is looked at before the stop."""
+    return crossings(table.withColumn("crossed", F.expr("j > d AND j_prev <= d_prev")), ahead, goal, stop)
+
+
+def crossings(table: DataFrame, ahead: int = 30, goal: float = 1.0, stop: float = 0.5) -> DataFrame:
+    """The same for every bar of table(symbol, bar_idx, close, high, low, crossed) that has crossed; bars
+    with fewer than `ahead` after them are out."""
     after = ("1 FOLLOWING", f"{ahead} FOLLOWING")
-    held = with_halo(table.select("symbol", "bar_idx", "close", "high", "low", "j", "d", "j_prev", "d_prev"), 0, ahead + 1)
+    held = with_halo(table.select("symbol", "bar_idx", "close", "high", "low", "crossed"), 0, ahead + 1)
     wide = held.selectExpr(
         "*",
         f"{frame('max', 'high', *after)} AS top",
@@ -99,7 +105,7 @@ def golden_cross(table: DataFrame, ahead: int = 30, goal: float = 1.0, stop: flo
         f"{frame('count', '*', *after)} AS n",
         f"lead(close, {ahead}) OVER (PARTITION BY symbol, chunk ORDER BY bar_idx) AS last",
     )
-    crossed = only_own(wide).where(f"n = {ahead} AND j > d AND j_prev <= d_prev")
+    crossed = only_own(wide).where(f"n = {ahead} AND crossed")
     return crossed.selectExpr("symbol", "bar_idx", cross_sql(goal, stop))
 
 

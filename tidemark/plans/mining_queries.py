@@ -44,6 +44,15 @@ def _larger(direction: str, size: int) -> None:
     query(_grown_sql(direction, size))(run)
 
 
+#: Families left out, by how their names begin.
+WITHOUT = ("rsi", "boll")
+
+
+@query(_grown_sql("short", 3).replace("lambda x: x IS NOT NULL)) AS c", "lambda x: NOT (x LIKE 'rsi%' OR x LIKE 'boll%'))) AS c"))
+def combos_without_families(spark, sf_dir):
+    return sig.mine(catalog.marked(spark, sf_dir, "short"), "short", 3, without=WITHOUT)
+
+
 for _direction in ("long", "short"):
     for _size in (4, 5):
         _larger(_direction, _size)

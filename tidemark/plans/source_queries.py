@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.scratch import scratch
+from tidemark.functions.scratch import scratch, stored
 from tidemark.operators import indicators as ind
 from tidemark.operators import studies
 from tidemark.operators import swings as swing
@@ -49,16 +49,35 @@ def library_versions(spark, sf_dir):
     return tables.load(spark, path, "key bigint, members bigint, confidence double")
 
 
-@query(
+_KDJ = (
     "WITH RECURSIVE " + sql.TICK_BARS + """, rv AS MATERIALIZED (SELECT symbol, bar_idx, CASE WHEN bar_idx >= 8 AND hi > lo THEN (close - lo) / (hi - lo) * 100 ELSE 50 END AS rsv FROM
 (SELECT symbol, bar_idx, close, min(low) OVER w AS lo, max(high) OVER w AS hi FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 8 PRECEDING AND CURRENT ROW))),
-e AS (SELECT symbol, bar_idx, rsv::DOUBLE AS k, rsv::DOUBLE AS d FROM rv WHERE bar_idx = 0 UNION ALL SELECT r.symbol, r.bar_idx, (r.rsv + e.k) / 2, ((r.rsv + e.k) / 2 + e.d) / 2 FROM e JOIN rv r ON r.symbol = e.symbol AND r.bar_idx = e.bar_idx + 1)
-SELECT symbol, bar_idx, round(k, 5) AS k, round(d, 5) AS d, round(3 * k - 2 * d, 5) + 0.0 AS j FROM e"""
+e AS (SELECT symbol, bar_idx, rsv::DOUBLE AS k, rsv::DOUBLE AS d FROM rv WHERE bar_idx = 0 UNION ALL SELECT r.symbol, r.bar_idx, (r.rsv + e.k) / 2, ((r.rsv + e.k) / 2 + e.d) / 2 FROM e JOIN rv r ON r.symbol = e.symbol AND r.bar_idx = e.bar_idx + 1)"""
 )
+
+
+@query(_KDJ + " SELECT symbol, bar_idx, round(k, 5) AS k, round(d, 5) AS d, round(3 * k - 2 * d, 5) + 0.0 AS j FROM e")
 def kdj_variant(spark, sf_dir):
     return rounded(ind.kdj_variant(src.bars_from_ticks(spark, sf_dir)), ["symbol", "bar_idx"], ["k", "d", "j"], 5)
 
 
+@query(
+    _KDJ
+    + """, f AS (SELECT symbol, bar_idx, close, max(high) OVER a AS top, min(low) OVER a AS bottom, count(*) OVER a AS n, last_value(close) OVER a AS last FROM bars
+  WINDOW a AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING)),
+x AS (SELECT symbol, bar_idx, k > d AND lag(k) OVER w < lag(d) OVER w AS crossed FROM e WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx))
+SELECT symbol, count(*) AS n, sum((outcome > 0)::INT)::BIGINT AS wins, round(avg(outcome), 6) + 0.0 AS avg_outcome, round(max(outcome), 6) + 0.0 AS best, round(min(outcome), 6) + 0.0 AS worst
+FROM (SELECT symbol, CASE WHEN (top / close - 1) * 100 >= 1 THEN 1.0 WHEN (bottom / close - 1) * 100 <= -0.5 THEN -0.5 ELSE (last / close - 1) * 100 END AS outcome FROM x JOIN f USING (symbol, bar_idx) WHERE crossed AND n = 30) GROUP BY symbol"""
+)
+def kdj_cross_study(spark, sf_dir):
+    """Crossings of the study's own stochastic (J over D is K over D), and what came of them."""
+    bars = stored(src.bars_from_ticks(spark, sf_dir))
+    marked = bars.join(ind.kdj_variant(bars).select("symbol", "bar_idx", "crossed"), ["symbol", "bar_idx"])
+    o = F.col("outcome")
+    found = studies.crossings(marked).groupBy("symbol").agg(F.count("*").alias("n"), F.sum((o > 0).cast("long")).alias("wins"), F.avg(o).alias("avg_outcome"), F.max(o).alias("best"), F.min(o).alias("worst"))
+    return rounded(found, ["symbol", "n", "wins"], ["avg_outcome", "best", "worst"])
+
+
 @query(
     sql.with_bars(
         """, s AS (SELECT symbol, bar_idx, high >= max(high) OVER n AS is_high, low <= min(low) OVER n AS is_low, count(*) OVER n AS c FROM bars WINDOW n AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)),

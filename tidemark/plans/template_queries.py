@@ -172,6 +172,14 @@ def joined_memories(spark, sf_dir):
     return tpl.joined_memories(t.where("entry_idx % 2 = 0"), spark.read.parquet(path)).select("symbol", "entry_idx")
 
 
+@query(_sql("SELECT symbol, entry_idx, direction, round(profit_pct, 6) AS profit_pct FROM tp WHERE entry_idx % 3 = 0 AND entry_idx % 2 = 1"))
+def filtered_memories(spark, sf_dir):
+    """A memory kept by the fingerprints of some entries, and rid of those of others."""
+    t = stored(tpl.with_fingerprint(templates(spark, sf_dir)))
+    left = tpl.remove(tpl.keep(t, t.where("entry_idx % 3 = 0")), t.where("entry_idx % 2 = 0"))
+    return left.select("symbol", "entry_idx", "direction", F.round("profit_pct", 6).alias("profit_pct"))
+
+
 @query(_sql("SELECT direction, regime, count(*) AS n, round(avg(profit_pct), 6) AS avg_profit FROM tp WHERE entry_idx > 100 AND profit_pct >= 0.8 AND (regime LIKE '%BULL') = (direction = 'LONG') GROUP BY ALL"))
 def training_candidates(spark, sf_dir):
     return tpl.candidates(templates(spark, sf_dir), 100, 0.8).withColumn("avg_profit", F.round("avg_profit", 6))
@@ -319,3 +327,18 @@ def template_performances(spark, sf_dir):
     known = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 40).cast("string").alias("fingerprint"))
     found = tpl.performances(known, results)
     return found.select("fingerprint", "matches", "wins", F.round("avg_profit", 6).alias("avg_profit"), F.round("score", 6).alias("score"), "grade")
+
+
+@query()
+def merged_prototypes(spark, sf_dir):
+    """Prototypes of trades by symbol, side and place in the order of entries, merged where their
+    centroids are near; SQL has no fold that changes what it still has to look at."""
+    s = tpl.summaries(templates(spark, sf_dir)).withColumn("place", F.concat_ws("/", "symbol", F.col("entry_idx") % 6))
+    centre = s.select("direction", "regime", "place", F.posexplode("summary").alias("i", "x")).groupBy("direction", "regime", "place", "i").agg(F.avg("x").alias("x"))
+    centre = centre.groupBy("direction", "regime", "place").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("v"))
+    p = F.col("profit_pct")
+    numbers = s.groupBy("direction", "regime", "place").agg(
+        F.count("*").alias("members"), F.sum((p > 1).cast("long")).alias("wins"), F.sum(p).alias("total_profit"), F.least(F.lit(1.0), F.count("*") / 10).alias("confidence")
+    )
+    found = tpl.merged_prototypes(centre.join(numbers, ["direction", "regime", "place"]).withColumnRenamed("place", "proto_id"), 0.98)
+    return rounded(found.withColumn("merged", F.array_join("merged", ",")), ["proto_id", "direction", "regime", "members", "wins", "merged"], ["total_profit", "win_rate", "avg_profit"])
