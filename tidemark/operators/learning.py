@@ -25,9 +25,13 @@ def prototypes(vectors: DataFrame, k: int, vec_col: str = "embedding", least: in
 
 
 def importances(table: DataFrame, names: list[str], label: str, trees: int = 100, depth: int = 10, seed: int = 42) -> DataFrame:
-    """feature and importance of a random forest on standardised features, greatest first."""
+    """feature and importance of a random forest on standardised features, greatest first; all 0 where
+    no rows, or none of a second label, leave nothing to tell apart."""
     # Each job of the training reads the rows again: from a table, and not through the plan behind it.
     rows = VectorAssembler(inputCols=names, outputCol="raw", handleInvalid="skip").transform(stored(table.select(*names, F.col(label).cast("double").alias("label"))))
+    seen = rows.agg(F.min("label").alias("least"), F.max("label").alias("most")).first()
+    if seen["least"] == seen["most"]:  # null, too, where there are no rows
+        return table.sparkSession.createDataFrame([(n, 0.0) for n in names], "feature string, importance double").orderBy("feature")
     scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(rows).transform(rows)
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed).fit(scaled)
     found = [(n, float(v)) for n, v in zip(names, model.featureImportances.toArray(), strict=True)]
