@@ -1,8 +1,9 @@
 """What larger and odd tables brought up: forests without rows, replays in many files, long groups."""
 
+import numpy as np
 import pytest
 
-from tidemark.operators import learning
+from tidemark.operators import learning, similarity
 
 
 def test_forest_without_rows_or_a_second_label(spark):
@@ -13,3 +14,43 @@ def test_forest_without_rows_or_a_second_label(spark):
         assert [tuple(r) for r in found.collect()] == [("a", 0.0), ("b", 0.0)]
     both = learning.importances(one.selectExpr("a", "0 * b AS b", "int(a > 1) AS y"), ["a", "b"], "y", trees=3, depth=2)
     assert [tuple(r) for r in both.collect()] == [("a", pytest.approx(1.0)), ("b", 0.0)]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_top_k_holds_few_pairs_and_ranks_copies_by_id(spark, monkeypatch, metric):
+    r = np.random.default_rng(3)
+    base = r.normal(size=(40, 13))
+    rows = [(int(i), base[i % 40].tolist()) for i in r.permutation(400)]  # ten copies of each
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+
+    def scored(a, b):
+        x, y = base[a % 40], base[b % 40]
+        if metric == "euclidean":
+            return -float(np.add.accumulate((x - y) ** 2)[-1]) ** 0.5
+        total = lambda p: float(np.add.accumulate(p)[-1])
+        return max(-1.0, min(1.0, total(x * y) / (total(x * x) * total(y * y)) ** 0.5))
+
+    want = [(a, b, n + 1) for a in range(0, 400, 7) for n, (_, b) in enumerate(sorted((-scored(a, b), b) for b in range(400) if b != a)[:12])]
+    for slab in (similarity.SLAB, 500):
+        monkeypatch.setattr(similarity, "SLAB", slab)
+        got = similarity.top_k(v, v.where("vec_id % 7 = 0"), 12, metric).select("query_id", "id", "rank").collect()
+        assert sorted(map(tuple, got), key=lambda x: (x[0], x[2])) == want
+
+
+def test_top_k_in_a_task_stays_small():
+    """4,096 queries against a batch of 10,000 vectors: no matrix of all their pairs."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    q, v, ids = r.normal(size=(4096, 8)), r.normal(size=(10_000, 8)), np.arange(4096)
+    tracemalloc.start()
+    rows = list(similarity._nearest(ids, q, 5, "cosine", "vec_id", "embedding")(iter([_frame(v)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(rows[0]) == 4096 * 5 and peak < 64 << 20
+
+
+def _frame(v):
+    import pandas as pd
+
+    return pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": list(v)})
