@@ -1,9 +1,12 @@
 """What larger and odd tables brought up: forests without rows, replays in many files, long groups."""
 
+import random
+from datetime import datetime, timedelta
+
 import numpy as np
 import pytest
 
-from tidemark.operators import learning, similarity
+from tidemark.operators import learning, orders, similarity
 
 
 def test_forest_without_rows_or_a_second_label(spark):
@@ -54,3 +57,15 @@ def _frame(v):
     import pandas as pd
 
     return pd.DataFrame({"vec_id": np.arange(len(v)), "embedding": list(v)})
+
+
+def test_nearest_bars_has_no_frame_to_the_end(spark):
+    """Such a frame goes over the rest of its piece for each row of it."""
+    r, start = random.Random(6), datetime(2024, 1, 1)
+    bars = [(s, start + timedelta(hours=h), i) for s in "xy" for i, h in enumerate(sorted(r.sample(range(200), 60)))]
+    events = [(i, r.choice("xyz"), start + timedelta(minutes=r.randrange(-3000, 15_000))) for i in range(400)]
+    b = spark.createDataFrame(bars, "symbol string, ts timestamp, bar_idx long")
+    found = orders.nearest_bars(spark.createDataFrame(events, "key long, symbol string, at timestamp"), b, "key")
+    assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    want = {k: min(((abs(at - ts), ts, i) for s, ts, i in bars if s == symbol), default=(None, None, None))[2] for k, symbol, at in events}
+    assert {x["key"]: x["bar_idx"] for x in found.collect()} == want
