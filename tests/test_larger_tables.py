@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from tidemark.operators import learning, orders, similarity
+from tidemark.operators import learning, orders, similarity, templates
 
 
 def test_forest_without_rows_or_a_second_label(spark):
@@ -69,3 +69,34 @@ def test_nearest_bars_has_no_frame_to_the_end(spark):
     assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
     want = {k: min(((abs(at - ts), ts, i) for s, ts, i in bars if s == symbol), default=(None, None, None))[2] for k, symbol, at in events}
     assert {x["key"]: x["bar_idx"] for x in found.collect()} == want
+
+
+@pytest.mark.parametrize("least", [0.2, 0.98])
+def test_apart_prototypes_in_rounds_equal_the_fold(spark, monkeypatch, least):
+    """One group was one row, and its fold one task with the square of its length."""
+    monkeypatch.setattr(templates, "ROUND", 16)
+    monkeypatch.setattr(templates, "SLAB", 64)
+    r = np.random.default_rng(7)
+    base = r.normal(size=(60, 6))
+    vectors = [base[i % 60] + r.normal(size=6) * (0 if i % 3 else 0.3) for i in range(240)]
+    rows = [(i, i % 2, None if i % 4 else "R", v.tolist(), float(i % 5), i % 7, 1.0) for i, v in enumerate(vectors)]
+    rows += [(900, 0, None, None, 9.0, 1, 1.0), (901, 0, None, [1.0, None], 9.0, 1, 1.0), (902, 0, None, [1.0, 2.0], 9.0, 1, 1.0), (903, 0, None, [2.0, 4.0], 9.0, 1, 1.0)]
+    schema = "id long, direction int, regime string, v array<double>, confidence double, members long, avg_profit double"
+    got = templates.apart_prototypes(spark.createDataFrame(rows, schema).repartition(3), "id", "v", least).collect()
+    want = {}
+    for key, d, regime, v, *_ in sorted(rows, key=lambda x: (-x[4], -x[5], -x[6], x[0])):
+        whole = v is not None and None not in v
+        for other in (o for o in want if want[o][:2] == (d, regime)) if whole else ():
+            w = want[other][2]
+            if w is not None and None not in w and len(w) == len(v) and np.dot(v, w) >= least * np.linalg.norm(v) * np.linalg.norm(w):
+                want[other][3][0] += 1
+                break
+        else:
+            want[key] = (d, regime, v, [0])
+    assert {x["id"]: (x["direction"], x["regime"], x["absorbed"]) for x in got} == {k: (d, g, n[0]) for k, (d, g, _, n) in want.items()}
+    assert len(got) == len(want) > 16 or least < 0.5
+
+
+def test_apart_prototypes_of_none(spark):
+    schema = "id long, direction int, regime string, v array<double>, confidence double, members long, avg_profit double"
+    assert templates.apart_prototypes(spark.createDataFrame([], schema), "id", "v").collect() == []
