@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 from tidemark.operators import learning, orders, similarity, templates
+from tidemark.plans import stream_queries
+from tidemark.streaming import holding
 
 
 def test_forest_without_rows_or_a_second_label(spark):
@@ -100,3 +102,21 @@ def test_apart_prototypes_in_rounds_equal_the_fold(spark, monkeypatch, least):
 def test_apart_prototypes_of_none(spark):
     schema = "id long, direction int, regime string, v array<double>, confidence double, members long, avg_profit double"
     assert templates.apart_prototypes(spark.createDataFrame([], schema), "id", "v").collect() == []
+
+
+def test_replay_of_many_files_loses_no_row(spark):
+    """A batch of 16 files was part of a slice of 40, or reached the end of a shorter log: the watermark
+    then went over rows still to come."""
+    start, hours = datetime(2024, 1, 1), 30 * 24
+    bars = [(s, start + timedelta(hours=h), h, [float(h % 7), 1.0]) for s in "xy" for h in range(hours)]
+    held = [(s, f"{s}{h}", h, h + 6) for s in "xy" for h in range(24, hours - 48, 30)]
+    opened = [(s, start + timedelta(hours=a), a, i, [[1.0, 1.0]] * 5) for s, i, a, _ in held]
+    closed = [(s, start + timedelta(hours=z), z, i) for s, i, _, z in held]
+    logs = [
+        spark.createDataFrame(bars, "symbol string, ts timestamp, bar_idx long, v array<double>").repartition(40),
+        spark.createDataFrame(opened, "symbol string, ts timestamp, bar_idx long, id string, template array<array<double>>").coalesce(1),
+        spark.createDataFrame(closed, "symbol string, ts timestamp, bar_idx long, id string").coalesce(1),
+    ]
+    found = stream_queries.finished(holding.divergences(*stream_queries.replayed(*logs), shards=2))
+    got = sorted((r["id"], r["bar_idx"]) for r in found.collect())
+    assert got == sorted((i, h) for _, i, a, z in held for h in range(a, z + 1))

@@ -93,7 +93,7 @@ def streamed_divergences(spark, sf_dir):
     opened = p.withColumn("bar_idx", F.col("entry_idx")).join(times, ["symbol", "bar_idx"]).select("symbol", "ts", "bar_idx", "id", "template")
     closed = p.withColumn("bar_idx", F.col("exit_idx")).join(times, ["symbol", "bar_idx"]).select("symbol", "ts", "bar_idx", "id")
     each = tq.vectors(spark, sf_dir).join(times, ["symbol", "bar_idx"]).select("symbol", "ts", "bar_idx", "v")
-    found = holding.divergences(*[streams.replayed(stored(x)) for x in (each, opened, closed)], shards=2)
+    found = holding.divergences(*streams.replayed(*[stored(x) for x in (each, opened, closed)]), shards=2)
     return rounded(streams.finished(found), ["symbol", "id", "bar_idx", "leaves"], ["divergence"])
 
 
