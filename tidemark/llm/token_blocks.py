@@ -4,8 +4,8 @@ The ids of a shard, documents in ascending doc_id order, are cut into blocks of
 block keeps its minimum, and the differences packed at the narrowest width that holds PERCENT
 of them; the others (outliers) are packed by their low bits like the rest and their high bits
 stand in an exception list.  A segment of the file is a row: the blocks' payload in bytes, with
-an index of the byte at which each block starts, so that any block can be read alone, and the
-documents in it.  Spark's Parquet writer is the container, so that the files live on whatever
+an index of the byte at which each block starts, so that any block can be read alone, the
+documents in it, and how many ids of its shard stand before it.  Spark's Parquet writer is the container, so that the files live on whatever
 store the path names, and a lost task is simply written again.
 """
 
@@ -27,11 +27,36 @@ PERCENT = 90
 SEGMENT_IDS = 1 << 16
 
 SEGMENT_SCHEMA = (
-    "shard int, segment int, n_ids long, doc_ids array<bigint>, doc_tokens array<bigint>, "
+    "shard int, segment int, before long, n_ids long, doc_ids array<bigint>, doc_tokens array<bigint>, "
     "minimums binary, widths binary, starts binary, payload binary, exceptions binary, high_bits binary"
 )
 
 
+def _bytes_of(values: np.ndarray, width: int) -> np.ndarray:
+    """The low `width` bits of each value of a row, one after the other from the lowest bit of a byte."""
+    rows, block = values.shape
+    eights = np.zeros((rows, -(-block // 8), 8), np.uint64)  # eight values are `width` whole bytes
+    eights.reshape(rows, -1)[:, :block] = values & np.uint32((1 << width) - 1)
+    out = np.zeros((*eights.shape[:2], width), np.uint8)
+    for i in range(8):
+        first, shift = divmod(i * width, 8)
+        bits = eights[:, :, i] << np.uint64(shift)
+        for b in range(first, (i * width + width + 7) // 8):
+            out[:, :, b] |= (bits >> np.uint64(8 * (b - first))).astype(np.uint8)
+    return out.reshape(rows, -1)[:, : (width * block + 7) // 8]
+
+
+def _values_of(packed: np.ndarray, width: int, block: int) -> np.ndarray:
+    """The inverse of _bytes_of()."""
+    at = np.arange(block) * width
+    padded = np.zeros((len(packed), packed.shape[1] + 5), np.uint8)
+    padded[:, : packed.shape[1]] = packed
+    out = np.zeros((len(packed), block), np.uint64)
+    for b in range((width + 14) // 8):
+        out |= padded[:, (at >> 3) + b].astype(np.uint64) << np.uint64(8 * b)
+    return ((out >> (at & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.uint32)
+
+
 def pack(ids: np.ndarray, block: int = BLOCK, percent: int = PERCENT) -> dict[str, bytes]:
     """ids (below 2**32) as blocks: minimums u32, widths u8, starts u64, payload, exceptions
     (positions, u64) and their high bits u32."""
@@ -53,8 +78,7 @@ def pack(ids: np.ndarray, block: int = BLOCK, percent: int = PERCENT) -> dict[st
     payload = np.zeros(int(starts[-1]), np.uint8)
     for width in np.unique(widths[widths > 0]):
         rows = np.flatnonzero(widths == width)
-        bits = ((rest[rows][:, :, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
-        packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+        packed = _bytes_of(rest[rows], int(width))
         payload[starts[rows][:, None] + np.arange(packed.shape[1])] = packed
     return {
         "minimums": minimums.astype("<u4").tobytes(),
@@ -74,9 +98,7 @@ def unpack(row, n: int, block: int = BLOCK) -> np.ndarray:
     for width in np.unique(widths[widths > 0]):
         rows = np.flatnonzero(widths == width)
         size = (int(width) * block + 7) // 8
-        bits = np.unpackbits(payload[starts[rows][:, None] + np.arange(size)], axis=1, bitorder="little")[:, : int(width) * block]
-        powers = np.uint32(1) << np.arange(width, dtype=np.uint32)
-        out[rows] = (bits.reshape(len(rows), block, int(width)) * powers).sum(axis=2, dtype=np.uint32)
+        out[rows] = _values_of(payload[starts[rows][:, None] + np.arange(size)], int(width), block)
     at, high = np.frombuffer(row["exceptions"], "<u8").astype(np.int64), np.frombuffer(row["high_bits"], "<u4")
     out.reshape(-1)[at] |= high << widths[at // block].astype(np.uint32)
     return (out + minimums[:, None]).reshape(-1)[:n]
@@ -92,13 +114,13 @@ def write_blocks(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     def segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        shard, number, held, names, size = TaskContext.get().partitionId(), 0, [], [], 0
+        shard, number, before, held, names, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
         encoder = tokenizer(vocabulary)
         end = np.array([end_id], np.uint16)
 
         def flush() -> pd.DataFrame:
             ids = np.concatenate(held)
-            row = {"shard": shard, "segment": number, "n_ids": len(ids), "doc_ids": names, "doc_tokens": [len(x) for x in held]}
+            row = {"shard": shard, "segment": number, "before": before, "n_ids": len(ids), "doc_ids": names, "doc_tokens": [len(x) for x in held]}
             return pd.DataFrame([row | pack(ids)])
 
         for pdf in batches:
@@ -110,7 +132,7 @@ def write_blocks(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
                     size += len(held[-1])
                     if size >= segment_ids:
                         yield flush()
-                        number, held, names, size = number + 1, [], [], 0
+                        number, before, held, names, size = number + 1, before + size, [], [], 0
         if held:
             yield flush()
 
@@ -118,15 +140,15 @@ def write_blocks(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     ordered.select("doc_id", "text").mapInPandas(segments, SEGMENT_SCHEMA).write.parquet(path)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian u32) of the files below path."""
+def read_documents(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (little-endian u32) of the files below path.
+
+    Only the starts of the shards, a row for each written partition, are sent round; the segments
+    are read where they lie.
+    """
     files = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    index = files.select("shard", "segment", "n_ids")
-    shards = index.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row for each written partition
-    shard_start = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
-    inside = Window.partitionBy("shard").orderBy("segment")
-    starts = index.select("shard", "segment", (F.sum("n_ids").over(inside) - F.col("n_ids")).alias("inside")).join(shard_start, "shard")
-    starts = starts.select("shard", "segment", (F.col("shard_start") + F.col("inside")).alias("segment_start"))
+    shards = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
+    starts = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
 
     def documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -135,15 +157,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 counts = np.array(row["doc_tokens"], np.int64)
                 ends = np.cumsum(counts)
                 parts = [ids[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
-                yield pd.DataFrame(
-                    {
-                        "doc_id": pd.array(list(row["doc_ids"]), dtype="Int64"),
-                        "start": row["segment_start"] + ends - counts,
-                        "n_tokens": counts,
-                        "ids_crc32": [zlib.crc32(p) for p in parts],
-                        "ids": parts,
-                    }
-                )
-
-    joined = files.join(starts, ["shard", "segment"])
-    return joined.mapInPandas(documents, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+                found = {
+                    "doc_id": pd.array(list(row["doc_ids"]), dtype="Int64"),
+                    "start": row["shard_start"] + row["before"] + ends - counts,
+                    "n_tokens": counts,
+                    "ids_crc32": [zlib.crc32(p) for p in parts],
+                }
+                yield pd.DataFrame(found | {"ids": parts} if with_ids else found)
+
+    kind = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
+    return files.join(F.broadcast(starts), "shard").mapInPandas(documents, kind)

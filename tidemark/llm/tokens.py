@@ -77,7 +77,7 @@ class CachedTokenizer:
         missing = set().union(*pieces).difference(cache)
         if missing:
             cache.update(self._encode_new(missing))
-        out = [np.frombuffer(b"".join([cache[w] for w in ws]), np.uint16) for ws in pieces]
+        out = [np.frombuffer(b"".join(map(cache.__getitem__, ws)), np.uint16) for ws in pieces]
         if len(cache) > self.entries:  # keep what came first: frequent words come early
             for w in missing if known >= self.entries else list(missing)[self.entries - known :]:
                 del cache[w]
