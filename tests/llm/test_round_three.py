@@ -4,8 +4,9 @@ import zlib
 from array import array
 
 import numpy as np
+import pytest
 
-from tidemark.llm import token_blocks
+from tidemark.llm import sentencepiece_fst, token_blocks
 from tidemark.llm.tokens import tokenizer, vocabulary_path
 
 
@@ -40,3 +41,20 @@ def test_packed_bytes_are_the_bits_in_order():
             packed = token_blocks._bytes_of(values, width)
             assert (packed == np.packbits(bits.reshape(3, -1), axis=1, bitorder="little")).all()
             assert (token_blocks._values_of(packed, width, block) == values & np.uint32((1 << width) - 1)).all()
+
+
+def test_stretches_of_several_parts_are_kept():
+    fst = sentencepiece_fst.PieceTransducer(vocabulary_path(sentencepiece_fst.MODEL))
+    text = "Some wordsq\u6f22x again; zq\u6f22, \U0001f642end."
+    ids = fst.encode(text)
+    fst._new = lambda stretch: pytest.fail(f"{stretch!r} is cut and searched again")
+    assert fst.encode(text) == ids
+
+
+def test_arcs_of_a_position_are_the_pieces_that_end_there():
+    fst = sentencepiece_fst.PieceTransducer(vocabulary_path(sentencepiece_fst.MODEL), entries=50)  # tables overflow
+    text, state = "\u2581internationalisation\u6f22\u2581the\u2581underwritten", ""
+    for end, c in enumerate(text, 1):
+        state, arcs = fst.step(state + c)
+        want = [text[begin:end] for begin in range(end - 1) if text[begin:end] in fst.ids]
+        assert list(arcs) == [*want, c] and len(fst.steps) <= 51

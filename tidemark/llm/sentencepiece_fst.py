@@ -16,7 +16,7 @@ compile_model() turns a model file into three transducers.
 They are composed with an input as it is read: shortest() relaxes the arcs into each position in the
 tropical semiring (min, +), longest first, so that of equal weights the longest arc stays; weight 0
 cannot be improved on and ends the search of a merge model's position.  The input is cut where no
-arc can cross, and the paths of frequent stretches are kept in a bounded table.
+arc can cross, and the paths of frequent stretches and of their parts are kept in bounded tables.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator, Sequence
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -173,13 +174,16 @@ class PieceTransducer:
         self.normalise = Normaliser(spec)
         self.least = 0.0 if self.kind == MERGES else -INFINITE  # a weight that no arc can improve on
         self.fallback = PENALTY - min(self.scores.values(), default=0.0)
-        self.longest: dict[str, int] = {}
-        for name in self.ids:
-            self.longest[name[-1]] = max(len(name), self.longest.get(name[-1], 1))
+        #: The automaton of the pieces: a state is the longest beginning of a piece that ends at a character.
+        self.beginnings = {name[:i] for name in self.ids for i in range(1, len(name) + 1)}
+        self.steps: dict[str, tuple[str, tuple[str, ...]]] = {}
         self.inner = {name[i : i + 2] for name in self.ids for i in range(len(name) - 1)}
         self.weights: dict[tuple[str, str], float] = {}
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # of parts
+        self.whole: dict[str, bytes] = {}  # of stretches
         self.entries = entries
+        #: The bytes that each id stands for.
+        self.written = [bytes((self.bytes_of[i],)) if i in self.bytes_of else n.encode() for i, n in enumerate(self.names)]
         crossed = any(BLANK in name.lstrip(BLANK) or "\n" in name or "\t" in name for name in self.ids)
         self.stretches = re.compile("(?s).+" if crossed else f"[\n\t]|{BLANK}*[^{BLANK}\n\t]+|{BLANK}+")
 
@@ -215,21 +219,32 @@ class PieceTransducer:
         self.weights[state, piece] = found
         return found
 
+    def step(self, key: str) -> tuple[str, tuple[str, ...]]:
+        """Where a state goes with a character (key: both), and what arcs end there, longest first;
+        kept in a bounded table."""
+        state = next((key[i:] for i in range(len(key)) if key[i:] in self.beginnings), "")
+        arcs = tuple(state[i:] for i in range(len(state) - 1) if state[i:] in self.ids)
+        if len(self.steps) > self.entries:
+            self.steps.clear()
+        found = self.steps[key] = state, (*arcs, key[-1])
+        return found
+
     def shortest(self, text: str) -> list[str]:
         """The strings that the arcs of the shortest path over a stretch read."""
         total, last, states = [0.0], [""], [""]
-        ids, weights, longest, least, merged = self.ids, self.weights, self.longest, self.least, self.kind == MERGES
-        for end in range(1, len(text) + 1):
-            best, arc = INFINITE, text[end - 1]
-            for begin in range(max(0, end - longest.get(arc, 1)), end):
-                piece = text[begin:end]
-                if piece in ids or begin == end - 1:
-                    w = weights.get((states[begin], piece))
-                    w = total[begin] + (self.weight(states[begin], piece) if w is None else w)
-                    if w < best:
-                        best, found = w, piece
-                        if w <= least:
-                            break
+        steps, weights, least, merged, at = self.steps, self.weights, self.least, self.kind == MERGES, ""
+        for end, c in enumerate(text, 1):
+            key = at + c
+            at, arcs = steps.get(key) or self.step(key)
+            best = INFINITE
+            for piece in arcs:
+                begin = end - len(piece)
+                w = weights.get((states[begin], piece))
+                w = total[begin] + (self.weight(states[begin], piece) if w is None else w)
+                if w < best:
+                    best, found = w, piece
+                    if w <= least:
+                        break
             total.append(best)
             last.append(found)
             states.append(found if merged else "")
@@ -240,7 +255,10 @@ class PieceTransducer:
         return out[::-1]
 
     def _write(self, pieces: list[str]) -> bytes:
-        out = array("H")
+        try:
+            return array("H", map(self.ids.__getitem__, pieces)).tobytes()
+        except KeyError:  # bytes are needed
+            out = array("H")
         for p in pieces:
             i = self.ids.get(p)
             if i is None:
@@ -251,8 +269,9 @@ class PieceTransducer:
 
     def _new(self, stretch: str) -> bytes:
         """A stretch is cut once more between characters that stand together in no piece."""
-        inner, cache = self.inner, self.cache
-        cuts = [0, *[i for i in range(1, len(stretch)) if stretch[i - 1 : i + 1] not in inner], len(stretch)]
+        inner, cache, whole = self.inner, self.cache, self.whole
+        together = list(map(inner.__contains__, map(add, stretch, stretch[1:])))
+        cuts = [0, *([] if all(together) else [i for i, t in enumerate(together, 1) if not t]), len(stretch)]
         out = []
         for a, b in zip(cuts, cuts[1:], strict=False):
             part = stretch[a:b]
@@ -262,24 +281,26 @@ class PieceTransducer:
                 if len(cache) < self.entries and b - a <= 64:
                     cache[part] = found
             out.append(found)
-        return b"".join(out)
+        ids = out[0] if len(out) == 1 else b"".join(out)
+        if len(whole) < self.entries and len(stretch) <= 64:
+            whole[stretch] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """ids (little-endian u16) of the whole text."""
-        stretches = self.stretches.findall(self.normalise(text))
-        cache, out = self.cache, []
-        for s in stretches:
-            found = cache.get(s)
-            out.append(self._new(s) if found is None else found)
-        return b"".join(out)
+        return self.encode_normal(self.normalise(text))
+
+    def encode_normal(self, text: str) -> bytes:
+        """The same of a text that is normalised already."""
+        stretches = self.stretches.findall(text)
+        found = list(map(self.whole.get, stretches))
+        if None in found:
+            found = [self._new(s) if f is None else f for s, f in zip(stretches, found, strict=True)]
+        return b"".join(found)
 
     def decode(self, ids: Sequence[int]) -> str:
         """The inverse: pieces' strings and bytes, blanks restored, the dummy prefix taken off."""
-        names, bytes_of, out = self.names, self.bytes_of, []
-        for i in ids:
-            b = bytes_of.get(i)
-            out.append(names[i].encode() if b is None else bytes((b,)))
-        return self.normalise.restored(b"".join(out).decode("utf-8", "replace"))
+        return self.normalise.restored(b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace"))
 
     def kept(self, text: str) -> str:
         """What of a text its ids keep: all but what the normaliser rewrites."""
@@ -323,13 +344,14 @@ def encode_summary(docs: DataFrame, model: str) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
-                ids = [array("H", fst.encode(t)) for t in part["text"]]
+                normal = [fst.normalise(t) for t in part["text"]]
+                ids = [array("H", fst.encode_normal(t)) for t in normal]
                 yield pd.DataFrame(
                     {
                         "doc_id": part["doc_id"].astype("Int64").values,
                         "n_pieces": [len(i) for i in ids],
                         "ids_crc32": [zlib.crc32(array("I", i).tobytes()) for i in ids],
-                        "round_trip": [fst.decode(i) == fst.kept(t) for i, t in zip(ids, part["text"], strict=True)],
+                        "round_trip": [fst.decode(i) == fst.normalise.restored(t) for i, t in zip(ids, normal, strict=True)],
                     }
                 )
 
