@@ -6,7 +6,7 @@ from array import array
 import numpy as np
 import pytest
 
-from tidemark.llm import sentencepiece_fst, token_blocks
+from tidemark.llm import sentencepiece_fst, token_blocks, toxicity
 from tidemark.llm.tokens import tokenizer, vocabulary_path
 
 
@@ -58,3 +58,29 @@ def test_arcs_of_a_position_are_the_pieces_that_end_there():
         state, arcs = fst.step(state + c)
         want = [text[begin:end] for begin in range(end - 1) if text[begin:end] in fst.ids]
         assert list(arcs) == [*want, c] and len(fst.steps) <= 51
+
+
+def test_terms_of_texts_with_a_full_table(monkeypatch):
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 3)
+    names = sorted({"the", "word", "words", "word~", "wordi~", "nasti~"})
+    terms = toxicity.Terms(names, np.ones(len(names)), 10)
+    for text in ("the word the", "Wordiness and words, nastiness; the nasti word unseen unseen", "other new kinds of words"):
+        found = toxicity.words_of(text)
+        want = {t: sum((w == t) + (t in toxicity.beginnings(w)) for w in found) for t in names}
+        counts, unseen = terms.counts(text)
+        assert {names[t]: n for t, n in counts.items()} == {t: n for t, n in want.items() if n}
+        assert unseen == len(set(found) - set(names)) and sorted(names[t] for t in terms.present(text)) == [t for t in names if want[t]]
+        assert {"the", "word"} <= set(terms.known) and len(terms.known) <= 3  # what came first stays
+
+
+def test_a_product_reads_the_rows_of_the_text_only():
+    texts = [f"common often w{chr(97 + i)} w{chr(97 + i // 2)}" for i in range(26)]
+    names = sorted({w for t in texts for w in toxicity.words_of(t)})
+    terms = toxicity.Terms(names, np.full(len(names), 3), 100)
+    index = toxicity.BlockMaxIndex(terms, list(range(26)), [i % 2 for i in range(26)], [terms.counts(t) for t in texts], 0.5)
+    at, weights = terms.unit(*terms.counts("common wc wd"))
+    want = index.nearest(at, weights, 26)
+    index.matrix[index.row[terms.names["often"]]] = np.nan
+    got = index.nearest(at, weights, 26)
+    assert got[0].tolist() == want[0].tolist() and len(want[0]) == 26
+    np.testing.assert_allclose(got[1], want[1])

@@ -33,7 +33,7 @@ from tidemark.llm.common import stored, texts
 SAMPLE_ROWS = 20_000
 INDEX_ROWS = 2_048
 CALIBRATION_ROWS = 4_096
-CACHE_WORDS = 50_000
+CACHE_WORDS = 200_000
 BLOCK = 64
 K, K_SHARE = 15, 7  # neighbours: a seventh of the examples of the rarer label, K at least
 EVIDENCE = 15
@@ -74,26 +74,37 @@ class Terms:
         self.weight = idf(df.astype(np.float64))
         self.unseen = float(idf(0.0))
         self.known: dict[str, int | tuple[int, ...]] = {}
-        self.words = frozenset(names)
-        self.starts = {t[: PREFIXES[0]] for t in names if t.endswith("~")}
+        self.starts = {t[:-1]: i for t, i in self.names.items() if t.endswith("~")}
+        self.least = {t[: PREFIXES[0]] for t in self.starts}
 
     def more(self, word: str) -> list[int]:
         """The terms that are beginnings of a word."""
-        if word[: PREFIXES[0]] not in self.starts:
+        if word[: PREFIXES[0]] not in self.least:
             return []
-        return [self.names[t] for t in beginnings(word) if t in self.names]
+        starts, size = self.starts, len(word)
+        return [starts[word[:n]] for n in PREFIXES if size > n and word[:n] in starts]
 
     def present(self, text: str) -> list[int]:
         """The terms of a text, each once."""
-        words, starts, n = set(words_of(text)), self.starts, PREFIXES[0]
-        return [self.names[w] for w in words & self.words] + list({t for w in words if w[:n] in starts for t in self.more(w)})
+        found, known = set(), self.known
+        for word in set(words_of(text)):
+            t = known.get(word)
+            if t is None:
+                t = self.numbers(word)
+            if type(t) is tuple:
+                found.update(t)
+            else:
+                found.add(t)
+        found.discard(-1)
+        return list(found)
 
     def numbers(self, word: str) -> int | tuple[int, ...]:
-        """The word's own term (-1: none), followed by its beginnings' if there are any."""
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        """The word's own term (-1: none), followed by its beginnings' if there are any.  The table
+        keeps what came first: frequent words come early."""
         own, more = self.names.get(word, -1), self.more(word)
-        found = self.known[word] = (own, *more) if more else own
+        found = (own, *more) if more else own
+        if len(self.known) < CACHE_WORDS:
+            self.known[word] = found
         return found
 
     def counts(self, text: str) -> tuple[dict[int, int], int]:
@@ -163,9 +174,9 @@ class BlockMaxIndex:
         Equal cosines are ordered by place."""
         k = k or self.k
         row = self.row[at]
-        own = np.zeros(len(self.matrix))
-        own[row[row >= 0]] = weights[row >= 0]
-        begun = own @ self.matrix
+        often = row >= 0
+        begun = weights[often] @ self.matrix[row[often]]  # the text's own rows only
+        at, weights = at[~often], weights[~often]
         lists, which = _spans(self.of_term[at], self.of_term[at + 1])
         mine, blocks = weights[which], self.list_block[lists]
         bounds = np.bincount(blocks, mine * self.list_most[lists], self.blocks) + begun.reshape(self.blocks, BLOCK).max(axis=1)
