@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import sentencepiece_fst, token_blocks, toxicity
-from tidemark.llm.tokens import tokenizer, vocabulary_path
+from tidemark.llm.tokens import CachedTokenizer, tokenizer, vocabulary_path
 
 
 def test_segments_are_read_where_they_lie(spark, tmp_path):
@@ -84,3 +84,21 @@ def test_a_product_reads_the_rows_of_the_text_only():
     got = index.nearest(at, weights, 26)
     assert got[0].tolist() == want[0].tolist() and len(want[0]) == 26
     np.testing.assert_allclose(got[1], want[1])
+
+
+def test_marks_behind_a_word_are_asked_for_once():
+    t = CachedTokenizer(vocabulary_path(), entries=4)
+    t.encode("one*** two&&&,")
+    t._whole = lambda words: pytest.fail(f"{words} take the whole way") if words else []
+    odd = "Three*** él&&&, fiveß*** six seven***"
+    assert t.encode(odd).tolist() == t.tokenizer.encode(odd, add_special_tokens=False).ids
+
+
+def test_a_full_table_of_words_keeps_what_came_first():
+    t = CachedTokenizer(vocabulary_path(), entries=4)
+    assert set(t.cache) == {""} and t.encode_all(["a", "b", "c"]) and set(t.cache) == {"", "a", "b", "c"}
+    texts = ["d d a İx 'tis don't", "", "d\n__e__\tb<|endoftext|>x c's"]
+    for _ in range(2):
+        found = [ids.tolist() for ids in t.encode_all(texts)]
+        assert found == [t.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+        assert set(t.cache) == {"", "a", "b", "c"}

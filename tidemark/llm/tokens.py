@@ -8,14 +8,17 @@ order.  Invented or rare words still cost one call; frequent ones a dictionary l
 from __future__ import annotations
 
 import os
+import string
 from array import array
 from collections.abc import Sequence
+from itertools import islice
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 CACHE_ENTRIES = 300_000
+MARKS = 4_096  # runs of marks behind words that are kept
 
 _loaded: dict[str, CachedTokenizer] = {}
 
@@ -48,13 +51,15 @@ class CachedTokenizer:
         return [array("H", e.ids).tobytes() for e in found]
 
     def _encode_new(self, words: set[str]) -> dict[str, bytes]:
-        """A run of simple letters, perhaps before closing marks, is one unit of the vocabulary's
-        pattern: only its merges are left to ask for.  All else takes the library's whole way."""
+        """A run of simple letters is one unit of the vocabulary's pattern, and so are the ASCII marks
+        behind it: only its merges are left to ask for.  All else takes the library's whole way."""
         out, rest, model, cache, letters, marks = {}, [], self.tokenizer.model, self.cache, self.letters, self.marks
         for w in words:
-            stem = w.rstrip(".,;:!?")
+            stem = w.rstrip(string.punctuation)
             tail = w[len(stem) :]
-            if stem.isalpha() and len(stem) <= 64 and max(stem) < "\u0180" and "\u0130" not in stem and tail in marks:
+            if tail not in marks and len(marks) < MARKS:
+                marks[tail] = self._whole([tail])[0]
+            if stem.isalpha() and len(stem) <= 64 and (stem.isascii() or max(stem) < "\u0180" and "\u0130" not in stem) and tail in marks:
                 stem = stem.lower()
                 ids = cache.get(stem)
                 if ids is None:
@@ -72,16 +77,15 @@ class CachedTokenizer:
 
     def encode_all(self, texts: Sequence[str]) -> list[np.ndarray]:
         pieces = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        cache = self.cache
-        known = len(cache)
-        missing = set().union(*pieces).difference(cache)
+        get = self.cache.get
+        found = [list(map(get, ws)) for ws in pieces]
+        missing = {w for ws, known in zip(pieces, found, strict=True) for w, ids in zip(ws, known, strict=True) if ids is None}
+        new = self._encode_new(missing) if missing else {}
         if missing:
-            cache.update(self._encode_new(missing))
-        out = [np.frombuffer(b"".join(map(cache.__getitem__, ws)), np.uint16) for ws in pieces]
-        if len(cache) > self.entries:  # keep what came first: frequent words come early
-            for w in missing if known >= self.entries else list(missing)[self.entries - known :]:
-                del cache[w]
-        return out
+            found = [[new[w] if ids is None else ids for w, ids in zip(ws, known, strict=True)] for ws, known in zip(pieces, found, strict=True)]
+        # What came first stays: frequent words come early.
+        self.cache.update(islice(new.items(), max(0, self.entries - len(self.cache))))
+        return [np.frombuffer(b"".join(known), np.uint16) for known in found]
 
 
 def tokenizer(path: str) -> CachedTokenizer:
