@@ -2,9 +2,11 @@
 
 import zlib
 from array import array
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark import SparkContext
 
 from tidemark.llm import sentencepiece_fst, token_blocks, toxicity
 from tidemark.llm.tokens import CachedTokenizer, tokenizer, vocabulary_path
@@ -102,3 +104,37 @@ def test_a_full_table_of_words_keeps_what_came_first():
         found = [ids.tolist() for ids in t.encode_all(texts)]
         assert found == [t.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
         assert set(t.cache) == {"", "a", "b", "c"}
+
+
+def test_distinct_words_are_the_words():
+    for text in ("a—b b² ½x É_é ü9ß İI ΑΣ ΑΣ.Α", "It's 5x_y\x1cz\x00w It", " café ٥á", ""):
+        assert toxicity.distinct_words(text) == Counter(toxicity.words_of(text))
+        assert toxicity.distinct_words(text, set) == set(toxicity.words_of(text))
+
+
+def test_examples_that_are_alike_share_blocks():
+    common = ("red green blue pink", "uno dos tres cuatro")
+    texts = [f"{common[i % 2]} z{chr(97 + i // 26)}{chr(97 + i % 26)} {common[i % 2].split()[i // 2 % 4]}" for i in range(256)]
+    names = sorted({w for t in texts for w in toxicity.words_of(t)})
+    df = np.array([sum(n in t.split() for t in texts) for n in names])
+    terms = toxicity.Terms(names, df, 300)
+    index = toxicity.BlockMaxIndex(terms, list(range(256)), [i % 2 for i in range(256)], [terms.counts(t) for t in texts], 0.5)
+    for text in (texts[5], texts[6], "red green unknown", "uno dos zaa"):
+        at, cosines, read = index.nearest(*terms.unit(*terms.counts(text)), 15)
+        assert read <= 3 and len(at) == 15
+        vectors = np.zeros((257, len(names)))
+        for j, t in enumerate([*(texts[i] for i in index.ids), text]):
+            where, w = terms.unit(*terms.counts(t))
+            vectors[j, where] = w
+        want = vectors[:256] @ vectors[256]
+        np.testing.assert_allclose(cosines, np.sort(want)[::-1][:15])
+        np.testing.assert_allclose(want[at], cosines)
+
+
+def test_what_fit_sends_round_is_dropped(spark, monkeypatch):
+    sent, broadcast = [], SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(broadcast(self, value)) or sent[-1])
+    docs = spark.createDataFrame([(i, f"word{chr(97 + i % 7)} nasty{chr(97 + i % 2)} text") for i in range(120)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, index_rows=20)
+    assert len(sent) >= 2 and not any(b._jbroadcast.isValid() for b in sent)

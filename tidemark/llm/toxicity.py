@@ -6,10 +6,10 @@ beginnings of words that go with a label in the sample by MIN_Z standard deviati
 these further terms, but weigh none.  Document frequencies are counted over all documents, and
 norms are over all words of a text, those that no example holds included.
 
-The examples are an inverted index: postings by term, in blocks of BLOCK examples, with the greatest
-weight of each term in each block; the terms of many examples are rows of a matrix instead.  A query
-multiplies those, adds up the block maxima of its other terms, and reads blocks in falling order of that bound until no block left can hold a nearer example than the k found,
-so that the neighbours are exact.  Neighbours vote by the square of their cosine relative to the
+The examples are an inverted index: postings by term, in blocks of BLOCK examples that are alike, with
+the greatest weight of each term in each block; the terms of many examples are rows of a matrix
+instead.  A query adds up the block maxima of its terms, reads the blocks of the greatest bounds, and
+then all whose bound is not below the k-th cosine found, so that the neighbours are exact.  Neighbours vote by the square of their cosine relative to the
 nearest one's, against a constant weight of the base rate, and the votes are calibrated by a logistic
 curve on sampled rows outside the index.  Sample and examples are bounded by parameters, so the
 broadcast index is too; every document is scored, over its whole text.
@@ -21,7 +21,8 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,10 +34,12 @@ from tidemark.llm.common import stored, texts
 SAMPLE_ROWS = 20_000
 INDEX_ROWS = 2_048
 CALIBRATION_ROWS = 4_096
-CACHE_WORDS = 200_000
+CACHE_WORDS = 20_000
 BLOCK = 64
+PRODUCT_ROWS = 64  # rows of the matrix that are multiplied at once, in one place of memory
 K, K_SHARE = 15, 7  # neighbours: a seventh of the examples of the rarer label, K at least
 EVIDENCE = 15
+COMMON = 512  # terms by which the examples are ordered
 OFTEN = 16  # a term of more than one in OFTEN examples is kept as a row of a matrix
 PREFIXES = (4, 5, 6)
 MIN_ROWS, MIN_Z = 4, 5.0
@@ -44,6 +47,8 @@ PRIOR_WEIGHT = 1.0
 FOLDS = 5
 _CHUNK = 1 << 14
 _WORD = re.compile(r"[^\W\d_]+")
+#: Blanks for all of ASCII but its letters; other bytes are parts of characters beyond ASCII.
+_BLANKS = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -54,15 +59,33 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def distinct_words(text: str, gathered: type = Counter):
+    """Counter (or set) of words_of(text); only what isn't ASCII is searched character by character."""
+    pieces = text.lower().encode("utf-8", "surrogatepass").translate(_BLANKS).decode("utf-8", "surrogatepass").split()
+    found = gathered(pieces)
+    if not text.isascii():
+        for piece in [p for p in found if not p.isascii() and not p.isalpha()]:  # holds more than letters
+            words = _WORD.findall(piece)
+            if words != [piece]:
+                if gathered is set:
+                    found.discard(piece)
+                    found.update(words)
+                else:
+                    n = found.pop(piece)
+                    for word in words:
+                        found[word] += n
+    return found
+
+
 def beginnings(word: str) -> tuple[str, ...]:
     return tuple(f"{word[:n]}~" for n in PREFIXES if len(word) > n)
 
 
-def _spans(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places begin[i]..end[i] of all spans in a row, and the span of each."""
+def _spans(begin: np.ndarray, end: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places begin[i]..end[i] of all spans in a row, and the value of each one's span."""
     size = end - begin
-    which = np.repeat(np.arange(len(size)), size)
-    return np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + begin[which], which
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size), np.repeat(values, size)
 
 
 class Terms:
@@ -73,7 +96,7 @@ class Terms:
         idf = lambda d: np.log((1 + documents) / (1 + d)) + 0.01
         self.weight = idf(df.astype(np.float64))
         self.unseen = float(idf(0.0))
-        self.known: dict[str, int | tuple[int, ...]] = {}
+        self.known: dict[str, int] = {}  # of words without beginnings; frequent ones, as they come early
         self.starts = {t[:-1]: i for t, i in self.names.items() if t.endswith("~")}
         self.least = {t[: PREFIXES[0]] for t in self.starts}
 
@@ -84,65 +107,93 @@ class Terms:
         starts, size = self.starts, len(word)
         return [starts[word[:n]] for n in PREFIXES if size > n and word[:n] in starts]
 
-    def present(self, text: str) -> list[int]:
+    def numbers(self, words: Collection[str]) -> tuple[np.ndarray, list[tuple[int, list[int]]]]:
+        """The own term of each word (-1: none), and the beginnings of the words that have any, by place."""
+        own = np.fromiter(map(self.known.get, words, repeat(-2)), np.int64, len(words))
+        new, more, names, least, begin = np.flatnonzero(own == -2), [], self.names, self.least, PREFIXES[0]
+        if len(new):
+            words = list(words)
+            for i in new.tolist():
+                word = words[i]
+                own[i] = t = names.get(word, -1)
+                if word[:begin] in least and (found := self.more(word)):
+                    more.append((i, found))
+                elif len(self.known) < CACHE_WORDS:
+                    self.known[word] = t
+        return own, more
+
+    def present(self, text: str) -> np.ndarray:
         """The terms of a text, each once."""
-        found, known = set(), self.known
-        for word in set(words_of(text)):
-            t = known.get(word)
-            if t is None:
-                t = self.numbers(word)
-            if type(t) is tuple:
-                found.update(t)
-            else:
-                found.add(t)
-        found.discard(-1)
-        return list(found)
-
-    def numbers(self, word: str) -> int | tuple[int, ...]:
-        """The word's own term (-1: none), followed by its beginnings' if there are any.  The table
-        keeps what came first: frequent words come early."""
-        own, more = self.names.get(word, -1), self.more(word)
-        found = (own, *more) if more else own
-        if len(self.known) < CACHE_WORDS:
-            self.known[word] = found
-        return found
+        own, more = self.numbers(distinct_words(text, set))
+        found = {t for _, ts in more for t in ts}
+        return np.concatenate([own[own >= 0], np.fromiter(found, np.int64, len(found))])
 
     def counts(self, text: str) -> tuple[dict[int, int], int]:
         """Occurrences of each term, and the number of distinct words that are none."""
-        return self.counted(Counter(words_of(text)))
+        return self.counted(distinct_words(text))
 
     def counted(self, bag: dict[str, int]) -> tuple[dict[int, int], int]:
-        out: dict[int, int] = {}
-        unseen, known = 0, self.known
-        for word, n in bag.items():
-            t = known.get(word)
-            if t is None:
-                t = self.numbers(word)
-            if type(t) is tuple:
-                for more in t[1:]:
-                    out[more] = out.get(more, 0) + n
-                t = t[0]
-            if t < 0:
-                unseen += 1
-            else:
-                out[t] = n
-        return out, unseen
+        at, n, unseen = self.occurring(bag)
+        return dict(zip(at.tolist(), n.tolist(), strict=True)), unseen
+
+    def occurring(self, bag: dict[str, int]) -> tuple[np.ndarray, np.ndarray, int]:
+        """The terms of a text, each one's occurrences, and the number of distinct words that are none."""
+        own, more = self.numbers(bag)
+        n, known = np.fromiter(bag.values(), np.int64, len(bag)), own >= 0
+        begun: dict[int, int] = {}
+        for i, found in more:
+            for t in found:
+                begun[t] = begun.get(t, 0) + int(n[i])
+        at = np.concatenate([own[known], np.fromiter(begun, np.int64, len(begun))])
+        return at, np.concatenate([n[known], np.fromiter(begun.values(), np.int64, len(begun))]), len(own) - int(known.sum())
 
     def unit(self, counts: dict[int, int], unseen: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.fromiter(counts, np.int64, len(counts))
-        w = (1.0 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.weight[at]
-        norm = math.sqrt(float((w * w).sum()) + unseen * self.unseen**2)
+        return self.scaled(at, np.fromiter(counts.values(), np.int64, len(counts)), unseen)
+
+    def scaled(self, at: np.ndarray, n: np.ndarray, unseen: int) -> tuple[np.ndarray, np.ndarray]:
+        w = (1.0 + np.log(n)) * self.weight[at]
+        norm = math.sqrt(float(w @ w) + unseen * self.unseen**2)
         return at, w / norm if norm else w
 
 
+def _alike(units: list[tuple[np.ndarray, np.ndarray]], terms: int) -> list[int]:
+    """An order in which examples that share their most common terms stand together, so that bounds of
+    blocks are tight: halves along the direction in which they differ most, and those again."""
+    if not units:
+        return []
+    common = np.argsort(-np.bincount(np.concatenate([at for at, _ in units]), minlength=terms), kind="stable")[:COMMON]
+    column = np.full(terms, -1, np.int64)
+    column[common] = np.arange(len(common))
+    vectors = np.zeros((len(units), len(common)))
+    for j, (at, w) in enumerate(units):
+        some = column[at] >= 0
+        vectors[j, column[at[some]]] = w[some]
+    parts, out = [np.arange(len(units))], []
+    while parts:
+        part = parts.pop()
+        if len(part) <= BLOCK:
+            out.extend(part.tolist())
+            continue
+        x = vectors[part] - vectors[part].mean(axis=0)
+        along = 1 + 1e-3 * np.arange(x.shape[1])
+        for _ in range(20):
+            along = x.T @ (x @ along)
+            along /= np.linalg.norm(along) or 1.0
+        part = part[np.argsort(x @ along, kind="stable")]
+        half = BLOCK * (-(-len(part) // BLOCK) // 2)
+        parts += [part[half:], part[:half]]
+    return out
+
+
 class BlockMaxIndex:
     """Examples as unit vectors in postings by term and block, with the maxima of the blocks."""
 
     def __init__(self, terms: Terms, ids: list[int], labels: list[int], vectors: list[tuple[dict[int, int], int]], base_rate: float):
         self.terms, self.base_rate = terms, base_rate
         units = [terms.unit(*v) for v in vectors]
-        # Examples that share their strongest term stand together: bounds of blocks are tighter.
-        order = sorted(range(len(ids)), key=lambda j: (int(units[j][0][np.argmax(units[j][1])]) if len(units[j][0]) else -1, ids[j]))
+        by_id = sorted(range(len(ids)), key=lambda j: ids[j])
+        order = [by_id[j] for j in _alike([units[j] for j in by_id], len(terms.names))]
         self.ids = np.array([ids[j] for j in order], np.int64)
         self.labels = np.array([labels[j] for j in order], np.float64)
         self.blocks = max(1, -(-len(order) // BLOCK))
@@ -159,14 +210,17 @@ class BlockMaxIndex:
         frequent = self.row[term] >= 0
         self.matrix = np.zeros((len(often), self.blocks * BLOCK))
         self.matrix[self.row[term[frequent]], place[frequent]] = weight[frequent]
+        self.row_most = self.matrix.reshape(len(often), self.blocks, BLOCK).max(axis=2)
         term, self.weight, self.place = term[~frequent], weight[~frequent], place[~frequent]
         block = self.place // BLOCK
+        self.place = self.place.astype(np.int32)
         edge = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
         #: A list is the postings of one term in one block: lists[i] to lists[i + 1].
-        self.lists = np.append(edge, len(term))
-        self.list_block, self.list_most = block[edge], np.maximum.reduceat(self.weight, edge) if len(edge) else np.zeros(0)
+        self.lists = np.append(edge, len(term)).astype(np.int32)
+        self.list_block, self.list_most = block[edge].astype(np.int32), np.maximum.reduceat(self.weight, edge) if len(edge) else np.zeros(0)
         self.of_term = np.searchsorted(term[edge], np.arange(len(terms.names) + 1))
         self.slope, self.shift, self.empty = 1.0, 0.0, base_rate
+        self.taken: np.ndarray | None = None
 
     def nearest(self, at: np.ndarray, weights: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """Places and cosines of the k nearest examples (cosine above 0), and the blocks read.
@@ -175,31 +229,44 @@ class BlockMaxIndex:
         k = k or self.k
         row = self.row[at]
         often = row >= 0
-        begun = weights[often] @ self.matrix[row[often]]  # the text's own rows only
+        rows, row_weights = row[often], weights[often]
         at, weights = at[~often], weights[~often]
-        lists, which = _spans(self.of_term[at], self.of_term[at + 1])
-        mine, blocks = weights[which], self.list_block[lists]
-        bounds = np.bincount(blocks, mine * self.list_most[lists], self.blocks) + begun.reshape(self.blocks, BLOCK).max(axis=1)
-        order = np.argsort(-bounds, kind="stable")
-        best_at, best, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 8
-        while done < len(order) and bounds[order[done]] > 0:
+        lists, mine = _spans(self.of_term[at], self.of_term[at + 1], weights)
+        blocks = self.list_block[lists]
+        bounds = np.bincount(blocks, mine * self.list_most[lists], self.blocks) + row_weights @ self.row_most[rows]
+        order = np.argsort(-bounds, kind="stable")[: np.count_nonzero(bounds > 0)]
+        places, scores, least, done, step = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, -(-2 * k // BLOCK)
+        while done < len(order):
             chosen = order[done : done + step]
-            if len(best) == k:
-                chosen = chosen[bounds[chosen] * 1.000001 >= best[-1]]
-                if not len(chosen):
-                    break
+            chosen = chosen[bounds[chosen] * 1.000001 >= least]
+            if not len(chosen):
+                break
             wanted = np.zeros(self.blocks, bool)
             wanted[chosen] = True
             some = np.flatnonzero(wanted[blocks])
-            postings, of = _spans(self.lists[lists[some]], self.lists[lists[some] + 1])
-            scores = np.bincount(self.place[postings], self.weight[postings] * mine[some][of], len(begun)) + begun
-            places = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            places = places[scores[places] > 0]
-            best_at, best = np.concatenate([best_at, places]), np.concatenate([best, scores[places]])
-            top = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[top], best[top]
-            done, step = done + len(chosen), 4 * step
-        return best_at, best, done
+            postings, by = _spans(self.lists[lists[some]], self.lists[lists[some] + 1], mine[some])
+            sums = np.bincount(self.place[postings], self.weight[postings] * by, self.blocks * BLOCK)
+            sums = sums.reshape(self.blocks, BLOCK)[chosen].ravel() + self._product(rows, row_weights, chosen)
+            near = np.flatnonzero((sums >= least) & (sums > 0))
+            places = np.concatenate([places, chosen[near // BLOCK] * BLOCK + near % BLOCK])
+            scores = np.concatenate([scores, sums[near]])
+            if len(scores) >= k:
+                least = np.partition(scores, len(scores) - k)[len(scores) - k]
+                places, scores = places[scores >= least], scores[scores >= least]
+            done, step = done + len(chosen), len(order)  # then all blocks that can hold a nearer one
+        top = np.lexsort((places, -scores))[:k]
+        return places[top], scores[top], done
+
+    def _product(self, rows: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """weights @ matrix[rows] in these blocks only, by parts into one place of memory that stays."""
+        if self.taken is None:
+            self.taken = np.empty((PRODUCT_ROWS * self.blocks, BLOCK))
+        total, parts = np.zeros(len(blocks) * BLOCK), self.matrix.reshape(-1, BLOCK)
+        for i in range(0, len(rows), PRODUCT_ROWS):
+            at = (rows[i : i + PRODUCT_ROWS, None] * self.blocks + blocks).ravel()
+            taken = np.take(parts, at, axis=0, out=self.taken[: len(at)], mode="clip")
+            total += weights[i : i + PRODUCT_ROWS] @ taken.reshape(-1, len(total))
+        return total
 
     def vote(self, cosines: np.ndarray, labels: np.ndarray) -> float:
         w = (cosines / cosines[0]) ** 2 if len(cosines) else cosines
@@ -211,10 +278,10 @@ class BlockMaxIndex:
 
     def raw_vote(self, text: str) -> tuple[float, np.ndarray, np.ndarray] | None:
         """Vote, places and cosines; None for a text without words."""
-        counts, unseen = self.terms.counts(text)
-        if not counts and not unseen:
+        bag = distinct_words(text)
+        if not bag:
             return None
-        at, cosines, _ = self.nearest(*self.terms.unit(counts, unseen))
+        at, cosines, _ = self.nearest(*self.terms.scaled(*self.terms.occurring(bag)))
         return self.vote(cosines, self.labels[at]), at, cosines
 
     def score(self, text: str) -> tuple[float, list[int], list[float]]:
@@ -268,6 +335,7 @@ def _frequencies(docs: DataFrame, terms: Terms) -> np.ndarray:
     for r in texts(docs).select("text").mapInPandas(counted, kind).repartition("chunk").mapInPandas(summed, kind).collect():
         part = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
         out[r["chunk"] : r["chunk"] + len(part)] = part
+    shared.destroy()  # else every executor keeps its copy until the driver collects its garbage
     return out
 
 
@@ -345,6 +413,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, inde
     # Examples have the least h of their label: another order, or few rows of the rarer label were left.
     rest = rest.orderBy(F.xxhash64("h", F.lit(1)), "doc_id").limit(CALIBRATION_ROWS)
     votes = rest.repartition(8).mapInPandas(voted, "vote double, y double").toPandas()
+    shared.destroy()
     if len(votes):
         y = votes["y"].to_numpy()
         weights = np.where(y == 1, positive / max(1.0, y.sum()), (n - positive) / max(1.0, (1 - y).sum()))
