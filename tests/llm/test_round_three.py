@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark import SparkContext
 
-from tidemark.llm import sentencepiece_fst, token_blocks, toxicity
+import corpus_pipeline
+from tidemark.llm import queries, sentencepiece_fst, token_blocks, toxicity
 from tidemark.llm.tokens import CachedTokenizer, tokenizer, vocabulary_path
 
 
@@ -138,3 +139,19 @@ def test_what_fit_sends_round_is_dropped(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int")
     toxicity.fit(docs, labels, index_rows=20)
     assert len(sent) >= 2 and not any(b._jbroadcast.isValid() for b in sent)
+
+
+def test_passages_of_over_50_words_are_read_by_what_is_removed(spark, tmp_path):
+    r = np.random.default_rng(8)
+    words = [f"{a}{b}{c}{d}" for a in "bcdf" for b in "aeiou" for c in "lmnrst" for d in "aeiou"]
+    draw = lambda n: " ".join(r.choice(words, n))
+    long, short = draw(90), draw(60)  # 449 and 299 bytes: 400 is what op7's contract names
+    shared = {i: long if i < 10 else short for i in range(20)}
+    rows = [(i, " ".join([draw(100), *([shared[i]] if i in shared else []), draw(100)])) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: x for x in queries.op7_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert all(got[i]["n_bytes"] == len(t) for i, t in rows)  # the input's length says nothing of removal
+    assert {i for i in got if got[i]["lost_bytes"]} == {i for i in got if got[i]["n_removed"] >= 449} == set(range(10))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    cut = {x["doc_id"]: x["text"] for x in dict(corpus_pipeline.STAGES)["suffix_dedup"](spark, docs, str(tmp_path)).collect()}
+    assert len(cut) == 60 and {i for i, t in rows if cut[i] != t} == set(range(10))
