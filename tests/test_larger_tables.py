@@ -120,3 +120,47 @@ def test_replay_of_many_files_loses_no_row(spark):
     found = stream_queries.finished(holding.divergences(*stream_queries.replayed(*logs), shards=2))
     got = sorted((r["id"], r["bar_idx"]) for r in found.collect())
     assert got == sorted((i, h) for _, i, a, z in held for h in range(a, z + 1))
+
+
+@pytest.mark.parametrize("finish_turn", [False, True])
+def test_merged_prototypes_of_a_large_group(spark, finish_turn):
+    """600 prototypes of one group, many at the edge of being near, against a loop over all pairs."""
+    r = np.random.default_rng(11)
+    v = np.repeat(r.normal(size=(60, 4)), 10, axis=0) + r.normal(size=(600, 4)) * 0.15
+    v[::50], v[7::50] = 0.0, v[6::50]
+    n, sure = r.integers(0, 9, 600).tolist(), r.integers(0, 10, 600) / 10
+    rows = [(i, "LONG", "A", v[i].tolist(), n[i], n[i] // 2, float(n[i] * (i % 3)), float(sure[i])) for i in range(600)]
+    kinds = "proto_id long, direction string, regime string, v array<double>, members long, wins long, total_profit double, confidence double"
+    found = templates.merged_prototypes(spark.createDataFrame(rows, kinds).repartition(3), 0.98, finish_turn).collect()
+
+    members, total = list(n), [x[6] for x in rows]
+    mean, into, gone = [t / m if m else 0.0 for t, m in zip(total, members, strict=True)], [[] for _ in rows], set()
+    for i in range(600):
+        for j in range(i + 1, 600 if i not in gone else 0):
+            norm = np.linalg.norm(v[i]) * np.linalg.norm(v[j])
+            if j in gone or not norm or v[i] @ v[j] / norm < 0.98:
+                continue
+            better = sure[i] >= sure[j] if abs(sure[i] - sure[j]) > 0.1 else (members[i], mean[i]) >= (members[j], mean[j])
+            stays, goes = (i, j) if better else (j, i)
+            gone.add(goes)
+            members[stays], total[stays] = members[stays] + members[goes], total[stays] + total[goes]
+            mean[stays] = total[stays] / members[stays] if members[stays] else mean[stays]
+            into[stays] += [goes, *into[goes]]
+            if goes == i and not finish_turn:
+                break
+    assert 200 < len(gone) < 590
+    assert {x["proto_id"]: (x["members"], x["total_profit"], x["merged"]) for x in found} == {i: (members[i], total[i], sorted(into[i])) for i in range(600) if i not in gone}
+
+
+def test_merged_prototypes_keeps_every_trade(spark):
+    """The registered query, on the smallest tables: what it merges adds up to all templates."""
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import template_queries
+
+    found, per = template_queries.merged_prototypes(spark, "/root/testdata/sf0.001"), ["direction", "regime"]
+    sums = found.groupBy(*per).agg(F.sum("members"), F.sum("wins"), F.round(F.sum("total_profit"), 3), F.sum(F.size(F.expr("filter(split(merged, ','), x -> x != '')")) + 1))
+    t = template_queries.templates(spark, "/root/testdata/sf0.001")
+    want = t.groupBy(*per).agg(F.count("*"), F.sum((F.col("profit_pct") > 1).cast("long")), F.round(F.sum("profit_pct"), 3), F.countDistinct("symbol", F.col("entry_idx") % 6))
+    got = sorted(map(tuple, sums.collect()))
+    assert got and got == sorted(map(tuple, want.collect()))
