@@ -53,7 +53,10 @@ FREQUENT = 16
 LEAF = 1_024
 SET_SHINGLES = 1 << 22
 CELLS = 8
-BROADCAST_IDS = 500_000
+#: Rows of keys that are sent round as they are; more are told by bits, in rows of 64 words (0.6 kB).
+BROADCAST_IDS = 50_000
+FILTER_BITS = 1 << 25
+BROADCAST_BITS = 1 << 14
 BUCKETS = 256
 PIVOT, OUTSIDE, INSIDE, BOTH = range(4)
 
@@ -143,6 +146,39 @@ def signatures(docs: DataFrame, frequent: np.ndarray, words: int = WORDS, percen
     return stored(made.withColumn("u", F.monotonically_increasing_id()))
 
 
+def _bits(places: DataFrame) -> DataFrame:
+    """__g, __words: bits set at places(p), 4,096 neighbours a row; written, as it is sent round often."""
+    word = F.shiftright("p", 6)
+    bit = F.expr("shiftleft(1L, cast(p & 63 AS int))")
+    words = places.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("bits"))
+    held = words.groupBy(F.shiftright("w", 6).alias("__g")).agg(F.map_from_entries(F.collect_list(F.struct(F.expr("cast(w & 63 AS int)"), "bits"))).alias("m"))
+    return stored(held.select("__g", F.expr("transform(sequence(0, 63), i -> coalesce(m[i], 0L))").alias("__words")))
+
+
+def _by_bits(rows: DataFrame, bits: DataFrame, place: str, how: str) -> DataFrame:
+    """The rows whose place, an expression, is set in bits (how: left_semi) or is not (left_anti)."""
+    is_set = F.expr(f"__g = shiftright({place}, 12) AND getbit(get(__words, cast(shiftright({place}, 6) & 63 AS int)), cast({place} & 63 AS int)) = 1")
+    return rows.join(F.broadcast(bits), is_set, how)
+
+
+def _place(*keys: str) -> str:
+    return f"pmod(xxhash64({', '.join(keys)}), {FILTER_BITS}L)"
+
+
+def _key_bits(keyed: DataFrame, *keys: str) -> DataFrame:
+    """Bits by hash of keys, 4.6 MB of them at most at any input size: what they leave out has none of
+    the keys, the rest has yet to be joined."""
+    return _bits(keyed.select(F.expr(_place(*keys)).alias("p")))
+
+
+def _without_copies(sig: DataFrame, copies: DataFrame) -> DataFrame:
+    """sig without the rows of copies(u), which are told by one bit of each row."""
+    bits = _bits(copies.select(F.col("u").alias("p")))
+    if bits.limit(BROADCAST_BITS + 1).count() <= BROADCAST_BITS:
+        return _by_bits(sig, bits, "u", "left_anti")
+    return stored(sig.join(copies, "u", "left_anti"))
+
+
 def _whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """u, s (sorted shingles) for ids(u, k, t), from every document of that k and t."""
 
@@ -154,8 +190,11 @@ def _whole_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("u"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)], ["u", "s"])
 
     keyed = texts(docs).select(id_key().alias("k"), text_key().alias("t"), "text")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # 24 bytes a row
-    return keyed.join(F.broadcast(ids) if few else ids, ["k", "t"]).select("u", "text").mapInArrow(made, "u long, s array<bigint>")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # 24 bytes a row, some 110 once hashed
+        asked = keyed.join(F.broadcast(ids), ["k", "t"])
+    else:  # no text is shuffled but those asked for and the few that share a bit with them
+        asked = _by_bits(keyed, _key_bits(ids, "k", "t"), _place("k", "t"), "left_semi").join(ids, ["k", "t"])
+    return asked.select("u", "text").mapInArrow(made, "u long, s array<bigint>")
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -408,9 +447,7 @@ def links(docs: DataFrame, sig: DataFrame, words: int = WORDS, percent: int = PE
     held = stored(sig.where("n > 0").groupBy("fp").agg(F.min("u").alias("first"), F.count("*").alias("c")).where("c > 1"))
     alike = stored(sig.select("fp", "u", "k", "t").join(held, "fp").select("u", "k", "t", "first"))
     repeated = bool(alike.groupBy("k", "t").count().where("count > 1").limit(1).count())
-    copies = alike.where("u != first").select("u")
-    few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # 8 bytes a row
-    reps = sig.where("n > 0").join(F.broadcast(copies) if few else copies, "u", "left_anti")
+    reps = _without_copies(sig.where("n > 0"), alike.where("u != first").select("u"))
     postings = reps.select("u", F.explode("window").alias("r"))
     shared = stored(postings.groupBy("r").agg(F.count("*").alias("c"), F.min("u").alias("cell")).where("c > 1").select("r", "cell"))
     near = postings.join(shared, "r").select("cell", "u").distinct()
@@ -470,6 +507,10 @@ def first_of_classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT
     Rows that repeat that least doc_id are one document and stay together; so do rows without id.
     """
     later = stored(keyed_classes(docs, words, percent).where("k != c").select(F.col("k").alias("__k"), F.col("t").alias("__t")).distinct())
-    few = later.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS  # 16 bytes a row
     keyed = docs.withColumn("__k", id_key()).withColumn("__t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(F.broadcast(later) if few else later, ["__k", "__t"], "left_anti").drop("__k", "__t")
+    if later.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:  # 16 bytes a row, some 100 once hashed
+        kept = keyed.join(F.broadcast(later), ["__k", "__t"], "left_anti")
+    else:  # only documents that share a bit with a later one are shuffled
+        bits, place = _key_bits(later, "__k", "__t"), _place("__k", "__t")
+        kept = _by_bits(keyed, bits, place, "left_anti").unionByName(_by_bits(keyed, bits, place, "left_semi").join(later, ["__k", "__t"], "left_anti"))
+    return kept.drop("__k", "__t")
